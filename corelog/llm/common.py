@@ -147,19 +147,26 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(h)
 
 
+def squeeze(data: bytes) -> bytes:
+    """zstd at Arrow's level."""
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes, size: int) -> bytes:
+    """The `size` bytes that squeeze() took."""
+    return pa.decompress(data, size, codec="zstd", asbytes=True)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Unsigned integers as zstd-compressed byte planes: small or sorted-and-differenced ones take few bytes."""
     values = np.ascontiguousarray(values)
     planes = values.view(np.uint8).reshape(len(values), values.itemsize).T
-    return _ZSTD.compress(np.ascontiguousarray(planes).tobytes(), asbytes=True)
+    return squeeze(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(data: bytes, n: int, dtype) -> np.ndarray:
     """The n values that pack() took."""
     dtype = np.dtype(dtype)
-    raw = _ZSTD.decompress(data, n * dtype.itemsize, asbytes=True) if n else b""
+    raw = unsqueeze(data, n * dtype.itemsize) if n else b""
     planes = np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, n)
     return np.ascontiguousarray(planes.T).view(dtype).reshape(n)
-
-
-_ZSTD = pa.Codec("zstd", compression_level=1)
