@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corelog.llm import bpe, quality_ranker, quality_rules
+from corelog.llm import bpe, near_dups, quality_ranker, quality_rules, substrings
 
 #: Where the public vocabulary is; set CORELOG_VOCABULARY to use another one.
 VOCABULARY = os.environ.get("CORELOG_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -27,10 +27,20 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.filter_quality(_table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All near-duplicate pairs of documents."""
+    return near_dups.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the pairwise ranker keeps, with their scores."""
     return quality_ranker.filter_ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op7_quality_ranker)}
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages of WINDOW words or more that stand in two documents or more."""
+    return substrings.find_repeats(_table(spark, sf_dir, "documents")).drop("doc_key")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op6_jaccard_join, op7_quality_ranker, op10_substrings)}
 ORACLES = {"op2_quality_rules": quality_rules.FILTER_SQL}
