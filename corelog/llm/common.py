@@ -33,6 +33,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A written table of up to so many rows of a few numbers (some 16 MB) is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table of short rows with a broadcast hint if its rows are counted to be few; joined by shuffle otherwise."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def fresh(df: DataFrame, *stems: str) -> list[str]:
     """Column names that df doesn't have yet (Spark's names ignore case)."""
     taken = {c.lower() for c in df.columns}

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corelog.llm.common import fresh, mix, ngrams, pack, row_key, slices, unpack, utf8, words, written
+from corelog.llm.common import fresh, mix, ngrams, pack, row_key, slices, small, unpack, utf8, words, written
 from corelog.plans.ship import ship
 
 #: Words of an n-gram, and the least Jaccard similarity of a pair of sets of them.
@@ -23,8 +23,6 @@ MOST_MATCHES = 6
 VERIFY_COST = 8.0
 #: Verification takes blocks of about so many documents of a cluster against each other.
 BLOCK = 2048
-#: Up to so many ids to drop are broadcast (some 16 MB); more are joined by shuffle.
-BROADCAST_ROWS = 500_000
 
 _PUNCT = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _DELETED = np.isin(np.arange(256), np.frombuffer(_PUNCT, np.uint8))
@@ -432,8 +430,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         # Small star: neighbours below u, and u itself, go to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        after = written(small.where("u <> v").distinct(), "edges")
+        lower = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        after = written(lower.where("u <> v").distinct(), "edges")
         same = after.count() == now.count() and not after.exceptAll(now).limit(1).count()
         now = after
         if same:
@@ -454,6 +452,4 @@ def drop_near_dups(df: DataFrame, *, threshold: float = THRESHOLD, text: str = "
     gone = written(grouped.join(first.select("g", F.col("r.doc_key").alias("lead")), "g").where("doc_key <> lead").select("doc_key"), "gone")
     (key,) = fresh(df, "key")
     gone = gone.withColumnRenamed("doc_key", key)
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return df.withColumn(key, row_key(doc, text)).join(gone, key, "left_anti").select(*df.columns)
+    return df.withColumn(key, row_key(doc, text)).join(small(gone), key, "left_anti").select(*df.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corelog.llm.common import fresh
+from corelog.llm.common import fresh, small, written
 from corelog.llm.signals import SIGNALS, SIGNALS_SQL, with_signals
 
 #: Buckets for each factor e: a quantile's relative error is at most 1 / (2 * RESOLUTION), about 1.6 %.
@@ -55,7 +55,7 @@ def thresholds(df: DataFrame, lang: str = "lang", source: str = "source", text:
     ceil(q3 + WIDTHS * w), w = max(q3 - q1, 1). NULL lang or source is a group like any other. No documents: no rows.
     """
     scored, s = with_signals(df.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text")), "text")
-    long = scored.select("lang", "source", F.posexplode(s).alias("signal", "value"))
+    long = scored.select("lang", "source", F.posexplode_outer(s).alias("signal", "value"))  # outer: an inner one adds a filter that computes the signals again
     # One scan: level 0 is (lang, source), 1 the language, 2 all. The finest one comes first, the others add it up.
     fine = sketch(long, ["lang", "source", "signal"], "value")
     listed = fine.groupBy("lang", "source", "signal").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("b0"))
@@ -79,12 +79,13 @@ def filter_quality(df: DataFrame, *, text: str = "text", lang: str = "lang", sou
     """The rows of df all of whose signals are within the bounds of their (language, source); df's columns.
 
     The thresholds come from all rows of df, by mergeable quantile sketches; one scan builds them, one filters. They are
-    one row for each (lang, source): Spark broadcasts them if the finished table is small and shuffles otherwise.
+    one row for each (lang, source), written once and broadcast if few; more are joined by shuffle.
     NULL text: no signals, so no rule fails and the row stays; an empty text has signals 0, 0, 0, 0, 5000 and is judged by
     them. NULL lang or source is a group of its own. Repeated rows are counted and judged each. Empty table: empty result.
     Extra columns pass through, whatever their names.
     """
     wide = thresholds(df, lang, source, text).groupBy("lang", "source").agg(F.array_sort(F.collect_list(F.struct("signal", "low", "high"))).alias("bounds"))
+    wide = small(written(wide, "bounds"))
     scored, s = with_signals(df, text)
     gl, gs, b = fresh(scored, "group_lang", "group_source", "bounds")
     wide = wide.select(F.col("lang").alias(gl), F.col("source").alias(gs), F.col("bounds").alias(b))
