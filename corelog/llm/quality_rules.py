@@ -12,6 +12,8 @@ from corelog.llm.signals import SIGNALS, SIGNALS_SQL, with_signals
 RESOLUTION = 32
 #: A text passes where each signal is within the middle half of its group, widened on either side by so many times its width.
 WIDTHS = 10
+#: The least width that counts, by signal. Most texts have no digit at all, so a group's own spread says nothing there.
+LEAST_SPREAD = {"symbol_pm": 1, "upper_pm": 1, "digit_pm": 30, "repeat_pm": 1, "word_pm": 1}
 #: Groups of fewer documents use the sketch of their language; languages of fewer, that of all documents.
 MIN_GROUP = 100
 
@@ -52,7 +54,7 @@ def thresholds(df: DataFrame, lang: str = "lang", source: str = "source", text:
     """(lang, source, signal, low, high): the bounds that each group's own quartiles give, one row for each group and signal.
 
     With bucket b standing for the value exp((b + 0.5) / RESOLUTION) - 1: low = floor(q1 - WIDTHS * w), high =
-    ceil(q3 + WIDTHS * w), w = max(q3 - q1, 1). NULL lang or source is a group like any other. No documents: no rows.
+    ceil(q3 + WIDTHS * w), w = max(q3 - q1, LEAST_SPREAD of the signal). NULL lang or source is a group like any other. No documents: no rows.
     """
     scored, s = with_signals(df.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text")), "text")
     long = scored.select("lang", "source", F.posexplode_outer(s).alias("signal", "value"))  # outer: an inner one adds a filter that computes the signals again
@@ -71,7 +73,8 @@ def thresholds(df: DataFrame, lang: str = "lang", source: str = "source", text:
     q = chosen.select("lang", "source", "signal", _quartiles(F.col("bs"), F.col("of")).alias("q"))
     value = lambda x: F.exp((x + 0.5) / RESOLUTION) - 1
     q = q.select("lang", "source", "signal", value(F.col("q.q1")).alias("q1"), value(F.col("q.q3")).alias("q3"))
-    width = WIDTHS * F.greatest(F.col("q3") - F.col("q1"), F.lit(1.0))
+    least = F.element_at(F.array(*[F.lit(float(LEAST_SPREAD[x])) for x in SIGNALS]), F.col("signal") + 1)
+    width = WIDTHS * F.greatest(F.col("q3") - F.col("q1"), least)
     return q.select("lang", "source", "signal", F.floor(F.col("q1") - width).cast("bigint").alias("low"), F.ceil(F.col("q3") + width).cast("bigint").alias("high"))
 
 
@@ -118,7 +121,8 @@ FILTER_SQL = (
            exp((min(bucket) FILTER (WHERE seen * 4 >= total * 3) + 0.5) / {RESOLUTION}) - 1 AS q3
     FROM ranked GROUP BY ALL
 ), bounds AS (
-    SELECT lang, source, signal, floor(q1 - {WIDTHS} * greatest(q3 - q1, 1)) AS low, ceil(q3 + {WIDTHS} * greatest(q3 - q1, 1)) AS high FROM quartiles
+    SELECT lang, source, signal, floor(q1 - {WIDTHS} * greatest(q3 - q1, least)) AS low, ceil(q3 + {WIDTHS} * greatest(q3 - q1, least)) AS high
+    FROM (SELECT *, CASE signal {" ".join(f"WHEN {i} THEN {LEAST_SPREAD[s]}" for i, s in enumerate(SIGNALS))} END AS least FROM quartiles)
 )
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars FROM signals d
 WHERE NOT EXISTS (
