@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corelog.llm import bpe, near_dups, quality_ranker, quality_rules, substrings
+from corelog.llm import bpe, line_templates, near_dups, quality_ranker, quality_rules, substrings
 
 #: Where the public vocabulary is; set CORELOG_VOCABULARY to use another one.
 VOCABULARY = os.environ.get("CORELOG_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -37,10 +37,15 @@ def op7_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ranker.filter_ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of recurring templates."""
+    return line_templates.drop_lines(_table(spark, sf_dir, "documents"), dropped="n_dropped", n_chars="n_chars")
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All passages of WINDOW words or more that stand in two documents or more."""
     return substrings.find_repeats(_table(spark, sf_dir, "documents")).drop("doc_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op6_jaccard_join, op7_quality_ranker, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op6_jaccard_join, op7_quality_ranker, op9_line_templates, op10_substrings)}
 ORACLES = {"op2_quality_rules": quality_rules.FILTER_SQL}
