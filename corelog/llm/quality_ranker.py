@@ -23,45 +23,60 @@ SCALE = 1000
 
 @dataclass(frozen=True)
 class Ranker:
-    """Score = sum of weight * (ln(1 + signal) - mean): the log-odds of being preferred are differences of scores."""
+    """Score = weighted sum of features; the log-odds that one document is preferred to another are their difference.
 
-    mean: tuple[float, ...]
+    Each signal x, as ln(1 + x), gives three features: itself, how far it is above `high`, how far below `low`. So a
+    signal may count for much outside the range of good documents without counting inside it.
+    """
+
+    low: tuple[float, ...]
+    high: tuple[float, ...]
     weight: tuple[float, ...]
 
     def column(self, signals: str) -> Column:
         """The score, rounded to whole 1 / SCALE, as bigint; NULL where there are no signals."""
         total = F.lit(0.0)
-        for i, (m, w) in enumerate(zip(self.mean, self.weight, strict=True)):
-            total = total + F.lit(w) * (F.log1p(F.col(signals)[i].cast("double")) - F.lit(m))
+        for i, (lo, hi) in enumerate(zip(self.low, self.high, strict=True)):
+            x = F.log1p(F.col(signals)[i].cast("double"))
+            w = self.weight[3 * i : 3 * i + 3]
+            total = total + x * w[0] + F.greatest(x - hi, F.lit(0.0)) * w[1] + F.greatest(lo - x, F.lit(0.0)) * w[2]
         return F.round(total * SCALE).cast("bigint")
 
+    def features(self, signals: np.ndarray) -> np.ndarray:
+        x = np.log1p(signals.astype(float))
+        return np.stack([x, np.maximum(x - self.high, 0), np.maximum(self.low - x, 0)], 2).reshape(len(x), -1)
+
+    def scores(self, signals: np.ndarray) -> np.ndarray:
+        return self.features(signals) @ np.array(self.weight)
+
 
-def fit_pairs(better: np.ndarray, worse: np.ndarray, *, pairs: int = MAX_PAIRS, steps: int = 300, l2: float = 1e-3, seed: int = 7) -> Ranker:
+def fit_pairs(better: np.ndarray, worse: np.ndarray, *, pairs: int = MAX_PAIRS, steps: int = 100, l2: float = 1e-3, seed: int = 7) -> Ranker:
     """Bradley-Terry weights: minimises mean log(1 + exp(-w (x_better - x_worse))) + l2 |w|^2 / 2 by Newton steps.
 
     better, worse: signals, one row a document. Without rows in one of them there is nothing to prefer: weights are 0.
     """
     k = better.shape[1] if better.ndim == 2 else len(SIGNALS)
     if not len(better) or not len(worse):
-        return Ranker((0.0,) * k, (0.0,) * k)
-    x, y = np.log1p(better.astype(float)), np.log1p(worse.astype(float))
-    both = np.concatenate([x, y])
-    mean, sd = both.mean(0), np.maximum(both.std(0), 1e-6)
+        return Ranker((0.0,) * k, (0.0,) * k, (0.0,) * 3 * k)
+    low, high = np.quantile(np.log1p(better.astype(float)), [0.01, 0.99], axis=0)
+    plain = Ranker(tuple(low.tolist()), tuple(high.tolist()), (0.0,) * 3 * k)
+    x, y = plain.features(better), plain.features(worse)
+    sd = np.maximum(np.concatenate([x, y]).std(0), 1e-3)
     rng = np.random.default_rng(seed)
     d = (x[rng.integers(0, len(x), pairs)] - y[rng.integers(0, len(y), pairs)]) / sd
-    w = np.zeros(k)
+    w = np.zeros(3 * k)
     loss = lambda v: np.mean(np.logaddexp(0, -d @ v)) + l2 * v @ v / 2
     for _ in range(steps):
         p = 1 / (1 + np.exp(np.clip(d @ w, -50, 50)))
         grad = -(p @ d) / len(d) + l2 * w
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + l2 * np.eye(k), grad)
+        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + l2 * np.eye(len(w)), grad)
         size = 1.0
         while size > 1e-6 and loss(w - size * step) > loss(w):
             size /= 2
         w = w - size * step
         if np.abs(size * step).max() < 1e-9:
             break
-    return Ranker(tuple(mean.tolist()), tuple((w / sd).tolist()))
+    return Ranker(plain.low, plain.high, tuple((w / sd).tolist()))
 
 
 def train(df: DataFrame, labels: DataFrame, *, text: str = "text", quantile: float = QUANTILE) -> tuple[Ranker, int | None]:
