@@ -24,7 +24,7 @@ def with_signals(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
     c = F.col(text)
 
     def pm(n: Column, d: Column) -> Column:
-        return F.expr("NULL") if n is None else F.floor(n * 1000 / d).cast("bigint")
+        return F.floor(n * 1000 / d).cast("bigint")
 
     stripped = F.trim(F.regexp_replace(c, _WS, " "))
     out = df.withColumns(
@@ -44,7 +44,9 @@ def with_signals(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
     digits = F.length(F.regexp_replace(F.col(rest), "[^0-9]+", ""))
     letters = F.aggregate(F.col(words), F.lit(0), lambda acc, x: acc + F.length(x))
     value = F.array(pm(symbols, n + 100), pm(upper, n + 400), pm(digits, n + 400), pm(same, w + 60), pm(letters + 100, w + 20))
-    return out.withColumn(signals, F.when(c.isNotNull(), value)).drop(rest, words), signals
+    # A generator of one row: filters and projections over the signals aren't moved below it, where they would compute them again.
+    one = F.explode_outer(F.array(F.when(c.isNotNull(), value)))
+    return out.select(*df.columns, one.alias(signals)), signals
 
 
 #: The same in DuckDB: a CTE `signals` over documents, with doc_id, lang, source, text, n_chars and one column a signal.
