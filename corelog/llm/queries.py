@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corelog.llm import bpe, line_templates, near_dups, quality_ranker, quality_rules, substrings
+from corelog.llm import bpe, line_templates, mixing, near_dups, quality_ranker, quality_rules, substrings
+from corelog.llm.common import row_key
 
 #: Where the public vocabulary is; set CORELOG_VOCABULARY to use another one.
 VOCABULARY = os.environ.get("CORELOG_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -37,6 +39,14 @@ def op7_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ranker.filter_ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that the mix uses, the source whose quota it fills, and how often."""
+    docs = _table(spark, sf_dir, "documents")
+    chosen = mixing.mix(docs)
+    keyed = docs.select("doc_id", row_key().alias("doc_key"))
+    return chosen.join(keyed, "doc_key").groupBy("doc_key", "source", "copies").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "source", "copies")
+
+
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines of recurring templates."""
     return line_templates.drop_lines(_table(spark, sf_dir, "documents"), dropped="n_dropped", n_chars="n_chars")
@@ -47,5 +57,5 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.find_repeats(_table(spark, sf_dir, "documents")).drop("doc_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op6_jaccard_join, op7_quality_ranker, op9_line_templates, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op6_jaccard_join, op7_quality_ranker, op8_mixing, op9_line_templates, op10_substrings)}
 ORACLES = {"op2_quality_rules": quality_rules.FILTER_SQL}
