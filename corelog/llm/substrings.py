@@ -17,6 +17,9 @@ WINDOW = 50
 #: Words of the runs among which a window's minimiser is chosen.
 RUN = 6
 
+#: Texts of about so many bytes are sent together: more compress better, fewer take less memory.
+SEND_BYTES = 8_000_000
+
 _SENT = "bucket int, n int, n_texts int, lengths binary, packed binary, packed_size int, which binary, doc_key binary, doc_id binary, has_id binary, start binary"
 _FOUND = "doc_key long, doc_id long, start_word int, end_word int, first boolean"
 
@@ -70,8 +73,13 @@ def super_kmers(hashes: np.ndarray, bounds: np.ndarray, k: int = WINDOW, run: in
 def _send(parts: int, text: str, key: str, doc: str):
     """mapInArrow function: a row for each (batch, bucket) with all super-k-mers that go there."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            for a, b in slices(batch.column(batch.schema.get_field_index(text)), SEND_BYTES):
+                yield batch.slice(a, b - a)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
             col = lambda b, c: b.column(b.schema.get_field_index(c))
             texts: dict[int, list[bytes]] = {}
             seen: dict[int, dict[bytes, int]] = {}
@@ -145,18 +153,25 @@ def _count(table: pa.Table) -> pa.Table:
     at = np.searchsorted(what, np.arange(n + 1))
     least_key, most_key = np.minimum.reduceat(doc_key, at[:-1]), np.maximum.reduceat(doc_key, at[:-1])
 
-    sizes = np.array([len(p) for p in pieces], np.int64)
-    data = np.frombuffer(b"".join(pieces), np.uint8)
+    strings = pa.array(pieces, pa.binary())
     pieces.clear()
-    _, _, hashes, bounds = words(data, np.concatenate([[0], np.cumsum(sizes)]))
-    del data
-    grams = window_hashes(hashes, WINDOW)
-    counts = np.diff(bounds) - WINDOW + 1
+    hash_parts, gram_parts, counts = [], [], np.zeros(n, np.int64)
+    for a, b in slices(strings):
+        _, _, h, bounds = words(*utf8(strings.slice(a, b - a).cast(pa.large_binary())))
+        counts[a:b] = np.diff(bounds) - WINDOW + 1
+        inside = np.repeat(bounds[:-1] - np.cumsum(counts[a:b]) + counts[a:b], counts[a:b]) + np.arange(counts[a:b].sum())
+        hash_parts.append(h)
+        gram_parts.append(window_hashes(h, WINDOW)[inside])
+    del strings
+    hashes, grams = np.concatenate(hash_parts), np.concatenate(gram_parts)
+    hash_parts.clear()
+    gram_parts.clear()
+    bounds = np.concatenate([[0], np.cumsum(counts + WINDOW - 1)])
     string = np.repeat(np.arange(n), counts)
     offset = np.arange(len(string)) - np.repeat(np.cumsum(counts) - counts, counts)
     place = bounds[string] + offset
-    by = np.argsort(grams[place], kind="stable")
-    sorted_grams = grams[place][by]
+    by = np.argsort(grams, kind="stable")
+    sorted_grams = grams[by]
     new = np.ones(len(by), bool)
     new[1:] = sorted_grams[1:] != sorted_grams[:-1]
     group = np.cumsum(new) - 1
