@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +13,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+def _lean() -> None:
+    """Large arrays go back to the system when they are freed, so idle Python workers of an executor hold little memory."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD; a fixed one doesn't grow
+        libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):
+        return  # another C library
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_lean()
+
 #: Texts are handled in slices of about so many bytes; one longer text is a slice of its own.
 SLICE_BYTES = 250_000
 
@@ -81,7 +95,8 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts one after another, and the n + 1 offsets; NULL counts as empty."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if not pa.types.is_large_binary(texts.type):
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
     _, offsets, data = texts.buffers()
     offs = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if data is None or not len(texts):

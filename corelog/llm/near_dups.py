@@ -105,8 +105,16 @@ def _send(parts: int, bits: int):
             if not metas:
                 continue
             tokens, docs = np.concatenate(all_tokens), np.concatenate(all_docs)
-            order = np.argsort(tokens, kind="stable")
-            tokens, docs = tokens[order], docs[order]
+            place = int(len(texts) - 1).bit_length()
+            if bits + place <= 64:  # both in one number sort in place
+                tokens <<= np.uint64(place)
+                tokens |= docs
+                tokens.sort()
+                docs = (tokens & np.uint64((1 << place) - 1)).astype(np.uint32)
+                tokens >>= np.uint64(place)
+            else:
+                order = np.argsort(tokens, kind="stable")
+                tokens, docs = tokens[order], docs[order]
             edges = np.searchsorted(tokens, _edges(parts, bits))
             meta = np.concatenate(metas, 1)
             cols: dict[str, list] = {c.split()[0]: [] for c in _SENT.split(", ")}
@@ -257,7 +265,7 @@ def _post(parts: int, bits: int, threshold: float):
     return run
 
 
-def _meet(threshold: float, chunk: int = 4_000_000):
+def _meet(threshold: float, chunk: int = 500_000):
     """One bucket: pairs of documents whose prefixes share tokens here, with how many, if their sizes allow the similarity."""
 
     def run(table: pa.Table) -> pa.Table:
