@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corelog.llm import bpe, line_templates, mixing, near_dups, quality_ranker, quality_rules, substrings
+from corelog.llm import bpe, language_id, line_templates, mixing, near_dups, pii, quality_ranker, quality_rules, substrings
 from corelog.llm.common import row_key
 
 #: Where the public vocabulary is; set CORELOG_VOCABULARY to use another one.
@@ -29,6 +29,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.filter_quality(_table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal data hidden."""
+    return pii.redact(_table(spark, sf_dir, "documents"), pii.train(), where="spans", keep=["doc_id", "text"])
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; the model learns from a bounded sample of the lang column."""
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs), keep=["doc_id", "lang"])
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All near-duplicate pairs of documents."""
     return near_dups.jaccard_join(_table(spark, sf_dir, "documents"))
@@ -57,5 +68,8 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.find_repeats(_table(spark, sf_dir, "documents")).drop("doc_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op6_jaccard_join, op7_quality_ranker, op8_mixing, op9_line_templates, op10_substrings)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_bpe, op2_quality_rules, op4_pii, op5_language_id, op6_jaccard_join, op7_quality_ranker, op8_mixing, op9_line_templates, op10_substrings)
+}
 ORACLES = {"op2_quality_rules": quality_rules.FILTER_SQL}
