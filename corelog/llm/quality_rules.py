@@ -58,8 +58,8 @@ def thresholds(df: DataFrame, lang: str = "lang", source: str = "source", text:
     """
     scored, s = with_signals(df.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text")), "text")
     long = scored.select("lang", "source", F.posexplode_outer(s).alias("signal", "value"))  # outer: an inner one adds a filter that computes the signals again
-    # One scan: level 0 is (lang, source), 1 the language, 2 all. The finest one comes first, the others add it up.
-    fine = sketch(long, ["lang", "source", "signal"], "value")
+    # One scan, whose small result is written: level 0 is (lang, source), 1 the language, 2 all. The finest one comes first, the others add it up.
+    fine = written(sketch(long, ["lang", "source", "signal"], "value"), "sketch")
     listed = fine.groupBy("lang", "source", "signal").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("b0"))
     by_lang = fine.groupBy("lang", "signal", "bucket").agg(F.sum("n").alias("n"))
     by_lang = by_lang.groupBy("lang", "signal").agg(F.sum("n").alias("total1"), F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("b1"))
