@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corelog.llm import bpe, language_id, line_templates, mixing, near_dups, pii, quality_ranker, quality_rules, substrings
+from corelog.llm import bpe, language_id, line_templates, mixing, near_dups, neighbours, pii, quality_ranker, quality_rules, substrings
 from corelog.llm.common import row_key
 
 #: Where the public vocabulary is; set CORELOG_VOCABULARY to use another one.
@@ -29,6 +29,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.filter_quality(_table(spark, sf_dir, "documents"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's ten nearest others."""
+    return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with personal data hidden."""
     return pii.redact(_table(spark, sf_dir, "documents"), pii.train(), where="spans", keep=["doc_id", "text"])
@@ -70,6 +75,6 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_quality_rules, op4_pii, op5_language_id, op6_jaccard_join, op7_quality_ranker, op8_mixing, op9_line_templates, op10_substrings)
+    for f in (op1_bpe, op2_quality_rules, op3_neighbours, op4_pii, op5_language_id, op6_jaccard_join, op7_quality_ranker, op8_mixing, op9_line_templates, op10_substrings)
 }
 ORACLES = {"op2_quality_rules": quality_rules.FILTER_SQL}
