@@ -132,5 +132,5 @@ def join_delta(left: DataFrame, a: DataFrame, b: DataFrame, key: str, value: str
     has_a, has_b = F.col("_va").isNotNull(), F.col("_vb").isNotNull()
     return j.agg(
         F.count("*").alias("n_rows"), n(has_a).alias("n_a"), n(has_b).alias("n_b"), n(has_a & ~has_b).alias("only_a"), n(~has_a & has_b).alias("only_b"),
-        n(has_a & has_b & (F.col("_va") != F.col("_vb"))).alias("changed"), n(has_a & (F.col("_oa") != F.col("_own"))).alias("foreign_a"),
+        n(has_a & has_b & (F.col("_va") != F.col("_vb"))).alias("changed"), n(has_a & (F.col("_oa") != F.col("_own"))).alias("foreign_a"), n(has_b & (F.col("_ob") != F.col("_own"))).alias("foreign_b"),
     )
