@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,3 +152,29 @@ def box_summary(df: DataFrame, group: str, c: str, least: int = 30) -> DataFrame
     """(group, n, q25, q50, q75) of groups with at least `least` rows."""
     q = lambda p: F.percentile(c, F.lit(p))
     return df.groupBy(group).agg(F.count("*").alias("n"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75")).where(F.col("n") >= least)
+
+
+def mean_pairwise_distance(df: DataFrame, key: str, vector: str, blocks: int = 16) -> DataFrame:
+    """One row: the mean Euclidean distance of all unordered pairs of rows. Rows without a vector don't count.
+
+    Quadratic by definition: rows are hashed into blocks, each pair of blocks is one task that takes matrix products and
+    returns a sum, so that no pairs are shuffled. Choose blocks such that two of them fit in a task's memory.
+    """
+    b = F.pmod(F.xxhash64(key), F.lit(blocks))
+    d = df.where(F.col(vector).isNotNull()).select(b.alias("_b"), F.col(vector).cast("array<double>").alias("_v"))
+    ids = F.sequence(F.lit(0), F.lit(blocks - 1))
+    sent = d.withColumn("_o", F.explode(ids)).select(F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), F.col("_b") == F.least("_b", "_o"), "_v").toDF("_i", "_j", "_first", "_v")
+
+    def total(f: pd.DataFrame) -> pd.DataFrame:
+        same = f["_i"].iloc[0] == f["_j"].iloc[0]
+        a = np.array(f.loc[f["_first"], "_v"].tolist(), float)
+        c = a if same else np.array(f.loc[~f["_first"], "_v"].tolist(), float)
+        s, n = 0.0, 0
+        for i in range(len(a)):
+            rest = a[i + 1 :] if same else c
+            if len(rest):
+                s += float(np.sqrt(((rest - a[i]) ** 2).sum(1)).sum())
+                n += len(rest)
+        return pd.DataFrame({"s": [s], "n": [n]})
+
+    return sent.groupBy("_i", "_j").applyInPandas(total, "s double, n bigint").agg((F.sum("s") / F.sum("n")).alias("mean_distance"))

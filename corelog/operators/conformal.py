@@ -43,7 +43,7 @@ def order_statistic(df: DataFrame, by: list[str], score: str, alpha: float, name
         return _global_order_statistic(counts, score, alpha, name)
     w = Window.partitionBy(*by)
     run = F.sum("_c").over(w.orderBy(score).rowsBetween(Window.unboundedPreceding, 0))
-    k = F.greatest(F.lit(1), F.least(F.col("n"), F.ceil((F.col("n") + 1) * alpha - 1e-9)))
+    k = F.greatest(F.lit(1), F.least(F.col("n"), F.ceil((F.col("n") + 1) * alpha)))
     ranked = counts.withColumns({"n": F.sum("_c").over(w), "_r": run})
     return ranked.where(F.col("_r") >= k).groupBy(*by, "n").agg(F.min(score).alias(name))
 
@@ -55,7 +55,7 @@ def _global_order_statistic(counts: DataFrame, score: str, alpha: float, name: s
     spark = counts.sparkSession
     if not n:
         return spark.createDataFrame([], f"n bigint, {name} double")
-    k, below = max(1, min(n, math.ceil((n + 1) * alpha - 1e-9))), 0
+    k, below = max(1, min(n, math.ceil((n + 1) * alpha))), 0
     while True:
         inside = counts.where(F.col(score).between(lo, hi))
         width = (hi - lo) / 1000

@@ -1 +1,94 @@
-"""Queries."""
+"""Queries over folds and splits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corelog.functions import mesh
+from corelog.operators import folds as P
+from corelog.queries.inputs import POINTS, PREDICTIONS, points, predictions
+from corelog.registry import query, table
+
+_BOXES = [("north", 36.0, 40.0, 130.0, 140.0), ("mid", 33.0, 37.0, 131.0, 138.0), ("south", 30.0, 34.0, 130.0, 136.0)]
+_T = "b AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', {s}e0, {t}e0, {w}e0, {e}e0)" for i, (n, s, t, w, e) in enumerate(_BOXES)) + ") AS t(o, name, s, n, w, e))"
+
+
+@query(f"WITH {POINTS}, {_T} SELECT id, name AS fold FROM points JOIN b ON lat BETWEEN s AND n AND lon BETWEEN w AND e")
+def region_folds(s, d):
+    """Overlapping closed boxes."""
+    return P.region_folds(points(s, d), "lat", "lon", _BOXES).select("id", "fold")
+
+
+@query(f"""WITH {POINTS}, {_T} SELECT DISTINCT id, CASE WHEN name = 'south' THEN 'lower' ELSE 'upper' END AS fold FROM points JOIN b ON lat BETWEEN s AND n AND lon BETWEEN w AND e""")
+def block_folds(s, d):
+    """Unions of boxes."""
+    return P.block_folds(points(s, d), "lat", "lon", _BOXES, {"upper": ["north", "mid"], "lower": ["south"]}).select("id", "fold")
+
+
+@query(f"""WITH {POINTS}, {_T} SELECT id, (SELECT arg_min(name, o) FROM b WHERE lat BETWEEN s AND n AND lon BETWEEN w AND e) AS first_box,
+(SELECT arg_max(name, o) FROM b WHERE lat >= s AND lat < n AND lon >= w AND lon < e) AS last_box FROM points""")
+def region_labels(s, d):
+    """The first closed and the last half-open box."""
+    lat, lon = F.col("lat"), F.col("lon")
+    return points(s, d).select("id", P.first_region(lat, lon, _BOXES).alias("first_box"), P.last_region(lat, lon, _BOXES).alias("last_box"))
+
+
+@query(None)
+def greedy_mesh_folds(s, d):
+    """P5, P9, L5's folds: whole meshes to the least loaded of five folds (iterative; tested by a plain loop)."""
+    p = points(s, d).withColumn("cell", mesh.mesh_code(F.col("lat"), F.col("lon"), 1))
+    return P.greedy_folds(p, "cell", 5, 29).select("id", "cell", "fold")
+
+
+_CELL = "c AS (SELECT *, lpad(CAST(CAST(floor(lat / (2e0 / 3)) AS INT) AS VARCHAR), 2, '0') || lpad(CAST(CAST(floor(lon) - 100 AS INT) AS VARCHAR), 2, '0') AS cell FROM points)"
+
+
+@query(f"""WITH {POINTS}, {_CELL}, k0 AS (SELECT cell, avg(lon) AS x, avg(lat) AS y, count(*) AS n FROM c GROUP BY cell), k AS (SELECT cell, n, CASE WHEN max(x) OVER () - min(x) OVER () >= max(y) OVER () - min(y) OVER () THEN x ELSE y END AS x FROM k0), f AS (SELECT cell, CAST(floor(4 * (sum(n) OVER (ORDER BY x, cell) - n) / sum(n) OVER ()) AS INT) AS fold FROM k)
+SELECT id, fold FROM c JOIN f USING (cell)""")
+def contiguous_folds(s, d):
+    """Four strips of neighbouring meshes."""
+    p = points(s, d).withColumn("cell", mesh.mesh_code(F.col("lat"), F.col("lon"), 1))
+    return P.contiguous_folds(p, "cell", "lat", "lon", 4).select("id", "fold")
+
+
+@query(f"""WITH {POINTS}, {_CELL}, k AS (SELECT cell, count(*) AS n FROM c GROUP BY cell), r AS (SELECT cell, sum(n) OVER (ORDER BY md5('31|' || cell), cell) - n < 0.3e0 * sum(n) OVER () AS cal FROM k)
+SELECT id, cal FROM c JOIN r USING (cell)""")
+def disjoint_calibration(s, d):
+    """Whole meshes until they hold 30 % of the rows."""
+    p = points(s, d).withColumn("cell", mesh.mesh_code(F.col("lat"), F.col("lon"), 1))
+    return P.disjoint_split(p, "cell", 0.3, 31).select("id", "cal")
+
+
+@query("SELECT c_custkey, c_mktsegment IN ('BUILDING', 'MACHINERY') AS test FROM customer")
+def category_holdout(s, d):
+    """P10."""
+    return P.category_holdout(table(s, d, "customer"), "c_mktsegment", ["BUILDING", "MACHINERY"]).select("c_custkey", "test")
+
+
+@query("""SELECT p_partkey, CASE WHEN y <= 1979 THEN '<=1979' WHEN y >= 2020 THEN '>=2020' ELSE CAST(CAST(floor(y / 10) * 10 AS INT) AS VARCHAR) || 's' END AS decade FROM (SELECT p_partkey, 1965 + p_partkey % 63 AS y FROM part)""")
+def year_bins(s, d):
+    """P12."""
+    return table(s, d, "part").select("p_partkey", P.year_bin(1965 + F.col("p_partkey") % 63).alias("decade"))
+
+
+@query(f"""WITH {PREDICTIONS}, g AS (SELECT unit % 200 AS fold, count(*) AS n_test FROM predictions GROUP BY 1) SELECT * FROM (SELECT *, CAST(sum(n_test) OVER () - n_test AS BIGINT) AS n_train FROM g) WHERE n_test >= 60 AND n_train >= 100""")
+def guarded_folds(s, d):
+    """P14, P11."""
+    return P.guarded_folds(predictions(s, d).withColumn("fold", F.col("unit") % 200), "fold", 60)
+
+
+@query(f"""WITH {PREDICTIONS}, s AS (SELECT *, regime IN ('1-URGENT', '2-HIGH') AS src FROM predictions), t AS (SELECT unit, row_number() OVER (ORDER BY md5('37|' || unit), unit) AS r FROM (SELECT DISTINCT unit FROM s WHERE NOT src)),
+h AS (SELECT *, r > ceil(max(r) OVER () * (1 - 0.3e0)) AS test FROM t), x AS (SELECT s.row_id, b.budget, CASE WHEN src THEN 'train' WHEN test THEN 'test' WHEN r <= budget THEN 'train' END AS part FROM s LEFT JOIN h USING (unit), (VALUES (0), (50), (200)) AS b(budget))
+SELECT budget, part, count(*) AS n, CAST(sum(row_id) AS BIGINT) AS ids FROM x WHERE part IS NOT NULL GROUP BY budget, part""")
+def few_shot_budgets(s, d):
+    """Source rows and n target units, one common holdout, summed by budget."""
+    f = P.few_shot(predictions(s, d), "unit", F.col("regime").isin("1-URGENT", "2-HIGH"), [0, 50, 200], 0.3, 37)
+    return f.groupBy("budget", "part").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
+
+
+@query("SELECT i, j, i * (1e0 / 12) AS south, j * 0.125e0 AS west FROM range(362, 384) a(i), range(1048, 1064) b(j)")
+def box_lattice(s, d):
+    """Cells that meet a box, aligned to the mesh."""
+    rows, cols = P.lattice(30.2, 31.95, 131.0, 132.9, 1 / 12, 0.125)
+    i, j = s.range(rows.start, rows.stop).toDF("i"), s.range(cols.start, cols.stop).toDF("j")
+    return i.crossJoin(F.broadcast(j)).select("i", "j", (F.col("i") * (1 / 12)).alias("south"), (F.col("j") * 0.125).alias("west"))

@@ -1 +1,91 @@
-"""Queries."""
+"""Queries over effects, p-values, learners, embeddings' geometry and gates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corelog.functions import gates
+from corelog.operators import inference as I
+from corelog.queries.inputs import POINTS, PREDICTIONS, points, predictions
+from corelog.registry import query, table
+
+_ARMS = "a AS (SELECT regime, unit, (y - mu) * (y - mu) AS text, (y - 150) * (y - 150) AS null0 FROM predictions)"
+
+
+def _arms(s, d):
+    return predictions(s, d).selectExpr("regime", "unit", "(y - mu) * (y - mu) AS text", "(y - 150) * (y - 150) AS null0")
+
+
+@query(f"""WITH {PREDICTIONS}, {_ARMS} SELECT regime, count(*) AS n, round(100 * (sqrt(avg(text)) - sqrt(avg(null0))) / sqrt(avg(null0)), 6) AS effect FROM a GROUP BY regime""")
+def content_effects(s, d):
+    """The effect on RMSE of one arm against another, by regime."""
+    g = _arms(s, d).groupBy("regime")
+    return g.agg(F.count("*").alias("n"), F.round(I.effect(F.sqrt(F.avg("text")), F.sqrt(F.avg("null0"))), 6).alias("effect"))
+
+
+@query(None)
+def bootstrap_interval(s, d):
+    """Pooled effect with a bootstrap interval of whole units (seeded; tested against a plain loop)."""
+    losses = I.group_losses(_arms(s, d), ["unit"], ["text", "null0"])
+    return s.createDataFrame([tuple(round(x, 6) for x in I.bca_interval(losses, "text", "null0"))], "effect double, low double, high double")
+
+
+_P = "p AS (SELECT user_id % 8 AS region, (1 + event_id % 97) / 1e2 AS p, value AS null_effect FROM events)"
+
+
+@query(f"""WITH {_P} SELECT region, round(0.5 - atan(avg(tan((0.5e0 - p) * pi()))) / pi(), 6) AS cauchy, least(1, round(count(p) * min(p), 6)) AS bonferroni,
+round((1 + sum(CASE WHEN null_effect <= 20 THEN 1 ELSE 0 END)) / (1 + count(null_effect)), 9) AS permutation FROM {'p'} GROUP BY region""")
+def combined_p(s, d):
+    """P-values combined by region."""
+    p = table(s, d, "events").selectExpr("user_id % 8 AS region", "(1 + event_id % 97) / 1e2 AS p", "value AS null_effect", "20e0 AS seen")
+    return p.groupBy("region").agg(F.round(I.cauchy("p"), 6).alias("cauchy"), F.round(I.bonferroni_min("p"), 6).alias("bonferroni"), F.round(I.permutation_p("seen", "null_effect"), 9).alias("permutation"))
+
+
+@query(f"""WITH {PREDICTIONS}, f AS (SELECT regime, y, mu AS x FROM predictions), k AS (SELECT DISTINCT regime AS held FROM f),
+m AS (SELECT held, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(y) AS c FROM k, f WHERE regime <> held GROUP BY held)
+SELECT regime, arm, count(*) AS n, round(sqrt(avg(CASE arm WHEN 'base' THEN (y - c) * (y - c) ELSE (y - a - b * x) * (y - a - b * x) END)), 4) AS rmse
+FROM f JOIN m ON regime = held, (VALUES ('base'), ('text')) AS t(arm) GROUP BY regime, arm""")
+def transfer_harness(s, d):
+    """Leave-one-regime-out least squares over a ladder of features."""
+    e = I.transfer_errors(predictions(s, d), "regime", {"base": [], "text": ["mu"]}, "y")
+    return e.withColumn("rmse", F.round("rmse", 4))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS norm FROM embeddings")
+def embedding_norms(s, d):
+    """M10."""
+    return table(s, d, "embeddings").select("vec_id", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), 6).alias("norm"))
+
+
+@query(None)
+def embedding_axes(s, d):
+    """Eight principal components of each vector, fitted on even ids as the training fold (tested against numpy)."""
+    e = table(s, d, "embeddings")
+    mean, axes = I.principal_axes(e.where("vec_id % 2 = 0"), "embedding", 8)
+    return e.select("vec_id", F.transform(I.project("embedding", mean, axes), lambda x: F.round(x, 4)).alias("parts"))
+
+
+@query(None)
+def propensity(s, d):
+    """Inverse-propensity weights by logistic regression (tested by their properties)."""
+    o = table(s, d, "orders").selectExpr("o_orderkey", "o_orderstatus = 'F' AS flag", "o_totalprice / 1e5 AS price", "CAST(o_custkey % 10 AS DOUBLE) AS c")
+    return I.propensity_weights(o, "flag", ["price", "c"]).select("o_orderkey", F.round("weight", 4).alias("weight"))
+
+
+@query(f"""WITH {POINTS} SELECT id, round(1 / (1 + exp(-greatest(-30, least(30, (v - 4000) / 800)))), 9) AS gate, round(exp(-0.5e0 * pow((lat - 35) / 2, 2)), 9) AS bell,
+round(exp(ln(1 + greatest(v, 0))) - 1, 4) AS back, round(sin(lat * 0.25e0), 9) AS s0, round(cos(lat * 0.25e0), 9) AS c0, round(sin(lat * 0.5e0), 9) AS s1, round(cos(lat * 0.5e0), 9) AS c1 FROM points""")
+def gate_values(s, d):
+    """M5, M6, M7: sigmoid and Gaussian gates, the target transform there and back, Fourier features."""
+    f = gates.fourier(F.col("lat"), 2, -2)
+    back = gates.from_log(gates.to_log(F.col("v")))
+    return points(s, d).select("id", F.round(gates.sigmoid(F.col("v"), 4000.0, 800.0), 9).alias("gate"), F.round(gates.bell(F.col("lat"), 35.0, 2.0), 9).alias("bell"), F.round(back, 4).alias("back"), *[F.round(x, 9).alias(n) for x, n in zip(f, ("s0", "c0", "s1", "c1"))])
+
+
+@query(f"""WITH {POINTS}, q AS (SELECT a.id, min(sqrt(pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2))) AS dist FROM points a, points b WHERE a.code <> b.code GROUP BY a.id)
+SELECT id, round(dist, 6) AS dissimilarity FROM q""")
+def dissimilarity_index(s, d):
+    """M9: the distance to the nearest point of another group."""
+    from corelog.operators.spatial import knn
+
+    p = points(s, d).selectExpr("id", "lon AS x", "lat AS y", "code")
+    return knn(p, p, "id", [], 1, 0.2, other="code").select("id", F.round("_d", 6).alias("dissimilarity"))

@@ -1 +1,51 @@
-"""Queries."""
+"""Queries over scans, header fields, keys and manifests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corelog.functions import text as T
+from corelog.registry import query, table
+from corelog.sources import tables as S
+
+
+@query("SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_discount > 0.05")
+def projected_scan(s, d):
+    """A scan of the needed columns with pushed filters."""
+    return S.read(s, f"{d}/lineitem.parquet").where("l_shipdate >= TIMESTAMP_NTZ'1995-01-01 00:00:00' AND l_discount > 0.05").select("l_orderkey", "l_quantity")
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^https?://([^/]+)', 1) AS host,
+list_aggregate(string_split(replace(url, chr(92), '/'), '/'), 'last') AS base FROM pages""")
+def header_fields(s, d):
+    """First matches of header tags, and the base name as a key."""
+    return table(s, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), T.base_name(F.col("url")).alias("base"))
+
+
+@query("""SELECT l_orderkey, i - 1 AS layer, l.p AS part, l.q AS quantity FROM (SELECT l_orderkey, unnest(ls) AS l, generate_subscripts(ls, 1) AS i
+FROM (SELECT l_orderkey, list({'p': CAST(l_partkey AS VARCHAR), 'q': CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)} ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS ls FROM lineitem GROUP BY l_orderkey))""")
+def xml_layers(s, d):
+    """XML documents of layers parsed into rows, without Python."""
+    li = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))).alias("a"))
+    body = F.transform("a", lambda x: F.format_string("<layer><part>%d</part><quantity>%d</quantity></layer>", x["l_partkey"], x["l_quantity"].cast("bigint")))
+    xml = li.select("l_orderkey", F.concat(F.lit("<doc>"), F.array_join(body, ""), F.lit("</doc>")).alias("xml"))
+    rows = xml.select("l_orderkey", F.posexplode(S.xml_layers(F.col("xml"), "layer", {"part": "part", "quantity": "quantity"})).alias("layer", "l"))
+    return rows.select("l_orderkey", F.col("layer").cast("bigint").alias("layer"), "l.part", "l.quantity")
+
+
+@query("""SELECT doc_id, sha256(coalesce(text, '')) AS sha256, coalesce(strlen(text), 0) AS size FROM documents""")
+def content_manifest(s, d):
+    """Digest and size in bytes of every text."""
+    return table(s, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"))
+
+
+@query("SELECT sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY item_id))[:16] AS key FROM benchmark")
+def content_cache_key(s, d):
+    """One key for a whole (small) table of texts."""
+    return S.content_key(table(s, d, "benchmark"), "item_id", "text")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, printf('%.7f', l_extendedprice / 7) AS price, printf('%.3f', l_discount) AS discount FROM lineitem""")
+def fixed_decimals(s, d):
+    """Columns as text of fixed decimals, as a CSV sink writes them."""
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.format_string("%.7f", F.col("l_extendedprice") / 7).alias("price"), F.format_string("%.3f", "l_discount").alias("discount"))

@@ -1 +1,129 @@
-"""Queries."""
+"""Queries over text functions, on whole texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corelog.functions import text as T
+from corelog.registry import query, table
+
+_MAT, _HARD = ["river", "stone", "Water", "land"], ["hard", "soft", "strong"]
+
+
+def _docs(s, d):
+    return table(s, d, "documents").select("doc_id", "text", "lang", "source")
+
+
+_STRIP = r"""st AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(text, '\b(?:Water|river|stone|land)\b', ' ', 'g'), '\s+', ' ', 'g')) AS a FROM documents),
+st2 AS (SELECT doc_id, text, a, trim(regexp_replace(regexp_replace(a, '(?i)\b(?:strong|hard|soft)\b', ' ', 'g'), '\s+', ' ', 'g')) AS b FROM st)"""
+
+
+@query(f"WITH {_STRIP} SELECT doc_id, md5(a) AS material, md5(b) AS everything FROM st2")
+def strip_vocabulary(s, d):
+    """Material words, then strength words too, removed; shown by digests."""
+    docs = _docs(s, d)
+    return docs.select("doc_id", F.md5(T.strip_modes(F.col("text"), _MAT, _HARD, "lithology_only")).alias("material"), F.md5(T.strip_modes(F.col("text"), _MAT, _HARD, "full")).alias("everything"))
+
+
+@query(f"""WITH {_STRIP} SELECT CAST(sum(length(coalesce(text, '')) - length(coalesce(b, ''))) AS BIGINT) AS chars_removed, CAST(sum(CASE WHEN text <> b THEN 1 ELSE 0 END) AS BIGINT) AS texts_changed,
+CAST(sum(CASE WHEN length(trim(text)) > 0 AND length(trim(b)) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS texts_emptied FROM st2""")
+def strip_statistics(s, d):
+    """What a strip removed, in one aggregation."""
+    docs = _docs(s, d).withColumn("b", T.strip_modes(F.col("text"), _MAT, _HARD, "full"))
+    return docs.agg(*T.removal_stats("text", "b"))
+
+
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(text, '(\\n|[\s　])+', ' ', 'g'))) AS tidy FROM documents""")
+def tidy_text(s, d):
+    """X3's white space, as an expression."""
+    return _docs(s, d).select("doc_id", F.md5(T.tidy(F.col("text"))).alias("tidy"))
+
+
+@query(None)
+def normalised_text(s, d):
+    """X3 with NFKC (no SQL function has it; tested against unicodedata)."""
+    return _docs(s, d).select("doc_id", F.md5(T.tidy(T.nfkc("text"))).alias("normal"))
+
+
+@query(None)
+def placeless_text(s, d):
+    """Place names by suffix go, protected terms stay (tested by examples)."""
+    strip = T.strip_places(["ville", "burg", "ton"], ["Hamilton"])
+    return _docs(s, d).select("doc_id", F.md5(strip("text")).alias("placeless"))
+
+
+@query("""SELECT p_partkey, list_sort(list_distinct(list_filter(flatten(list_transform(range(2, 5), lambda k: list_transform(range(1, greatest(length(p_name) - k + 2, 2)), lambda i: substring(p_name, i, k)))),
+lambda g: length(g) >= 2 AND length(g) <= length(p_name) AND NOT regexp_matches(g, '\\s') AND regexp_matches(g, '[\\p{L}\\p{N}]')))) AS terms FROM part""".replace("\\\\", "\\"))
+def header_term_sets(s, d):
+    """Substrings of two to four characters of each name."""
+    return table(s, d, "part").select("p_partkey", F.array_sort(T.header_terms(F.col("p_name"), 2, 4)).alias("terms"))
+
+
+@query(None)
+def headerless_text(s, d):
+    """Each document loses its source's header terms (greedy; tested by examples)."""
+    docs = _docs(s, d).withColumn("terms", T.header_terms(F.col("source"), 4, 16))
+    return docs.select("doc_id", F.md5(T.strip_header_terms("text", "terms")).alias("rest"))
+
+
+@query("""WITH RECURSIVE t AS (SELECT DISTINCT p_type AS text FROM part), need AS (SELECT ceil(count(*) * 0.15e0) AS k FROM t),
+g AS (SELECT DISTINCT text, substring(text, i, k) AS term FROM t, range(4, 31) kk(k), range(1, 60) ii(i) WHERE i + k - 1 <= length(text)),
+f AS (SELECT term, count(*) AS n FROM g GROUP BY term HAVING count(*) >= (SELECT k FROM need))
+SELECT term, n FROM f WHERE NOT EXISTS (SELECT 1 FROM f h WHERE length(h.term) = length(f.term) + 1 AND contains(h.term, f.term))""")
+def frequent_substrings(s, d):
+    """Maximal substrings that 15 % of the distinct part types share."""
+    return T.frequent_substrings(table(s, d, "part"), "p_partkey", "p_type", share=0.15, least=4, most=30).select("term", "n")
+
+
+@query("""SELECT p_partkey, replace(replace(p_name, split_part(p_type, ' ', 1), ' '), 'part', ' ') AS rest FROM part""")
+def remove_terms(s, d):
+    """An array of terms removed, longest first."""
+    return table(s, d, "part").select("p_partkey", T.remove_terms(F.col("p_name"), F.array(F.lit("part"), F.concat(F.substring_index("p_type", " ", 1)))).alias("rest"))
+
+
+@query("""WITH t AS (SELECT o_orderkey, 'share ' || (o_custkey % 130) || ' % and ' || (o_orderkey % 45) || '%' AS x, greatest(o_custkey % 130, o_orderkey % 45) AS m FROM orders)
+SELECT o_orderkey, CASE WHEN m < 10 THEN 0 WHEN m < 30 THEN 1 WHEN m < 60 THEN 2 ELSE 3 END AS bin FROM t""")
+def percent_bins(s, d):
+    """The greatest percentage of a text, binned."""
+    t = table(s, d, "orders").select("o_orderkey", F.concat(F.lit("share "), F.col("o_custkey") % 130, F.lit(" % and "), F.col("o_orderkey") % 45, F.lit("%")).alias("x"))
+    return t.select("o_orderkey", T.percent_bin(F.col("x")).alias("bin"))
+
+
+@query(r"""SELECT doc_id, CAST(contains(lower(text), 'river') AS INT) AS kw_river, CAST(contains(lower(text), 'stone') AS INT) AS kw_stone, CAST(contains(lower(text), 'email') AS INT) AS kw_email,
+length(text) > 500 AS long_text, coalesce(list_aggregate(regexp_extract_all(text, '([A-Z]{2,})', 1), 'last'), '') AS capital FROM documents""")
+def descriptor_families(s, d):
+    """Keyword, length and class descriptors side by side."""
+    from corelog.functions.encode import keyword_flags
+
+    return _docs(s, d).select("doc_id", *keyword_flags(F.lower("text"), ["river", "stone", "email"]), (F.length("text") > 500).alias("long_text"), T.last_capitalised(F.col("text")).alias("capital"))
+
+
+@query("""WITH t AS (SELECT item_id, ' ' || w || ' ' AS w, count(*) AS c FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM benchmark) GROUP BY item_id, w),
+g AS (SELECT item_id, c, substring(w, i, k) AS term FROM t, range(2, 5) kk(k), range(1, 200) ii(i) WHERE i <= length(w) - k + 1),
+tf AS (SELECT item_id, term, sum(c) AS tf FROM g GROUP BY item_id, term),
+top AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 5 ORDER BY sum(tf) DESC, term LIMIT 400),
+x AS (SELECT item_id, tf.term, tf * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1) AS x FROM tf JOIN top ON tf.term = top.term)
+SELECT item_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 6) AS weight FROM x""".replace("\\\\", "\\"))
+def ngram_tfidf(s, d):
+    """Character n-gram weights of the benchmark texts; the 400 commonest terms are the vocabulary."""
+    return T.tfidf(table(s, d, "benchmark"), "item_id", "text").withColumn("weight", F.round("weight", 6))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_type IS NULL OR trim(p_type) = '' THEN 'UNKNOWN' WHEN contains(p_type, 'STEEL') OR contains(p_type, 'TIN') THEN 'metal' WHEN contains(p_type, 'PROMO') THEN 'offer' ELSE 'OTHER' END AS kind,
+'_strip-' || lower(split_part(p_type, ' ', 1)) AS tag FROM part""")
+def rule_classes(s, d):
+    """The first rule that holds; a tag."""
+    t = F.col("p_type")
+    return table(s, d, "part").select("p_partkey", T.first_rule(t, [("metal", ["STEEL", "TIN"]), ("offer", ["PROMO"])]).alias("kind"), T.cache_tag(F.lower(F.substring_index(t, " ", 1))).alias("tag"))
+
+
+@query("""SELECT o_orderkey, coalesce(nullif(CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END, ''), o_orderpriority) AS label, CASE WHEN year(o_orderdate) BETWEEN 1930 AND 1996 THEN year(o_orderdate) END AS year,
+o_orderkey * 1000 + 0.5e0 AS number, round(35 + (o_orderkey % 60) / 60 + (o_custkey % 60) / 3600, 9) AS degrees, o_orderstatus || '|' || (o_custkey % 4) AS stratum FROM orders""")
+def parsed_fields(s, d):
+    """Fallbacks, years in a window, numbers with commas, degrees, composite labels."""
+    o = table(s, d, "orders")
+    return o.select(
+        "o_orderkey", T.first_filled(F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderstatus")), F.col("o_orderpriority")).alias("label"),
+        T.valid_year(F.col("o_orderdate").cast("string"), high=1996).cast("bigint").alias("year"), T.number(F.concat(F.col("o_orderkey"), F.lit(",000.5"))).alias("number"),
+        F.round(T.degrees(F.lit(35.0), F.col("o_orderkey") % 60, F.col("o_custkey") % 60), 9).alias("degrees"), F.concat_ws("|", "o_orderstatus", F.col("o_custkey") % 4).alias("stratum"),
+    )
