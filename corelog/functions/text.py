@@ -87,29 +87,59 @@ def _kind(ch: str) -> int:
     return m.lastindex if m else 0
 
 
-def delete_terms(text: str, terms: set[str], most: int = 16) -> str:
-    """Greedy longest matches from left to right as spaces; a match may not cut a run of one script in two."""
+def delete_terms(text: str, terms: set[str], most: int = 16, find=None) -> str:
+    """Greedy longest matches from left to right as spaces; a match may not cut a run of one script in two.
+
+    find: term_finder(terms), which jumps to the places where some term begins.
+    """
     out, i, n = [], 0, len(text)
-    while i < n:
-        for k in range(min(most, n - i), 1, -1):
-            j = i + k
-            if text[i:j] in terms and not (i and _kind(text[i - 1]) and _kind(text[i - 1]) == _kind(text[i])) and not (j < n and _kind(text[j - 1]) and _kind(text[j - 1]) == _kind(text[j])):
+    find = find or term_finder(terms)
+    while m := find(text, i):
+        at = m.start()
+        out.append(text[i:at])
+        for k in range(min(most, n - at), 1, -1):
+            j = at + k
+            if text[at:j] in terms and not (at and _same_script(text[at - 1], text[at])) and not (j < n and _same_script(text[j - 1], text[j])):
                 out.append(" ")
                 i = j
                 break
         else:
-            out.append(text[i])
-            i += 1
+            out.append(text[at])
+            i = at + 1
+    out.append(text[i:])
     return " ".join("".join(out).split())
 
 
+def term_finder(terms: set[str]):
+    """Searches for the next place from which some term stands."""
+    if not terms:
+        return lambda text, i: None
+    return re.compile("|".join(map(re.escape, sorted(terms, key=lambda t: (-len(t), t))))).search
+
+
+def _same_script(a: str, b: str) -> bool:
+    return bool(_kind(a)) and _kind(a) == _kind(b)
+
+
 def strip_header_terms(text: Column | str, terms: Column | str) -> Column:
     """delete_terms() of each text with its own array of terms; NULL stays, no terms leave the text as it is."""
     ship(SparkSession.active())
 
     @F.pandas_udf("string")
     def strip(text: pd.Series, terms: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or ts is None or not len(ts) else delete_terms(t, set(ts)) for t, ts in zip(text, terms)], dtype=object)
+        known: dict[tuple, tuple] = {}
+        out = []
+        for t, ts in zip(text, terms):
+            if t is None or ts is None or not len(ts):
+                out.append(t)
+                continue
+            key = tuple(ts)
+            if key not in known:
+                if len(known) > 100:
+                    known.clear()
+                known[key] = (set(key), term_finder(set(key)))
+            out.append(delete_terms(t, known[key][0], find=known[key][1]))
+        return pd.Series(out, dtype=object)
 
     return strip(text, terms)
 

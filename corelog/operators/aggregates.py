@@ -34,15 +34,15 @@ def collision_mix(df: DataFrame, entity: str, keys: list[str], provenance: str)
 def regime_metrics(df: DataFrame, regime: str, y: str, mu: str, sd: str) -> DataFrame:
     """Per regime: n, RMSE, MAE, R2 against the variance of all rows, mean Gaussian log-likelihood, variance of z.
 
-    The variance of all rows joins as one row; NULL or NaN rows are left out first.
+    The variance of all rows joins as one row; NULL or NaN rows are left out first, and those of no spread have no z.
     """
     ok = df.where(F.col(y).isNotNull() & F.col(mu).isNotNull() & F.col(sd).isNotNull() & ~F.isnan(y) & ~F.isnan(mu) & ~F.isnan(sd))
     whole = ok.agg(F.var_pop(y).alias("_var"))
     e = F.col(y) - F.col(mu)
-    z = e / F.col(sd)
-    ll = -0.5 * (F.log(F.lit(6.283185307179586)) + 2 * F.log(F.col(sd)) + z * z)
+    z = e / F.nullif(F.col(sd), F.lit(0.0))
+    ll = -0.5 * (F.log(F.lit(6.283185307179586)) + 2 * F.log(F.nullif(F.col(sd), F.lit(0.0))) + z * z)
     g = ok.groupBy(regime).agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("_mse"), F.avg(ll).alias("log_lik"), F.var_pop(z).alias("z_var"))
-    return g.crossJoin(F.broadcast(whole)).select(regime, "n", "rmse", "mae", (1 - F.col("_mse") / F.col("_var")).alias("r2"), "log_lik", "z_var")
+    return g.crossJoin(F.broadcast(whole)).select(regime, "n", "rmse", "mae", (1 - F.col("_mse") / F.nullif(F.col("_var"), F.lit(0.0))).alias("r2"), "log_lik", "z_var")
 
 
 def smd(df: DataFrame, flag: str, columns: list[str]) -> DataFrame:

@@ -27,7 +27,7 @@ def reliability(df: DataFrame, y: str, mu: str, sd: str, alphas: list[float]) ->
 
 def temperature(y: str, mu: str, sd: str) -> Column:
     """sqrt of the mean squared z."""
-    z = (F.col(y) - F.col(mu)) / F.col(sd)
+    z = (F.col(y) - F.col(mu)) / F.nullif(F.col(sd), F.lit(0.0))
     return F.sqrt(F.avg(z * z))
 
 
@@ -96,7 +96,7 @@ def weighted_quantile(df: DataFrame, by: list[str], value: str, weight: str, alp
     g = df.groupBy(*by, value).agg(F.sum(weight).alias("_w"))
     run = F.sum("_w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     g = g.withColumns({"_t": F.sum("_w").over(w) + atom, "_r": run})
-    hit = F.when(F.col("_r") / F.col("_t") >= alpha - 1e-12, F.col(value))
+    hit = F.when(F.col("_r") / F.nullif(F.col("_t"), F.lit(0.0)) >= alpha - 1e-12, F.col(value))
     none = F.when(F.max("_t") > 0, F.lit(float("inf"))) if atom else F.max(value)
     return g.groupBy(*by).agg(F.coalesce(F.min(hit), none, F.max(value)).alias(name))
 
