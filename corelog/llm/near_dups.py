@@ -461,3 +461,24 @@ def drop_near_dups(df: DataFrame, *, threshold: float = THRESHOLD, text: str = "
     (key,) = fresh(df, "key")
     gone = gone.withColumnRenamed("doc_key", key)
     return df.withColumn(key, row_key(doc, text)).join(small(gone), key, "left_anti").select(*df.columns)
+
+
+#: jaccard_join() over documents in DuckDB, for its default threshold and n-gram length.
+JOIN_SQL = r"""
+WITH cut AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '[\t\n\x0b\x0c\r\x1c-\x20]+'), lambda x: x <> '') AS ws
+    FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)
+), sets AS (
+    SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+           ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END)) AS s
+    FROM cut
+), owned AS (
+    SELECT s, min(doc_id) AS id, list(doc_id) AS ids FROM sets WHERE len(s) > 0 GROUP BY s
+), tokens AS (
+    SELECT id, len(s) AS n, unnest(s) AS token FROM owned
+), met AS (
+    SELECT a.id AS id_a, b.id AS id_b, count(*) AS c, max(a.n) + max(b.n) - count(*) AS u
+    FROM tokens a JOIN tokens b ON a.token = b.token AND a.id < b.id AND 2 * a.n >= b.n AND 2 * b.n >= a.n GROUP BY a.id, b.id
+)
+SELECT id_a, id_b, c / u AS jaccard FROM met WHERE 2 * c >= u
+UNION ALL SELECT id, other, 1e0 FROM (SELECT id, unnest(ids) AS other FROM owned) WHERE other <> id"""

@@ -77,4 +77,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_bpe, op2_quality_rules, op3_neighbours, op4_pii, op5_language_id, op6_jaccard_join, op7_quality_ranker, op8_mixing, op9_line_templates, op10_substrings)
 }
-ORACLES = {"op2_quality_rules": quality_rules.FILTER_SQL}
+ORACLES = {"op2_quality_rules": quality_rules.FILTER_SQL, "op6_jaccard_join": near_dups.JOIN_SQL, "op10_substrings": substrings.FIND_SQL}

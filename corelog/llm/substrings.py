@@ -296,3 +296,22 @@ def drop_repeats(df: DataFrame, *, text: str = "text", doc: str = "doc_id") -> D
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return joined.mapInArrow(run, df.schema)
+
+
+#: find_repeats() over documents in DuckDB, for its default window.
+FIND_SQL = r"""
+WITH cut AS (
+    SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(text, '[\t\n\x0b\x0c\r\x1c-\x20]+'), lambda x: x <> '') AS ws
+    FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)
+), windows AS (
+    SELECT k, doc_id, generate_subscripts(hs, 1) - 1 AS p, unnest(hs) AS h
+    FROM (SELECT k, doc_id, list_transform(range(0, len(ws) - 49), lambda p: md5(array_to_string(ws[p + 1 : p + 50], ' '))) AS hs FROM cut)
+), repeated AS (
+    SELECT w.*, row_number() OVER (PARTITION BY h ORDER BY doc_id NULLS LAST, p) = 1 AS first
+    FROM windows w SEMI JOIN (SELECT h FROM windows GROUP BY h HAVING count(DISTINCT k) > 1) USING (h)
+), parted AS (
+    SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY k, first ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM repeated
+), named AS (
+    SELECT *, sum(new) OVER (PARTITION BY k, first ORDER BY p) AS nth FROM parted
+)
+SELECT doc_id, CAST(min(p) AS INTEGER) AS start_word, CAST(max(p) + 50 AS INTEGER) AS end_word, first FROM named GROUP BY k, doc_id, first, nth"""
