@@ -20,8 +20,8 @@ def folder(spark, tmp_path_factory):
         if i % 8 == 7:
             text = " ".join("".join(r.choice("#@!$%XYZ019") for _ in range(12)) for _ in range(40))
         elif i % 8 == 5 and i > 40:
-            t = rows[i - 40][1].split()
-            t[len(t) // 2] = "changed"
+            t = rows[i - 40][1].split(" ")
+            t[i // 8] = "changed"
             text = " ".join(t)
         else:
             text = " ".join(r.choice(words) for _ in range(r.randrange(30, 90))) + f"\nshared footer line number {i} of this site\n" + " ".join(r.choice(words) for _ in range(12))
@@ -29,7 +29,7 @@ def folder(spark, tmp_path_factory):
     rows += [(900, None, "en", "a", None), (901, "", "en", "b", 0)]
     d = tmp_path_factory.mktemp("sf")
     spark.createDataFrame(rows, DOCS).repartition(2).write.parquet(f"{d}/documents.parquet")
-    spark.createDataFrame([(r[0], int(r[0] % 8 != 7), 0) for r in rows[:80]], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(r[0], int(r[0] % 8 != 7), 0) for r in rows if r[0] // 8 % 2 == 0 or 150 < r[0] < 160], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     return str(d), rows
 
 
