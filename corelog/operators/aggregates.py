@@ -114,12 +114,25 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return average_rank(average_rank(df, x, "_rx"), y, "_ry").agg(F.corr("_rx", "_ry").alias("rho"))
 
 
-def average_rank(df: DataFrame, c: str, name: str, by: list[str] | None = None) -> DataFrame:
-    """df with the 1-based rank of c, the mean of places where values tie; counted by distinct values, not in one window of all rows."""
-    by = by or []
-    counts = df.groupBy(*by, c).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*by).orderBy(c)) - F.col("_n")
-    return df.join(counts.select(*by, c, (before + (F.col("_n") + 1) / 2).alias(name)), [*by, c])
+def average_rank(df: DataFrame, c: str, name: str, bins: int = 512) -> DataFrame:
+    """df with the 1-based rank of c over all rows, the mean of places where values tie. Rows with NULL or NaN there go.
+
+    No window holds all rows: distinct values are counted, cut in about equally full ranges by a quantile sketch (its
+    `bins` edges reach the driver) and ranked inside their range; what stands in lower ranges comes from the ranges' totals.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    ok = df.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    counts = ok.groupBy(c).agg(F.count("*").alias("_n")).withColumn("_x", F.col(c).cast("double"))
+    edges = counts.agg(F.percentile_approx("_x", F.array(*[F.lit((i + 1) / (bins + 1)) for i in range(bins)]))).first()[0] or [0.0]
+    splits = [float("-inf"), *sorted({e for e in edges if abs(e) < float("inf")} or {0.0}), float("inf")]
+    ranged = Bucketizer(splits=splits, inputCol="_x", outputCol="_b").transform(counts)
+    total = ranged.groupBy("_b").agg(F.sum("_n").alias("_t"))
+    before = F.coalesce(F.sum("_t").over(Window.partitionBy().orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = total.select("_b", before.alias("_base"))
+    inside = F.sum("_n").over(Window.partitionBy("_b").orderBy("_x")) - F.col("_n")
+    ranks = ranged.withColumn("_in", inside).join(F.broadcast(base), "_b").select(c, (F.col("_base") + F.col("_in") + (F.col("_n") + 1) / 2).alias(name))
+    return ok.join(ranks, c)
 
 
 def group_calibration(df: DataFrame, regime: str, y: str, mu: str, sd: str, least: int = 30, low: float = 0.5, high: float = 2.0) -> DataFrame:

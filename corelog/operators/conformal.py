@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from corelog.operators.common import bounded
 
 
+#: Groups of more rows are bracketed by a sketch of this accuracy before they are ranked.
+LARGE_GROUP = 1_000_000
+SKETCH = 100_000
+
+
 def coverage(y: str, mu: str, sd: str, alpha: float) -> Column:
     """Share of y inside mu +- z sd of a normal distribution's central interval."""
     z = NormalDist().inv_cdf(0.5 + alpha / 2)
@@ -34,18 +39,29 @@ def temperature(y: str, mu: str, sd: str) -> Column:
 def order_statistic(df: DataFrame, by: list[str], score: str, alpha: float, name: str = "q") -> DataFrame:
     """(by, n, name): the k-th least score of each group, k = ceil((n + 1) alpha) held in [1, n]; exact.
 
-    By counts of distinct scores (combined before the shuffle) and running sums, not a sort of all rows; without
-    groups the running sum is taken in ranges of scores, so that no task sees all of them.
+    Groups of more than LARGE_GROUP rows are not ranked whole: a quantile sketch, whose error is at most 1 / SKETCH of the
+    rows, brackets the place; all scores below the bracket are one count, those inside are ranked. Distinct scores are
+    counted before each shuffle. NULL keys are a group. Without groups see _global_order_statistic.
     """
     d = df.where(F.col(score).isNotNull() & ~F.isnan(score))
-    counts = d.groupBy(*by, score).agg(F.count("*").alias("_c"))
     if not by:
-        return _global_order_statistic(counts, score, alpha, name)
-    w = Window.partitionBy(*by)
-    run = F.sum("_c").over(w.orderBy(score).rowsBetween(Window.unboundedPreceding, 0))
+        return _global_order_statistic(d.groupBy(score).agg(F.count("*").alias("_c")), score, alpha, name)
+    eps = 3 / SKETCH
+    ends = F.percentile_approx(score, F.array(F.lit(max(0.0, alpha - eps)), F.lit(min(1.0, alpha + eps))), F.lit(SKETCH))
+    g = d.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.count("*").alias("n"), ends.alias("_e"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    large = F.col("n") > LARGE_GROUP
+    side = F.when(large & (F.col(score) < F.col("_e")[0]), -1).when(large & (F.col(score) > F.col("_e")[1]), 1).otherwise(0)
+    placed = d.select(*by, score).join(bounded(g), same).select(*by, "n", side.alias("_side"), F.when(side == 0, F.col(score)).alias("_v"))
+    counts = placed.groupBy(*by, "n", "_side", "_v").agg(F.count("*").alias("_c"))
+    run = F.sum("_c").over(Window.partitionBy(*by).orderBy("_side", "_v").rowsBetween(Window.unboundedPreceding, 0))
     k = F.greatest(F.lit(1), F.least(F.col("n"), F.ceil((F.col("n") + 1) * alpha)))
-    ranked = counts.withColumns({"n": F.sum("_c").over(w), "_r": run})
-    return ranked.where(F.col("_r") >= k).groupBy(*by, "n").agg(F.min(score).alias(name))
+    first = F.min(F.struct("_side", "_v")).alias("_first")
+    hit = counts.withColumn("_r", run).where(F.col("_r") >= k).groupBy(*by, "n").agg(first)
+    value = F.when(F.col("_first._side") == 0, F.col("_first._v")).otherwise(F.raise_error(F.lit("sketch beyond its error")).cast("double"))
+    return hit.select(*by, "n", value.alias(name))
 
 
 def _global_order_statistic(counts: DataFrame, score: str, alpha: float, name: str) -> DataFrame:

@@ -56,7 +56,6 @@ def block_permutation(df: DataFrame, row: str, group: str, depth: str, stratum:
     is alone there joins the stratum's rest, where each rank shifts among the groups long enough; a rank alone keeps its
     own row. A group's stratum is that of its first row by depth.
     """
-    by = Window.partitionBy(group)
     d = df.select(F.col(row).alias("_row"), F.col(group).alias("_g"), F.col(depth).alias("_d"), (F.col(stratum) if stratum else F.lit("")).alias("_s"))
     by = Window.partitionBy("_g")
     d = d.select("_row", "_g", F.row_number().over(by.orderBy("_d", "_row")).alias("_k"), F.count("*").over(by).alias("_len"), F.first("_s").over(by.orderBy("_d", "_row")).alias("_s"))

@@ -80,6 +80,18 @@ def test_order_statistic_is_exact(spark, alpha):
         assert row.q == part[max(1, min(len(part), math.ceil((len(part) + 1) * alpha))) - 1]
 
 
+def test_large_groups_are_bracketed_exactly(spark, monkeypatch):
+    monkeypatch.setattr(conformal, "LARGE_GROUP", 100)
+    monkeypatch.setattr(conformal, "SKETCH", 50)
+    r = random.Random(8)
+    x = [(g, r.choice([r.lognormvariate(0, 3), 2.0])) for g in ("a", None) for _ in range(1500)] + [("small", 1.0), ("small", 2.0)]
+    for alpha in (0.1, 0.8, 0.99):
+        got = {row.g: row.q for row in conformal.order_statistic(spark.createDataFrame(x, "g string, s double"), ["g"], "s", alpha).collect()}
+        for g in ("a", None, "small"):
+            part = sorted(v for h, v in x if h == g)
+            assert got[g] == part[max(1, min(len(part), math.ceil((len(part) + 1) * alpha))) - 1]
+
+
 def test_order_statistic_of_nothing(spark):
     assert conformal.order_statistic(spark.createDataFrame([], "s double"), [], "s", 0.5).count() == 0
 
