@@ -23,13 +23,18 @@ MIN_TOKENS = 4
 #: What stands for a variable field.
 FIELD = "<*>"
 
-_LINES = "leaf long, doc_key long, id_rank string, pos int, tokens array<string>"
 _FOUND = "doc_key long, pos int"
 
 
-def _tokens(line: Column) -> Column:
-    """A line's tokens; one with a digit in it is a variable field."""
-    return F.split(F.trim(F.regexp_replace(F.regexp_replace(line, "[^ \\t\\r]*[0-9][^ \\t\\r]*", FIELD), "[ \\t\\r]+", " ")), " ")
+def _lines(text: Column) -> Column:
+    """Array of (line, tokens) of a text's lines: white space as one space, a token with a digit in it is a variable field.
+
+    The whole text is masked at once. A match begins where a token does and never steps back, so that long tokens take
+    linear time.
+    """
+    masked = F.regexp_replace(text, "(?<![^ \\t\\r\\n])[^ \\t\\r\\n0-9]*+[0-9][^ \\t\\r\\n]*+", FIELD)
+    trimmed = F.transform(F.split(F.regexp_replace(masked, "[ \\t\\r]+", " "), "\n"), F.trim)
+    return F.transform(trimmed, lambda x: F.struct(x.alias("line"), F.split(x, " ").alias("tokens")))
 
 
 def parse_leaf(lines: list[list[str]], similarity: float = SIMILARITY) -> list[int]:
@@ -77,10 +82,10 @@ def parse_leaf(lines: list[list[str]], similarity: float = SIMILARITY) -> list[i
 def _recurring(min_docs: int, similarity: float):
     """Lines sorted by leaf: those whose template stands in min_docs documents, but for the first document's."""
 
-    def leaf(keys: np.ndarray, ranks: list[str], pos: np.ndarray, tokens) -> tuple[np.ndarray, np.ndarray]:
+    def leaf(keys: np.ndarray, ranks: np.ndarray, pos: np.ndarray, lines: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         if len(np.unique(keys)) < min_docs:
             return keys[:0], pos[:0]
-        template = np.array(parse_leaf(tokens.to_pylist(), similarity))
+        template = np.array(parse_leaf([x.split(" ") for x in lines.to_pylist()], similarity))
         gone = np.zeros(len(keys), bool)
         for t in np.unique(template):
             rows = np.flatnonzero(template == t)
@@ -96,10 +101,10 @@ def _recurring(min_docs: int, similarity: float):
             leaves = np.asarray(table["leaf"])
             heads = np.flatnonzero(np.concatenate([[True], leaves[1:] != leaves[:-1]]))
             sizes = np.diff(np.append(heads, len(leaves)))
-            keys, pos = np.asarray(table["doc_key"]), np.asarray(table["pos"])
+            keys, ranks, pos = np.asarray(table["doc_key"]), np.asarray(table["id_rank"]), np.asarray(table["pos"])
             found = [(keys[:0], pos[:0])]
             for h, s in zip(heads[sizes >= min_docs].tolist(), sizes[sizes >= min_docs].tolist(), strict=True):
-                found.append(leaf(keys[h : h + s], table["id_rank"].slice(h, s).to_pylist(), pos[h : h + s], table["tokens"].slice(h, s)))
+                found.append(leaf(keys[h : h + s], ranks[h : h + s], pos[h : h + s], table["line"].slice(h, s)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["doc_key", "pos"])
 
         for batch in batches:
@@ -122,15 +127,16 @@ def _recurring(min_docs: int, similarity: float):
 def recurring_lines(df: DataFrame, *, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """(doc_key, pos): the lines (by number, from 0) that drop_lines takes out.
 
-    The tree's path is the token count and the first DEPTH tokens, variable fields masked. Only lines of leaves that
-    min_docs lines or more reach travel with their tokens: a first pass counts lines by the hash of their path.
+    The tree's path is the token count and the first DEPTH tokens, variable fields masked; lines go to the leaf that
+    their path's hash names, in one shuffle.
     """
     ship(df.sparkSession)
-    rank = F.when(F.col(doc).isNull(), F.lit("~")).otherwise(F.lpad(F.col(doc).cast("string"), 20, "0"))
-    lines = df.where(F.col(text).isNotNull()).select(row_key(doc, text).alias("doc_key"), rank.alias("id_rank"), F.posexplode_outer(F.split(F.col(text), "\n")).alias("pos", "line"))
-    cut = lines.withColumn("tokens", _tokens(F.col("line"))).where(F.size("tokens") >= MIN_TOKENS)
-    path = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))
-    cut = cut.select(path.alias("leaf"), "doc_key", "id_rank", "pos", "tokens")
+    rank = F.coalesce(F.col(doc).cast("long"), F.lit(2**63 - 1))
+    # What a generator returns isn't computed again by the filter and the hash above it.
+    lines = df.where(F.col(text).isNotNull()).select(row_key(doc, text).alias("doc_key"), rank.alias("id_rank"), F.posexplode(_lines(F.col(text))).alias("pos", "l"))
+    cut = lines.where(F.size("l.tokens") >= MIN_TOKENS)
+    path = F.xxhash64(F.size("l.tokens"), F.slice("l.tokens", 1, DEPTH))
+    cut = cut.select(path.alias("leaf"), "doc_key", "id_rank", "pos", "l.line")
     sorted_by_leaf = cut.repartition("leaf").sortWithinPartitions("leaf")
     return sorted_by_leaf.mapInArrow(_recurring(min_docs, similarity), _FOUND)
 
