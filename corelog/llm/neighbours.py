@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corelog.llm.common import written
+from corelog.llm.common import small, written
 from corelog.plans.ship import ship
 
 #: Neighbours of each vector.
@@ -307,11 +307,8 @@ def nearest_neighbours(df: DataFrame, *, k: int = K, key: str = "vec_id", embedd
         return spark.createDataFrame([], result)
     index, coded = build(rows, n, d, k)
     shared = spark.sparkContext.broadcast(index)
-    groups = -(-n // GROUP_QUERIES)
     where = spark.createDataFrame([(int(i), int(b), int(s)) for i, (b, s) in enumerate(zip(index.block, index.split, strict=True))], "list int, first long, split long")
     placed = coded.join(where, "list").withColumn("block", F.col("first") + F.pmod(F.xxhash64("id", F.lit(3)), "split"))
-    members = placed.select("id", "v", "list", "codes", "block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: Index = shared.value
         last = at.block + at.split
@@ -322,11 +319,15 @@ def nearest_neighbours(df: DataFrame, *, k: int = K, key: str = "vec_id", embedd
             for i in range(far.shape[1]):
                 hit[:, at.block[i] : last[i]] |= probed[:, i : i + 1]
             row, block = np.nonzero(hit)
-            pick = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(block)], ["id", "v", "block"])
-
-    asked = coded.select("id", "v").mapInArrow(ask, "id long, v array<float>, block long")
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("id", F.lit(4)), F.lit(groups)).cast("int"))
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(far) + 1)), pa.int32()), pa.array(block))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["id", "v", "blocks"])
+
+    probing = written(coded.select("id", "v").mapInArrow(ask, "id long, v array<float>, blocks array<long>"), "probing")
+    asked = probing.select("id", "v", F.explode("blocks").alias("block"))
+    # A block is copied once for each group of its own queries: what travels grows with the probes, not with n^2.
+    parts = small(written(asked.groupBy("block").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("parts")), "parts"))
+    members = placed.join(parts, "block").select("id", "v", "list", "codes", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    asked = asked.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("id", F.lit(4)), "parts").cast("int"))
     met = members.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(_search(shared, d, k), "id long, other long, far double")
     best = met.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "other"))), 1, k).alias("best"))
     out = best.select(F.col("id").alias("vec_id"), F.posexplode("best").alias("i", "b"))
