@@ -67,12 +67,12 @@ def tile_merge(s, d):
 
 
 @query(f"""WITH {GRID}, t AS (SELECT CAST(floor(i / 10) AS INT) AS ti, CAST(floor(j / 10) AS INT) AS tj, min(i) AS min_x, max(i) AS max_x, min(j) AS min_y, max(j) AS max_y FROM grid GROUP BY 1, 2)
-SELECT ti, tj FROM t WHERE min_x <= 29 AND max_x >= 12 AND min_y <= 14 AND max_y >= 5""")
+SELECT ti, tj FROM t WHERE min_x <= 29 AND max_x >= 12 AND min_y <= 14 AND max_y >= 2""")
 def tiles_in_box(s, d):
     """Tiles whose bounds meet a box."""
     g = grid(s, d).groupBy(F.floor(F.col("i") / 10).cast("int").alias("ti"), F.floor(F.col("j") / 10).cast("int").alias("tj"))
     t = g.agg(F.min("i").alias("min_x"), F.max("i").alias("max_x"), F.min("j").alias("min_y"), F.max("j").alias("max_y"))
-    return G.tiles_covering(t, 12, 29, 5, 14).select("ti", "tj")
+    return G.tiles_covering(t, 12, 29, 2, 14).select("ti", "tj")
 
 
 @query(f"WITH {PREDICTIONS}, q AS (SELECT * FROM (VALUES ('1-URGENT', 1.5e0), ('2-HIGH', 1.75e0)) AS t(regime, q)) SELECT row_id, round(sd * coalesce(q, 1.625e0), 6) AS half_width FROM predictions LEFT JOIN q USING (regime)")
