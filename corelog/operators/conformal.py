@@ -6,6 +6,7 @@ import math
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,27 +118,66 @@ def weighted_quantile(df: DataFrame, by: list[str], value: str, weight: str, alp
     return g.groupBy(*by).agg(F.coalesce(F.min(hit), none, F.max(value)).alias(name))
 
 
-def local_quantiles(test: DataFrame, cal: DataFrame, key: str, features: list[str], score: str, alpha: float, width: float) -> DataFrame:
+def local_quantiles(test: DataFrame, cal: DataFrame, key: str, features: list[str], score: str, alpha: float, width: float, block: int = 4096) -> DataFrame:
     """(key, q): the weighted quantile for each test row, with Gaussian kernel weights over all calibration rows.
 
-    Quadratic by definition; the scores go to the test rows in packed blocks and are sorted once a block, in numpy.
+    Every test row weighs every calibration row, so work is quadratic by definition; memory is not. Calibration rows are
+    cut by score into blocks, test rows by hash into chunks. A first pass gives each test row's weight in each block; that
+    names the block in which alpha is reached, which a second pass searches. Where all weights vanish the greatest score
+    counts. Rows with NULL scores or features don't count; without calibration rows q is NULL. Keys are unique.
     """
-    schema = f"{key} {dict(test.dtypes)[key]}, q double"
-    block = cal.select(score, *features).groupBy().agg(F.sort_array(F.collect_list(F.struct(score, *features))).alias("_cal"))
-    h = 2 * width * width
+    from pyspark.ml.feature import Bucketizer
 
-    def solve(frames):
-        for f in frames:
-            for _, part in f.groupby(f["_cal"].map(len)):
-                c = np.array([[x[n] for n in (score, *features)] for x in part["_cal"].iloc[0]], float)
-                t = part[features].to_numpy(float)
-                d2 = sum((t[:, [i]] - c[:, i + 1]) ** 2 for i in range(len(features)))
-                run = np.cumsum(np.exp(-d2 / h), 1)
-                total = run[:, -1:]
-                at = np.minimum((run / np.where(total > 0, total, 1) < alpha).sum(1), len(c) - 1)
-                yield part[[key]].assign(q=np.where(total[:, 0] > 0, c[at, 0], c[-1, 0]))
-
-    return test.select(key, *features).crossJoin(F.broadcast(block)).mapInPandas(solve, schema)
+    names = [f"_c{i}" for i in range(len(features))]
+    c = cal.dropna(subset=[score, *features]).select(F.col(score).cast("double").alias("_s"), *[F.col(f).alias(x) for f, x in zip(features, names)])
+    t = test.dropna(subset=features).select(key, *features)
+    n, worst = c.agg(F.count("*"), F.max("_s")).first()
+    if not n:
+        return t.select(key, F.lit(None).cast("double").alias("q"))
+    m, p = math.ceil(n / block), math.ceil(max(t.count(), 1) / block)
+    ends = c.agg(F.percentile_approx("_s", F.array(*[F.lit(i / m) for i in range(1, m)]))).first()[0] if m > 1 else []
+    splits = [float("-inf"), *sorted(set(ends)), float("inf")]
+    if len(splits) > 2:
+        c = Bucketizer(splits=splits, inputCol="_s", outputCol="_f").transform(c).withColumn("_b", F.col("_f").cast("int")).drop("_f")
+    else:
+        c = c.withColumn("_b", F.lit(0))
+    c = c.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(p - 1))))
+    t = t.withColumn("_p", F.pmod(F.xxhash64(key), F.lit(p)).cast("int"))
+    h = 2 * width * width
+    kind = dict(test.dtypes)[key]
+
+    def running(left: pd.DataFrame, right: pd.DataFrame):
+        right = right.sort_values("_s", kind="stable")
+        y, s = right[names].to_numpy(float), right["_s"].to_numpy(float)
+        for i in range(0, len(left), 256):
+            rows = left.iloc[i : i + 256]
+            x = rows[features].to_numpy(float)
+            yield rows, s, np.cumsum(np.exp(-sum((x[:, [j]] - y[:, j]) ** 2 for j in range(len(features))) / h), 1)
+
+    def weigh(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = [rows[[key, "_b"]].assign(_w=run[:, -1]) for rows, s, run in running(left, right) if len(s)]
+        return pd.concat(parts) if parts else pd.DataFrame({key: [], "_b": [], "_w": []})
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for rows, s, run in running(left, right):
+            share = (rows["_before"].to_numpy()[:, None] + run) / rows["_total"].to_numpy()[:, None]
+            at = np.minimum((share < alpha - 1e-12).sum(1), max(len(s) - 1, 0))
+            parts.append(rows[[key]].assign(q=s[at]))
+        return pd.concat(parts) if parts else pd.DataFrame({key: [], "q": []})
+
+    by = ["_p", "_b"]
+    c = c.withColumnsRenamed({"_p": "_q", "_b": "_k"})
+    asked = t.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(len(splits) - 2))))
+    weights = asked.groupBy(*by).cogroup(c.groupBy("_q", "_k")).applyInPandas(weigh, f"{key} {kind}, _b int, _w double")
+    w = Window.partitionBy(key)
+    run = F.sum("_w").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    placed = weights.withColumns({"_total": F.sum("_w").over(w), "_run": run})
+    enough = F.col("_run") >= (alpha - 1e-12) * F.col("_total")
+    first = placed.where((F.col("_total") > 0) & enough).groupBy(key, "_total").agg(F.min(F.struct("_b", (F.col("_run") - F.col("_w")).alias("_before"))).alias("_x"))
+    wanted = t.join(first.select(key, "_total", "_x.*"), key)
+    found = wanted.groupBy(*by).cogroup(c.groupBy("_q", "_k")).applyInPandas(search, f"{key} {kind}, q double")
+    return t.select(key).join(found, key, "left").select(key, F.coalesce("q", F.lit(float(worst))).alias("q"))
 
 
 def isotonic(cal: DataFrame, z: str, bins: int = 2001) -> tuple[np.ndarray, np.ndarray]:

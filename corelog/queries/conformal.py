@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corelog.operators import aggregates as A
 from corelog.operators import conformal as C
 from corelog.operators.common import hashed
-from corelog.queries.inputs import PREDICTIONS, predictions
+from corelog.queries.inputs import POINTS, PREDICTIONS, points, predictions
 from corelog.registry import query
 
 _SCORED = f"{PREDICTIONS}, s AS (SELECT *, abs(y - mu) / sd AS score, md5('42|' || unit) < '8' AS cal FROM predictions)"
@@ -120,3 +120,13 @@ def z_diagnostics(s, d):
     z = predictions(s, d).withColumn("z", (F.col("y") - F.col("mu")) / F.col("sd"))
     g = z.groupBy("regime").agg(*A.z_diagnostics("z"))
     return g.select("regime", F.round("mean_z2", 6).alias("mean_z2"), F.round("kurtosis", 4).alias("kurtosis"), F.round("median", 6).alias("median"), F.round("q95_abs", 6).alias("q95_abs"))
+
+
+@query(f"""WITH {POINTS}, s AS (SELECT id, lat, lon, abs(v) / 5000 AS score, md5('42|' || id) < '8' AS cal FROM points),
+p AS (SELECT t.id, c.score, exp(-(pow(t.lat - c.lat, 2) + pow(t.lon - c.lon, 2)) / 0.5e0) AS w FROM s t, s c WHERE NOT t.cal AND c.cal),
+r AS (SELECT id, score, sum(w) OVER (PARTITION BY id ORDER BY score) AS run, sum(w) OVER (PARTITION BY id) AS total FROM p)
+SELECT id, round(coalesce(min(score) FILTER (WHERE run / total >= 0.8e0 - 1e-12), max(score)), 6) AS q FROM r GROUP BY id""")
+def local_quantiles(s, d):
+    """The weighted quantile around each test point, with kernel weights over all calibration points."""
+    p = points(s, d).withColumns({"score": F.abs("v") / 5000, "cal": hashed(42, "id") < "8"})
+    return C.local_quantiles(p.where("NOT cal"), p.where("cal"), "id", ["lat", "lon"], "score", 0.8, 0.5).withColumn("q", F.round("q", 6))

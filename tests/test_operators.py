@@ -104,12 +104,14 @@ def test_weighted_quantile_with_infinite_atom(spark):
     assert q == {"a": 1.0, "b": 5.0}
 
 
-def test_local_quantiles_against_a_loop(spark):
+@pytest.mark.parametrize("block", [7, 4096])
+def test_local_quantiles_against_a_loop(spark, block):
     r = random.Random(3)
     cal = [(r.random(), r.random()) for _ in range(60)]
     test = [(i, r.random()) for i in range(20)] + [(99, 1e9)]
-    got = conformal.local_quantiles(spark.createDataFrame(test, "id long, x double"), spark.createDataFrame(cal, "score double, x double"), "id", ["x"], "score", 0.8, 0.1)
-    for row in got.collect():
+    got = conformal.local_quantiles(spark.createDataFrame(test, "id long, x double"), spark.createDataFrame(cal, "score double, x double"), "id", ["x"], "score", 0.8, 0.1, block=block).collect()
+    assert len(got) == len(test)
+    for row in got:
         x = dict(test)[row.id]
         s = sorted(cal)
         w = np.exp(-((np.array([c[1] for c in s]) - x) ** 2) / 0.02)
