@@ -18,8 +18,8 @@ DEPTH = 3
 SIMILARITY = 0.6
 #: A template that stands in so many documents is dropped from all but the first of them.
 MIN_DOCS = 5
-#: Shorter lines are left alone.
-MIN_TOKENS = 4
+#: Every line that isn't empty takes part.
+MIN_TOKENS = 1
 #: What stands for a variable field.
 FIELD = "<*>"
 
@@ -128,13 +128,13 @@ def recurring_lines(df: DataFrame, *, min_docs: int = MIN_DOCS, similarity: floa
     """(doc_key, pos): the lines (by number, from 0) that drop_lines takes out.
 
     The tree's path is the token count and the first DEPTH tokens, variable fields masked; lines go to the leaf that
-    their path's hash names, in one shuffle.
+    their path's hash names, in one shuffle. Lines of fewer tokens have a shorter path; empty lines have none.
     """
     ship(df.sparkSession)
     rank = F.coalesce(F.col(doc).cast("long"), F.lit(2**63 - 1))
     # What a generator returns isn't computed again by the filter and the hash above it.
     lines = df.where(F.col(text).isNotNull()).select(row_key(doc, text).alias("doc_key"), rank.alias("id_rank"), F.posexplode(_lines(F.col(text))).alias("pos", "l"))
-    cut = lines.where(F.size("l.tokens") >= MIN_TOKENS)
+    cut = lines.where((F.col("l.line") != "") & (F.size("l.tokens") >= MIN_TOKENS))
     path = F.xxhash64(F.size("l.tokens"), F.slice("l.tokens", 1, DEPTH))
     cut = cut.select(path.alias("leaf"), "doc_key", "id_rank", "pos", "l.line")
     sorted_by_leaf = cut.repartition("leaf").sortWithinPartitions("leaf")
@@ -146,7 +146,7 @@ def drop_lines(df: DataFrame, *, min_docs: int = MIN_DOCS, similarity: float = S
 
     The first of those documents (least id, NULL last) keeps its lines of the template, so that what documents share is
     still there once; all others lose theirs, and a document that has no line of its own becomes ''. Lines are what "\\n"
-    parts, whole; lines under MIN_TOKENS tokens stay. dropped: if named, a new bigint column, the number of lines
+    parts, whole; empty ones stay. dropped: if named, a new bigint column, the number of lines
     taken out. n_chars: if named, that column is set to the new text's length.
 
     NULL text stays NULL (0 lines dropped). Rows with equal id and text are one document, and lose the same lines. A

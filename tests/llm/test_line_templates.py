@@ -65,6 +65,12 @@ def test_counts_and_lengths(spark):
     assert [r["pos"] for r in got] == [len(r["text"]) for r in got]
 
 
+def test_short_lines_recur_too(spark):
+    rows = [(i, f"{chr(97 + i)} line all my own\nLes.\n\nAll rights reserved.\nPage {i}", "en", 0) for i in range(5)]
+    got = [r["text"] for r in lt.drop_lines(spark.createDataFrame(rows, DOCS)).orderBy("doc_id").collect()]
+    assert got == [rows[0][1]] + [f"{chr(97 + i)} line all my own\n" for i in range(1, 5)]
+
+
 def test_fields_are_generalised_but_other_lines_are_not():
     lines = ["a b c start of job", "a b c start of work", "a b c no such thing", "a b c start of job"]
     assert lt.parse_leaf([x.split() for x in lines]) == [0, 0, 1, 0]
