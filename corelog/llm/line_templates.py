@@ -26,15 +26,25 @@ FIELD = "<*>"
 _FOUND = "doc_key long, pos int"
 
 
+def _spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, "[ \\t\\r]+", " "))
+
+
+def _trimmed(text: Column) -> Column:
+    return F.transform(F.split(F.regexp_replace(text, "[ \\t\\r]+", " "), "\n"), F.trim)
+
+
 def _lines(text: Column) -> Column:
-    """Array of (line, tokens) of a text's lines: white space as one space, a token with a digit in it is a variable field.
+    """Array of (line, tokens, whole) of a text's lines: white space as one space, a token with a digit in it is a variable
+    field. A line of fields alone would equal any other of its width: it stays as it is, and is `whole`.
 
     The whole text is masked at once. A match begins where a token does and never steps back, so that long tokens take
     linear time.
     """
     masked = F.regexp_replace(text, "(?<![^ \\t\\r\\n])[^ \\t\\r\\n0-9]*+[0-9][^ \\t\\r\\n]*+", FIELD)
-    trimmed = F.transform(F.split(F.regexp_replace(masked, "[ \\t\\r]+", " "), "\n"), F.trim)
-    return F.transform(trimmed, lambda x: F.struct(x.alias("line"), F.split(x, " ").alias("tokens")))
+    pair = F.zip_with(_trimmed(masked), F.split(text, "\n"), lambda x, raw: F.struct(x.alias("x"), raw.alias("raw"), x.rlike("^<\\*>(?: <\\*>)*+$").alias("whole")))
+    line = F.transform(pair, lambda p: F.struct(F.when(p["whole"], _spaced(p["raw"])).otherwise(p["x"]).alias("line"), p["whole"].alias("whole")))
+    return F.transform(line, lambda p: F.struct(p["line"].alias("line"), F.split(p["line"], " ").alias("tokens"), p["whole"].alias("whole")))
 
 
 def parse_leaf(lines: list[list[str]], similarity: float = SIMILARITY) -> list[int]:
@@ -128,14 +138,15 @@ def recurring_lines(df: DataFrame, *, min_docs: int = MIN_DOCS, similarity: floa
     """(doc_key, pos): the lines (by number, from 0) that drop_lines takes out.
 
     The tree's path is the token count and the first DEPTH tokens, variable fields masked; lines go to the leaf that
-    their path's hash names, in one shuffle. Lines of fewer tokens have a shorter path; empty lines have none.
+    their path's hash names, in one shuffle. Lines of fewer tokens have a shorter path; empty lines have none. A line of
+    fields alone is a leaf of its own, shared with equal lines only.
     """
     ship(df.sparkSession)
     rank = F.coalesce(F.col(doc).cast("long"), F.lit(2**63 - 1))
     # What a generator returns isn't computed again by the filter and the hash above it.
     lines = df.where(F.col(text).isNotNull()).select(row_key(doc, text).alias("doc_key"), rank.alias("id_rank"), F.posexplode(_lines(F.col(text))).alias("pos", "l"))
     cut = lines.where((F.col("l.line") != "") & (F.size("l.tokens") >= MIN_TOKENS))
-    path = F.xxhash64(F.size("l.tokens"), F.slice("l.tokens", 1, DEPTH))
+    path = F.when(F.col("l.whole"), F.xxhash64(F.lit(0), "l.line")).otherwise(F.xxhash64(F.size("l.tokens"), F.slice("l.tokens", 1, DEPTH)))
     cut = cut.select(path.alias("leaf"), "doc_key", "id_rank", "pos", "l.line")
     sorted_by_leaf = cut.repartition("leaf").sortWithinPartitions("leaf")
     return sorted_by_leaf.mapInArrow(_recurring(min_docs, similarity), _FOUND)

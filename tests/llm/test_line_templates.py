@@ -71,6 +71,12 @@ def test_short_lines_recur_too(spark):
     assert got == [rows[0][1]] + [f"{chr(97 + i)} line all my own\n" for i in range(1, 5)]
 
 
+def test_number_rows_differ_by_their_numbers(spark):
+    rows = [(i, f"{chr(97 + i)} line all my own\n{i} 2{i} 3{i} 4{i}\n1 2 3 {i}\n7{i}\n1\t2  3 4.5", "en", 0) for i in range(5)]
+    got = [r["text"] for r in lt.drop_lines(spark.createDataFrame(rows, DOCS)).orderBy("doc_id").collect()]
+    assert got == [rows[0][1]] + [r[1].rsplit("\n", 1)[0] for r in rows[1:]]
+
+
 def test_fields_are_generalised_but_other_lines_are_not():
     lines = ["a b c start of job", "a b c start of work", "a b c no such thing", "a b c start of job"]
     assert lt.parse_leaf([x.split() for x in lines]) == [0, 0, 1, 0]
