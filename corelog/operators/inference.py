@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+import uuid
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corelog.plans.shared import shared_dir
+
 _N = NormalDist()
 
 
@@ -27,28 +31,63 @@ def pooled_effect(n: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
     return 100 * (math.sqrt(a.sum() / n.sum()) / math.sqrt(b.sum() / n.sum()) - 1)
 
 
+#: Units are resampled in so many hashed parts, each in one task. The draws of all parts together are one draw of all units.
+PARTS = 64
+
+
+def _resampled(units: DataFrame, replicates: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of x and y in each replicate of units (part, x, y), which draws as many units as there are, with replacement.
+
+    The driver draws how many units of each part a replicate takes, the part's task draws which: a multinomial draw
+    of all units, as exact as one in a single place. Two numbers a replicate and part come back.
+    """
+    sizes = dict(sorted((r[0], r[1]) for r in units.groupBy("part").count().collect()))
+    total = sum(sizes.values())
+    takes = np.random.default_rng(seed).multinomial(total, np.array(list(sizes.values())) / total, size=replicates)
+    takes = units.sparkSession.sparkContext.broadcast(dict(zip(sizes, takes.T)))
+
+    def draw(key: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:
+        part = key[0].as_py()
+        rows = rows.sort_by([("x", "ascending"), ("y", "ascending")])
+        x, y, take = np.asarray(rows["x"]), np.asarray(rows["y"]), takes.value[part]
+        rng = np.random.default_rng([seed, part])
+        out, step = np.zeros((2, replicates)), max(1, 1_000_000 // len(x))
+        for i in range(0, replicates, step):
+            some = take[i : i + step]
+            at, owner = rng.integers(0, len(x), some.sum()), np.repeat(np.arange(len(some)), some)
+            for k, v in enumerate((x, y)):
+                out[k, i : i + step] = np.bincount(owner, v[at], len(some))
+        return pa.table({"part": pa.array([part], pa.int64()), "x": pa.array([out[0].tolist()]), "y": pa.array([out[1].tolist()])})
+
+    # A number of partitions that is asked for isn't coalesced: few bytes are much work here.
+    spread = units.repartition(PARTS, "part").groupBy("part")
+    drawn = sorted(spread.applyInArrow(draw, "part long, x array<double>, y array<double>").collect(), key=lambda r: r["part"])
+    return sum(np.array(r["x"]) for r in drawn), sum(np.array(r["y"]) for r in drawn)
+
+
 def bca_interval(losses: DataFrame, a: str, b: str, *, replicates: int = 10_000, level: float = 0.95, seed: int = 42, buckets: int = 4096) -> tuple[float, float, float]:
     """(estimate, low, high): bias-corrected accelerated bootstrap of whole groups, with the leave-one-out jackknife.
 
-    losses: group_losses(). Up to `buckets` groups are resampled one by one on the driver. More of them are first summed
-    in so many hashed buckets of whole groups, which are the resampled units then (a documented approximation: the
-    driver holds a bounded table at any size).
+    losses: group_losses(). All groups are resampled one by one, in executors, whatever their number; the work grows with
+    groups times replicates. The jackknife is two aggregations over the groups. buckets: without effect, for callers
+    that name it.
     """
-    one = losses.select("n", a, b)
-    if losses.count() > buckets:
-        key = [c for c in losses.columns if c not in ("n", a, b)]
-        one = losses.groupBy(F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("k")).agg(F.sum("n").alias("n"), F.sum(a).alias(a), F.sum(b).alias(b)).drop("k")
-    t = np.array(sorted(tuple(r) for r in one.collect()), float)
-    n, x, y = t.T
-    est = pooled_effect(n, x, y)
-    rng = np.random.default_rng(seed)
-    draws = np.empty(replicates)
-    for i in range(0, replicates, 500):
-        w = rng.multinomial(len(t), np.full(len(t), 1 / len(t)), size=min(500, replicates - i))
-        draws[i : i + len(w)] = 100 * (np.sqrt((w @ x) / (w @ y)) - 1)
-    jack = 100 * (np.sqrt((x.sum() - x) / (y.sum() - y)) - 1)
-    dev = jack.mean() - jack
-    acc = (dev**3).sum() / (6 * ((dev**2).sum() ** 1.5) or 1)
+    spark = losses.sparkSession
+    key = [c for c in losses.columns if c not in ("n", a, b)]
+    path = f"{shared_dir(spark)}/units-{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64(*key), F.lit(PARTS)).alias("part")
+    losses.select(part, "n", F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).write.parquet(path)
+    units = spark.read.parquet(path)
+    n, x, y = units.agg(F.sum("n"), F.sum("x"), F.sum("y")).first()
+    est = pooled_effect(*np.array([[n], [x], [y]], float))
+    above, below = _resampled(units.select("part", "x", "y"), replicates, seed)
+    draws = 100 * (np.sqrt(above / below) - 1)
+    # A sum less its only summand may be a little below 0.
+    left = F.greatest(x - F.col("x"), F.lit(0.0)) / F.nullif(y - F.col("y"), F.lit(0.0))
+    jack = units.select((100 * (F.sqrt(left) - 1)).alias("j"))
+    dev = F.lit(jack.agg(F.avg("j")).first()[0]) - F.col("j")
+    squares, cubes = (v or 0.0 for v in jack.agg(F.sum(dev * dev), F.sum(dev * dev * dev)).first())
+    acc = cubes / (6 * squares**1.5 or 1)
     share = min(max((draws < est).mean(), 1 / replicates), 1 - 1 / replicates)
     z0 = _N.inv_cdf(share)
 

@@ -3,6 +3,7 @@
 import math
 import random
 import unicodedata
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -250,6 +251,22 @@ def test_bootstrap_interval_holds_the_estimate(spark):
     assert inference.bca_interval(losses, "a", "b", replicates=500, buckets=16)[0] == pytest.approx(est)
 
 
+def test_bca_interval_resamples_every_unit(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.gamma(0.5, 4.0, (2, 5000))
+    losses = spark.createDataFrame([(i, 2, float(u), float(v)) for i, (u, v) in enumerate(zip(x, y))], "g long, n long, a double, b double")
+    got = inference.bca_interval(losses, "a", "b", replicates=2000)
+    assert inference.bca_interval(losses.repartition(7), "a", "b", replicates=2000, buckets=16) == pytest.approx(got)
+    est = 100 * (math.sqrt(x.sum() / y.sum()) - 1)
+    draws = np.array([100 * (math.sqrt(x[i].sum() / y[i].sum()) - 1) for i in (rng.integers(0, 5000, 5000) for _ in range(2000))])
+    jack = 100 * (np.sqrt((x.sum() - x) / (y.sum() - y)) - 1)
+    dev, normal = jack.mean() - jack, NormalDist()
+    acc, z0 = (dev**3).sum() / (6 * (dev**2).sum() ** 1.5), normal.inv_cdf((draws < est).mean())
+    z = [z0 + normal.inv_cdf(p) for p in (0.025, 0.975)]
+    low, high = (float(np.quantile(draws, normal.cdf(z0 + t / (1 - acc * t)))) for t in z)
+    assert got == pytest.approx((est, low, high), abs=0.1 * (high - low))
+
+
 def test_small_tests_of_significance():
     assert inference.sign_test(8, 8) == 1 / 256 and inference.wilcoxon([-1, -2, -3, -4, -5]) == 1 / 32
     assert inference.stouffer([0.5, 0.5]) == pytest.approx(0.5) and inference.stouffer([0.01] * 4) < 1e-5
