@@ -46,7 +46,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All near-duplicate pairs of documents."""
+    """All near-duplicate pairs of documents, compressed: documents of one token set pair with the least id of it only, and
+    two near sets are one pair, of their least ids. All other pairs follow from these rows."""
     return near_dups.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
