@@ -88,13 +88,13 @@ def gram_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def train(df: DataFrame, *, text: str = "text", lang: str = "lang", per_language: int = MAX_LABELLED) -> Model:
     """A model from df's labelled rows; NULL languages and texts without letters don't take part.
 
-    A bounded sample of per_language texts each; whole texts are turned into n-gram shares by executors, numbers come back.
-    Each bit is a logistic regression of the codewords' bit on the shares' square roots.
+    A bounded sample of per_language different texts each, copies counting once; whole texts are turned into n-gram shares
+    by executors, numbers come back. Each bit is a logistic regression of the codewords' bit on the shares' square roots.
     """
     ship(df.sparkSession)
     rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     ranked = rows.select("text", "lang", F.xxhash64("text", F.lit(5)).alias("h"))
-    top = ranked.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    top = ranked.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()
     names = sorted(r["lang"] for r in top)
     if not names:
         return Model((), np.zeros((0, 1), np.int8), np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
@@ -102,7 +102,7 @@ def train(df: DataFrame, *, text: str = "text", lang: str = "lang", per_language
     # A hash below this share leaves some 3 times as many as are wanted; where that is too few, all take part.
     cut = F.create_map(*[F.lit(x) for s in names for x in (s, min(1.0, (3 * per_language + 100) / sizes[s]))])
     share = (F.col("h") / F.lit(2.0**64)) + 0.5
-    near = ranked.where(share <= cut[F.col("lang")])
+    near = ranked.where(share <= cut[F.col("lang")]).dropDuplicates(["lang", "h"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

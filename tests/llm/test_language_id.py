@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corelog.llm import language_id as li
 
@@ -64,6 +65,15 @@ def test_held_out_accuracy(spark, languages):
     assert np.mean([r["lead"] for r in got[204:]]) < np.mean([r["lead"] for r in clean])
 
 
+def test_copies_count_once(spark):
+    some = rows(300, ["aa", "bb"], 4)
+    df = spark.createDataFrame(some, DOCS)
+    low = [r for s in ("aa", "bb") for r in df.where(df.lang == s).orderBy(F.xxhash64("text", F.lit(5))).limit(1).collect()]
+    copies = spark.createDataFrame([(1000 + i, r.text, r.lang, "x") for r in low for i in range(2000)], DOCS)
+    one, other = li.train(df, per_language=30), li.train(df.unionByName(copies), per_language=30)
+    assert one.languages == other.languages and np.array_equal(one.weight, other.weight) and np.array_equal(one.bias, other.bias)
+
+
 def test_no_labels_and_empty_table(spark):
     df = spark.createDataFrame([(1, "text", None, "x")], DOCS)
     model = li.train(df)
