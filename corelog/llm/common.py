@@ -171,6 +171,35 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(h)
 
 
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's hash() of ints, as unsigned numbers."""
+    with np.errstate(over="ignore"):
+        k = np.asarray(x).astype(np.uint32) * np.uint32(0xCC9E2D51)
+        k = ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
+        h = np.uint32(42) ^ k
+        h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        return h ^ (h >> np.uint32(16))
+
+
+def bucket_ids(spark: SparkSession, size: float, each: float) -> np.ndarray:
+    """Numbers for size / each buckets, a shuffle's partitions at least: a multiple of the partitions, to each of which Spark
+    hashes equally many."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, -(-int(np.ceil(size / each)) // parts))
+    have, at = [np.zeros(0, np.int64) for _ in range(parts)], 0
+    while min(map(len, have)) < share:
+        more = np.arange(at, at + 4 * parts * share)
+        where = spark_hash(more).view(np.int32).astype(np.int64) % parts
+        order = np.argsort(where, kind="stable")
+        edges = np.searchsorted(where[order], np.arange(parts + 1))
+        have = [h if len(h) >= share else np.concatenate([h, more[order[a:b]]]) for h, a, b in zip(have, edges[:-1], edges[1:], strict=True)]
+        at += len(more)
+    return np.stack([h[:share] for h in have], 1).reshape(-1)
+
+
 def squeeze(data: bytes) -> bytes:
     """zstd at Arrow's level."""
     return pa.compress(data, codec="zstd", asbytes=True)

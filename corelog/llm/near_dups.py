@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corelog.llm.common import fresh, mix, ngrams, pack, row_key, slices, small, unpack, utf8, words, written
+from corelog.llm.common import bucket_ids, fresh, mix, ngrams, pack, row_key, slices, small, unpack, utf8, words, written
 from corelog.plans.ship import ship
 
 #: Words of an n-gram, and the least Jaccard similarity of a pair of sets of them.
@@ -21,15 +21,21 @@ THRESHOLD = 0.5
 MOST_MATCHES = 6
 #: What verifying a candidate costs, in units of one posting that is met.
 VERIFY_COST = 8.0
-#: Verification takes blocks of about so many documents of a cluster against each other.
+#: Verification takes blocks of about so many sets of a cluster against each other.
 BLOCK = 2048
+BLOCK_TOKENS = 1_000_000
+#: Posting lists longer than this first link their sets to one of them; sets that this proves near don't meet again. It
+#: decides how pairs are found, not which.
+DENSE = 32
+#: One bucket takes the tokens of about so many characters of text.
+BUCKET_CHARACTERS = 10_000_000
 
 _PUNCT = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _DELETED = np.isin(np.arange(256), np.frombuffer(_PUNCT, np.uint8))
 
 _SENT = "bucket int, batch long, n int, tokens binary, docs binary, df binary, meta boolean"
 _LISTS = "sig long, doc_key long, doc_id long, n int, k int, tokens binary, df binary"
-_POSTS = "bucket int, n_docs int, n int, sig binary, size binary, need binary, counts binary, tokens binary"
+_POSTS = "bucket int, n_docs int, n int, sig binary, label binary, size binary, need binary, counts binary, tokens binary"
 _PAIRS = "a long, b long, met int, need int"
 _BIN = {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
 
@@ -86,9 +92,11 @@ def _signatures(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(sums + mix(np.diff(bounds).astype(np.uint64))).view(np.int64)
 
 
-def _send(parts: int, bits: int):
+def _send(buckets: np.ndarray, bits: int):
     """Each batch's tokens to the buckets of their ranges, sorted and differenced; each batch's documents to any one bucket."""
 
+    parts = len(buckets)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 24
@@ -123,11 +131,12 @@ def _send(parts: int, bits: int):
                 for c, x in zip(cols, row, strict=True):
                     cols[c].append(x)
 
-            add(number % parts, number, meta.shape[1], pack(meta.reshape(-1)), None, None, True)
+            home = ((number >> 24) + 7 * (number & 0xFFFFFF)) % parts
+            add(int(buckets[home]), number, meta.shape[1], pack(meta.reshape(-1)), None, None, True)
             for k in range(parts):
                 t = tokens[edges[k] : edges[k + 1]]
                 if len(t):
-                    add(k, number, len(t), pack(np.diff(t, prepend=np.uint64(0))), pack(docs[edges[k] : edges[k + 1]]), None, False)
+                    add(int(buckets[k]), number, len(t), pack(np.diff(t, prepend=np.uint64(0))), pack(docs[edges[k] : edges[k + 1]]), None, False)
             yield _batch(_SENT, cols)
             number += 1
 
@@ -178,33 +187,40 @@ def least_overlap(n: int, threshold: float) -> int:
 
 
 def _assemble(threshold: float):
-    """One batch: for each document that can have a partner, its tokens that other documents hold, rarest first."""
+    """One batch: a row for each document, and for each set that can have a partner its tokens that others hold, rarest first.
+
+    Of equal sets of the batch the first row carries the tokens. Documents that can have no partner have no sig.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        cols: dict[str, list] = {c.split()[0]: [] for c in _LISTS.split(", ")}
         rows = table.to_pylist()
         head = next(r for r in rows if r["meta"])
         sig, key, doc_id, has_id, size = unpack(head["tokens"], 5 * head["n"], np.int64).reshape(5, -1)
+        m = len(sig)
         rest = [r for r in rows if not r["meta"]]
+        tokens, frequencies, held = [None] * m, [None] * m, np.zeros(m, np.int32)
         if rest:
-            tokens = np.concatenate([np.cumsum(unpack(r["tokens"], r["n"], np.uint64)) for r in rest])
+            token = np.concatenate([np.cumsum(unpack(r["tokens"], r["n"], np.uint64)) for r in rest])
             docs = np.concatenate([unpack(r["docs"], r["n"], np.uint32) for r in rest])
             df = np.concatenate([unpack(r["df"], r["n"], np.uint32) for r in rest])
-            have = np.bincount(docs, minlength=len(sig))
+            have = np.bincount(docs, minlength=m)
             least = np.ceil(threshold * size - 1e-9).astype(np.int64)
             # With one match asked for, the prefix must reach beyond the tokens that nobody else holds.
             partner = size - least + 1 > size - have
-            stay = partner[docs]
-            tokens, docs, df = tokens[stay], docs[stay], df[stay]
-            order = np.lexsort((tokens, df, docs))
-            tokens, docs, df = tokens[order], docs[order], df[order]
-            bounds = np.searchsorted(docs, np.arange(len(sig) + 1))
+            lead = np.zeros(m, bool)
+            lead[np.unique(sig, return_index=True)[1]] = True
+            held[partner] = have[partner]
+            stay = (partner & lead)[docs]
+            token, docs, df = token[stay], docs[stay], df[stay]
+            order = np.lexsort((token, df, docs))
+            token, docs, df = token[order], docs[order], df[order]
+            bounds = np.searchsorted(docs, np.arange(m + 1))
             for i in np.flatnonzero(np.diff(bounds)).tolist():
                 a, b = bounds[i], bounds[i + 1]
-                row = (int(sig[i]), int(key[i]), int(doc_id[i]) if has_id[i] else None, int(size[i]), int(b - a), pack(tokens[a:b]), pack(df[a:b]))
-                for c, x in zip(cols, row, strict=True):
-                    cols[c].append(x)
-        return pa.Table.from_batches([_batch(_LISTS, cols)])
+                tokens[i], frequencies[i] = pack(token[a:b]), pack(df[a:b])
+        none = held == 0
+        columns = [pa.array(sig, mask=none), pa.array(key), pa.array(doc_id, mask=has_id == 0), pa.array(size.astype(np.int32)), pa.array(held), pa.array(tokens, pa.binary()), pa.array(frequencies, pa.binary())]
+        return pa.Table.from_arrays(columns, [c.split()[0] for c in _LISTS.split(", ")])
 
     return run
 
@@ -228,12 +244,13 @@ def choose_matches(n: int, df: np.ndarray, threshold: float) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def _post(parts: int, bits: int, threshold: float):
-    """Prefix tokens to the buckets of their ranges."""
+def _post(buckets: np.ndarray, threshold: float):
+    """Prefix tokens to the buckets of their hashes."""
+    parts = len(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, owner, sizes, needs, sigs = [], [], [], [], []
+            tokens, owner, sizes, needs, sigs, labels = [], [], [], [], [], []
             for r in batch.to_pylist():
                 df = unpack(r["df"], r["k"], np.uint32)
                 need, take = choose_matches(r["n"], df, threshold)
@@ -241,12 +258,13 @@ def _post(parts: int, bits: int, threshold: float):
                     tokens.append(unpack(r["tokens"], r["k"], np.uint64)[:take])
                     owner.append(np.full(take, len(sigs)))
                     sigs.append(r["sig"])
+                    labels.append(r["label"])
                     sizes.append(r["n"])
                     needs.append(need)
             if not sigs:
                 continue
             tokens, owner = np.concatenate(tokens), np.concatenate(owner)
-            sigs, sizes, needs = np.array(sigs, np.int64), np.array(sizes, np.uint32), np.array(needs, np.uint8)
+            sigs, labels, sizes, needs = np.array(sigs, np.int64), np.array(labels, np.int64), np.array(sizes, np.uint32), np.array(needs, np.uint8)
             # Spread by hash here: ranges of frequent tokens would be uneven.
             bucket = (mix(tokens) % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((tokens, owner, bucket))
@@ -257,7 +275,7 @@ def _post(parts: int, bits: int, threshold: float):
                 t, o = tokens[edges[k] : edges[k + 1]], owner[edges[k] : edges[k + 1]]
                 if len(t):
                     who, counts = np.unique(o, return_counts=True)
-                    row = (k, len(who), len(t), pack(sigs[who]), pack(sizes[who]), pack(needs[who]), pack(counts.astype(np.uint32)), pack(t))
+                    row = (int(buckets[k]), len(who), len(t), pack(sigs[who]), pack(labels[who]), pack(sizes[who]), pack(needs[who]), pack(counts.astype(np.uint32)), pack(t))
                     for c, x in zip(cols, row, strict=True):
                         cols[c].append(x)
             yield _batch(_POSTS, cols)
@@ -265,58 +283,101 @@ def _post(parts: int, bits: int, threshold: float):
     return run
 
 
-def _meet(threshold: float, chunk: int = 500_000):
-    """One bucket: pairs of documents whose prefixes share tokens here, with how many, if their sizes allow the similarity."""
+def _read_posts(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """(tokens, owner, sig, label, size, need) of one bucket: postings and their documents' numbers, then a value a document."""
+    tokens, owner, docs, n_docs = [], [], [], 0
+    for r in table.to_pylist():
+        counts = unpack(r["counts"], r["n_docs"], np.uint32)
+        owner.append(np.repeat(np.arange(n_docs, n_docs + r["n_docs"]), counts))
+        n_docs += r["n_docs"]
+        tokens.append(unpack(r["tokens"], r["n"], np.uint64))
+        docs.append([unpack(r[c], r["n_docs"], t) for c, t in (("sig", np.int64), ("label", np.int64), ("size", np.uint32), ("need", np.uint8))])
+    sig, label, size, need = map(np.concatenate, zip(*docs, strict=True))
+    return np.concatenate(tokens), np.concatenate(owner), sig, label, size.astype(np.int64), need.astype(np.int32)
+
+
+class _Pairs:
+    """Counts of pairs of numbers below n, gathered chunk by chunk."""
+
+    def __init__(self, n: int):
+        self.n, self.codes, self.counts, self.waiting, self.held = max(n, 1), np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        new = np.unique(np.minimum(i, j) * self.n + np.maximum(i, j), return_counts=True)
+        self.waiting.append(new)
+        self.held += len(new[0])
+        if self.held > max(len(self.codes), 1_000_000):
+            self.merge()
+
+    def merge(self) -> None:
+        if self.waiting:
+            self.codes, inverse = np.unique(np.concatenate([self.codes, *[c for c, _ in self.waiting]]), return_inverse=True)
+            self.counts = np.bincount(inverse, np.concatenate([self.counts, *[k for _, k in self.waiting]]), len(self.codes)).astype(np.int64)
+            self.waiting, self.held = [], 0
+
+    def table(self, sig: np.ndarray, need: np.ndarray) -> pa.Table:
+        self.merge()
+        i, j = self.codes // self.n, self.codes % self.n
+        x, y = sig[i], sig[j]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "met": self.counts.astype(np.int32), "need": np.minimum(need[i], need[j])})
+
+
+def _fits(size: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets of these sizes can have the similarity."""
+    return np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
+
+
+def _meet_hubs(threshold: float):
+    """One bucket: each set of a long posting list with the one of least signature there, and how many lists say so."""
 
     def run(table: pa.Table) -> pa.Table:
-        tokens, sig, size, need, n_docs = [], [], [], [], 0
-        owner = []
-        for r in table.to_pylist():
-            counts = unpack(r["counts"], r["n_docs"], np.uint32)
-            owner.append(np.repeat(np.arange(n_docs, n_docs + r["n_docs"]), counts))
-            n_docs += r["n_docs"]
-            tokens.append(unpack(r["tokens"], r["n"], np.uint64))
-            sig.append(unpack(r["sig"], r["n_docs"], np.int64))
-            size.append(unpack(r["size"], r["n_docs"], np.uint32))
-            need.append(unpack(r["need"], r["n_docs"], np.uint8))
-        tokens, owner, sig, size, need = map(np.concatenate, (tokens, owner, sig, size, need))
-        # Number documents by (size, signature): in a posting list, partners of a document are then a range after it.
-        rank = np.lexsort((sig, size))
-        place = np.empty(n_docs, np.int64)
-        place[rank] = np.arange(n_docs)
-        sig, size, need, owner = sig[rank], size[rank].astype(np.int64), need[rank], place[owner]
-        order = np.lexsort((owner, tokens))
+        tokens, owner, sig, _, size, need = _read_posts(table)
+        order = np.lexsort((sig[owner], tokens))
         tokens, owner = tokens[order], owner[order]
+        head = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        length = np.diff(np.append(head, len(tokens)))
+        hub = np.repeat(owner[head], length)
+        take = np.repeat(length > DENSE, length) & (hub != owner)
+        i, j = hub[take], owner[take]
+        ok = _fits(size, i, j, threshold)
+        pairs = _Pairs(len(sig))
+        pairs.add(i[ok], j[ok])
+        return pairs.table(sig, need)
+
+    return run
+
+
+def _meet(threshold: float, chunk: int = 500_000):
+    """One bucket: pairs of sets of different labels whose prefixes share tokens here, with how many, if their sizes allow the
+    similarity. Sets of one label are passed over as a run, so a large cluster costs its length, not its square."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tokens, owner, sig, label, size, need = _read_posts(table)
+        mine = label[owner]
+        order = np.lexsort((owner, mine, tokens))
+        tokens, owner, mine = tokens[order], owner[order], mine[order]
         n = len(tokens)
-        last = np.searchsorted(tokens, tokens, side="right")
-        # The last number whose size is at most size / threshold.
-        reach = np.searchsorted(size, np.floor(size / threshold + 1e-9).astype(np.int64), side="right")
-        limit = reach[owner]
-        # Within a list owners ascend: the end of the range is where the owner reaches the limit.
-        group = np.concatenate([[0], np.cumsum(tokens[1:] != tokens[:-1])])
-        stop = np.searchsorted(group * n_docs + owner, group * n_docs + np.minimum(limit, n_docs - 1) + (limit == n_docs), side="left") if n else last
-        stop = np.minimum(np.maximum(stop, np.arange(n) + 1), last)
-        todo = stop - np.arange(n) - 1
-        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+        lists = np.flatnonzero(new)
+        runs = np.flatnonzero(new | np.concatenate([[True], mine[1:] != mine[:-1]]))
+        end = np.repeat(np.append(lists[1:], n), np.diff(np.append(lists, n)))
+        begin = np.repeat(np.append(runs[1:], n), np.diff(np.append(runs, n)))
+        todo = end - begin
         total = np.cumsum(todo)
+        pairs = _Pairs(len(sig))
         a = 0
         while a < n:
             base = total[a - 1] if a else 0
             b = max(a + 1, int(np.searchsorted(total, base + chunk, side="right")))
             k = todo[a:b]
             left = np.repeat(np.arange(a, b), k)
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k)
-            new, c = np.unique(owner[left] * n_docs + owner[right], return_counts=True)
-            if len(new):
-                codes, inverse = np.unique(np.concatenate([codes, new]), return_inverse=True)
-                both = np.concatenate([counts, c])
-                counts = np.bincount(inverse, both, len(codes)).astype(np.int64)
+            right = begin[left] + np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k)
+            i, j = owner[left], owner[right]
+            ok = _fits(size, i, j, threshold)
+            if ok.any():
+                pairs.add(i[ok], j[ok])
             a = b
-        i, j = codes // max(n_docs, 1), codes % max(n_docs, 1)
-        x, y = sig[i], sig[j]
-        keep = x != y
-        i, j, x, y, counts = i[keep], j[keep], x[keep], y[keep], counts[keep]
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "met": counts.astype(np.int32), "need": np.minimum(need[i], need[j]).astype(np.int32)})
+        return pairs.table(sig, need)
 
     return run
 
@@ -354,74 +415,122 @@ def _verify(threshold: float):
     return run
 
 
-def near_pairs(df: DataFrame, *, threshold: float = THRESHOLD, text: str = "text", doc: str = "doc_id", parts: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): all that is needed to name every pair of documents of Jaccard similarity >= threshold.
+def _count_links(threshold: float):
+    """One block of a cluster: for each set, how many documents have another set of the similarity; exact, pair by pair in arrays."""
+
+    def run(table: pa.Table) -> pa.Table:
+        row, col, part, copies, size, k = (np.asarray(table[c]) for c in ("row", "col", "part", "copies", "n", "k"))
+        every = np.concatenate([unpack(t, int(n), np.uint64) for t, n in zip(table["tokens"].to_pylist(), k, strict=True)])
+        _, token = np.unique(every, return_inverse=True)
+        bounds = np.concatenate([[0], np.cumsum(k)])
+        left, right = np.flatnonzero(part == row), np.flatnonzero(part == col)
+        place = np.full(len(k), -1)
+        place[right] = np.arange(len(right))
+        # Postings of the right side, by token.
+        owner = np.repeat(place, k)
+        at = np.flatnonzero(owner >= 0)
+        at = at[np.argsort(token[at], kind="stable")]
+        begin = np.searchsorted(token[at], np.arange(token.max(initial=-1) + 2))
+        owner = owner[at]
+        out = np.zeros(len(k), np.int64)
+        same = row[0] == col[0]
+        for i in left.tolist():
+            mine = token[bounds[i] : bounds[i + 1]]
+            lo, many = begin[mine], begin[mine + 1] - begin[mine]
+            met = owner[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            shared = np.bincount(met, minlength=len(right))
+            near = shared >= threshold * (size[i] + size[right] - shared) - 1e-9
+            if same:
+                near[place[i]] = False
+            out[i] += copies[right[near]].sum()
+            if not same:
+                out[right[near]] += copies[i]
+        return pa.table({"sig": table["sig"].combine_chunks(), "links": out})
+
+    return run
+
+
+def near_pairs(df: DataFrame, *, threshold: float = THRESHOLD, text: str = "text", doc: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, sets, edges): the classes of near duplicates, without all pairs of a class.
 
-    members: (sig, doc_key, doc_id), one row for each document that shares an n-gram set with another or can have a
-    partner; equal sets have equal sig. pairs: (a, b, jaccard), a < b, between different sets; exact and complete.
-    Documents are joined by their sets: copies by the thousand are one row.
+    members: (doc_key, doc_id, sig) of every document; equal sets have an equal sig, and documents that can have no
+    partner a NULL one. sets: (sig, n, k, copies, tokens, df), one row a set, however many copies it has. edges: (a, b),
+    pairs of sets of Jaccard similarity >= threshold; every such pair is connected by edges, which are about as many as
+    the sets: a first round links sets of long posting lists to one of each list, a second one meets sets that the first
+    has not linked to the same.
+
+    Hashed: a token has 40 to 63 bits (token_bits), a set's signature 64.
     """
     spark = df.sparkSession
     ship(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = df.select(F.col(text).alias("text"), F.col(doc).cast("long").alias("doc_id"), row_key(doc, text).alias("doc_key"))
-    bits = token_bits(source.agg(F.sum(F.length("text"))).first()[0] or 0)
-    sent = source.mapInArrow(_send(parts, bits), _SENT)
-    back = sent.groupBy("bucket").applyInArrow(_frequencies, _SENT)
-    lists = back.groupBy("batch").applyInArrow(_assemble(threshold), _LISTS)
-    sets = written(
-        lists.groupBy("sig").agg(
-            F.first("n").alias("n"),
-            F.first("k").alias("k"),
-            F.first(F.struct("tokens", "df")).alias("list"),
-            F.collect_set(F.struct("doc_key", "doc_id")).alias("docs"),
-        ).select("sig", "n", "k", "list.tokens", "list.df", "docs"),
-        "sets",
-    )
-    posts = sets.select("sig", "n", "k", "tokens", "df").mapInArrow(_post(parts, bits, threshold), _POSTS)
-    met = posts.groupBy("bucket").applyInArrow(_meet(threshold), _PAIRS)
-    candidates = written(met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("need").alias("need")).where("met >= need").select("a", "b"), "candidates")
+    characters = source.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets, bits = bucket_ids(spark, characters, BUCKET_CHARACTERS), token_bits(characters)
+    back = source.mapInArrow(_send(buckets, bits), _SENT).groupBy("bucket").applyInArrow(_frequencies, _SENT)
+    lists = written(back.groupBy("batch").applyInArrow(_assemble(threshold), _LISTS), "lists")
+    members = lists.select("doc_key", "doc_id", "sig")
+    copies = members.where("sig IS NOT NULL").select("sig", "doc_key").distinct().groupBy("sig").agg(F.count("*").alias("copies"))
+    sets = lists.where("tokens IS NOT NULL").groupBy("sig").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.first(F.struct("tokens", "df")).alias("list"))
+    sets = written(sets.join(copies, "sig").select("sig", "n", "k", "copies", "list.tokens", "list.df"), "sets")
+
+    def candidates(rows: DataFrame, meet) -> DataFrame:
+        posts = rows.select("sig", "label", "n", "k", "tokens", "df").mapInArrow(_post(buckets, threshold), _POSTS)
+        met = posts.groupBy("bucket").applyInArrow(meet, _PAIRS).groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("need").alias("need"))
+        return _verified(sets, met.where("met >= need").select("a", "b"), threshold)
+
+    first = candidates(sets.withColumn("label", F.col("sig")), _meet_hubs(threshold))
+    # Sets that are near one and the same set are connected by those two edges.
+    label = first.groupBy(F.col("b").alias("sig")).agg(F.min("a").alias("label"))
+    label = label.unionByName(first.select(F.col("a").alias("sig"), F.col("a").alias("label"))).groupBy("sig").agg(F.min("label").alias("label"))
+    labelled = sets.join(small(written(label, "labels")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    second = candidates(labelled, _meet(threshold))
+    return members, sets, first.unionByName(second)
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of the candidate pairs that have the similarity, as a written table."""
+    pairs = written(pairs, "candidates")
     # Pairs of one cluster meet in one block: named by the least neighbour, and split by size where clusters are large.
-    ends = candidates.unionByName(candidates.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     name = ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("cluster"))
-    placed = candidates.join(name, "a")
-    width = placed.groupBy("cluster").agg(F.ceil(F.approx_count_distinct("a") / BLOCK).cast("long").alias("width"))
+    placed = pairs.join(name, "a")
+    width = placed.groupBy("cluster").agg(F.ceil(F.greatest(F.approx_count_distinct("a"), F.approx_count_distinct("b")) / BLOCK).cast("long").alias("width"))
     placed = placed.join(width, "cluster").select("a", "b", "cluster", F.pmod("a", "width").alias("row"), F.pmod("b", "width").alias("col"))
     key = ["cluster", "row", "col"]
     wanted = placed.select(*key, F.explode(F.array("a", "b")).alias("sig")).distinct()
     held = wanted.join(sets.select("sig", "n", "k", "tokens"), "sig")
     other = placed.select("a", "b", *[F.col(c).alias("at_" + c) for c in key])
-    pairs = held.groupBy(*key).cogroup(other.groupBy(*["at_" + c for c in key])).applyInArrow(_verify(threshold), "a long, b long, jaccard double")
-    members = sets.select("sig", F.explode("docs").alias("d")).select("sig", "d.doc_key", "d.doc_id")
-    return members, pairs
-
-
-def _representatives(members: DataFrame) -> DataFrame:
-    """(sig, doc_id) of the set's least document; NULL ids come last."""
-    return members.groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("doc_key"))).alias("r")).select("sig", "r.doc_id", "r.doc_key")
+    near = held.groupBy(*key).cogroup(other.groupBy(*["at_" + c for c in key])).applyInArrow(_verify(threshold), "a long, b long, jaccard double")
+    return written(near.select("a", "b"), "near")
 
 
-def jaccard_join(df: DataFrame, *, threshold: float = THRESHOLD, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """(id_a, id_b, jaccard): near-duplicate pairs, id_a < id_b.
+def jaccard_classes(df: DataFrame, *, threshold: float = THRESHOLD, text: str = "text", doc: str = "doc_id") -> DataFrame:
+    """(doc_id, class_id, links): one row for each document.
 
-    Sets are of lower-cased word n-grams (GRAM words, ASCII punctuation left out) of whole texts. All pairs of different
-    sets with similarity >= threshold are found, each as the pair of the least ids that have the sets. A document whose
-    set equals that of a lesser id makes one pair with the least such id, similarity 1: so copies by the thousand give a
-    row each, and every pair follows from the rows.
+    Sets are of lower-cased word n-grams (GRAM words, ASCII punctuation left out) of whole texts. links counts the other
+    documents whose set has a Jaccard similarity >= threshold with this one's: all of them, copies with an equal set
+    included. class_id is the least doc_id of the documents that such links connect.
 
-    NULL and empty texts, and those of punctuation only, have no tokens and no partner. Texts under GRAM words are one
-    token. NULL ids come after all others, and NULL-id documents are named NULL. Rows with equal id and text are one
-    document. Empty table: empty result. Extra columns are not read.
+    A document without links is a class of its own: so are NULL and empty texts, and those of punctuation only, which have
+    no tokens. Texts under GRAM words are one token. NULL ids come after all others: a class is NULL if all its ids are.
+    Rows with equal id and text are one document. Empty table: empty result. Extra columns are not read.
     """
-    members, pairs = near_pairs(df, threshold=threshold, text=text, doc=doc)
-    rep = _representatives(members)
-    a, b = rep.select(F.col("sig").alias("a"), F.col("doc_id").alias("x")), rep.select(F.col("sig").alias("b"), F.col("doc_id").alias("y"))
-    near = pairs.join(a, "a").join(b, "b")
-    low = F.when(F.col("y").isNull() | (F.col("x") <= F.col("y")), F.col("x")).otherwise(F.col("y"))
-    high = F.when(F.col("y").isNull() | (F.col("x") <= F.col("y")), F.col("y")).otherwise(F.col("x"))
-    near = near.select(low.alias("id_a"), high.alias("id_b"), "jaccard")
-    copies = members.join(rep.select("sig", F.col("doc_id").alias("id_a"), F.col("doc_key").alias("lead")), "sig").where("doc_key <> lead")
-    return near.unionByName(copies.select("id_a", F.col("doc_id").alias("id_b"), F.lit(1.0).alias("jaccard")))
+    members, sets, edges = near_pairs(df, threshold=threshold, text=text, doc=doc)
+    label = written(components(edges), "classes")
+    held = sets.select("sig", "n", "k", "copies", "tokens").join(label.withColumnRenamed("node", "sig"), "sig")
+    width = held.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("k") / BLOCK_TOKENS)).cast("long").alias("width"))
+    held = held.join(width, "label").withColumn("part", F.pmod("sig", "width"))
+    # A set goes to the blocks of its part with each part.
+    held = held.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - 1)))
+    held = held.select("label", F.least("part", "with").alias("row"), F.greatest("part", "with").alias("col"), "part", "sig", "n", "k", "copies", "tokens")
+    counted = held.groupBy("label", "row", "col").applyInArrow(_count_links(threshold), "sig long, links long").groupBy("sig").agg(F.sum("links").alias("links"))
+    once = members.dropDuplicates(["doc_key"])
+    low = members.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("low")).join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    least = low.groupBy("label").agg(F.min("low").alias("class_id"))
+    named = low.join(least, "label").join(sets.select("sig", "copies"), "sig").join(counted, "sig", "left")
+    named = named.select("sig", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    some = once.where("sig IS NOT NULL").join(named, "sig").select("doc_id", "class_id", "links")
+    return some.unionByName(once.where("sig IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -449,23 +558,23 @@ def components(edges: DataFrame) -> DataFrame:
 def drop_near_dups(df: DataFrame, *, threshold: float = THRESHOLD, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """df with one document of each group of near duplicates, the one of least id; df's columns.
 
-    Groups are the connected components of the pairs of jaccard_join, whose cases hold here too: documents without tokens
+    Groups are the classes of jaccard_classes, whose cases hold here too: documents without tokens
     are in no group and stay. Repeated rows of a document that stays all stay; NULL ids come last in a group. Extra
     columns pass through, whatever their names.
     """
-    members, pairs = near_pairs(df, threshold=threshold, text=text, doc=doc)
-    labels = components(pairs)
-    grouped = members.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("g", F.coalesce("label", "sig"))
-    first = grouped.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("doc_key"))).alias("r"), F.count("*").alias("n")).where("n > 1")
+    members, _, edges = near_pairs(df, threshold=threshold, text=text, doc=doc)
+    labels = components(edges).withColumnRenamed("node", "sig")
+    grouped = members.where("sig IS NOT NULL").join(labels, "sig", "left").withColumn("g", F.coalesce("label", "sig"))
+    first = grouped.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("doc_key"))).alias("r"), F.min("doc_key").alias("k0"), F.max("doc_key").alias("k1")).where("k0 <> k1")
     gone = written(grouped.join(first.select("g", F.col("r.doc_key").alias("lead")), "g").where("doc_key <> lead").select("doc_key"), "gone")
     (key,) = fresh(df, "key")
     gone = gone.withColumnRenamed("doc_key", key)
     return df.withColumn(key, row_key(doc, text)).join(small(gone), key, "left_anti").select(*df.columns)
 
 
-#: jaccard_join() over documents in DuckDB, for its default threshold and n-gram length.
-JOIN_SQL = r"""
-WITH cut AS (
+#: jaccard_classes() over documents in DuckDB, for its default threshold and n-gram length.
+CLASSES_SQL = r"""
+WITH RECURSIVE cut AS (
     SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '[\t\n\x0b\x0c\r\x1c-\x20]+'), lambda x: x <> '') AS ws
     FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)
 ), sets AS (
@@ -479,6 +588,15 @@ WITH cut AS (
 ), met AS (
     SELECT a.id AS id_a, b.id AS id_b, count(*) AS c, max(a.n) + max(b.n) - count(*) AS u
     FROM tokens a JOIN tokens b ON a.token = b.token AND a.id < b.id AND 2 * a.n >= b.n AND 2 * b.n >= a.n GROUP BY a.id, b.id
+), ends AS (
+    SELECT id_a AS x, id_b AS y FROM met WHERE 2 * c >= u UNION ALL SELECT id_b, id_a FROM met WHERE 2 * c >= u
+), reached AS (
+    SELECT id AS x, id AS y FROM owned UNION SELECT r.x, e.y FROM reached r JOIN ends e ON r.y = e.x
+), class AS (
+    SELECT x, min(y) AS class_id FROM reached GROUP BY x
+), degree AS (
+    SELECT x, sum(len(ids)) AS d FROM ends JOIN owned ON id = y GROUP BY x
 )
-SELECT id_a, id_b, c / u AS jaccard FROM met WHERE 2 * c >= u
-UNION ALL SELECT id, other, 1e0 FROM (SELECT id, unnest(ids) AS other FROM owned) WHERE other <> id"""
+SELECT unnest(ids) AS doc_id, class_id, CAST(coalesce(d, 0) + len(ids) - 1 AS BIGINT) AS links
+FROM owned JOIN class ON class.x = id LEFT JOIN degree ON degree.x = id
+UNION ALL SELECT doc_id, doc_id, CAST(0 AS BIGINT) FROM (SELECT DISTINCT doc_id, text FROM documents) WHERE text IS NULL OR len(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '[\t\n\x0b\x0c\r\x1c-\x20]+'), lambda x: x <> '')) = 0"""

@@ -46,9 +46,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All near-duplicate pairs of documents, compressed: documents of one token set pair with the least id of it only, and
-    two near sets are one pair, of their least ids. All other pairs follow from these rows."""
-    return near_dups.jaccard_join(_table(spark, sf_dir, "documents"))
+    """Every document's class of near duplicates (its least doc_id) and the number of documents it is near to."""
+    return near_dups.jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
 def op7_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +77,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_bpe, op2_quality_rules, op3_neighbours, op4_pii, op5_language_id, op6_jaccard_join, op7_quality_ranker, op8_mixing, op9_line_templates, op10_substrings)
 }
-ORACLES = {"op2_quality_rules": quality_rules.FILTER_SQL, "op6_jaccard_join": near_dups.JOIN_SQL, "op10_substrings": substrings.FIND_SQL}
+ORACLES = {"op2_quality_rules": quality_rules.FILTER_SQL, "op6_jaccard_join": near_dups.CLASSES_SQL, "op10_substrings": substrings.FIND_SQL}

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from corelog.llm import near_dups
+from corelog.llm import common, near_dups
 
 DOCS = "doc_id long, text string, lang string, sig long"
 
@@ -59,22 +59,50 @@ def corpus(seed=3, n=150):
     return rows + [rows[3], (None, rows[3][1], None, None), (900, None, "en", 1), (901, "", "en", 1), (902, " .. !", "en", 1), (903, "x " * 20000, "en", 1), (904, "x " * 19000, None, 1)]
 
 
+def classes(rows, t):
+    """(doc_id, class_id, links) of each document, from all pairs."""
+    docs = sorted({(r[0] is None, r[0] or 0, r[1]) for r in rows}, key=lambda r: (r[0], r[1], r[2] or ""))
+    sets = [grams(text) for *_, text in docs]
+    links, label = [0] * len(docs), list(range(len(docs)))
+    find = lambda i: i if label[i] == i else find(label[i])
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if s and sets[j] and len(s & sets[j]) >= t * len(s | sets[j]):
+                links[i] += 1
+                links[j] += 1
+                x, y = sorted((find(i), find(j)))
+                label[y] = x
+    name = [None if no else i for no, i, _ in docs]
+    return sorted(((name[i], name[find(i)], n) for i, n in enumerate(links)), key=str)
+
+
 def read(df):
-    return [(a, b, round(j, 9)) for a, b, j in df.select("id_a", "id_b", "jaccard").collect()]
+    assert df.columns == ["doc_id", "class_id", "links"]
+    return sorted((tuple(r) for r in df.collect()), key=str)
 
 
 @pytest.mark.parametrize("threshold", [0.5, 0.8])
 def test_matches_brute_force(spark, threshold):
     rows = corpus()
-    got = read(near_dups.jaccard_join(spark.createDataFrame(rows, DOCS).repartition(3), threshold=threshold))
-    assert len(got) == len(set(got))
-    assert set(got) == brute(rows, threshold)
+    got = read(near_dups.jaccard_classes(spark.createDataFrame(rows, DOCS).repartition(3), threshold=threshold))
+    assert got == classes(rows, threshold)
+    assert sum(n for *_, n in got) > 300
 
 
-def test_blocks_of_large_clusters(spark, monkeypatch):
+def test_blocks_and_dense_lists(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "BLOCK", 3)
+    monkeypatch.setattr(near_dups, "DENSE", 2)
     rows = corpus(8, 90)
-    assert set(read(near_dups.jaccard_join(spark.createDataFrame(rows, DOCS)))) == brute(rows, near_dups.THRESHOLD)
+    assert read(near_dups.jaccard_classes(spark.createDataFrame(rows, DOCS))) == classes(rows, near_dups.THRESHOLD)
+
+
+def test_a_large_cluster_makes_few_edges(spark):
+    r = random.Random(1)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(f"x{r.random()}" if r.random() < 0.02 else w for w in base), "en", 1) for i in range(200)]
+    _, sets, edges = near_dups.near_pairs(spark.createDataFrame(rows, DOCS))
+    assert edges.count() < 4 * sets.count()
+    assert read(near_dups.jaccard_classes(spark.createDataFrame(rows, DOCS))) == classes(rows, near_dups.THRESHOLD)
 
 
 def test_one_document_of_each_group_stays(spark):
@@ -92,7 +120,7 @@ def test_one_document_of_each_group_stays(spark):
 
 def test_empty_table(spark):
     empty = spark.createDataFrame([], DOCS)
-    assert near_dups.jaccard_join(empty).count() == 0 and near_dups.drop_near_dups(empty).count() == 0
+    assert near_dups.jaccard_classes(empty).count() == 0 and near_dups.drop_near_dups(empty).count() == 0
 
 
 def test_more_matches_are_asked_of_frequent_tokens():
@@ -102,6 +130,13 @@ def test_more_matches_are_asked_of_frequent_tokens():
     assert near_dups.choose_matches(10, hot, 0.5)[0] > 1
 
 
+def test_buckets_are_spread_over_the_partitions(spark):
+    got = common.bucket_ids(spark, 95, 10)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    where = spark.createDataFrame([(int(i),) for i in got], "i int").selectExpr(f"pmod(hash(i), {parts}) AS p").groupBy("p").count().collect()
+    assert len(got) >= 10 and len(where) == parts and len({r["count"] for r in where}) == 1
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = dict(near_dups.components(edges).collect())
