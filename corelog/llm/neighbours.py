@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corelog.llm.common import small, written
@@ -19,8 +19,12 @@ K = 10
 #: Parts of a residual, and codewords of each part (a code is one byte).
 PARTS = 16
 WORDS = 256
-#: Rounds of k-means over all vectors, for the centroids and for the codewords.
+#: Rounds of k-means, for the centroids and for the codewords, over a sample of so many vectors for each list (the least by
+#: a hash of the id), WORDS * TRAIN_EACH at least. With about sqrt(n) lists the fit's work grows as n.
 ROUNDS = 6
+TRAIN_EACH = 64
+#: Rows of a partition of the sample.
+TRAIN_ROWS = 50_000
 #: Queries by which the number of lists to probe and of candidates to rerank are set, and the share of true neighbours
 #: that each of the two must reach on them.
 PROBE_QUERIES = 256
@@ -28,6 +32,9 @@ TARGET = 0.975
 #: Vectors of a block of lists, and queries that meet it in one group.
 BLOCK_ROWS = 8192
 GROUP_QUERIES = 16384
+#: Asymmetric distances that differ by less than this share tie; candidates that are reranked at a time.
+TIE = 1e-5
+RERANK_ROWS = 1 << 17
 #: Sums are whole numbers of 1 / FIXED, so centroids don't depend on the order of work.
 FIXED = float(1 << 24)
 
@@ -88,46 +95,66 @@ def vectors(df: DataFrame, key: str = "vec_id", embedding: str = "embedding") ->
 
 
 def _lloyd(rows: DataFrame, d: int, start: np.ndarray, rounds: int, place) -> np.ndarray:
-    """Rounds of k-means over all rows. start: (cells, width); place(x, cells) -> (points, cell of each point)."""
+    """Rounds of k-means over rows. start: (cells, width); place(x, cells) -> (points, cell of each point)."""
     cells = start.copy()
     width = cells.shape[1]
     spark = rows.sparkSession
+    names, kinds = ["cell", "n", "total"], "cell long, n long, total array<long>"
+
+    def batch(hit: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> pa.Table:
+        total = pa.ListArray.from_arrays(pa.array(np.arange(len(hit) + 1) * width, pa.int32()), pa.array(sums.reshape(-1)))
+        return pa.Table.from_arrays([pa.array(hit), pa.array(counts), total], names)
+
+    def reduce(table: pa.Table) -> pa.Table:
+        hit, where = np.unique(np.asarray(table["cell"]), return_inverse=True)
+        sums, counts = np.zeros((len(hit), width), np.int64), np.zeros(len(hit), np.int64)
+        np.add.at(sums, where, np.asarray(table["total"].combine_chunks().flatten()).reshape(-1, width))
+        np.add.at(counts, where, np.asarray(table["n"]))
+        return batch(hit, counts, sums)
+
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(cells)
 
         def partial(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             now = shared.value
             sums, counts = np.zeros((len(now), width), np.int64), np.zeros(len(now), np.int64)
-            for batch in batches:
-                if batch.num_rows:
-                    points, cell = place(_matrix(batch.column(0), d), now)
+            for rows in batches:
+                if rows.num_rows:
+                    points, cell = place(_matrix(rows.column(0), d), now)
                     order = np.argsort(cell, kind="stable")
                     head = np.flatnonzero(np.diff(cell[order], prepend=-1))
                     which = cell[order][head]
                     sums[which] += np.add.reduceat(np.round(points[order].astype(np.float64) * FIXED).astype(np.int64), head)
                     counts += np.bincount(cell, minlength=len(now))
             hit = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(counts[hit]), pa.array(list(sums[hit]), pa.list_(pa.int64()))], ["cell", "n", "total"])
+            yield from batch(hit, counts[hit], sums[hit]).to_batches()
 
-        sent = rows.select("v").mapInArrow(partial, "cell long, n long, total array<long>")
-        total = sent.groupBy("cell").agg(F.sum("n").alias("n"), *[F.sum(F.col("total")[i]).alias(f"s{i}") for i in range(width)])
-        found = total.toPandas()
-        cells[found["cell"].to_numpy(int)] = (found[[f"s{i}" for i in range(width)]].to_numpy(float) / FIXED / found[["n"]].to_numpy(float)).astype(np.float32)
+        # Sums travel as vectors, and are added up by ranges of cells.
+        sent = rows.select("v").mapInArrow(partial, kinds)
+        found = sent.groupBy((F.col("cell") % 64).alias("range")).applyInArrow(reduce, kinds).toArrow()
+        total = np.asarray(found["total"].combine_chunks().flatten()).reshape(-1, width) if found.num_rows else np.zeros((0, width))
+        cells[np.asarray(found["cell"], dtype=np.int64)] = (total / FIXED / np.asarray(found["n"], dtype=float)[:, None]).astype(np.float32)
     return cells
 
 
 def build(rows: DataFrame, n: int, d: int, k: int = K) -> tuple[Index, DataFrame]:
     """The index of (id, v) rows, and the table (id, v, list, codes, block).
 
-    There are about sqrt(n) lists. Centroids and codewords are k-means over all vectors, started from those least by a
-    hash of the id. How many lists are probed and how deep is reranked is measured, not set: on PROBE_QUERIES vectors, whose
+    There are about sqrt(n) lists. Centroids and codewords are k-means over a sample of TRAIN_EACH vectors a list, started
+    from those least by a hash of the id; every vector is indexed. How many lists are probed and how deep is reranked is measured, not set: on PROBE_QUERIES vectors, whose
     true neighbours are found among all, by how much it takes to reach TARGET.
     """
     spark = rows.sparkSession
     lists = max(1, int(np.ceil(np.sqrt(n))))
-    seeded = rows.orderBy(F.xxhash64("id", F.lit(1)), "id")
-    start = np.array([r["v"] for r in seeded.limit(max(lists, min(n, 4 * WORDS))).select("v").collect()], np.float32)
-    centroids = _lloyd(rows, d, start[:lists], ROUNDS, lambda x, c: (x, ((c**2).sum(1) - 2 * x @ c.T).argmin(1)))
+    wanted = TRAIN_EACH * max(lists, WORDS)
+    hashed = rows.select("id", "v", F.xxhash64("id", F.lit(1)).alias("h"))
+    if wanted < n:
+        hashed = hashed.where(F.col("h") / F.lit(2.0**64) + 0.5 <= wanted / n)
+    sample = written(hashed.repartition(-(-min(wanted, n) // TRAIN_ROWS), "id"), "sample")
+    begin = sample.orderBy("h", "id").limit(max(lists, min(n, 4 * WORDS))).select("v").toArrow()
+    start = _matrix(begin["v"].combine_chunks(), d).copy()
+    lists = min(lists, len(start))
+    centroids = _lloyd(sample, d, start[:lists], ROUNDS, lambda x, c: (x, ((c**2).sum(1) - 2 * x @ c.T).argmin(1)))
     width = -(-d // PARTS)
     plain = Index(centroids, np.zeros((PARTS, WORDS, width), np.float32), lists, 0, np.zeros(0), np.zeros(0))
     residual = _parts(start - centroids[plain.assign(start)], width)
@@ -142,7 +169,7 @@ def build(rows: DataFrame, n: int, d: int, k: int = K) -> tuple[Index, DataFrame
         code = at.codes(x, own).astype(np.int64)
         return _parts(x - at.centroids[own], width).reshape(-1, width), (code + np.arange(PARTS) * WORDS).reshape(-1)
 
-    words = _lloyd(rows, d, words.reshape(-1, width), ROUNDS, place).reshape(PARTS, WORDS, width)
+    words = _lloyd(sample, d, words.reshape(-1, width), ROUNDS, place).reshape(PARTS, WORDS, width)
     index = Index(centroids, words, lists, 0, np.zeros(0), np.zeros(0))
     model = spark.sparkContext.broadcast(index)
 
@@ -244,7 +271,7 @@ def _asymmetric(index: Index, q: np.ndarray, codes: np.ndarray, lists: np.ndarra
     return (q**2).sum(1)[:, None] - 2 * (q @ index.centroids.T)[:, lists] - 2 * dot + whole
 
 
-def _search(shared, d: int, k: int, batch: int = 512):
+def _search(shared, d: int, k: int, batch: int = 256):
     """One block against one group of queries: for each query, the k exactly nearest of its `depth` best candidates here."""
 
     def run(members: pa.Table, asked: pa.Table) -> pa.Table:
@@ -271,23 +298,31 @@ def _search(shared, d: int, k: int, batch: int = 512):
                     far[np.ix_(rows, cols)] = _asymmetric(index, x[rows], codes[cols], lists[cols])
             far[me[:, None] == ids] = np.inf
             m = min(index.depth, far.shape[1])
-            top = np.sort(np.argpartition(far, m - 1, 1)[:, :m], 1)  # ascending ids, so that ties go to the least
-            exact = ((x[:, None].astype(np.float64) - y[top]) ** 2).sum(2)
-            exact[~np.isfinite(np.take_along_axis(far, top, 1))] = np.inf
-            best = np.argsort(exact, 1, kind="stable")[:, :k]
-            value = np.take_along_axis(exact, best, 1)
-            ok = np.isfinite(value)
-            out[0].append(np.repeat(me, ok.sum(1)))
-            out[1].append(ids[np.take_along_axis(top, best, 1)[ok]])
-            out[2].append(value[ok])
+            kth = np.partition(far, m - 1, 1)[:, m - 1]
+            # All that tie with the last candidate are reranked with it.
+            near = np.isfinite(far) & (far <= (kth + TIE * (1 + np.abs(kth)))[:, None])
+            row, col = np.nonzero(near)
+            exact = np.empty(len(row))
+            for i in range(0, len(row), RERANK_ROWS):
+                r, c = row[i : i + RERANK_ROWS], col[i : i + RERANK_ROWS]
+                exact[i : i + RERANK_ROWS] = ((x[r].astype(np.float64) - y[c]) ** 2).sum(1)
+            order = np.lexsort((col, exact, row))  # columns ascend with ids, so that ties go to the least
+            row, col, exact = row[order], col[order], exact[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            ok = nth < k
+            out[0].append(me[row[ok]])
+            out[1].append(ids[col[ok]])
+            out[2].append(exact[ok])
         parts = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
         return pa.table({"id": parts[0], "other": parts[1], "far": parts[2]})
 
     return run
 
 
-def nearest_neighbours(df: DataFrame, *, k: int = K, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, neighbour_id, rank, distance): each vector's k nearest others, by Euclidean distance; every row is a query.
+def nearest_neighbours(df: DataFrame, *, k: int = K, key: str = "vec_id", embedding: str = "embedding", asking: Column | None = None) -> DataFrame:
+    """(vec_id, neighbour_id, rank, distance): the k nearest others of each vector that asks, by Euclidean distance.
+
+    asking: a condition on the column `id`; without one every vector is a query. All vectors are searched in any case.
 
     Approximate, with a share of the true neighbours that is calibrated (see build): at least TARGET of them stand in
     probed lists, and at least TARGET of those among the reranked candidates. Distances are exact; ties go to the lesser id.
@@ -322,7 +357,8 @@ def nearest_neighbours(df: DataFrame, *, k: int = K, key: str = "vec_id", embedd
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(far) + 1)), pa.int32()), pa.array(block))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["id", "v", "blocks"])
 
-    probing = written(coded.select("id", "v").mapInArrow(ask, "id long, v array<float>, blocks array<long>"), "probing")
+    queries = coded if asking is None else coded.where(asking)
+    probing = written(queries.select("id", "v").mapInArrow(ask, "id long, v array<float>, blocks array<long>"), "probing")
     asked = probing.select("id", "v", F.explode("blocks").alias("block"))
     # A block is copied once for each group of its own queries: what travels grows with the probes, not with n^2.
     parts = small(written(asked.groupBy("block").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("parts")), "parts"))

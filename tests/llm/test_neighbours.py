@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from corelog.llm import neighbours
 
@@ -34,6 +35,37 @@ def test_recall_against_brute_force(spark, monkeypatch):
     assert recall(got, ids, x.astype(float), neighbours.K) >= 0.9
 
 
+def test_copies_beyond_the_depth_go_to_the_least_ids(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "_calibrate", lambda *_: (3, 12))
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(size=(200, 8)), np.ones((150, 8))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0, "a") for i, v in enumerate(x)], ROWS)
+    got = neighbours.nearest_neighbours(df, asking=F.col("id") >= 200).orderBy("vec_id", "rank").collect()
+    assert len(got) == 150 * neighbours.K
+    for r in got:
+        want = [i for i in range(200, 350) if i != r["vec_id"]][r["rank"] - 1]
+        assert (r["neighbour_id"], r["distance"]) == (want, 0.0)
+
+
+def test_recall_of_the_registered_query(spark):
+    from corelog.llm.queries import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x, ids = np.array([r["embedding"] for r in rows], float), np.array([r["vec_id"] for r in rows])
+    got = {}
+    for r in QUERIES["op3_neighbours"](spark, d).collect():
+        got.setdefault(r["vec_id"], set()).add(r["neighbour_id"])
+    assert set(got) == {i for i in ids.tolist() if i % 20 == 0}
+    hits = []
+    for q in got:
+        far = ((x - x[ids == q][0]) ** 2).sum(1)
+        far[ids == q] = np.inf
+        kth = np.sort(far)[neighbours.K - 1]
+        hits.append(np.mean([far[ids == i][0] <= kth + 1e-9 for i in got[q]]))
+    assert np.mean(hits) >= 0.9
+
+
 def test_odd_rows(spark):
     good = [(i, [float(i), 1.0, 0.0], 0, None) for i in range(5)]
     odd = [(None, [1.0, 2.0, 3.0], 0, "x"), (90, None, 0, "x"), (91, [], 0, "x"), (92, [1.0], 0, "x"), (93, [1.0, float("nan"), 0.0], 0, "x"), (94, [1.0, None, 0.0], 0, "x"), good[2]]
