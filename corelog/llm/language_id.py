@@ -17,6 +17,10 @@ from corelog.plans.ship import ship
 
 #: Labelled texts that training draws at most, of each language, the least by a hash of text.
 MAX_LABELLED = 400
+#: Labelled texts in all: many languages share them evenly, so the driver's matrix is bounded.
+MAX_ROWS = 16_000
+#: One of so many of a language's labelled texts is held out, to weigh the bits by how well their classifiers do on it.
+HOLD_OUT = 5
 #: Features are hashed byte n-grams of these lengths.
 ORDERS = (2, 3)
 BUCKETS = 1 << 13
@@ -48,12 +52,17 @@ def codewords(n: int, seed: int = 3) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """languages; code: (languages, bits); weight: (BUCKETS, bits); bias: (bits,)."""
+    """languages; code: (languages, bits); weight: (BUCKETS, bits); bias: (bits,); trust: (languages, bits), each row of mean 1."""
 
     languages: tuple[str, ...]
     code: np.ndarray
     weight: np.ndarray
     bias: np.ndarray
+    trust: np.ndarray
+
+
+def _nothing() -> Model:
+    return Model((), np.zeros((0, 1), np.int8), np.zeros((BUCKETS, 1), np.float32), np.zeros(1), np.zeros((0, 1)))
 
 
 def gram_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +99,7 @@ def train(df: DataFrame, *, text: str = "text", lang: str = "lang", per_language
 
     A bounded sample of per_language different texts each, copies counting once; whole texts are turned into n-gram shares
     by executors, numbers come back. Each bit is a logistic regression of the codewords' bit on the shares' square roots.
+    One in HOLD_OUT texts of each language doesn't train: on those, the bits are weighed (see bit_trust).
     """
     ship(df.sparkSession)
     rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
@@ -97,8 +107,9 @@ def train(df: DataFrame, *, text: str = "text", lang: str = "lang", per_language
     top = ranked.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()
     names = sorted(r["lang"] for r in top)
     if not names:
-        return Model((), np.zeros((0, 1), np.int8), np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
+        return _nothing()
     sizes = {r["lang"]: r["n"] for r in top}
+    per_language = min(per_language, max(HOLD_OUT, MAX_ROWS // len(names)))
     # A hash below this share leaves some 3 times as many as are wanted; where that is too few, all take part.
     cut = F.create_map(*[F.lit(x) for s in names for x in (s, min(1.0, (3 * per_language + 100) / sizes[s]))])
     share = (F.col("h") / F.lit(2.0**64)) + 0.5
@@ -123,18 +134,30 @@ def train(df: DataFrame, *, text: str = "text", lang: str = "lang", per_language
         got[r["lang"]].append((r["ids"], r["values"]))
     names = [s for s in names if got[s]]
     if not names:
-        return Model((), np.zeros((0, 1), np.int8), np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
+        return _nothing()
     x = np.zeros((sum(len(got[s]) for s in names), BUCKETS), np.float32)
     y = np.zeros(len(x), np.int64)
-    i = 0
-    for k, s in enumerate(names):
-        for ids, values in got[s]:
-            x[i, ids] = values
-            y[i] = k
-            i += 1
-    code = codewords(len(names))
-    weight, bias = fit_bits(x, code[y].astype(np.float32))
-    return Model(tuple(names), code, weight, bias)
+    rows = [(nth % HOLD_OUT == 0, k, row) for k, s in enumerate(names) for nth, row in enumerate(got[s], 1)]
+    rows.sort(key=lambda r: r[0])  # what trains comes first
+    for i, (_, k, (ids, values)) in enumerate(rows):
+        x[i, ids] = values
+        y[i] = k
+    code, m = codewords(len(names)), sum(not r[0] for r in rows)
+    weight, bias = fit_bits(x[:m], code[y[:m]].astype(np.float32))
+    return Model(tuple(names), code, weight, bias, bit_trust(x[m:] @ weight + bias, y[m:], code))
+
+
+def bit_trust(margins: np.ndarray, y: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """(languages, bits): how far each bit's classifier is to be trusted on each language, rows scaled to a mean of 1.
+
+    That is twice its accuracy on the language's held-out texts less 1, with one right and one wrong answer to everyone's
+    account beforehand, and a hundredth at least; without held-out texts all bits of a language count alike.
+    """
+    trust = np.empty(code.shape)
+    for k, word in enumerate(code):
+        right = (np.sign(margins[y == k]) == word).sum(0)
+        trust[k] = np.maximum(2 * (right + 1) / ((y == k).sum() + 2) - 1, 0.01)
+    return trust / trust.mean(1, keepdims=True)
 
 
 def fit_bits(x: np.ndarray, y: np.ndarray, *, steps: int = 150, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -151,9 +174,10 @@ def fit_bits(x: np.ndarray, y: np.ndarray, *, steps: int = 150, l2: float = 1e-4
     return w, b
 
 
-def decode(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(nearest codeword, relative lead over the next one) of rows of bit margins, by summed logistic loss."""
-    loss = np.logaddexp(0, -margins[:, None, :] * code[None]).sum(2)
+def decode(margins: np.ndarray, code: np.ndarray, trust: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest codeword, relative lead over the next one) of rows of bit margins: the least sum of logistic losses of the bits,
+    each weighted by the codeword's trust in that bit."""
+    loss = np.stack([np.logaddexp(0, -margins * word) @ w for word, w in zip(code.astype(float), trust, strict=True)], 1)
     best = loss.argmin(1)
     if code.shape[0] < 2:
         return best, np.ones(len(loss))
@@ -199,7 +223,7 @@ def identify(
                     weight = m.weight[keys % BUCKETS]
                     for k in range(margins.shape[1]):
                         margins[:, k] = np.bincount(rows, value * weight[:, k], len(part)) + m.bias[k]
-                    best, far = decode(margins, m.code)
+                    best, far = decode(margins, m.code, m.trust)
                     names = pa.array(np.array(m.languages, object)[best], pa.string(), mask=empty)
                 else:
                     far, names, empty = np.zeros(len(part)), pa.nulls(len(part), pa.string()), np.ones(len(part), bool)

@@ -29,18 +29,33 @@ def test_codewords_are_apart():
         assert (np.abs(m.sum(0)) < n).all()
 
 
-def test_decoding_is_the_least_loss():
+def test_decoding_is_the_least_weighted_loss():
     r = np.random.default_rng(2)
-    code, margins = li.codewords(7), r.normal(size=(50, li.codewords(7).shape[1]))
-    best, lead = li.decode(margins, code)
+    code = li.codewords(7)
+    margins, trust = r.normal(size=(50, code.shape[1])), r.uniform(0.1, 2, code.shape)
+    best, lead = li.decode(margins, code, trust)
     for i in range(50):
-        loss = [sum(np.log1p(np.exp(-m * b)) for m, b in zip(margins[i], word)) for word in code]
+        loss = [sum(t * np.log1p(np.exp(-m * b)) for m, b, t in zip(margins[i], word, w)) for word, w in zip(code, trust)]
         assert best[i] == int(np.argmin(loss)) and lead[i] >= 0
-    clean, _ = li.decode(code * 3.0, code)
-    assert list(clean) == list(range(7))
+    even = np.ones(code.shape)
+    assert list(li.decode(code * 3.0, code, even)[0]) == list(range(7))
     broken = code * 3.0
     broken[:, 0] *= -1  # one wrong classifier is corrected
-    assert list(li.decode(broken, code)[0]) == list(range(7))
+    assert list(li.decode(broken, code, even)[0]) == list(range(7))
+
+
+def test_bits_that_fail_on_a_language_count_less():
+    code = li.codewords(3)
+    y = np.repeat([0, 1], 40)
+    margins = code[y].astype(float)
+    margins[:40, 1] *= np.where(np.arange(40) % 2, 1, -1)  # bit 1 is a coin's throw on language 0
+    trust = li.bit_trust(margins, y, code)
+    assert np.allclose(trust.mean(1), 1) and trust[0, 1] < 0.1 * trust[0, 0]
+    assert np.allclose(trust[1], 1) and np.allclose(trust[2], 1)
+    # Two languages as near as each other by plain losses: the trusted bits decide.
+    wrong = code[[0]].astype(float)
+    wrong[:, 1] *= -8
+    assert li.decode(wrong, code, np.ones(code.shape))[0][0] != 0 and li.decode(wrong, code, trust)[0][0] == 0
 
 
 def test_grams_do_not_depend_on_neighbours():
@@ -65,6 +80,14 @@ def test_held_out_accuracy(spark, languages):
     assert np.mean([r["lead"] for r in got[204:]]) < np.mean([r["lead"] for r in clean])
 
 
+def test_query_on_held_out_documents(spark):
+    """Trained on the documents of even id, judged by the lang column of the others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["text"])
+    got = li.identify(docs.where("doc_id % 2 = 1"), li.train(docs.where("doc_id % 2 = 0")), keep=["lang"]).where("language IS NOT NULL").collect()
+    assert np.mean([r["lang"] == r["language"] for r in got]) > 0.9
+    assert np.mean([r["lang"] == r["language"] for r in got if not r["ambiguous"]]) > 0.95
+
+
 def test_copies_count_once(spark):
     some = rows(300, ["aa", "bb"], 4)
     df = spark.createDataFrame(some, DOCS)
