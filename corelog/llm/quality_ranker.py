@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corelog.llm.common import fresh, written
-from corelog.llm.signals import SIGNALS, with_signals
+from corelog.llm.common import fresh, row_key, written
+from corelog.llm.signals import BAG, SIGNALS, bag_of, split_words, with_signals
 
 #: Labelled rows of either class that training draws at most, the least by a hash of the id.
 MAX_LABELLED = 3000
@@ -17,6 +17,9 @@ MAX_LABELLED = 3000
 MAX_PAIRS = 20000
 #: Documents are rejected that score below this quantile of all labelled better documents' scores.
 QUANTILE = 0.001
+#: A bag's shares of words count by so much, and their weights are drawn to 0 by BAG_L2 (the signals' by a tenth of it).
+BAG_SCALE = 30.0
+BAG_L2 = 1e-2
 #: Scores are whole numbers of 1 / SCALE, so that sums and thresholds don't depend on the order of work.
 SCALE = 1000
 
@@ -26,18 +29,20 @@ class Ranker:
     """Score = weighted sum of features; the log-odds that one document is preferred to another are their difference.
 
     Each signal x, as ln(1 + x), gives three features: itself, how far it is above `high`, how far below `low`. So a
-    signal may count for much outside the range of good documents without counting inside it.
+    signal may count for much outside the range of good documents without counting inside it. The words themselves give
+    BAG more: each bucket's count over words + 20.
     """
 
     low: tuple[float, ...]
     high: tuple[float, ...]
     weight: tuple[float, ...]
+    bag: tuple[float, ...]
 
-    def column(self, signals: str) -> Column:
-        """The score, rounded to whole 1 / SCALE, as bigint; NULL where there are no signals."""
-        total = F.lit(0.0)
+    def column(self, value: str) -> Column:
+        """The score, rounded to whole 1 / SCALE, as bigint; NULL where there are no signals. value: of with_signals(weights)."""
+        total = F.col(value)["bag"]
         for i, (lo, hi) in enumerate(zip(self.low, self.high, strict=True)):
-            x = F.log1p(F.col(signals)[i].cast("double"))
+            x = F.log1p(F.col(value)["signals"][i].cast("double"))
             w = self.weight[3 * i : 3 * i + 3]
             total = total + x * w[0] + F.greatest(x - hi, F.lit(0.0)) * w[1] + F.greatest(lo - x, F.lit(0.0)) * w[2]
         return F.round(total * SCALE).cast("bigint")
@@ -46,82 +51,101 @@ class Ranker:
         x = np.log1p(signals.astype(float))
         return np.stack([x, np.maximum(x - self.high, 0), np.maximum(self.low - x, 0)], 2).reshape(len(x), -1)
 
-    def scores(self, signals: np.ndarray) -> np.ndarray:
-        return self.features(signals) @ np.array(self.weight)
+    def scores(self, signals: np.ndarray, bags: np.ndarray) -> np.ndarray:
+        return self.features(signals) @ np.array(self.weight) + bags @ np.array(self.bag)
 
 
-def fit_pairs(better: np.ndarray, worse: np.ndarray, *, pairs: int = MAX_PAIRS, steps: int = 100, l2: float = 1e-3, seed: int = 7) -> Ranker:
-    """Bradley-Terry weights: minimises mean log(1 + exp(-w (x_better - x_worse))) + l2 |w|^2 / 2 by Newton steps.
+def fit_pairs(better: tuple[np.ndarray, np.ndarray], worse: tuple[np.ndarray, np.ndarray], *, pairs: int = MAX_PAIRS, steps: int = 100, seed: int = 7) -> Ranker:
+    """Bradley-Terry weights: minimises mean log(1 + exp(-w (x_better - x_worse))) + sum of l2 w^2 / 2 by Newton steps.
 
-    better, worse: signals, one row a document. Without rows in one of them there is nothing to prefer: weights are 0.
+    better, worse: (signals, bags), one row a document. Without rows in one of them there is nothing to prefer: weights are 0.
     """
-    k = better.shape[1] if better.ndim == 2 else len(SIGNALS)
-    if not len(better) or not len(worse):
-        return Ranker((0.0,) * k, (0.0,) * k, (0.0,) * 3 * k)
-    low, high = np.quantile(np.log1p(better.astype(float)), [0.01, 0.99], axis=0)
-    plain = Ranker(tuple(low.tolist()), tuple(high.tolist()), (0.0,) * 3 * k)
-    x, y = plain.features(better), plain.features(worse)
+    k = len(SIGNALS)
+    if not len(better[0]) or not len(worse[0]):
+        return Ranker((0.0,) * k, (0.0,) * k, (0.0,) * 3 * k, (0.0,) * BAG)
+    low, high = np.quantile(np.log1p(better[0].astype(float)), [0.01, 0.99], axis=0)
+    plain = Ranker(tuple(low.tolist()), tuple(high.tolist()), (0.0,) * 3 * k, (0.0,) * BAG)
+    x, y = plain.features(better[0]), plain.features(worse[0])
     sd = np.maximum(np.concatenate([x, y]).std(0), 1e-3)
     rng = np.random.default_rng(seed)
-    d = (x[rng.integers(0, len(x), pairs)] - y[rng.integers(0, len(y), pairs)]) / sd
-    w = np.zeros(3 * k)
-    loss = lambda v: np.mean(np.logaddexp(0, -d @ v)) + l2 * v @ v / 2
+    i, j = rng.integers(0, len(x), pairs), rng.integers(0, len(y), pairs)
+    d = np.concatenate([(x[i] - y[j]) / sd, (better[1][i] - worse[1][j]) * BAG_SCALE], 1)
+    l2 = np.concatenate([np.full(3 * k, BAG_L2 / 10), np.full(BAG, BAG_L2)])
+    w = np.zeros(d.shape[1])
+    loss = lambda v: np.mean(np.logaddexp(0, -d @ v)) + l2 @ v**2 / 2
     for _ in range(steps):
         p = 1 / (1 + np.exp(np.clip(d @ w, -50, 50)))
         grad = -(p @ d) / len(d) + l2 * w
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + l2 * np.eye(len(w)), grad)
+        root = d * np.sqrt(p * (1 - p))[:, None]
+        step = np.linalg.solve(root.T @ root / len(d) + np.diag(l2), grad)
         size = 1.0
         while size > 1e-6 and loss(w - size * step) > loss(w):
             size /= 2
         w = w - size * step
         if np.abs(size * step).max() < 1e-9:
             break
-    return Ranker(plain.low, plain.high, tuple((w / sd).tolist()))
+    return Ranker(plain.low, plain.high, tuple((w[: 3 * k] / sd).tolist()), tuple((w[3 * k :] * BAG_SCALE).tolist()))
 
 
-def train(df: DataFrame, labels: DataFrame, *, text: str = "text", quantile: float = QUANTILE) -> tuple[Ranker, int | None]:
-    """The ranker, and the score below which documents are rejected (None: nothing is rejected).
-
-    labels: (doc_id, quality); quality 1 is preferred to 0, rows with NULLs are left out, as are documents that have both labels.
-    A bounded sample of MAX_LABELLED a class trains; the threshold is the exact quantile over all labelled better documents.
-    """
+def preferences(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of the labelled ids of df: rows with NULLs are left out, as are documents that have both labels."""
     said = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
-    said = said.where("quality = other").select("doc_id", "quality")
-    scored, s = with_signals(df.select(F.col("doc_id"), F.col(text).alias("text")), "text")
-    known = written(scored.select("doc_id", F.col(s).alias("signals")).where(F.col("signals").isNotNull()).join(said, "doc_id").dropDuplicates(["doc_id", "signals"]), "labelled")
+    return said.where("quality = other").select("doc_id", "quality").join(df.select("doc_id"), "doc_id", "left_semi")
 
-    def sample(q: int) -> np.ndarray:
-        rows = known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "signals").limit(MAX_LABELLED)
-        return np.array([r[0] for r in rows.select("signals").collect()], np.int64).reshape(-1, len(SIGNALS))
 
-    ranker = fit_pairs(sample(1), sample(0))
-    if not any(ranker.weight):
-        return ranker, None
+def train(df: DataFrame, said: DataFrame, *, text: str = "text") -> Ranker:
+    """The ranker, from a bounded sample of MAX_LABELLED documents of either class (see preferences); quality 1 is preferred to 0.
+
+    Only the sample's texts are looked at: their ids, few by that bound, are broadcast to the scan.
+    """
+    order = F.xxhash64("doc_id", F.lit(11))
+    ids = said.where("quality = 1").orderBy(order, "doc_id").limit(MAX_LABELLED).unionByName(said.where("quality = 0").orderBy(order, "doc_id").limit(MAX_LABELLED))
+    ids = written(ids, "drawn")
+    rows = df.select("doc_id", F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
+    rows = written(rows.select("doc_id", "quality", "text", row_key().alias("key")).dropDuplicates(["key"]), "sample")
+    scored, s = with_signals(rows, "text")
+    docs = scored.select("key", "quality", F.col(s).alias("signals")).orderBy("doc_id", "key").toPandas()
+    words = rows.select("key", F.explode(split_words(F.col("text"))).alias("word"))
+    counts = words.groupBy("key", bag_of(F.col("word")).alias("bucket")).agg(F.count("*").alias("n")).toPandas()
+    at = {k: i for i, k in enumerate(docs["key"])}
+    bags = np.zeros((len(docs), BAG))
+    if len(counts):
+        bags[counts["key"].map(at).to_numpy(), counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+    bags /= bags.sum(1, keepdims=True) + 20
+    signals = np.array(docs["signals"].tolist(), np.int64).reshape(-1, len(SIGNALS))
+    good = docs["quality"].to_numpy() == 1
+    return fit_pairs((signals[good], bags[good]), (signals[~good], bags[~good]))
+
+
+def threshold(scored: DataFrame, said: DataFrame, quantile: float = QUANTILE) -> int | None:
+    """The exact quantile of the scores of all labelled better documents; None without any. scored: (doc_id, score)."""
     # Whole-number scores: a histogram of their counts is small, merges exactly and gives the exact order statistic.
-    counts = known.where("quality = 1").groupBy(ranker.column("signals").alias("score")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0]
-    if not total:
-        return ranker, None
-    below = counts.select("score", "n").orderBy("score").toPandas()
-    at = int(np.searchsorted(np.cumsum(below["n"].to_numpy()), max(1, int(np.ceil(quantile * total)))))
-    return ranker, int(below["score"].iloc[at])
+    known = scored.where("score IS NOT NULL").distinct().join(said.where("quality = 1"), "doc_id")
+    below = known.groupBy("score").agg(F.count("*").alias("n")).orderBy("score").toPandas()
+    if below.empty:
+        return None
+    at = int(np.searchsorted(np.cumsum(below["n"].to_numpy()), max(1, int(np.ceil(quantile * below["n"].sum())))))
+    return int(below["score"].iloc[at])
 
 
 def filter_ranked(df: DataFrame, labels: DataFrame, *, text: str = "text", score: str | None = "score", quantile: float = QUANTILE) -> DataFrame:
     """The rows of df that score at least the threshold: df's columns, and the score if it is given a name.
 
-    A first scan gives the labelled documents' signals (numbers only are shuffled), a second one scores all rows: no
-    shuffle there. NULL text: score NULL, the row stays (nothing speaks against it); an empty text has signals
-    0, 0, 0, 0, 5000. Ties at the threshold stay. Repeated rows are judged each. Without labels of both classes every row
-    stays with score 0. Empty table: empty result. If df has a column of the score's name, ValueError is raised; other
-    extra columns pass through.
+    One scan takes the sample that trains, a second one scores all rows and writes them with their scores to the shared
+    folder; what stays is read from there, so signals are computed once. Only ids, labels and scores are shuffled.
+    NULL text: score NULL, the row stays (nothing speaks against it); an empty text has signals
+    0, 0, 0, 0, 5000 and no words. Ties at the threshold stay. Repeated rows are judged each. Without labels of both classes
+    every row stays with score 0. Empty table: empty result. If df has a column of the score's name, ValueError is raised;
+    other extra columns pass through.
     """
     if score and score.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"column exists already: {score}")
-    ranker, least = train(df, labels, text=text, quantile=quantile)
-    scored, s = with_signals(df, text)
+    said = written(preferences(df, labels), "said")
+    ranker = train(df, said, text=text)
+    scored, s = with_signals(df, text, list(ranker.bag))
     (name,) = fresh(scored, "score")
-    out = scored.withColumn(name, ranker.column(s)).drop(s)
+    out = written(scored.withColumn(name, ranker.column(s)).drop(s), "scored")
+    least = threshold(out.select("doc_id", F.col(name).alias("score")), said, quantile) if any(ranker.weight) else None
     if least is not None:
         out = out.where(F.col(name).isNull() | (F.col(name) >= least))
     return out.withColumnRenamed(name, score) if score else out.drop(name)
