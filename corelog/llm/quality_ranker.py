@@ -69,15 +69,20 @@ def fit_pairs(better: tuple[np.ndarray, np.ndarray], worse: tuple[np.ndarray, np
     sd = np.maximum(np.concatenate([x, y]).std(0), 1e-3)
     rng = np.random.default_rng(seed)
     i, j = rng.integers(0, len(x), pairs), rng.integers(0, len(y), pairs)
-    d = np.concatenate([(x[i] - y[j]) / sd, (better[1][i] - worse[1][j]) * BAG_SCALE], 1)
+    x, y = (np.concatenate([f / sd, bag * BAG_SCALE], 1) for f, bag in ((x, better[1]), (y, worse[1])))
     l2 = np.concatenate([np.full(3 * k, BAG_L2 / 10), np.full(BAG, BAG_L2)])
-    w = np.zeros(d.shape[1])
-    loss = lambda v: np.mean(np.logaddexp(0, -d @ v)) + l2 @ v**2 / 2
+    w = np.zeros(x.shape[1])
+    lead = lambda v: (x @ v)[i] - (y @ v)[j]
+    loss = lambda v: np.mean(np.logaddexp(0, -lead(v))) + l2 @ v**2 / 2
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -50, 50)))
-        grad = -(p @ d) / len(d) + l2 * w
-        root = d * np.sqrt(p * (1 - p))[:, None]
-        step = np.linalg.solve(root.T @ root / len(d) + np.diag(l2), grad)
+        p = 1 / (1 + np.exp(np.clip(lead(w), -50, 50)))
+        grad = (np.bincount(j, p, len(y)) @ y - np.bincount(i, p, len(x)) @ x) / pairs + l2 * w
+        curve = np.diag(l2)
+        for a in range(0, pairs, 2000):  # differences of a few pairs at a time
+            q = p[a : a + 2000]
+            root = (x[i[a : a + 2000]] - y[j[a : a + 2000]]) * np.sqrt(q * (1 - q) / pairs)[:, None]
+            curve = curve + root.T @ root
+        step = np.linalg.solve(curve, grad)
         size = 1.0
         while size > 1e-6 and loss(w - size * step) > loss(w):
             size /= 2
