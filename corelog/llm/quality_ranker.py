@@ -109,16 +109,17 @@ def train(df: DataFrame, said: DataFrame, *, text: str = "text") -> Ranker:
     rows = df.select("doc_id", F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
     rows = written(rows.select("doc_id", "quality", "text", row_key().alias("key")).dropDuplicates(["key"]), "sample")
     scored, s = with_signals(rows, "text")
-    docs = scored.select("key", "quality", F.col(s).alias("signals")).orderBy("doc_id", "key").toPandas()
+    docs = scored.select("key", "quality", F.col(s).alias("signals")).orderBy("doc_id", "key").toArrow()
     words = rows.select("key", F.explode(split_words(F.col("text"))).alias("word"))
-    counts = words.groupBy("key", bag_of(F.col("word")).alias("bucket")).agg(F.count("*").alias("n")).toPandas()
-    at = {k: i for i, k in enumerate(docs["key"])}
-    bags = np.zeros((len(docs), BAG))
-    if len(counts):
-        bags[counts["key"].map(at).to_numpy(), counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+    counts = words.groupBy("key", bag_of(F.col("word")).alias("bucket")).agg(F.count("*").cast("int").alias("n")).toArrow()
+    keys = np.asarray(docs["key"])
+    order = np.argsort(keys)
+    bags = np.zeros((len(keys), BAG))
+    if len(keys):
+        bags[order[np.searchsorted(keys[order], np.asarray(counts["key"]))], np.asarray(counts["bucket"])] = np.asarray(counts["n"])
     bags /= bags.sum(1, keepdims=True) + 20
-    signals = np.array(docs["signals"].tolist(), np.int64).reshape(-1, len(SIGNALS))
-    good = docs["quality"].to_numpy() == 1
+    signals = np.asarray(docs["signals"].combine_chunks().flatten(), dtype=np.int64).reshape(-1, len(SIGNALS))
+    good = np.asarray(docs["quality"]) == 1
     return fit_pairs((signals[good], bags[good]), (signals[~good], bags[~good]))
 
 
