@@ -73,6 +73,28 @@ def test_tree_merges_like_a_plain_loop():
         assert np.frombuffer(ids, np.int32).tolist() == naive(w, ranks)
 
 
+@pytest.mark.parametrize("limits", [(64, 2048), (4, 8), (10**9, 2)])
+def test_long_words_are_cut_and_merged_alone(vocabulary, public, monkeypatch, limits):
+    monkeypatch.setattr(bpe, "CUT_ABOVE", limits[0])
+    monkeypatch.setattr(bpe, "SCALAR_WIDTH", limits[1])
+    r = random.Random(9)
+    words = ["".join(r.choice(s) for _ in range(n)) for s in ("abcdefghijklmnopqrstuvwxyz", "QZXJqzxj", "a") for n in (2, 3, 65, 700, 3000)]
+    for w, ids in zip(words, bpe.encode_words([w.encode() for w in words], vocabulary)):
+        assert np.frombuffer(ids, np.int32).tolist() == public.encode_ordinary(w)
+
+
+def test_a_word_of_80000_letters_takes_seconds_at_most(vocabulary, public):
+    import time
+
+    r = random.Random(1)
+    word = "".join(r.choice("etaoinshrdlu") for _ in range(80_000))
+    began = time.process_time()
+    ids = np.frombuffer(bpe.encode_words([word.encode()], vocabulary)[0], np.int32)
+    assert time.process_time() - began < 5
+    assert vocabulary.decode(ids, np.array([0, len(ids)]))[0].tobytes().decode() == word
+    assert ids[:1000].tolist() == public.encode_ordinary(word)[:1000]
+
+
 def test_round_trip_on_a_table(spark, vocabulary):
     data = [(i, t, "x") for i, t in enumerate(texts(3, 80))]
     data += [(None, "no id", None), (900, None, "x"), data[0]]
