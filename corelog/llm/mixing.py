@@ -25,15 +25,18 @@ CHUNK = 4096
 
 
 class Flow:
-    """Min-cost flow by successive shortest paths (Bellman-Ford on queues, whole-number capacities and costs)."""
+    """Min-cost flow by the primal-dual method: shortest distances by Dijkstra on reduced costs, then a blocking flow along
+    all shortest paths at once. Whole-number capacities and costs; there are as many rounds as path costs differ."""
 
     def __init__(self):
         self.to: list[int] = []
         self.cap: list[int] = []
         self.cost: list[int] = []
-        self.out: dict[int, list[int]] = defaultdict(list)
+        self.out: list[list[int]] = []
 
     def add(self, u: int, v: int, cap: int, cost: int) -> int:
+        while len(self.out) <= max(u, v):
+            self.out.append([])
         for a, b, c, w in ((u, v, cap, cost), (v, u, 0, -cost)):
             self.out[a].append(len(self.to))
             self.to.append(b)
@@ -42,39 +45,84 @@ class Flow:
         return len(self.to) - 2
 
     def run(self, s: int, t: int) -> tuple[int, int]:
-        """(flow, cost). Potentials keep reduced costs at 0 or more, so each path is Dijkstra's."""
-        potential: dict[int, int] = defaultdict(int)
-        flow = cost = 0
+        """(flow, cost). Potentials keep reduced costs at 0 or more."""
+        n, to, cap, cost, out = len(self.out), self.to, self.cap, self.cost, self.out
+        potential = [0] * n
+        flow = total = 0
+        if not n or max(s, t) >= n:
+            return 0, 0
         while True:
-            dist, via, done = {s: 0}, {}, set()
-            heap = [(0, s)]
+            dist: list[int | None] = [None] * n
+            dist[s] = 0
+            heap, done = [(0, s)], [False] * n
             while heap:
                 d, u = heapq.heappop(heap)
-                if u in done:
+                if done[u]:
                     continue
-                done.add(u)
-                for e in self.out[u]:
-                    v = self.to[e]
-                    if self.cap[e] and v not in done:
-                        n = d + self.cost[e] + potential[u] - potential[v]
-                        if n < dist.get(v, n + 1):
-                            dist[v], via[v] = n, e
-                            heapq.heappush(heap, (n, v))
-            if t not in dist:
-                return flow, cost
-            far = dist[t]
-            for v, d in dist.items():
-                potential[v] += min(d, far) - far
-            path, v = [], t
-            while v != s:
-                path.append(via[v])
-                v = self.to[via[v] ^ 1]
-            push = min(self.cap[e] for e in path)
-            for e in path:
-                self.cap[e] -= push
-                self.cap[e ^ 1] += push
-                cost += push * self.cost[e]
-            flow += push
+                done[u] = True
+                base = d + potential[u]
+                for e in out[u]:
+                    if cap[e] and not done[to[e]]:
+                        v = to[e]
+                        far = base + cost[e] - potential[v]
+                        if dist[v] is None or far < dist[v]:
+                            dist[v] = far
+                            heapq.heappush(heap, (far, v))
+            if dist[t] is None:
+                return flow, total
+            for v in range(n):
+                potential[v] += dist[t] if dist[v] is None else min(dist[v], dist[t])
+            pushed = self._shortest(s, t, potential)
+            flow += pushed
+            total += pushed * (potential[t] - potential[s])
+
+    def _shortest(self, s: int, t: int, potential: list[int]) -> int:
+        """The greatest flow along arcs of reduced cost 0, by levels."""
+        to, cap, cost, out = self.to, self.cap, self.cost, self.out
+        flow = 0
+        while True:
+            level = {s: 0}
+            front = [s]
+            while front and t not in level:
+                nxt = []
+                for u in front:
+                    for e in out[u]:
+                        v = to[e]
+                        if cap[e] and v not in level and cost[e] + potential[u] == potential[v]:
+                            level[v] = level[u] + 1
+                            nxt.append(v)
+                front = nxt
+            if t not in level:
+                return flow
+            at = dict.fromkeys(level, 0)
+            path: list[int] = []
+            u = s
+            while True:
+                if u == t:
+                    push = min(cap[e] for e in path)
+                    flow += push
+                    for e in path:
+                        cap[e] -= push
+                        cap[e ^ 1] += push
+                    k = next(i for i, e in enumerate(path) if not cap[e])
+                    u = to[path[k] ^ 1]
+                    del path[k:]
+                    continue
+                arcs = out[u]
+                while at[u] < len(arcs):
+                    e = arcs[at[u]]
+                    v = to[e]
+                    if cap[e] and level.get(v) == level[u] + 1 and cost[e] + potential[u] == potential[v]:
+                        break
+                    at[u] += 1
+                if at[u] < len(arcs):
+                    path.append(arcs[at[u]])
+                    u = to[path[-1]]
+                elif path:
+                    u = to[path.pop() ^ 1]
+                    at[u] += 1
+                else:
+                    break
 
 
 def route(tokens: dict[tuple[str, ...], int], quotas: dict[str, int], epochs: int = EPOCHS, costs: tuple[int, ...] = COSTS) -> dict[tuple[str, ...], dict[str, int]]:
@@ -123,7 +171,13 @@ def _fraction(seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("content"))), 1, 13), 16, 10).cast("bigint")
 
 
-def mix(
+def mix(df: DataFrame, **options) -> DataFrame:
+    """(doc_key, source, copies): the selected documents, the quota that each copy counts for, and how often it is used there.
+    See chosen_rows, whose options and cases these are."""
+    return chosen_rows(df, **options).drop("rows")
+
+
+def chosen_rows(
     df: DataFrame,
     *,
     weights: dict[str, float] | None = None,
@@ -132,7 +186,8 @@ def mix(
     text: str = "text",
     source: str = "source",
 ) -> DataFrame:
-    """(doc_key, source, copies): the selected documents, the quota that each copy counts for, and how often it is used there.
+    """(doc_key, source, copies, rows): the selected documents, the quota that each copy counts for, how often it is used there,
+    and how many rows of df have that key and source.
 
     Documents of equal text are one content; the set of sources in which it stands is its membership pattern. Tokens are
     words between white space. The budget is that share of all contents' tokens; weights are the share of each source in
@@ -154,8 +209,9 @@ def mix(
         F.md5(c).alias("content"),
         words.cast("bigint").alias("tokens"),
     ).where("tokens > 0")
-    seats = rows.groupBy("content", "source").agg(F.min("doc_key").alias("doc_key"), F.first("tokens").alias("tokens"))
-    contents = seats.groupBy("content").agg(F.first("tokens").alias("tokens"), F.array_sort(F.collect_list(F.struct("source", "doc_key"))).alias("seats"))
+    once = rows.groupBy("content", "source", "doc_key").agg(F.first("tokens").alias("tokens"), F.count("*").alias("rows"))
+    seats = once.groupBy("content", "source").agg(F.min(F.struct("doc_key", "rows")).alias("seat"), F.first("tokens").alias("tokens"))
+    contents = seats.groupBy("content").agg(F.first("tokens").alias("tokens"), F.array_sort(F.collect_list(F.struct("source", "seat.doc_key", "seat.rows"))).alias("seats"))
     contents = written(contents.select("content", "tokens", "seats", F.col("seats.source").alias("pattern")), "contents")
     groups = contents.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
     found = groups.limit(MAX_PATTERNS + 1).collect()
@@ -188,24 +244,27 @@ def mix(
     dealt = at.join(small(written(plan, "plan")), "pattern").withColumn("copies", F.expr("(end - at + total - 1) DIV total - (begin - at + total - 1) DIV total"))
     # DIV rounds towards 0; both numerators are at least 0 as at < total.
     dealt = dealt.where("copies > 0")
-    seat = F.element_at(F.filter("seats", lambda x: x["source"] == F.col("source")), 1)["doc_key"]
-    return dealt.select(seat.alias("doc_key"), "source", "copies")
+    seat = F.element_at(F.filter("seats", lambda x: x["source"] == F.col("source")), 1)
+    return dealt.select(seat["doc_key"].alias("doc_key"), "source", "copies", seat["rows"].alias("rows"))
 
 
 def mix_documents(df: DataFrame, *, text: str = "text", source: str = "source", copies: str | None = "copies", **options) -> DataFrame:
     """The rows of df that mix() selects: df's columns, and the number of uses if it is given a name.
 
     Rows that are not selected go. Without a name for the uses, a row stands as often as it is used. Selected rows keep
-    all their values. Repeated rows: one of them is used. Cases are as in mix(). A clash of names raises ValueError.
+    all their values: the row is that of the source whose quota it fills. Of rows with equal id, text and source one is
+    used, the least by its values as JSON. Cases are as in chosen_rows(). A clash of names raises ValueError.
     """
     if copies and copies.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"column exists already: {copies}")
-    key, used, nth = fresh(df, "key", "used", "nth")
-    chosen = mix(df, text=text, source=source, **options).groupBy(F.col("doc_key").alias(key)).agg(F.sum("copies").alias(used))
-    keyed = df.withColumn(key, row_key(text=text))
-    out = keyed.join(small(written(chosen, "chosen")), key)
-    if df.count() != keyed.select(key).distinct().count():
-        out = out.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(source))).where(F.col(nth) == 1)
+    key, at, used, rows, nth = fresh(df, "key", "at", "used", "rows", "nth")
+    chosen = written(chosen_rows(df, text=text, source=source, **options), "chosen").toDF(key, at, used, rows)
+    keyed = df.withColumns({key: row_key(text=text), at: F.coalesce(F.col(source).cast("string"), F.lit(""))})
+    out = keyed.join(small(chosen), [key, at])
+    # Repeated rows alone are ranked; they are few or none as a rule, and so is what is shuffled for it.
+    w = Window.partitionBy(key, at).orderBy(F.to_json(F.struct(*df.columns)))
+    again = out.where(F.col(rows) > 1).withColumn(nth, F.row_number().over(w)).where(F.col(nth) == 1).drop(nth)
+    out = out.where(F.col(rows) == 1).unionByName(again) if chosen.where(F.col(rows) > 1).limit(1).count() else out
     if copies:
-        return out.select(*df.columns, F.col(used).alias(copies))
-    return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(used)))).select(*df.columns)
+        return out.select(*df.columns, F.col(used).cast("bigint").alias(copies))
+    return out.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(used).cast("bigint")))).select(*df.columns)

@@ -117,6 +117,38 @@ def test_shares_follow_the_weights(spark):
     assert all(abs(by[s] / sum(by.values()) - w) < 0.05 for s, w in weights.items())
 
 
+def test_many_patterns_are_routed_in_a_minute():
+    import time
+
+    r = random.Random(5)
+    names = [f"s{i}" for i in range(40)]
+    patterns = {tuple(sorted(r.sample(names, r.randrange(1, 5)))) for _ in range(12_000)}
+    tokens = {p: r.randrange(1, 10_000) for p in patterns}
+    by = Counter()
+    for p, n in tokens.items():
+        for s in p:
+            by[s] += n
+    quotas = mixing.quotas(dict(by), None, sum(tokens.values()))
+    began = time.process_time()
+    routed = mixing.route(tokens, quotas)
+    assert time.process_time() - began < 60
+    got = Counter()
+    for x in routed.values():
+        got.update(x)
+    assert got == Counter(quotas)
+
+
+def test_the_row_of_the_assigned_source_stays(spark):
+    rows = [(1, "one two three", "a", 7), (1, "one two three", "b", 8), (2, "four five", "a", 1), (2, "four five", "a", 1), (3, "six", "b", 2), (3, "six", "b", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    for weights in ({"a": 1.0}, {"b": 1.0}):
+        want = {(r["source"], r["copies"]) for r in mixing.mix(df, weights=weights).collect()}
+        got = mixing.mix_documents(df, copies="uses", weights=weights).collect()
+        assert {r["source"] for r in got} == {s for s, _ in want} == set(weights)
+        assert len({(r["doc_id"], r["source"]) for r in got}) == len(got)
+        assert all(r["copies"] == 1 for r in got if r["doc_id"] == 3)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], DOCS)
     assert mixing.mix_documents(empty, copies="n").count() == 0
