@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 def _lean() -> None:
@@ -31,9 +31,12 @@ SLICE_BYTES = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs on one
+    machine (tests). On a cluster the setting is needed: ValueError without it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="corelog-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -43,17 +46,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a row group of written tables: a task that writes holds one in memory.
+ROW_GROUP = 32 << 20
 #: A written table of up to so many rows of a few numbers (some 16 MB) is broadcast.
 BROADCAST_ROWS = 500_000
 
 
-def small(table: DataFrame) -> DataFrame:
-    """A written table of short rows with a broadcast hint if its rows are counted to be few; joined by shuffle otherwise."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+def small(table: DataFrame, weight: Column | None = None) -> DataFrame:
+    """A written table of short rows with a broadcast hint if its rows are counted to be few; joined by shuffle otherwise.
+
+    weight: what a row counts, in rows of some 30 bytes, where rows hold arrays.
+    """
+    size = table.count() if weight is None else table.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_ROWS else table
 
 
 def fresh(df: DataFrame, *stems: str) -> list[str]:
@@ -114,14 +123,17 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's base and of its inverse modulo 2^64, kept by the worker."""
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        m = max(n, 1 << 16)
-        for k, b in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(m, b, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+    """Powers of the hash's base and of its inverse modulo 2^64; the worker keeps those that usual slices need."""
+    if "up" in _POWERS and len(_POWERS["up"]) >= n:
+        return _POWERS["up"][:n], _POWERS["down"][:n]
+    made = []
+    for b in (_BASE, _INVERSE):
+        p = np.full(max(n, 1 << 16), b, np.uint64)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
+    if n <= 4 * SLICE_BYTES:
+        _POWERS["up"], _POWERS["down"] = made
+    return made[0][:n], made[1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corelog.llm.common import fresh, row_key, small, written
@@ -18,12 +18,10 @@ DEPTH = 3
 SIMILARITY = 0.6
 #: A template that stands in so many documents is dropped from all but the first of them.
 MIN_DOCS = 5
-#: Every line that isn't empty takes part.
-MIN_TOKENS = 1
 #: What stands for a variable field.
 FIELD = "<*>"
 
-_FOUND = "doc_key long, pos int"
+_FOUND = "leaf long, line string, first_key long"
 
 
 def _spaced(text: Column) -> Column:
@@ -47,8 +45,8 @@ def _lines(text: Column) -> Column:
     return F.transform(line, lambda p: F.struct(p["line"].alias("line"), F.split(p["line"], " ").alias("tokens"), p["whole"].alias("whole")))
 
 
-def parse_leaf(lines: list[list[str]], similarity: float = SIMILARITY) -> list[int]:
-    """The template number of each line of one leaf; lines have equal token counts.
+def parse_leaf(lines: list[list[str]], similarity: float = SIMILARITY, times: list[int] | None = None) -> list[int]:
+    """The template number of each line of one leaf; lines have equal token counts. times: how often each stands (default: once).
 
     Lines are taken from the most frequent to the least, equal ones together and ties in text order, so the result
     doesn't depend on the order of rows. A line joins the template with which it shares most tokens by place (a template's
@@ -56,9 +54,9 @@ def parse_leaf(lines: list[list[str]], similarity: float = SIMILARITY) -> list[i
     token is not a field; tokens that differ become fields. Otherwise it founds a template.
     """
     counts: dict[tuple[str, ...], int] = {}
-    for x in lines:
+    for x, n in zip(lines, times or [1] * len(lines), strict=True):
         t = tuple(x)
-        counts[t] = counts.get(t, 0) + 1
+        counts[t] = counts.get(t, 0) + n
     order = sorted(counts, key=lambda t: (-counts[t], t))
     if len(order) == 1:
         return [0] * len(lines)
@@ -90,32 +88,34 @@ def parse_leaf(lines: list[list[str]], similarity: float = SIMILARITY) -> list[i
 
 
 def _recurring(min_docs: int, similarity: float):
-    """Lines sorted by leaf: those whose template stands in min_docs documents, but for the first document's."""
-
-    def leaf(keys: np.ndarray, ranks: np.ndarray, pos: np.ndarray, lines: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-        if len(np.unique(keys)) < min_docs:
-            return keys[:0], pos[:0]
-        template = np.array(parse_leaf([x.split(" ") for x in lines.to_pylist()], similarity))
-        gone = np.zeros(len(keys), bool)
-        for t in np.unique(template):
-            rows = np.flatnonzero(template == t)
-            if len(np.unique(keys[rows])) >= min_docs:
-                first = min(rows, key=lambda i: (ranks[i], keys[i]))
-                gone[rows] = keys[rows] != keys[first]
-        return keys[gone], pos[gone]
+    """Distinct lines sorted by leaf: those whose template stands in min_docs documents, with the first document that has it."""
+
+    def leaf(lines: list[str], times: list[int], firsts: list[dict], docs: list[list[int]]) -> Iterator[tuple[str, int]]:
+        template = parse_leaf([x.split(" ") for x in lines], similarity, times)
+        members: dict[int, list[int]] = {}
+        for i, t in enumerate(template):
+            members.setdefault(t, []).append(i)
+        for rows in members.values():
+            # Each line names min_docs of its documents at most: enough to tell whether all of them are so many.
+            if len(set().union(*(docs[i] for i in rows))) >= min_docs:
+                first = min((firsts[i]["id_rank"], firsts[i]["doc_key"]) for i in rows)[1]
+                for i in rows:
+                    yield lines[i], first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def finish(table: pa.Table) -> Iterator[pa.RecordBatch]:
             leaves = np.asarray(table["leaf"])
-            heads = np.flatnonzero(np.concatenate([[True], leaves[1:] != leaves[:-1]]))
+            heads = np.flatnonzero(np.concatenate([[True], leaves[1:] != leaves[:-1]])) if len(leaves) else np.zeros(0, np.int64)
             sizes = np.diff(np.append(heads, len(leaves)))
-            keys, ranks, pos = np.asarray(table["doc_key"]), np.asarray(table["id_rank"]), np.asarray(table["pos"])
-            found = [(keys[:0], pos[:0])]
-            for h, s in zip(heads[sizes >= min_docs].tolist(), sizes[sizes >= min_docs].tolist(), strict=True):
-                found.append(leaf(keys[h : h + s], ranks[h : h + s], pos[h : h + s], table["line"].slice(h, s)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["doc_key", "pos"])
+            out: list[tuple[int, str, int]] = []
+            for h, s in zip(heads.tolist(), sizes.tolist(), strict=True):
+                part = table.slice(h, s)
+                found = leaf(*(part[c].to_pylist() for c in ("line", "n", "first", "docs")))
+                out += [(int(leaves[h]), line, first) for line, first in found]
+            cols = list(zip(*out, strict=True)) if out else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["leaf", "line", "first_key"])
 
         for batch in batches:
             leaves = np.asarray(batch.column(0))
@@ -137,19 +137,31 @@ def _recurring(min_docs: int, similarity: float):
 def recurring_lines(df: DataFrame, *, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """(doc_key, pos): the lines (by number, from 0) that drop_lines takes out.
 
-    The tree's path is the token count and the first DEPTH tokens, variable fields masked; lines go to the leaf that
-    their path's hash names, in one shuffle. Lines of fewer tokens have a shorter path; empty lines have none. A line of
-    fields alone is a leaf of its own, shared with equal lines only.
+    The tree's path is the token count and the first DEPTH tokens, variable fields masked, named by its hash. Lines of fewer
+    tokens have a shorter path; empty lines have none. A line of fields alone is a leaf of its own, shared with equal
+    lines only.
+
+    All lines are written once, and read by column. Leaves with fewer lines than min_docs can't recur: their lines don't
+    travel. Equal lines are counted before the shuffle, with their first document and min_docs of their documents, so
+    a line that a third of all documents share is one row; a task parses a leaf's distinct lines. What recurs is joined to
+    the written lines' hashes (of 2 x 64 bits).
     """
     ship(df.sparkSession)
     rank = F.coalesce(F.col(doc).cast("long"), F.lit(2**63 - 1))
     # What a generator returns isn't computed again by the filter and the hash above it.
     lines = df.where(F.col(text).isNotNull()).select(row_key(doc, text).alias("doc_key"), rank.alias("id_rank"), F.posexplode(_lines(F.col(text))).alias("pos", "l"))
-    cut = lines.where((F.col("l.line") != "") & (F.size("l.tokens") >= MIN_TOKENS))
+    cut = lines.where(F.col("l.line") != "")
     path = F.when(F.col("l.whole"), F.xxhash64(F.lit(0), "l.line")).otherwise(F.xxhash64(F.size("l.tokens"), F.slice("l.tokens", 1, DEPTH)))
-    cut = cut.select(path.alias("leaf"), "doc_key", "id_rank", "pos", "l.line")
-    sorted_by_leaf = cut.repartition("leaf").sortWithinPartitions("leaf")
-    return sorted_by_leaf.mapInArrow(_recurring(min_docs, similarity), _FOUND)
+    cut = written(cut.select(path.alias("leaf"), F.xxhash64("l.line", F.lit(7)).alias("line_key"), "doc_key", "id_rank", "pos", "l.line"), "cut")
+    leaves = written(cut.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
+    some = cut.join(small(leaves), "leaf", "left_semi")
+    counted = some.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min(F.struct("id_rank", "doc_key")).alias("first"))
+    nth = F.dense_rank().over(Window.partitionBy("leaf", "line").orderBy("doc_key"))
+    docs = some.select("leaf", "line", "doc_key", nth.alias("nth")).where(F.col("nth") <= min_docs).groupBy("leaf", "line").agg(F.collect_set("doc_key").alias("docs"))
+    distinct = counted.join(docs, ["leaf", "line"]).select("leaf", "line", "n", "first", "docs")
+    found = distinct.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_recurring(min_docs, similarity), _FOUND)
+    found = written(found.select("leaf", F.xxhash64("line", F.lit(7)).alias("line_key"), "first_key"), "recurring")
+    return cut.join(small(found), ["leaf", "line_key"]).where("doc_key <> first_key").select("doc_key", "pos")
 
 
 def drop_lines(df: DataFrame, *, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, text: str = "text", doc: str = "doc_id", dropped: str | None = None, n_chars: str | None = None) -> DataFrame:
@@ -168,7 +180,7 @@ def drop_lines(df: DataFrame, *, min_docs: int = MIN_DOCS, similarity: float = S
         raise ValueError(f"column exists already: {dropped}")
     key, gone = fresh(df, "key", "gone")
     found = recurring_lines(df, min_docs=min_docs, similarity=similarity, text=text, doc=doc)
-    by_doc = small(written(found.groupBy(F.col("doc_key").alias(key)).agg(F.collect_set("pos").alias(gone)), "lines"))
+    by_doc = small(written(found.groupBy(F.col("doc_key").alias(key)).agg(F.collect_set("pos").alias(gone)), "lines"), 1 + F.size(gone) / 4)
     joined = df.withColumn(key, row_key(doc, text)).join(by_doc, key, "left")
     stay = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains(F.col(gone), i))
     clean = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(stay, "\n"))

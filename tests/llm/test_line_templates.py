@@ -1,23 +1,55 @@
 import random
 
+import pytest
+
 from corelog.llm import line_templates as lt
 
 DOCS = "doc_id long, text string, lang string, pos int"
 
 
+def masked(line):
+    """(tokens, whole) of a line by its definition."""
+    raw = [w for w in line.replace("\t", " ").replace("\r", " ").split(" ") if w]
+    out = [lt.FIELD if any(c in "0123456789" for c in w) else w for w in raw]
+    return (raw, True) if out and all(w == lt.FIELD for w in out) else (out, False)
+
+
+def templates(lines):
+    """Template numbers by the rule's own words, one line after another; lines: [(tokens, times)] of one leaf."""
+    found, of = [], {}
+    for t in sorted(lines, key=lambda t: (-lines[t], t)):
+        best, share = None, -1
+        for k, x in enumerate(found):
+            equal = [a == b for a, b in zip(x, t)]
+            if any(e and a != lt.FIELD for e, a in zip(equal, x)):
+                n = sum(e or a == lt.FIELD for e, a in zip(equal, x))
+                if n > share:
+                    best, share = k, n
+        if best is None or share < lt.SIMILARITY * len(t):
+            found.append(list(t))
+            best = len(found) - 1
+        else:
+            found[best] = [a if a == b else lt.FIELD for a, b in zip(found[best], t)]
+        of[t] = best
+    return of
+
+
 def brute(rows, min_docs):
-    """Lines to drop, by grouping all lines in memory."""
+    """Texts without the lines to drop, by grouping all lines in memory."""
     leaves = {}
-    for i, text, *_ in dict.fromkeys(rows):
+    for i, text in dict.fromkeys((r[0], r[1]) for r in rows):
         for p, line in enumerate((text or "").split("\n")):
-            t = [lt.FIELD if any(c in "0123456789" for c in w) else w for w in line.split()]
-            if len(t) >= lt.MIN_TOKENS:
-                leaves.setdefault((len(t), *t[: lt.DEPTH]), []).append((i, text, p, t))
+            t, whole = masked(line)
+            if t:
+                leaves.setdefault((whole, *t) if whole else (len(t), *t[: lt.DEPTH]), []).append((i, text, p, tuple(t)))
     gone = set()
     for lines in leaves.values():
-        numbers = lt.parse_leaf([x[3] for x in lines])
-        for n in set(numbers):
-            mine = [x for x, m in zip(lines, numbers) if m == n]
+        times = {}
+        for x in lines:
+            times[x[3]] = times.get(x[3], 0) + 1
+        of = templates(times)
+        for n in set(of.values()):
+            mine = [x for x in lines if of[x[3]] == n]
             docs = {(x[0] is None, x[0] or 0, x[1]) for x in mine}
             if len(docs) >= min_docs:
                 gone |= {(x[0], x[1], x[2]) for x in mine if (x[0] is None, x[0] or 0, x[1]) != min(docs)}
@@ -84,3 +116,23 @@ def test_fields_are_generalised_but_other_lines_are_not():
 
 def test_empty_table(spark):
     assert lt.drop_lines(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_a_line_of_all_documents_is_one_row(spark):
+    """Whatever shares a line, the leaf's task gets it once, with MIN_DOCS of its documents."""
+    rows = [(i, f"shared by all of them\nown {'x' * (i % 7)} line {chr(97 + i % 26)}{'y' * (i // 26)}", "en", 0) for i in range(120)]
+    got = [r["text"].split("\n")[0] for r in lt.drop_lines(spark.createDataFrame(rows, DOCS)).orderBy("doc_id").collect()]
+    assert got[0] == "shared by all of them" and "shared by all of them" not in got[1:]
+
+
+def test_clash_of_the_count(spark):
+    with pytest.raises(ValueError, match="exists already"):
+        lt.drop_lines(spark.createDataFrame([], DOCS), dropped="LANG")
+
+
+def test_query_against_brute_force(spark):
+    from corelog.llm.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted(repr((r["doc_id"], r["text"])) for r in QUERIES["op9_line_templates"](spark, d).collect()) == brute(rows, lt.MIN_DOCS)
