@@ -27,13 +27,15 @@ BLOCK_TOKENS = 1_000_000
 #: Posting lists longer than this first link their sets to one of them; sets that this proves near don't meet again. It
 #: decides how pairs are found, not which.
 DENSE = 32
+#: A token of more than so many documents of a batch goes to its bucket as one number, its documents straight to the batch.
+HOT = 64
 #: One bucket takes the tokens of about so many characters of text.
 BUCKET_CHARACTERS = 10_000_000
 
 _PUNCT = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _DELETED = np.isin(np.arange(256), np.frombuffer(_PUNCT, np.uint8))
 
-_SENT = "bucket int, batch long, n int, tokens binary, docs binary, df binary, meta boolean"
+_SENT = "bucket int, batch long, n int, m int, tokens binary, docs binary, df binary, meta boolean"
 _LISTS = "sig long, doc_key long, doc_id long, n int, k int, tokens binary, df binary"
 _POSTS = "bucket int, n_docs int, n int, sig binary, label binary, size binary, need binary, counts binary, tokens binary"
 _PAIRS = "a long, b long, met int, need int"
@@ -92,7 +94,7 @@ def _signatures(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(sums + mix(np.diff(bounds).astype(np.uint64))).view(np.int64)
 
 
-def _send(buckets: np.ndarray, bits: int):
+def _send(buckets: np.ndarray, bits: int, most: int):
     """Each batch's tokens to the buckets of their ranges, sorted and differenced; each batch's documents to any one bucket."""
 
     parts = len(buckets)
@@ -123,6 +125,7 @@ def _send(buckets: np.ndarray, bits: int):
             else:
                 order = np.argsort(tokens, kind="stable")
                 tokens, docs = tokens[order], docs[order]
+            tokens, docs, hot = _set_apart(tokens, docs, most)
             edges = np.searchsorted(tokens, _edges(parts, bits))
             meta = np.concatenate(metas, 1)
             cols: dict[str, list] = {c.split()[0]: [] for c in _SENT.split(", ")}
@@ -132,17 +135,45 @@ def _send(buckets: np.ndarray, bits: int):
                     cols[c].append(x)
 
             home = ((number >> 24) + 7 * (number & 0xFFFFFF)) % parts
-            add(int(buckets[home]), number, meta.shape[1], pack(meta.reshape(-1)), None, None, True)
+            add(int(buckets[home]), number, meta.shape[1], len(hot), pack(meta.reshape(-1)), pack(hot), None, True)
             for k in range(parts):
                 t = tokens[edges[k] : edges[k + 1]]
                 if len(t):
-                    add(int(buckets[k]), number, len(t), pack(np.diff(t, prepend=np.uint64(0))), pack(docs[edges[k] : edges[k + 1]]), None, False)
+                    add(int(buckets[k]), number, len(t), 0, pack(np.diff(t, prepend=np.uint64(0))), pack(docs[edges[k] : edges[k + 1]]), None, False)
             yield _batch(_SENT, cols)
             number += 1
 
     return run
 
 
+def _set_apart(tokens: np.ndarray, docs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, docs, hot) of a batch's sorted postings: a token of more than `most` documents has one entry, whose `docs` is
+    their number with the highest bit set; hot: how many such tokens, the tokens, their numbers, their documents."""
+    head = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+    count = np.diff(np.append(head, len(tokens)))
+    many = count > most
+    out = np.repeat(many, count)
+    hot = np.concatenate([[np.uint64(many.sum())], tokens[head[many]], count[many].astype(np.uint64), docs[out].astype(np.uint64)])
+    stay = ~out
+    stay[head[many]] = True
+    docs = docs.copy()
+    docs[head[many]] = count[many].astype(np.uint32) | np.uint32(1 << 31)
+    return tokens[stay], docs[stay], hot
+
+
+def _bring_back(token: np.ndarray, docs: np.ndarray, df: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings with the documents of the tokens that were set apart; all that came back from the buckets have a df."""
+    apart = docs >> np.uint32(31) == 1
+    if not apart.any():
+        return token, docs, df
+    h = int(hot[0])
+    names, count, held = hot[1 : 1 + h], hot[1 + h : 1 + 2 * h].astype(np.int64), hot[1 + 2 * h :].astype(np.uint32)
+    at = np.searchsorted(names, token[apart])
+    begin, n = (np.cumsum(count) - count)[at], count[at]
+    inside = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return (np.concatenate([x, y]) for x, y in ((token[~apart], np.repeat(token[apart], n)), (docs[~apart], held[inside]), (df[~apart], np.repeat(df[apart], n))))
+
+
 def _edges(parts: int, bits: int) -> np.ndarray:
     """Borders of `parts` equal ranges of tokens."""
     return np.array([(i << bits) // parts for i in range(parts)] + [1 << bits], np.uint64)
@@ -154,20 +185,25 @@ def _frequencies(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     sent = [r for r in rows if not r["meta"]]
     tokens = [np.cumsum(unpack(r["tokens"], r["n"], np.uint64)) for r in sent]
+    docs = [unpack(r["docs"], r["n"], np.uint32) for r in sent]
     if sent:
         # Range buckets are sorted runs, so one stable sort merges them.
         every = np.concatenate(tokens)
         every.sort(kind="stable")
         new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
         count = np.diff(np.append(new, len(every)))
-        names, count = every[new][count > 1], count[count > 1]
+        names = every[new]
+        for t, d in zip(tokens, docs, strict=True):
+            apart = d >> np.uint32(31) == 1
+            np.add.at(count, np.searchsorted(names, t[apart]), (d[apart] & np.uint32(2**31 - 1)).astype(np.int64) - 1)
+        names, count = names[count > 1], count[count > 1]
         del every
-    for r, t in zip(sent, tokens, strict=True):
+    for r, t, d in zip(sent, tokens, docs, strict=True):
         at = np.minimum(np.searchsorted(names, t), max(len(names) - 1, 0))
         shared = names[at] == t if len(names) else np.zeros(len(t), bool)
         if shared.any():
             df = np.minimum(count[at[shared]], 2**32 - 1).astype(np.uint32)
-            row = (r["bucket"], r["batch"], len(df), pack(np.diff(t[shared], prepend=np.uint64(0))), pack(unpack(r["docs"], r["n"], np.uint32)[shared]), pack(df), False)
+            row = (r["bucket"], r["batch"], len(df), 0, pack(np.diff(t[shared], prepend=np.uint64(0))), pack(d[shared]), pack(df), False)
             for c, x in zip(cols, row, strict=True):
                 cols[c].append(x)
     for r in rows:
@@ -203,6 +239,7 @@ def _assemble(threshold: float):
             token = np.concatenate([np.cumsum(unpack(r["tokens"], r["n"], np.uint64)) for r in rest])
             docs = np.concatenate([unpack(r["docs"], r["n"], np.uint32) for r in rest])
             df = np.concatenate([unpack(r["df"], r["n"], np.uint32) for r in rest])
+            token, docs, df = _bring_back(token, docs, df, unpack(head["docs"], head["m"], np.uint64))
             have = np.bincount(docs, minlength=m)
             least = np.ceil(threshold * size - 1e-9).astype(np.int64)
             # With one match asked for, the prefix must reach beyond the tokens that nobody else holds.
@@ -327,7 +364,7 @@ def _fits(size: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> n
     return np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
 
 
-def _meet_hubs(threshold: float):
+def _meet_hubs(threshold: float, dense: int):
     """One bucket: each set of a long posting list with the one of least signature there, and how many lists say so."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -337,7 +374,7 @@ def _meet_hubs(threshold: float):
         head = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         length = np.diff(np.append(head, len(tokens)))
         hub = np.repeat(owner[head], length)
-        take = np.repeat(length > DENSE, length) & (hub != owner)
+        take = np.repeat(length > dense, length) & (hub != owner)
         i, j = hub[take], owner[take]
         ok = _fits(size, i, j, threshold)
         pairs = _Pairs(len(sig))
@@ -466,7 +503,7 @@ def near_pairs(df: DataFrame, *, threshold: float = THRESHOLD, text: str = "text
     source = df.select(F.col(text).alias("text"), F.col(doc).cast("long").alias("doc_id"), row_key(doc, text).alias("doc_key"))
     characters = source.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets, bits = bucket_ids(spark, characters, BUCKET_CHARACTERS), token_bits(characters)
-    back = source.mapInArrow(_send(buckets, bits), _SENT).groupBy("bucket").applyInArrow(_frequencies, _SENT)
+    back = source.mapInArrow(_send(buckets, bits, HOT), _SENT).groupBy("bucket").applyInArrow(_frequencies, _SENT)
     lists = written(back.groupBy("batch").applyInArrow(_assemble(threshold), _LISTS), "lists")
     members = lists.select("doc_key", "doc_id", "sig")
     copies = members.where("sig IS NOT NULL").select("sig", "doc_key").distinct().groupBy("sig").agg(F.count("*").alias("copies"))
@@ -478,7 +515,7 @@ def near_pairs(df: DataFrame, *, threshold: float = THRESHOLD, text: str = "text
         met = posts.groupBy("bucket").applyInArrow(meet, _PAIRS).groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("need").alias("need"))
         return _verified(sets, met.where("met >= need").select("a", "b"), threshold)
 
-    first = candidates(sets.withColumn("label", F.col("sig")), _meet_hubs(threshold))
+    first = candidates(sets.withColumn("label", F.col("sig")), _meet_hubs(threshold, DENSE))
     # Sets that are near one and the same set are connected by those two edges.
     label = first.groupBy(F.col("b").alias("sig")).agg(F.min("a").alias("label"))
     label = label.unionByName(first.select(F.col("a").alias("sig"), F.col("a").alias("label"))).groupBy("sig").agg(F.min("label").alias("label"))

@@ -92,6 +92,8 @@ def test_matches_brute_force(spark, threshold):
 def test_blocks_and_dense_lists(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "BLOCK", 3)
     monkeypatch.setattr(near_dups, "DENSE", 2)
+    monkeypatch.setattr(near_dups, "HOT", 2)
+    monkeypatch.setattr(near_dups, "BUCKET_CHARACTERS", 2000)
     rows = corpus(8, 90)
     assert read(near_dups.jaccard_classes(spark.createDataFrame(rows, DOCS))) == classes(rows, near_dups.THRESHOLD)
 
