@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corelog.llm.common import _powers, fresh, mix, ngrams, pack, row_key, slices, squeeze, unpack, unsqueeze, utf8, words
+from corelog.llm.common import _powers, bucket_ids, fresh, mix, ngrams, pack, row_key, slices, small, squeeze, unpack, unsqueeze, utf8, words, written
 from corelog.plans.ship import ship
 
 #: Words of a window: a passage of at least so many words that stands in two documents is found.
@@ -20,8 +22,15 @@ RUN = 6
 #: Texts of about so many bytes are sent together: more compress better, fewer take less memory.
 SEND_BYTES = 8_000_000
 
-_SENT = "bucket int, n int, n_texts int, lengths binary, packed binary, packed_size int, which binary, doc_key binary, doc_id binary, has_id binary, start binary"
-_FOUND = "doc_key long, doc_id long, start_word int, end_word int, first boolean"
+#: A string with more occurrences in a batch sends two of them to its bucket; the others wait elsewhere for what is found.
+HOT = 64
+#: One bucket takes the strings of about so many characters of text.
+BUCKET_CHARACTERS = 10_000_000
+
+_SENT = "bucket int, n int, n_texts int, lengths binary, packed binary, packed_size int, which binary, doc_key binary, doc_id binary, has_id binary, start binary, hot binary"
+#: What a bucket gives: stretches of occurrences (name NULL), stretches of named strings (doc_key NULL), occurrences that wait for those.
+_FOUND = "doc_key long, doc_id long, start_word int, end_word int, first boolean, name binary"
+_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
 
 
 def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -70,8 +79,14 @@ def super_kmers(hashes: np.ndarray, bounds: np.ndarray, k: int = WINDOW, run: in
     return first, np.flatnonzero(ends), least[first]
 
 
-def _send(parts: int, text: str, key: str, doc: str):
-    """mapInArrow function: a row for each (batch, bucket) with all super-k-mers that go there."""
+def _name(piece: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(piece)
+
+
+def _send(buckets: np.ndarray, most: int, text: str, key: str, doc: str):
+    """mapInArrow function: a row for each (batch, bucket) with all super-k-mers that go there, and a row with all
+    occurrences of the batch that wait."""
+    parts = len(buckets)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +94,9 @@ def _send(parts: int, text: str, key: str, doc: str):
                 yield batch.slice(a, b - a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        context = TaskContext.get()
+        number = context.partitionId() * 31 if context else 0
+        for turn, batch in enumerate(pieces(batches)):
             col = lambda b, c: b.column(b.schema.get_field_index(c))
             texts: dict[int, list[bytes]] = {}
             seen: dict[int, dict[bytes, int]] = {}
@@ -113,13 +130,31 @@ def _send(parts: int, text: str, key: str, doc: str):
             if not texts:
                 continue
             out: dict[str, list] = {c.split()[0]: [] for c in _SENT.split(", ")}
+            waiting: list[np.ndarray] = []
+            names: list[bytes] = []
             for k, t in texts.items():
-                r = np.concatenate(rows[k], 1)
+                r, what = np.concatenate(rows[k], 1), np.array(which[k], np.int64)
+                what, r, apart = _two_of_many(what, r, len(t), most)
+                hot = np.zeros(len(t), np.uint8)
+                if apart is not None:
+                    hot[np.unique(apart[0])] = 1
+                    waiting.append(np.concatenate([apart[0][None] + len(names), apart[1]]))
+                    names += [_name(x) if h else b"" for x, h in zip(t, hot.tolist(), strict=True)]
                 blob = b"".join(t)
                 for c, x in (
-                    ("bucket", k), ("n", r.shape[1]), ("n_texts", len(t)), ("lengths", pack(np.array([len(x) for x in t], np.uint32))),
-                    ("packed", squeeze(blob)), ("packed_size", len(blob)), ("which", pack(np.array(which[k], np.uint32))),
-                    ("doc_key", pack(r[0])), ("doc_id", pack(r[1])), ("has_id", pack(r[2].astype(np.uint8))), ("start", pack(r[3].astype(np.uint32))),
+                    ("bucket", int(buckets[k])), ("n", r.shape[1]), ("n_texts", len(t)), ("lengths", pack(np.array([len(x) for x in t], np.uint32))),
+                    ("packed", squeeze(blob)), ("packed_size", len(blob)), ("which", pack(what.astype(np.uint32))),
+                    ("doc_key", pack(r[0])), ("doc_id", pack(r[1])), ("has_id", pack(r[2].astype(np.uint8))), ("start", pack(r[3].astype(np.uint32))), ("hot", pack(hot)),
+                ):
+                    out[c].append(x)
+            if waiting:
+                w = np.concatenate(waiting, 1)
+                used, which_name = np.unique(w[0], return_inverse=True)
+                blob = b"".join(names[i] for i in used.tolist())
+                home = int(buckets[(number + turn) % parts])
+                for c, x in (
+                    ("bucket", home), ("n", w.shape[1]), ("n_texts", len(used)), ("lengths", None), ("packed", blob), ("packed_size", len(blob)), ("which", pack(which_name.astype(np.uint32))),
+                    ("doc_key", pack(w[1])), ("doc_id", pack(w[2])), ("has_id", pack(w[3].astype(np.uint8))), ("start", pack(w[4].astype(np.uint32))), ("hot", None),
                 ):
                     out[c].append(x)
             types = {"bucket": pa.int32(), "n": pa.int32(), "n_texts": pa.int32(), "packed_size": pa.int32()}
@@ -128,19 +163,62 @@ def _send(parts: int, text: str, key: str, doc: str):
     return run
 
 
+def _two_of_many(what: np.ndarray, r: np.ndarray, n: int, most: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray] | None]:
+    """Strings and occurrences (rows: doc_key, doc_id, has_id, start) that go to the bucket, and those that wait.
+
+    Of a string with more than `most` occurrences go the first, in the order that decides which is the first, and one of another
+    document: so the bucket knows of two documents, if there are, and of the first. All others of it wait.
+    """
+    many = np.bincount(what, minlength=n) > most
+    if not many.any():
+        return what, r, None
+    order = np.lexsort((r[3], r[0], r[1], 1 - r[2], what))
+    what, r = what[order], r[:, order]
+    # A repeated row of a document is no other occurrence.
+    new = np.ones(len(what), bool)
+    new[1:] = (what[1:] != what[:-1]) | (r[:, 1:] != r[:, :-1]).any(0)
+    what, r = what[new], r[:, new]
+    head = np.concatenate([[True], what[1:] != what[:-1]])
+    lead = np.flatnonzero(head)[np.cumsum(head) - 1]
+    other = np.flatnonzero(r[0] != r[0][lead])
+    stay = head | ~many[what]
+    stay[other[np.unique(what[other], return_index=True)[1]]] = True
+    return what[stay], r[:, stay], (what[~stay], r[:, ~stay])
+
+
+def _found(doc_key, doc_id, has_id, start, end, first, name) -> pa.Table:
+    columns = [doc_key, pa.array(doc_id, pa.int64(), mask=has_id == 0) if doc_id is not None else None, start, end, first, name]
+    n = max(len(c) for c in columns if c is not None)
+    return pa.Table.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, _TYPES, strict=True)], [c.split()[0] for c in _FOUND.split(", ")])
+
+
 def _count(table: pa.Table) -> pa.Table:
-    """One bucket: sorts its windows, and returns the stretches of windows that stand in two documents or more."""
+    """One bucket: its stretches of windows that stand in two documents or more, and what waits here as it is."""
+    rows = table.to_pylist()
+    out = [_count_windows([r for r in rows if r["lengths"] is not None])] if any(r["lengths"] is not None for r in rows) else []
+    for r in rows:
+        if r["lengths"] is None:
+            which = unpack(r["which"], r["n"], np.uint32).tolist()
+            key, doc_id, has_id, start = (unpack(r[c], r["n"], t) for c, t in (("doc_key", np.int64), ("doc_id", np.int64), ("has_id", np.uint8), ("start", np.uint32)))
+            names = [r["packed"][16 * i : 16 * i + 16] for i in range(r["n_texts"])]
+            out.append(_found(key, doc_id, has_id, start.astype(np.int32), None, None, [names[i] for i in which]))
+    return pa.concat_tables(out)
+
+
+def _count_windows(rows: list[dict]) -> pa.Table:
+    """Sorts a bucket's windows; the stretches of windows that stand in two documents or more."""
     pieces: dict[bytes, int] = {}
+    named: set[int] = set()
     what, doc_key, doc_id, has_id, start = [], [], [], [], []
-    for row in table.to_batches():
-        for r in row.to_pylist():
-            lengths = unpack(r["lengths"], r["n_texts"], np.uint32)
-            blob = unsqueeze(r["packed"], r["packed_size"])
-            ends = np.cumsum(lengths.astype(np.int64)).tolist()
-            number = np.array([pieces.setdefault(blob[i:j], len(pieces)) for i, j in zip([0, *ends[:-1]], ends, strict=True)], np.int64)
-            what.append(number[unpack(r["which"], r["n"], np.uint32)])
-            for to, c, t in ((doc_key, "doc_key", np.int64), (doc_id, "doc_id", np.int64), (has_id, "has_id", np.uint8), (start, "start", np.uint32)):
-                to.append(unpack(r[c], r["n"], t))
+    for r in rows:
+        lengths = unpack(r["lengths"], r["n_texts"], np.uint32)
+        blob = unsqueeze(r["packed"], r["packed_size"])
+        ends = np.cumsum(lengths.astype(np.int64)).tolist()
+        number = np.array([pieces.setdefault(blob[i:j], len(pieces)) for i, j in zip([0, *ends[:-1]], ends, strict=True)], np.int64)
+        named.update(number[unpack(r["hot"], r["n_texts"], np.uint8) == 1].tolist())
+        what.append(number[unpack(r["which"], r["n"], np.uint32)])
+        for to, c, t in ((doc_key, "doc_key", np.int64), (doc_id, "doc_id", np.int64), (has_id, "has_id", np.uint8), (start, "start", np.uint32)):
+            to.append(unpack(r[c], r["n"], t))
     what, doc_key, doc_id, has_id, start = map(np.concatenate, (what, doc_key, doc_id, has_id, start))
     start = start.astype(np.int64)
     n = len(pieces)
@@ -154,6 +232,7 @@ def _count(table: pa.Table) -> pa.Table:
     least_key, most_key = np.minimum.reduceat(doc_key, at[:-1]), np.maximum.reduceat(doc_key, at[:-1])
 
     strings = pa.array(pieces, pa.binary())
+    names = {i: _name(strings[i].as_py()) for i in named}
     pieces.clear()
     hash_parts, gram_parts, counts = [], [], np.zeros(n, np.int64)
     for a, b in slices(strings):
@@ -180,7 +259,7 @@ def _count(table: pa.Table) -> pa.Table:
     repeated = np.minimum.reduceat(least_key[owner], heads) != np.maximum.reduceat(most_key[owner], heads)
     chosen = np.flatnonzero(repeated[group])
     if not len(chosen):
-        return pa.table({c.split()[0]: pa.array([], t) for c, t in zip(_FOUND.split(", "), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)})
+        return pa.Table.from_arrays([pa.array([], t) for t in _TYPES], [c.split()[0] for c in _FOUND.split(", ")])
     chosen, group = _exact(by, chosen, group, heads, place, hashes, least_key, most_key, string)
     # The first occurrence of each window among the first ones of the strings that hold it.
     s, g, o = string[by[chosen]], group, offset[by[chosen]]
@@ -202,15 +281,12 @@ def _count(table: pa.Table) -> pa.Table:
     stretch = np.repeat(np.arange(len(s)), times)
     nth = np.arange(len(stretch)) - np.repeat(np.cumsum(times) - times, times)
     occ = at[s][stretch] + nth
-    return pa.table(
-        {
-            "doc_key": doc_key[occ],
-            "doc_id": pa.array(doc_id[occ], mask=has_id[occ] == 0),
-            "start_word": (start[occ] + lo[stretch]).astype(np.int32),
-            "end_word": (start[occ] + hi[stretch]).astype(np.int32),
-            "first": is_first[stretch] & (nth == 0),
-        }
-    )
+    here = _found(doc_key[occ], doc_id[occ], has_id[occ], (start[occ] + lo[stretch]).astype(np.int32), (start[occ] + hi[stretch]).astype(np.int32), is_first[stretch] & (nth == 0), None)
+    told = np.array([i in names for i in s.tolist()], bool) if names else np.zeros(len(s), bool)
+    if not told.any():
+        return here
+    there = _found(None, None, None, lo[told].astype(np.int32), hi[told].astype(np.int32), None, [names[i] for i in s[told].tolist()])
+    return pa.concat_tables([here, there])
 
 
 def _exact(by, chosen, group, heads, place, hashes, least_key, most_key, string):
@@ -239,7 +315,7 @@ def _exact(by, chosen, group, heads, place, hashes, least_key, most_key, string)
     return chosen[stay], group[stay]
 
 
-def find_repeats(df: DataFrame, *, text: str = "text", doc: str = "doc_id", parts: int | None = None) -> DataFrame:
+def find_repeats(df: DataFrame, *, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """(doc_id, start_word, end_word, first): all stretches of words, each of WINDOW or more, that stand in two documents or more.
 
     Words are what white space parts; all windows of WINDOW words of whole texts take part. first: whether the stretch is
@@ -248,7 +324,10 @@ def find_repeats(df: DataFrame, *, text: str = "text", doc: str = "doc_id", part
 
     Each text is read once. What is shuffled are super-k-mers: a stretch of consecutive windows with the same minimiser as
     one string, to the bucket of the minimiser, so all copies of a window meet in one bucket and each word travels about
-    three times instead of WINDOW times. There the windows are sorted and counted exactly.
+    three times instead of WINDOW times. There the windows are sorted and counted exactly. There are as many buckets as the
+    corpus's characters ask for. Of a string that very many documents hold, two occurrences a batch go to the bucket; the
+    others are joined to what is found of it, by its 128-bit hash, so a passage of a third of all documents is many tasks'
+    work.
 
     Rows with equal doc_id and text are one document. A window that stands twice in one document only isn't reported.
     NULL text, and texts under WINDOW words, give no rows. NULL doc_id is kept as NULL and comes after all others. An
@@ -256,10 +335,16 @@ def find_repeats(df: DataFrame, *, text: str = "text", doc: str = "doc_id", part
     """
     spark = df.sparkSession
     ship(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = df.select(F.col(text).alias("text"), F.col(doc).cast("long").alias("doc_id"), row_key(doc, text).alias("doc_key"))
-    sent = source.mapInArrow(_send(parts, "text", "doc_key", "doc_id"), _SENT)
-    found = sent.groupBy("bucket").applyInArrow(_count, _FOUND).distinct()
+    buckets = bucket_ids(spark, source.agg(F.sum(F.length("text"))).first()[0] or 0, BUCKET_CHARACTERS)
+    sent = source.mapInArrow(_send(buckets, HOT, "text", "doc_key", "doc_id"), _SENT)
+    met = written(sent.groupBy("bucket").applyInArrow(_count, _FOUND), "met")
+    told = met.where("doc_key IS NULL").groupBy("name").agg(F.collect_set(F.struct(F.col("start_word").alias("lo"), F.col("end_word").alias("hi"))).alias("spans"))
+    told = small(written(told, "told"), 1 + F.size("spans"))
+    waiting = met.where("name IS NOT NULL AND doc_key IS NOT NULL").select("name", "doc_key", "doc_id", "start_word")
+    waiting = waiting.join(told, "name").withColumn("s", F.explode("spans"))
+    waiting = waiting.select("doc_key", "doc_id", (F.col("start_word") + F.col("s.lo")).alias("start_word"), (F.col("start_word") + F.col("s.hi")).alias("end_word"), F.lit(False).alias("first"))
+    found = met.where("name IS NULL").drop("name").unionByName(waiting).distinct()
     w = Window.partitionBy("doc_key", "first").orderBy("start_word", "end_word")
     reach = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = found.withColumn("new", F.when(reach >= F.col("start_word"), 0).otherwise(1))

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from corelog.llm import substrings
 from corelog.llm.common import words
@@ -55,15 +56,32 @@ def corpus():
 
 def test_matches_brute_force(spark):
     rows = corpus()
-    got = substrings.find_repeats(spark.createDataFrame(rows, DOCS), parts=5).drop("doc_key").collect()
+    got = substrings.find_repeats(spark.createDataFrame(rows, DOCS)).drop("doc_key").collect()
     assert {tuple(r) for r in got} == brute(rows)
     assert len(got) == len({tuple(r) for r in got})
 
 
-def test_result_does_not_depend_on_partitions(spark):
+def test_result_does_not_depend_on_partitions(spark, monkeypatch):
     df = spark.createDataFrame(corpus(), DOCS)
-    one = sorted(map(repr, substrings.find_repeats(df.coalesce(1), parts=1).collect()))
-    assert one == sorted(map(repr, substrings.find_repeats(df.repartition(7), parts=11).collect()))
+    one = sorted(map(repr, substrings.find_repeats(df.coalesce(1)).collect()))
+    monkeypatch.setattr(substrings, "BUCKET_CHARACTERS", 1000)
+    assert one == sorted(map(repr, substrings.find_repeats(df.repartition(7)).collect()))
+
+
+@pytest.mark.parametrize("hot", [1, 2, 5])
+def test_strings_of_many_documents_wait_for_what_is_found(spark, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    rows = corpus() + [(100 + i, corpus()[5][1], "en", "x") for i in range(20)] + [(200, " ".join(["b"] * 900), "en", "x")] * 2
+    got = substrings.find_repeats(spark.createDataFrame(rows, DOCS).repartition(2)).drop("doc_key").collect()
+    assert {tuple(r) for r in got} == brute(rows) and len(got) == len({tuple(r) for r in got})
+
+
+def test_drop_of_an_empty_table_and_of_columns_that_clash(spark):
+    assert substrings.drop_repeats(spark.createDataFrame([], DOCS)).count() == 0
+    p = " ".join(f"p{i}" for i in range(55))
+    odd = spark.createDataFrame([(1, p, "k", "s"), (2, p, "l", "t")], "doc_id long, text string, _key string, _Spans string")
+    got = substrings.drop_repeats(odd)
+    assert got.columns == odd.columns and sorted(tuple(r) for r in got.collect()) == [(1, p, "k", "s"), (2, "", "l", "t")]
 
 
 def test_drop_keeps_first_occurrence(spark):
@@ -80,7 +98,7 @@ def test_empty_table(spark):
 def test_equal_hashes_of_different_words_are_told_apart(monkeypatch):
     rows = corpus()[:12]
     columns = {"text": [r[1] for r in rows], "doc_key": [r[0] for r in rows], "doc_id": [r[0] for r in rows]}
-    sent = list(substrings._send(1, "text", "doc_key", "doc_id")(iter([substrings.pa.RecordBatch.from_pydict(columns)])))
+    sent = list(substrings._send(np.zeros(1, int), 64, "text", "doc_key", "doc_id")(iter([substrings.pa.RecordBatch.from_pydict(columns)])))
     count = lambda: sorted(map(repr, substrings._count(substrings.pa.Table.from_batches(sent)).to_pylist()))
     want = count()
     monkeypatch.setattr(substrings, "window_hashes", lambda h, k: np.zeros(max(0, len(h) - k + 1), np.uint64))
