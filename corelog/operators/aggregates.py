@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corelog.operators.common import ratio
+from corelog.operators.quantiles import percentiles
+
 
 def share(condition: Column) -> Column:
     """Share of rows for which the condition holds; NULL counts as not."""
@@ -46,24 +49,26 @@ def regime_metrics(df: DataFrame, regime: str, y: str, mu: str, sd: str) -> Data
 
 
 def smd(df: DataFrame, flag: str, columns: list[str]) -> DataFrame:
-    """One row: standardised mean difference of each column between flagged and other rows, with population variances."""
+    """One row: standardised mean difference of each column between flagged and other rows, with population variances. NULL
+    where neither varies, or a side is empty."""
     out = []
     for c in columns:
         a, b = F.when(F.col(flag), F.col(c)), F.when(~F.col(flag), F.col(c))
-        out.append(((F.avg(a) - F.avg(b)) / F.sqrt((F.var_pop(a) + F.var_pop(b)) / 2)).alias(f"smd_{c}"))
+        out.append(ratio(F.avg(a) - F.avg(b), F.sqrt((F.var_pop(a) + F.var_pop(b)) / 2)).alias(f"smd_{c}"))
     return df.agg(*out)
 
 
 def total_variation(df: DataFrame, flag: str, category: str) -> DataFrame:
-    """One row: half the summed difference of the category's shares among flagged and other rows; NULL is no category."""
+    """One row: half the summed difference of the category's shares among flagged and other rows; NULL is no category. NULL if a
+    side is empty."""
     k = df.where(F.col(category).isNotNull()).groupBy(category).agg(F.sum(F.col(flag).cast("bigint")).alias("a"), F.sum((~F.col(flag)).cast("bigint")).alias("b"))
     whole = k.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    return k.crossJoin(F.broadcast(whole)).agg((0.5 * F.sum(F.abs(F.col("a") / F.col("ta") - F.col("b") / F.col("tb")))).alias("tv"))
+    return k.crossJoin(F.broadcast(whole)).agg((0.5 * F.sum(F.abs(ratio(F.col("a"), F.col("ta")) - ratio(F.col("b"), F.col("tb"))))).alias("tv"))
 
 
 def effective_fraction(w: str) -> Column:
-    """(sum w)^2 / (n sum w^2)."""
-    return F.sum(w) * F.sum(w) / (F.count(w) * F.sum(F.col(w) * F.col(w)))
+    """(sum w)^2 / (n sum w^2); NULL where all weights are 0."""
+    return ratio(F.sum(w) * F.sum(w), F.count(w) * F.sum(F.col(w) * F.col(w)))
 
 
 def histogram(df: DataFrame, c: str, low: float, high: float, bins: int) -> DataFrame:
@@ -74,10 +79,12 @@ def histogram(df: DataFrame, c: str, low: float, high: float, bins: int) -> Data
 
 
 def binned_calibration(df: DataFrame, sd: str, residual: str, bins: int = 10) -> DataFrame:
-    """(bin, n, mean_sd, mean_abs): absolute residuals by predicted spread, in equal bins from the least to the 99th percentile."""
-    edge = df.agg(F.min(sd).alias("_lo"), F.percentile(sd, F.lit(0.99)).alias("_hi"))
+    """(bin, n, mean_sd, mean_abs): absolute residuals by predicted spread, in equal bins from the least to the 99th percentile.
+    A constant spread is one bin, 0."""
+    edge = df.agg(F.min(sd).alias("_lo")).crossJoin(F.broadcast(percentiles(df, [], sd, {"_hi": 0.99}).select("_hi")))
     width = (F.col("_hi") - F.col("_lo")) / bins
-    b = F.when(F.col(sd) <= F.col("_hi"), F.least(F.floor((F.col(sd) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int"))
+    place = F.coalesce(F.floor(ratio(F.col(sd) - F.col("_lo"), width)), F.lit(0))
+    b = F.when(F.col(sd) <= F.col("_hi"), F.least(place, F.lit(bins - 1)).cast("int"))
     d = df.crossJoin(F.broadcast(edge)).withColumn("bin", b).where("bin IS NOT NULL")
     return d.groupBy("bin").agg(F.count("*").alias("n"), F.avg(sd).alias("mean_sd"), F.avg(F.abs(residual)).alias("mean_abs"))
 
@@ -91,16 +98,21 @@ def binned_rmse(df: DataFrame, position: str, error: str, edges: list[float], le
     return g.agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col(error) * F.col(error))).alias("rmse")).where(F.col("n") >= least)
 
 
-def z_diagnostics(z: str) -> list[Column]:
-    """Mean of z^2, kurtosis (3 for a normal), median, 95th percentile of |z| by linear interpolation."""
-    c = F.col(z)
-    return [F.avg(c * c).alias("mean_z2"), (F.kurtosis(c) + 3).alias("kurtosis"), F.percentile(c, F.lit(0.5)).alias("median"), F.percentile(F.abs(c), F.lit(0.95)).alias("q95_abs")]
+def z_diagnostics(df: DataFrame, z: str, by: list[str] | None = None) -> DataFrame:
+    """(by, mean_z2, kurtosis, median, q95_abs): mean of z^2, kurtosis (3 for a normal), median, 95th percentile of |z|."""
+    by, c = by or [], F.col(z)
+    d = df.select(*by, z, F.abs(c).alias("_abs"))
+    out = d.groupBy(*by).agg(F.avg(c * c).alias("mean_z2"), (F.kurtosis(c) + 3).alias("kurtosis"))
+    for name, column, share_ in (("median", z, 0.5), ("q95_abs", "_abs", 0.95)):
+        q = percentiles(d, by, column, {name: share_}).drop("n")
+        out = out.join(q, by, "left") if by else out.crossJoin(F.broadcast(q))
+    return out
 
 
-def gate_parameters(d: str) -> list[Column]:
-    """Threshold Q3 + 1.5 IQR and softness IQR / 2."""
-    q1, q3 = F.percentile(d, F.lit(0.25)), F.percentile(d, F.lit(0.75))
-    return [(q3 + 1.5 * (q3 - q1)).alias("threshold"), ((q3 - q1) / 2).alias("softness")]
+def gate_parameters(df: DataFrame, d: str, by: list[str] | None = None) -> DataFrame:
+    """(by, threshold, softness): Q3 + 1.5 IQR and IQR / 2."""
+    spread = F.col("_q3") - F.col("_q1")
+    return percentiles(df, by or [], d, {"_q1": 0.25, "_q3": 0.75}).select(*(by or []), (F.col("_q3") + 1.5 * spread).alias("threshold"), (spread / 2).alias("softness"))
 
 
 def top_labels(df: DataFrame, label: str, entity: str, top: int, floor: int) -> DataFrame:
@@ -114,6 +126,17 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return average_rank(average_rank(df, x, "_rx"), y, "_ry").agg(F.corr("_rx", "_ry").alias("rho"))
 
 
+def z_scored_rmse(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: RMSE between both columns, each centred and scaled by its own population deviation (from one aggregation).
+
+    With means of x, y, xx, yy and xy that is sqrt(2 - 2 corr). NULL where either is constant.
+    """
+    ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    r = ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return ok.agg(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * r)).alias("z_rmse"), r.alias("_r")).select(F.when(F.col("_r").isNotNull(), F.col("z_rmse")).alias("z_rmse"))
+
+
 def average_rank(df: DataFrame, c: str, name: str, bins: int = 512) -> DataFrame:
     """df with the 1-based rank of c over all rows, the mean of places where values tie. Rows with NULL or NaN there go.
 
@@ -136,11 +159,12 @@ def average_rank(df: DataFrame, c: str, name: str, bins: int = 512) -> DataFrame
 
 
 def group_calibration(df: DataFrame, regime: str, y: str, mu: str, sd: str, least: int = 30, low: float = 0.5, high: float = 2.0) -> DataFrame:
-    """(regime, bias, scale): mean residual, and sample deviation of residuals over mean spread clamped to [low, high]; (0, 1) under `least` rows."""
+    """(regime, bias, scale): mean residual, and sample deviation of residuals over mean spread clamped to [low, high]; (0, 1) under `least` rows,
+    scale 1 where the mean spread is 0."""
     e = F.col(y) - F.col(mu)
     g = df.groupBy(regime).agg(F.count("*").alias("n"), F.avg(e).alias("b"), F.stddev_samp(e).alias("s"), F.avg(sd).alias("m"))
     ok = F.col("n") >= least
-    return g.select(regime, "n", F.when(ok, F.col("b")).otherwise(0.0).alias("bias"), F.when(ok, F.greatest(F.lit(low), F.least(F.lit(high), F.col("s") / F.col("m")))).otherwise(1.0).alias("scale"))
+    return g.select(regime, "n", F.when(ok, F.col("b")).otherwise(0.0).alias("bias"), F.when(ok, F.coalesce(F.when(F.col("m") != 0, F.greatest(F.lit(low), F.least(F.lit(high), ratio(F.col("s"), F.col("m"))))), F.lit(1.0))).otherwise(1.0).alias("scale"))
 
 
 def non_null_shares(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -154,17 +178,17 @@ def value_shares(df: DataFrame, c: str) -> DataFrame:
     return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-def masked_standardise(df: DataFrame, c: str, mask: str, name: str) -> DataFrame:
-    """df with (c - mean) / deviation, both of the rows where mask holds only, NULL elsewhere."""
+def masked_standardise(df: DataFrame, c: str, mask: str, name: str, floor: float = 1e-8) -> DataFrame:
+    """df with (c - mean) / deviation, both of the rows where mask holds only, NULL elsewhere. A deviation under `floor` counts
+    as 1: a constant column gives 0."""
     v = F.when(F.col(mask), F.col(c))
     s = df.agg(F.avg(v).alias("_m"), F.stddev_pop(v).alias("_s"))
-    return df.crossJoin(F.broadcast(s)).withColumn(name, F.when(F.col(mask), (F.col(c) - F.col("_m")) / F.col("_s"))).drop("_m", "_s")
+    return df.crossJoin(F.broadcast(s)).withColumn(name, F.when(F.col(mask), (F.col(c) - F.col("_m")) / F.when(F.col("_s") < floor, 1.0).otherwise(F.col("_s")))).drop("_m", "_s")
 
 
 def box_summary(df: DataFrame, group: str, c: str, least: int = 30) -> DataFrame:
     """(group, n, q25, q50, q75) of groups with at least `least` rows."""
-    q = lambda p: F.percentile(c, F.lit(p))
-    return df.groupBy(group).agg(F.count("*").alias("n"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75")).where(F.col("n") >= least)
+    return percentiles(df, [group], c, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).where(F.col("n") >= least)
 
 
 def mean_pairwise_distance(df: DataFrame, key: str, vector: str, blocks: int = 16) -> DataFrame:

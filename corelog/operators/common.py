@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corelog.plans.shared import shared_dir
+
 #: Tables of up to so many rows are broadcast by bounded(); beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -28,9 +32,23 @@ def hashed(seed: int, *keys: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("nan")) for k in keys]))
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if its rows are counted to be few (a probe reads no more than the limit)."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, whatever reads it, and safe from lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, what: str = "side") -> DataFrame:
+    """df, written once, with a broadcast hint if its rows are counted to be few; what it takes to compute it is not done again."""
+    df = kept(df, what)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """a / b; NULL where b is 0."""
+    return a / F.nullif(b, F.lit(0).cast("double"))
 
 
 def unique_on(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,12 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corelog.operators.common import bounded
-
-
-#: Groups of more rows are bracketed by a sketch of this accuracy before they are ranked.
-LARGE_GROUP = 1_000_000
-SKETCH = 100_000
+from corelog.operators.common import bounded, kept
+from corelog.operators.quantiles import order_statistics
 
 
 def coverage(y: str, mu: str, sd: str, alpha: float) -> Column:
@@ -37,63 +33,16 @@ def temperature(y: str, mu: str, sd: str) -> Column:
     return F.sqrt(F.avg(z * z))
 
 
-def order_statistic(df: DataFrame, by: list[str], score: str, alpha: float, name: str = "q") -> DataFrame:
-    """(by, n, name): the k-th least score of each group, k = ceil((n + 1) alpha) held in [1, n]; exact.
-
-    Groups of more than LARGE_GROUP rows are not ranked whole: a quantile sketch, whose error is at most 1 / SKETCH of the
-    rows, brackets the place; all scores below the bracket are one count, those inside are ranked. Distinct scores are
-    counted before each shuffle. NULL keys are a group. Without groups see _global_order_statistic.
-    """
-    d = df.where(F.col(score).isNotNull() & ~F.isnan(score))
-    if not by:
-        return _global_order_statistic(d.groupBy(score).agg(F.count("*").alias("_c")), score, alpha, name)
-    eps = 3 / SKETCH
-    ends = F.percentile_approx(score, F.array(F.lit(max(0.0, alpha - eps)), F.lit(min(1.0, alpha + eps))), F.lit(SKETCH))
-    g = d.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.count("*").alias("n"), ends.alias("_e"))
-    same = F.lit(True)
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    large = F.col("n") > LARGE_GROUP
-    side = F.when(large & (F.col(score) < F.col("_e")[0]), -1).when(large & (F.col(score) > F.col("_e")[1]), 1).otherwise(0)
-    placed = d.select(*by, score).join(bounded(g), same).select(*by, "n", side.alias("_side"), F.when(side == 0, F.col(score)).alias("_v"))
-    counts = placed.groupBy(*by, "n", "_side", "_v").agg(F.count("*").alias("_c"))
-    run = F.sum("_c").over(Window.partitionBy(*by).orderBy("_side", "_v").rowsBetween(Window.unboundedPreceding, 0))
-    k = F.greatest(F.lit(1), F.least(F.col("n"), F.ceil((F.col("n") + 1) * alpha)))
-    first = F.min(F.struct("_side", "_v")).alias("_first")
-    hit = counts.withColumn("_r", run).where(F.col("_r") >= k).groupBy(*by, "n").agg(first)
-    value = F.when(F.col("_first._side") == 0, F.col("_first._v")).otherwise(F.raise_error(F.lit("sketch beyond its error")).cast("double"))
-    return hit.select(*by, "n", value.alias(name))
-
-
-def _global_order_statistic(counts: DataFrame, score: str, alpha: float, name: str) -> DataFrame:
-    """The same over all rows: narrows the value range by histograms of 1,000 bins until one holds few distinct scores."""
-    top = counts.agg(F.sum("_c"), F.min(score), F.max(score)).first()
-    n, lo, hi = top
-    spark = counts.sparkSession
-    if not n:
-        return spark.createDataFrame([], f"n bigint, {name} double")
-    k, below = max(1, min(n, math.ceil((n + 1) * alpha))), 0
-    while True:
-        inside = counts.where(F.col(score).between(lo, hi))
-        width = (hi - lo) / 1000
-        b = F.least(F.lit(999), F.floor((F.col(score) - lo) / width)) if width > 0 else F.lit(0)
-        bins = sorted(inside.groupBy(b.alias("b")).agg(F.sum("_c").alias("c"), F.count("*").alias("m"), F.min(score).alias("lo"), F.max(score).alias("hi")).collect())
-        for r in bins:
-            if below + r.c >= k:
-                break
-            below += r.c
-        lo, hi = r.lo, r.hi
-        if r.m <= 10_000 or lo == hi:
-            for v, c in sorted(tuple(x) for x in counts.where(F.col(score).between(lo, hi)).select(score, "_c").collect()):
-                below += c
-                if below >= k:
-                    return spark.createDataFrame([(n, float(v))], f"n bigint, {name} double")
+def order_statistic(df: DataFrame, by: list[str], score: str, alpha: float, name: str = "q", *, count: str | None = None) -> DataFrame:
+    """(by, n, name): the k-th least score of each group, k = ceil((n + 1) alpha) held in [1, n]; exact, see order_statistics."""
+    return order_statistics(df, by, score, {name: lambda n: F.greatest(F.lit(1), F.least(n, F.ceil((n + 1) * alpha)))}, count=count)
 
 
 def mondrian(cal: DataFrame, group: str, score: str, alpha: float, least: int = 30) -> tuple[DataFrame, float | None]:
     """(group, n, q) of groups with `least` scores or more, and the marginal quantile for all others."""
-    marginal = order_statistic(cal, [], score, alpha).first()
-    return order_statistic(cal, [group], score, alpha).where(F.col("n") >= least), marginal.q if marginal else None
+    counts = kept(cal.groupBy(group, score).agg(F.count("*").alias("_rows")), "scores")
+    marginal = order_statistic(counts, [], score, alpha, count="_rows").first()
+    return order_statistic(counts, [group], score, alpha, count="_rows").where(F.col("n") >= least), marginal.q if marginal else None
 
 
 def mondrian_interval(test: DataFrame, quantiles: DataFrame, marginal: float | None, group: str, mu: str, sd: str) -> DataFrame:
@@ -118,6 +67,25 @@ def weighted_quantile(df: DataFrame, by: list[str], value: str, weight: str, alp
     return g.groupBy(*by).agg(F.coalesce(F.min(hit), none, F.max(value)).alias(name))
 
 
+def shifted_quantile(test: DataFrame, cal: DataFrame, key: str, by: list[str], score: str, weight: str, own: str, alpha: float) -> DataFrame:
+    """(key, q): for each test row the weighted quantile of its group's calibration scores with the row's own weight at infinity.
+
+    The place is alpha (total + own) in the running sum of weights; it is found by stacking places and running sums in one
+    ordered window of the group, so no test row meets every score. Infinite where the place lies on the row's own weight.
+    Groups without calibration rows give NULL.
+    """
+    run = F.sum("_w").over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0))
+    g = cal.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(F.sum(weight).alias("_w")).withColumn("_run", run)
+    total = bounded(g.groupBy(*by).agg(F.max("_run").alias("_total")), "totals")
+    asked = test.join(total, by, "left").select(*by, key, (alpha * (F.col("_total") + F.col(own)) - 1e-9).alias("_at"), "_total")
+    scores = g.select(*by, F.lit(None).cast(dict(test.dtypes)[key]).alias(key), F.col("_run").alias("_at"), F.lit(None).cast("double").alias("_total"), "_s", F.lit(1).alias("_side"))
+    stacked = asked.withColumns({"_s": F.lit(None).cast("double"), "_side": F.lit(0)}).unionByName(scores)
+    # The first score at or after the place: running sums stand after equal places.
+    ahead = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(0, Window.unboundedFollowing)
+    q = F.coalesce(F.first("_s", ignorenulls=True).over(ahead), F.when(F.col("_total").isNotNull(), float("inf")))
+    return stacked.withColumn("q", q).where("_side = 0").select(key, "q")
+
+
 def local_quantiles(test: DataFrame, cal: DataFrame, key: str, features: list[str], score: str, alpha: float, width: float, block: int = 4096) -> DataFrame:
     """(key, q): the weighted quantile for each test row, with Gaussian kernel weights over all calibration rows.
 
@@ -195,6 +163,12 @@ def isotonic(cal: DataFrame, z: str, bins: int = 2001) -> tuple[np.ndarray, np.n
     return grid, np.maximum.accumulate(pool(np.cumsum(n) / max(n.sum(), 1), np.ones(bins))) if len(x) else grid
 
 
+def inverse_levels(grid: np.ndarray, level: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The least nominal level whose recalibrated one reaches each wanted level, linear between grid points; the ends hold."""
+    rise = np.concatenate([[True], np.diff(level) > 0])
+    return np.interp(wanted, level[rise], grid[rise])
+
+
 def _erf(z: str) -> str:
     """erf(z / sqrt 2) by Abramowitz and Stegun's 7.1.26 as an SQL expression (error under 2e-7)."""
     a = f"abs({z}) / sqrt(2D)"

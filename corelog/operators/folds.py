@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corelog.operators.common import bounded, hashed
+from corelog.operators.common import bounded, hashed, kept
+from corelog.operators.sampling import hashed_rank
 
 #: name, south, north, west, east
 Box = tuple[str, float, float, float, float]
@@ -66,17 +67,36 @@ def greedy_folds(df: DataFrame, cell: str, k: int, seed: int) -> DataFrame:
     return df.join(bounded(assigned), cell)
 
 
-def contiguous_folds(df: DataFrame, cell: str, y: str, x: str, k: int) -> DataFrame:
-    """df with `fold`: k strips of neighbouring cells along the wider axis, about equal in rows.
+def contiguous_folds(df: DataFrame, cell: str, y: Column, x: Column, k: int, *, seed: int = 42) -> DataFrame:
+    """df with `fold`: k regions of neighbouring cells, by k-means of the cells' centres (y, x: expressions over `cell`).
 
-    The order of cells is by their mean place; a fold is the place of a cell's first row among all rows.
+    Cells count once each, whatever their rows; the fit runs on the cell table in Spark. Folds are numbered from the south
+    and west. Fewer than k cells is a ValueError.
     """
-    cells = df.groupBy(cell).agg(F.avg(y).alias("_y"), F.avg(x).alias("_x"), F.count("*").alias("_n"))
-    e = cells.agg((F.max("_x") - F.min("_x") >= F.max("_y") - F.min("_y")).alias("wide")).first()
-    w = Window.partitionBy().orderBy("_x" if e and e.wide else "_y", cell)
-    before = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    total = F.sum("_n").over(Window.partitionBy())
-    return df.join(bounded(cells.select(cell, F.floor(k * before / total).cast("int").alias("fold"))), cell)
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    cells = kept(df.select(cell).distinct().select(cell, y.alias("_y"), x.alias("_x")), "cells")
+    if cells.limit(k).count() < k:
+        raise ValueError(f"fewer than {k} cells")
+    v = VectorAssembler(inputCols=["_y", "_x"], outputCol="_v").transform(cells)
+    best = min((KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="_p", maxIter=50).fit(v) for i in range(3)), key=lambda m: m.summary.trainingCost)
+    rank = {i: n for n, i in enumerate(sorted(range(k), key=lambda i: tuple(best.clusterCenters()[i])))}
+    number = F.create_map(*[F.lit(a) for pair in rank.items() for a in pair])[F.col("_p")]
+    return df.join(bounded(best.transform(v).select(cell, number.alias("fold"))), cell)
+
+
+def leave_out(df: DataFrame, label: str, held: list[str] | None = None, *, other: str = "other") -> DataFrame:
+    """(df's columns, fold, test): df once for each label that is held out; rows of `other`, and unlabelled ones, always train.
+
+    held: the labels, by default all that occur. Labels without a row make no fold.
+    """
+    d = df.withColumn("_l", F.coalesce(F.col(label), F.lit(other)))
+    found = sorted(r[0] for r in d.select("_l").distinct().collect() if r[0] != other)
+    folds = [x for x in (found if held is None else held) if x in set(found)]
+    if not folds:
+        return df.withColumns({"fold": F.lit(None).cast("string"), "test": F.lit(None).cast("boolean")}).where("1 = 0")
+    return d.withColumn("fold", F.explode(F.array(*map(F.lit, folds)))).withColumn("test", F.col("_l") == F.col("fold")).drop("_l")
 
 
 def disjoint_split(df: DataFrame, cell: str, fraction: float, seed: int) -> DataFrame:
@@ -113,14 +133,37 @@ def guarded_folds(df: DataFrame, fold: str, least_test: int = 30, least_train: i
 def few_shot(df: DataFrame, group: str, source: Column, budgets: list[int], holdout: float, seed: int) -> DataFrame:
     """(df's columns, budget, part): for each budget the source rows and the first `budget` target groups as 'train', and
     the same held-out target groups as 'test'. Groups go in hashed order; those held out are the last ones."""
-    t = df.where(~source).select(group).distinct().withColumn("_r", F.row_number().over(Window.partitionBy().orderBy(hashed(seed, group), group)))
-    t = t.withColumn("_test", F.col("_r") > F.ceil(F.max("_r").over(Window.partitionBy()) * (1 - holdout)))
+    t = hashed_rank(df.where(~source).select(group).distinct(), group, seed)
+    t = t.withColumn("_test", F.col("_r") > F.ceil(F.col("_n") * (1 - holdout))).drop("_n")
     d = df.withColumn("_src", source).join(bounded(t), group, "left")
     d = d.withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
     part = F.when(F.col("_src"), "train").when(F.col("_test"), "test").when(F.col("_r") <= F.col("budget"), "train")
     return d.withColumn("part", part).where("part IS NOT NULL").drop("_src", "_r", "_test")
 
 
+#: Steps of latitude and longitude of the meshes by level.
+STEPS = {1: (2 / 3, 1.0), 2: (1 / 12, 0.125), 4: (1 / 120, 0.0125)}
+
+
+def mesh_level(tile_km: float) -> int:
+    """The level whose meshes are nearest to the size without exceeding it: 4 up to 5 km, 2 up to 30 km, else 1."""
+    return 4 if tile_km <= 5 else 2 if tile_km <= 30 else 1
+
+
+def tiles(spark: SparkSession, south: float, north: float, west: float, east: float, tile_km: float, halo_km: float) -> DataFrame:
+    """(i, j, south, north, west, east, and the same with a halo): the mesh tiles that meet the box, aligned to the mesh.
+
+    The halo is in km: in longitude it widens with the cosine of the tile's middle latitude (0.1 at least).
+    """
+    step_lat, step_lon = STEPS[mesh_level(tile_km)]
+    rows, cols = lattice(south, north, west, east, step_lat, step_lon)
+    d = spark.range(rows.start, rows.stop).toDF("i").crossJoin(F.broadcast(spark.range(cols.start, cols.stop).toDF("j")))
+    d = d.select("i", "j", (F.col("i") * step_lat).alias("south"), ((F.col("i") + 1) * step_lat).alias("north"), (F.col("j") * step_lon).alias("west"), ((F.col("j") + 1) * step_lon).alias("east"))
+    up = F.lit(halo_km / 111.32)
+    side = up / F.greatest(F.lit(0.1), F.cos(F.radians((F.col("south") + F.col("north")) / 2)))
+    return d.select("*", (F.col("south") - up).alias("halo_south"), (F.col("north") + up).alias("halo_north"), (F.col("west") - side).alias("halo_west"), (F.col("east") + side).alias("halo_east"))
+
+
 def lattice(south: float, north: float, west: float, east: float, step_lat: float, step_lon: float) -> tuple[range, range]:
     """Indices of the cells of a grid aligned to 0 that meet the box."""
     import math

@@ -11,14 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corelog.operators.common import kept
 from corelog.plans.shared import shared_dir
 
 _N = NormalDist()
 
 
 def effect(treated: Column, null: Column) -> Column:
-    """100 (treated - null) / null."""
-    return 100 * (treated - null) / null
+    """100 (treated - null) / null; NULL where null is 0."""
+    return 100 * (treated - null) / F.nullif(null, F.lit(0).cast("double"))
 
 
 def group_losses(df: DataFrame, groups: list[str], losses: list[str]) -> DataFrame:
@@ -205,6 +206,39 @@ def _leave_one_out(df: DataFrame, fold: str, features: list[str], y: str, folds:
     return out
 
 
+def tree_errors(df: DataFrame, fold: str, features: list[str], y: str, *, learner: str = "boosted", trees: int = 20, depth: int = 5, seed: int = 42) -> DataFrame:
+    """(fold, n, rmse) of boosted trees or a random forest (pyspark.ml), fitted on all other folds. Folds are few: a fit each.
+
+    learner 'forest' adds `spread`, the mean deviation of its trees' predictions, as a measure of doubt. Rows with a NULL
+    feature or target don't count.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    if learner not in ("boosted", "forest"):
+        raise ValueError(f"unknown learner: {learner}")
+    d = VectorAssembler(inputCols=features, outputCol="_x").transform(df.dropna(subset=[*features, y]))
+    d = kept(d.select(fold, F.col(y).cast("double").alias("_y"), "_x"), "features")
+    out = None
+    for f in sorted(r[0] for r in d.select(fold).distinct().collect() if r[0] is not None):
+        args = {"featuresCol": "_x", "labelCol": "_y", "predictionCol": "_p", "seed": seed, "maxDepth": depth}
+        fit = (GBTRegressor(maxIter=trees, **args) if learner == "boosted" else RandomForestRegressor(numTrees=trees, **args)).fit(d.where(F.col(fold) != f))
+        test = d.where(F.col(fold) == f)
+        if learner == "forest":
+            for i, t in enumerate(fit.trees):
+                test = t.setPredictionCol(f"_t{i}").transform(test)
+            each = F.array(*[f"_t{i}" for i in range(trees)])
+            mean = F.aggregate(each, F.lit(0.0), lambda s, v: s + v) / trees
+            sd = F.sqrt(F.aggregate(F.transform(each, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda s, v: s + v) / trees)
+            test, extra = test.withColumns({"_p": mean, "_sd": sd}), [F.avg("_sd").alias("spread")]
+        else:
+            test, extra = fit.transform(test), []
+        e = F.col("_y") - F.col("_p")
+        one = test.groupBy(fold).agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), *extra)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def principal_axes(train: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(mean, k x d axes) of the rows' covariance; each axis's largest entry is positive.
 

@@ -7,22 +7,42 @@ from pyspark.sql import functions as F
 
 from corelog.operators.common import bounded, unique_on
 
+#: A group's axis is cut into so many ranges, each of which one task can take.
+RANGES = 16
 
-def asof_interval(left: DataFrame, right: DataFrame, by: list[str], on: str, top: str, bottom: str, values: list[str], *, tie: str | None = None) -> DataFrame:
+
+def asof_interval(left: DataFrame, right: DataFrame, by: list[str], on: str, top: str, bottom: str, values: list[str], *, tie: str | None = None, ranges: int = RANGES) -> DataFrame:
     """left with the values of the interval that holds `on`: greatest top <= on in the group, and on < bottom, else NULL.
 
-    One shuffle: both sides are stacked, and a window carries the last interval forward; intervals come before points at
-    equal places, so an exact match counts. Among equal tops the one last by `tie` (default: bottom) wins. Row count and
-    columns of left stay; NULL keys match nothing; a NULL bottom matches nothing.
+    Both sides are stacked, and a window carries the last interval forward; intervals come before points at equal places,
+    so an exact match counts. Among equal tops the one last by `tie` (default: bottom) wins. Row count and columns of left
+    stay; NULL keys match nothing; a NULL bottom matches nothing.
+
+    The window is over (group, range of the axis), so a group that holds most rows is many tasks' work. Each range also
+    gets the last interval of the ranges before it, from one row a group and range. ranges=1: whole groups, one shuffle.
     """
     kinds = dict(left.dtypes)
+    edges: list = []
+    if ranges > 1:
+        ends = right.agg(F.percentile_approx(F.col(top).cast(kinds[on]), F.array(*[F.lit(i / ranges) for i in range(1, ranges)]))).first()[0]
+        edges = sorted(set(ends or []))
+    part = F.lit(0)
+    for e in edges:
+        part = part + F.when(F.col("_at") >= F.lit(e).cast(kinds[on]), 1).otherwise(0)
     point = left.select(*by, F.col(on).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).alias("_tie"), F.lit(None).alias("_hit"))
     layer = right.select(
         *by, F.col(top).cast(kinds[on]).alias("_at"), F.lit(0).alias("_side"), F.lit(None).alias("_row"), F.col(tie or bottom).alias("_tie"),
         F.struct(F.col(bottom).alias("_bottom"), F.col(top).alias("_top"), *values).alias("_hit"),
     ).where(F.col("_at").isNotNull())
-    w = Window.partitionBy(*by).orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    both = point.unionByName(layer).withColumn("_hit", F.last("_hit", ignorenulls=True).over(w)).where("_side = 1")
+    both = point.unionByName(layer).withColumn("_part", part)
+    if edges:
+        last = F.max_by("_hit", F.when(F.col("_side") == 0, F.struct("_at", "_tie"))).alias("_hit")
+        before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = both.groupBy(*by, "_part").agg(last).withColumn("_hit", F.last("_hit", ignorenulls=True).over(before)).where("_hit IS NOT NULL")
+        carried = carried.select(*by, F.lit(None).alias("_at"), F.lit(0).alias("_side"), F.lit(None).alias("_row"), F.lit(None).alias("_tie"), "_hit", "_part")
+        both = both.unionByName(carried)
+    w = Window.partitionBy(*by, "_part").orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_hit", F.last("_hit", ignorenulls=True).over(w)).where("_side = 1")
     keyed = F.lit(True)
     for c in by:
         keyed = keyed & F.col(c).isNotNull()
@@ -41,14 +61,20 @@ def interval_exists(points: DataFrame, intervals: DataFrame, by: list[str], on:
     return p.unionByName(i).withColumn("_reach", F.max("_bottom").over(w)).where("_side = 1 AND _reach >= _at").select("_row.*")
 
 
-def first_containing(points: DataFrame, intervals: DataFrame, by: list[str], on: str, top: str, bottom: str, order: str, values: list[str], key: list[str]) -> DataFrame:
-    """points with the values of the first interval (by `order`) of [top, bottom) that holds them; others are left out."""
+def first_containing(points: DataFrame, intervals: DataFrame, by: list[str], on: str, top: str, bottom: str, order: str, values: list[str]) -> DataFrame:
+    """points with the values of the first interval (by `order`) of [top, bottom) that holds them; others are left out.
+
+    Equal points are looked up once and stand as often as before. An equi-join on `by` with a range condition: work is
+    points times intervals of a group, results are combined before their shuffle.
+    """
+    once = points.groupBy(*points.columns).agg(F.count("*").alias("_copies"))
     i = intervals.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(top).alias("_top"), F.col(bottom).alias("_bottom"), F.col(order).alias("_order"), *[F.col(v).alias(f"_v_{v}") for v in values])
     cond = (F.col("_top") <= F.col(on)) & (F.col(on) < F.col("_bottom"))
     for c in by:
         cond = cond & (F.col(c) == F.col(f"_{c}"))
     best = F.min_by(F.struct(*[F.col(f"_v_{v}").alias(v) for v in values]), "_order").alias("_best")
-    return points.join(i, cond).groupBy(*points.columns).agg(best).select(*points.columns, "_best.*") if not key else points.join(points.join(i, cond).groupBy(*key).agg(best), key).select(*points.columns, "_best.*")
+    met = once.join(i, cond).groupBy(*points.columns, "_copies").agg(best)
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies"))).select(*points.columns, "_best.*")
 
 
 def distinct_enrich(df: DataFrame, keys: list[str], derive) -> DataFrame:
@@ -56,14 +82,21 @@ def distinct_enrich(df: DataFrame, keys: list[str], derive) -> DataFrame:
     return df.join(derive(df.select(*keys).dropna().distinct()), keys, "left")
 
 
-def multiset_align(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], order_left: list[str], order_right: list[str]) -> DataFrame:
-    """left with right's values, the n-th row of a key to the n-th: a 1:1 join of multisets. Unmatched rows give NULL."""
+def multiset_align(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], order_left: list[str], order_right: list[str], *, strict: bool = False) -> DataFrame:
+    """left with right's values, the n-th row of a key to the n-th: a 1:1 join of multisets.
+
+    Unmatched rows of left give NULL, or stop the job if `strict`.
+    """
 
     def numbered(df: DataFrame, order: list[str]) -> DataFrame:
         return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
-    r = numbered(right, order_right).select(*keys, "_nth", *values)
-    return numbered(left, order_left).join(r, [*keys, "_nth"], "left").select(*left.columns, *values)
+    r = numbered(right, order_right).select(*keys, "_nth", F.lit(True).alias("_hit"), *values)
+    out = numbered(left, order_left).join(r, [*keys, "_nth"], "left")
+    if strict:
+        lost = F.concat(F.lit("no partner for "), F.to_json(F.struct(*keys, "_nth")))
+        out = out.withColumn("_hit", F.when(F.col("_hit"), True).otherwise(F.raise_error(lost).cast("boolean"))).where("_hit")
+    return out.select(*left.columns, *values)
 
 
 def multiset_equal(a: DataFrame, b: DataFrame) -> bool:
@@ -102,16 +135,19 @@ def snap_to_axis(c: Column, start: float, step: float, n: int) -> Column:
 def raster_bilinear(points: DataFrame, grid: DataFrame, x: str, y: str, *, x0: float, y0: float, dx: float, dy: float, nx: int, ny: int, fill: float) -> DataFrame:
     """points with `sample`: the grid (i, j, value) between its four cells; `fill` outside or where a cell is missing.
 
-    Each point asks for its four corners as one exploded equi-join on the cell.
+    The grid's cells are put side by side four at a time, so that each point is one lookup of the cell it lies in.
     """
     fx, fy = (F.col(x) - x0) / dx, (F.col(y) - y0) / dy
     inside = fx.between(0, nx - 1) & fy.between(0, ny - 1)
     i, j = F.least(F.floor(fx), F.lit(nx - 2)), F.least(F.floor(fy), F.lit(ny - 2))
-    corners = F.array(*[F.struct((i + a).alias("i"), (j + b).alias("j"), ((fx - i if a else 1 - fx + i) * (fy - j if b else 1 - fy + j)).alias("w")) for a in (0, 1) for b in (0, 1)])
-    asked = points.withColumn("_c", F.explode_outer(F.when(inside, corners)))
-    met = asked.join(grid.select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("value").alias("_v")), (F.col("_c.i") == F.col("_i")) & (F.col("_c.j") == F.col("_j")), "left")
-    out = met.groupBy(*points.columns).agg(F.sum(F.col("_c.w") * F.col("_v")).alias("_s"), F.count("_v").alias("_n"))
-    return out.select(*points.columns, F.when(F.col("_n") == 4, F.col("_s")).otherwise(fill).alias("sample"))
+    places = [(a, b) for a in (0, 1) for b in (0, 1)]
+    sent = grid.select(F.explode(F.array(*[F.struct((F.col("i") - a).cast("bigint").alias("_i"), (F.col("j") - b).cast("bigint").alias("_j"), F.lit(2 * a + b).alias("k"), F.col("value").cast("double").alias("v")) for a, b in places])).alias("c")).select("c.*")
+    cells = sent.groupBy("_i", "_j").agg(*[F.max(F.when(F.col("k") == 2 * a + b, F.col("v"))).alias(f"_v{a}{b}") for a, b in places])
+    asked = points.withColumns({"_i": F.when(inside, i), "_j": F.when(inside, j)})
+    met = asked.join(cells, ["_i", "_j"], "left")
+    u, v = fx - F.col("_i"), fy - F.col("_j")
+    total = sum(((u if a else 1 - u) * (v if b else 1 - v) * F.col(f"_v{a}{b}") for a, b in places), F.lit(0.0))
+    return met.select(*points.columns, F.coalesce(total, F.lit(fill)).alias("sample"))
 
 
 def raster_nearest(points: DataFrame, grid: DataFrame, x: str, y: str, *, x0: float, y0: float, dx: float, dy: float, nx: int, ny: int, fill: float) -> DataFrame:

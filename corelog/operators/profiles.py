@@ -28,10 +28,11 @@ def trapezoid(df: DataFrame, loc: list[str], depth: str, value: Column, name: st
     return d.select(*loc, part.alias("_p")).groupBy(*loc).agg(F.coalesce(F.sum("_p"), F.lit(0.0)).alias(name))
 
 
-def liquefaction_potential(df: DataFrame, loc: list[str], depth: str, n: str, table: str, pga: float, *, fines: float = 5.0, magnitude: float = 7.5) -> DataFrame:
+def liquefaction_potential(df: DataFrame, loc: list[str], depth: str, n: str, table: str, pga: float, *, fines: float = 5.0, magnitude: float = 7.5, skip_bad: bool = False) -> DataFrame:
     """(loc, lpi, risk): Iwasaki's index over the upper 20 m. Locations of fewer than two samples are left out.
 
-    Samples above the water table count as safe. Repeated depths or a pga of 0 or less are errors.
+    Samples above the water table count as safe. A pga of 0 or less is an error, and so is a repeated depth; with skip_bad
+    locations with repeated depths or depths or counts that are NULL or not finite are left out, as maps of cells need it.
     """
     if pga <= 0:
         raise ValueError("pga must be positive")
@@ -41,10 +42,14 @@ def liquefaction_potential(df: DataFrame, loc: list[str], depth: str, n: str, ta
     wet = water.isNotNull() & ~F.isnan(water) & (z > water)
     severity = F.when(wet, F.greatest(F.lit(0.0), 1 - safety)).otherwise(0.0) * F.greatest(F.lit(0.0), 10 - 0.5 * z)
     w = _ordered(loc, "_z")
-    d = df.select(*loc, z.alias("_z"), severity.alias("_f"))
+    finite = lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf"))
+    d = df.select(*loc, z.alias("_z"), severity.alias("_f"), (finite(z) & finite(F.col(n))).alias("_ok"))
     step = F.col("_z") - F.lag("_z").over(w)
-    part = F.when(F.col("_z") <= 20, 0.5 * (F.col("_f") + F.lag("_f").over(w)) * F.when(step > 0, step).when(step.isNotNull(), F.raise_error(F.lit("repeated depth")).cast("double")))
-    g = d.select(*loc, part.alias("_p")).groupBy(*loc).agg(F.count("*").alias("_n"), F.coalesce(F.sum("_p"), F.lit(0.0)).alias("lpi")).where("_n >= 2").drop("_n")
+    again = F.lit(None) if skip_bad else F.when(step.isNotNull(), F.raise_error(F.lit("repeated depth")).cast("double"))
+    part = F.when(F.col("_z") <= 20, 0.5 * (F.col("_f") + F.lag("_f").over(w)) * F.when(step > 0, step).otherwise(again))
+    g = d.select(*loc, part.alias("_p"), F.coalesce(F.col("_ok") & (step.isNull() | (step > 0)), F.lit(False)).alias("_ok"))
+    g = g.groupBy(*loc).agg(F.count("*").alias("_n"), F.coalesce(F.sum("_p"), F.lit(0.0)).alias("lpi"), F.bool_and("_ok").alias("_ok")).where("_n >= 2")
+    g = (g.where("_ok") if skip_bad else g).drop("_n", "_ok")
     return g.withColumn("risk", soil.risk_class(F.col("lpi")))
 
 

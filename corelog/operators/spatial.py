@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,60 +32,66 @@ def _around(df: DataFrame, size: float) -> DataFrame:
     return df.withColumn("_c", F.explode(near)).withColumns({"_i": F.col("_c.i"), "_j": F.col("_c.j")}).drop("_c")
 
 
-def within(queries: DataFrame, candidates: DataFrame, key: str, values: list[str], reach: float) -> DataFrame:
+def within(queries: DataFrame, candidates: DataFrame, key: str, values: list[str], reach: float, *, others: bool = False) -> DataFrame:
     """(queries' columns, _id, _d, values) of all candidates nearer than `reach` or as far. Both have x, y and `key`.
 
+    others: candidates with the query's own key are left out, as in a search of a table in itself.
+
     An equi-join on cells as wide as the reach; queries, the smaller side as a rule, are sent to nine cells.
     """
     i, j = _cells("x", "y", reach)
     c = candidates.select(F.col(key).alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y"), *[F.col(v).alias(f"_v_{v}") for v in values], i.alias("_i"), j.alias("_j"))
     met = _around(queries, reach).join(c, ["_i", "_j"])
     d = F.sqrt((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")))
-    return met.withColumn("_d", d).where(F.col("_d") <= reach).drop("_i", "_j", "_x", "_y")
+    met = met.withColumn("_d", d).where(F.col("_d") <= reach)
+    return (met.where(F.col("_id") != F.col(key)) if others else met).drop("_i", "_j", "_x", "_y")
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, key: str, values: list[str], tolerance: float) -> DataFrame:
+def nearest(queries: DataFrame, candidates: DataFrame, key: str, values: list[str], tolerance: float, *, others: bool = False) -> DataFrame:
     """queries with the nearest candidate's values and `distance`, NULL beyond the tolerance; ties go to the least id."""
-    best = within(queries.select(key, "x", "y"), candidates, key, values, tolerance).where(F.col("_d") < tolerance)
+    best = within(queries.select(key, "x", "y"), candidates, key, values, tolerance, others=others).where(F.col("_d") < tolerance)
     pick = F.min_by(F.struct("_d", *[f"_v_{v}" for v in values]), F.struct("_d", "_id")).alias("_b")
     return queries.join(best.groupBy(key).agg(pick), key, "left").select(*queries.columns, F.col("_b._d").alias("distance"), *[F.col(f"_b._v_{v}").alias(v if v not in queries.columns else f"near_{v}") for v in values])
 
 
-def knn_within(queries: DataFrame, candidates: DataFrame, key: str, values: list[str], k: int, reach: float) -> DataFrame:
+def knn_within(queries: DataFrame, candidates: DataFrame, key: str, values: list[str], k: int, reach: float, *, others: bool = False) -> DataFrame:
     """(key, rank, _id, _d, _v_*) of up to k nearest candidates within `reach`; equal distances rank by id."""
     w = Window.partitionBy(key).orderBy("_d", "_id")
-    return within(queries.select(key, "x", "y"), candidates, key, values, reach).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("x", "y")
+    return within(queries.select(key, "x", "y"), candidates, key, values, reach, others=others).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("x", "y")
 
 
 def knn(queries: DataFrame, candidates: DataFrame, key: str, values: list[str], k: int, start: float, *, other: str | None = None) -> DataFrame:
     """(key, rank, _id, _d, _v_*) of the k nearest candidates without a limit of distance; ids are unique.
 
-    Searches cells of `start`, and for queries that found fewer than k, of twice that, and so on until a cell spans all
-    candidates: k found within a cell's width are the nearest. Rounds are written to the shared folder. other: a column
-    of both sides; candidates with the query's value there, or its own id where other is the key, are left out.
+    Searches cells of `start`, and for queries that found fewer than k, of twice that, and so on: k found within a cell's
+    width are the nearest. A query that has found all candidates it may have is done too, so no round looks for what isn't
+    there. Rounds are written to the shared folder. other: a column of both sides; candidates with the query's value there,
+    or its own id where other is the key, are left out.
     """
     spark = queries.sparkSession
     cols = list(dict.fromkeys([key, "x", "y", *([other] if other else [])]))
     values = list(dict.fromkeys([*values, *([other] if other and other != key else [])]))
-    lo, hi = candidates.agg(F.min("x"), F.min("y")).first(), candidates.agg(F.max("x"), F.max("y")).first()
+    lo = candidates.agg(F.min("x")).first()
     pending, out, size = queries.select(*cols), [], start
-    ends = queries.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    ends = queries.agg(F.min("x")).first()
     if lo[0] is None or ends[0] is None:
         return within(pending, candidates, key, values, start).withColumn("rank", F.lit(1)).where("1 = 0").drop("x", "y")
-    span = max(max(hi[0], ends[2]) - min(lo[0], ends[0]), max(hi[1], ends[3]) - min(lo[1], ends[1]))
+    total = candidates.count()
+    if not other:
+        pending = pending.withColumn("_most", F.lit(min(k, total)))
+    else:
+        own = candidates.groupBy(F.col(other).alias("_other")).agg(F.count("*").alias("_own"))
+        pending = pending.join(bounded(own, "own"), F.col(other).eqNullSafe(F.col("_other")), "left").withColumn("_most", F.least(F.lit(k), total - F.coalesce("_own", F.lit(0)))).drop("_other", "_own")
+    pending = pending.where("_most > 0")
     while True:
-        last = size > span * 1.5
-        met = within(pending, candidates, key, values, size if not last else span * 2)
+        met = within(pending, candidates, key, values, size)
         if other:
             met = met.where(F.col("_id") != F.col(key) if other == key else ~F.col(f"_v_{other}").eqNullSafe(F.col(other)))
         ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("_d", "_id"))).where(F.col("rank") <= k)
         path = f"{shared_dir(spark)}/knn-{uuid.uuid4().hex}"
         ranked.withColumn("_n", F.count("*").over(Window.partitionBy(key))).write.parquet(path)
-        found = spark.read.parquet(path)
-        done = found if last else found.where(F.col("_n") == k)
-        out.append(done)
-        if last:
-            break
+        done = spark.read.parquet(path).where("_n >= _most")
+        out.append(done.drop("_most"))
         pending = pending.join(done.select(key).distinct(), key, "left_anti")
         if pending.isEmpty():
             break
@@ -101,12 +108,45 @@ def inverse_distance(neighbours: DataFrame, key: str, value: str, *, power: floa
     return neighbours.groupBy(key).agg((F.sum(w * F.col(value)) / F.sum(F.when(F.col(value).isNotNull(), w))).alias("idw"), F.min("_d").alias("nearest"))
 
 
+def with_fill(queries: DataFrame, found: DataFrame, key: str, fill: dict) -> DataFrame:
+    """(key, found's columns) of every query: those that found nothing have the fill values."""
+    return queries.select(key).join(found, key, "left").na.fill(fill)
+
+
 def vote(neighbours: DataFrame, key: str, value: str) -> DataFrame:
     """(key, mode): the most frequent value, of equally frequent ones the least."""
     n = neighbours.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
     return n.groupBy(key).agg(F.min_by(value, F.struct(-F.col("_n"), F.col(value))).alias("mode"))
 
 
+def site_code(points: DataFrame, value: str, lat: float, lon: float, *, k: int = 8, reach: float = 200.0) -> DataFrame:
+    """One row (value): the most frequent code among the k nearest points within `reach` km of one site, NULL if there is none.
+
+    A top-k of the points around the site, not a join of all.
+    """
+    near = planar(points, "lat", "lon", lat)
+    x, y = lon * math.cos(math.radians(lat)) * KM_LON, lat * KM_LAT
+    d = F.sqrt(F.pow(F.col("x") - x, 2) + F.pow(F.col("y") - y, 2))
+    top = near.select("id", value, d.alias("_d")).where(F.col("_d") <= reach).orderBy("_d", "id").limit(k)
+    votes = top.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    return votes.agg(F.min_by(value, F.struct(-F.col("_n"), F.col(value))).alias(value))
+
+
+def dissimilarity(queries: DataFrame, train: DataFrame, key: str, start: float, *, mode: str = "train", group: str | None = None) -> DataFrame:
+    """(key, distance, dissimilarity): the distance to the nearest training point, over the mean distance of all training pairs.
+
+    mode 'train': to any training point; 'others': leave-one-out, the own id left out; 'groups': to the nearest of another
+    group. Both tables have x and y. NULL where the mean distance is 0. Queries without such a point are left out.
+    """
+    from corelog.operators.aggregates import mean_pairwise_distance
+
+    if mode not in ("train", "others", "groups") or (mode == "groups" and not group):
+        raise ValueError(f"unknown mode: {mode}")
+    found = knn(queries, train, key, [], 1, start, other={"train": None, "others": key, "groups": group}[mode])
+    mean = mean_pairwise_distance(train.select(key, F.array("x", "y").alias("v")), key, "v")
+    return found.crossJoin(F.broadcast(mean)).select(key, F.col("_d").alias("distance"), (F.col("_d") / F.nullif(F.col("mean_distance"), F.lit(0.0))).alias("dissimilarity"))
+
+
 def line_distance(points: DataFrame, segments: DataFrame, key: str) -> DataFrame:
     """(key, distance) to the nearest segment (x1, y1, x2, y2); the segments are broadcast if counted to be few."""
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")

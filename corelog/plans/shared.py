@@ -8,9 +8,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir, or one of our own where that is unset and all runs on one machine (tests).
+
+    On a cluster the setting must name a folder that all its machines share: ValueError without it.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="corelog-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corelog.operators import aggregates as A
+from corelog.operators.quantiles import percentiles
 from corelog.queries.inputs import PREDICTIONS, PROFILE, predictions, profile
 from corelog.registry import query, table
 
@@ -88,8 +89,8 @@ def rmse_by_depth(s, d):
 round((quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25)) / 2, 6) AS softness FROM customer""")
 def quantile_limits(s, d):
     """A33, A34."""
-    t, soft = A.gate_parameters("c_acctbal")
-    return table(s, d, "customer").agg(F.percentile("c_acctbal", F.lit(0.02)).alias("low"), F.percentile("c_acctbal", F.lit(0.98)).alias("high"), F.round(t, 6).alias("threshold"), F.round(soft, 6).alias("softness"))
+    q = percentiles(table(s, d, "customer"), [], "c_acctbal", {"low": 0.02, "high": 0.98, "q1": 0.25, "q3": 0.75})
+    return q.select("low", "high", F.round(F.expr("q3 + 1.5D * (q3 - q1)"), 6).alias("threshold"), F.round(F.expr("(q3 - q1) / 2"), 6).alias("softness"))
 
 
 @query("""WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT round(avg(list_distance(a.v, b.v)), 6) AS mean_distance FROM x a, x b WHERE a.vec_id < b.vec_id""")
@@ -137,6 +138,20 @@ def spearman_rank(s, d):
     return A.spearman(predictions(s, d), "y", "mu").select(F.round("rho", 9).alias("rho"))
 
 
+@query(f"""WITH {PREDICTIONS}, z AS (SELECT (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS a, (mu - avg(mu) OVER ()) / stddev_pop(mu) OVER () AS b FROM predictions) SELECT round(sqrt(avg((a - b) * (a - b))), 6) AS z_rmse FROM z""")
+def z_scored_rmse(s, d):
+    """RMSE of both columns in units of their own deviation."""
+    return A.z_scored_rmse(predictions(s, d), "y", "mu").select(F.round("z_rmse", 6).alias("z_rmse"))
+
+
+@query(f"""WITH {PREDICTIONS}, q AS (SELECT regime, quantile_cont(abs(y - mu), 0.25) AS q1, quantile_cont(abs(y - mu), 0.75) AS q3 FROM predictions GROUP BY 1)
+SELECT regime, round(q3 + 1.5e0 * (q3 - q1), 6) AS threshold, round((q3 - q1) / 2, 6) AS softness FROM q""")
+def gate_parameters(s, d):
+    """A gate's threshold and softness by regime."""
+    g = A.gate_parameters(predictions(s, d).withColumn("r", F.abs(F.col("y") - F.col("mu"))), "r", ["regime"])
+    return g.select("regime", F.round("threshold", 6).alias("threshold"), F.round("softness", 6).alias("softness"))
+
+
 @query(f"""WITH {PREDICTIONS} SELECT regime, count(*) AS n, round(quantile_cont(y - mu, 0.25), 6) AS q25, round(quantile_cont(y - mu, 0.5), 6) AS q50, round(quantile_cont(y - mu, 0.75), 6) AS q75 FROM predictions GROUP BY regime HAVING count(*) >= 30""")
 def residual_boxes(s, d):
     """R7."""

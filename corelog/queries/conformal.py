@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from corelog.operators import aggregates as A
 from corelog.operators import conformal as C
-from corelog.operators.common import hashed
+from corelog.operators.common import bounded, hashed
+from corelog.operators.quantiles import order_statistics
 from corelog.queries.inputs import POINTS, PREDICTIONS, points, predictions
 from corelog.registry import query
 
@@ -67,7 +68,7 @@ def mondrian_intervals(s, d):
 @query(f"""WITH {_QUANTILES} SELECT regime, count(*) AS n, round(avg(CASE WHEN y BETWEEN low AND high THEN 1 ELSE 0 END), 6) AS covered, round(avg(high - low), 6) AS width,
 round(avg(high - low + 10 * (greatest(0, low - y) + greatest(0, y - high))), 6) AS winkler FROM t GROUP BY regime""")
 def mondrian_report(s, d):
-    """Coverage, width and interval score by regime."""
+    """Coverage, width and interval score by regime."""
     covered = F.col("y").between(F.col("low"), F.col("high"))
     return _intervals(s, d).groupBy("regime").agg(F.count("*").alias("n"), F.round(A.share(covered), 6).alias("covered"), F.round(F.avg(F.col("high") - F.col("low")), 6).alias("width"), F.round(C.winkler("y", "low", "high", 0.8), 6).alias("winkler"))
 
@@ -77,14 +78,34 @@ o AS (SELECT split, score, row_number() OVER (PARTITION BY split ORDER BY score)
 q AS (SELECT split, score AS q FROM o WHERE r = greatest(1, least(n, ceil((n + 1) * 0.95e0))))
 SELECT split, count(*) AS n_test, round(max(q), 6) AS q, round(avg(CASE WHEN score <= q THEN 1 ELSE 0 END), 6) AS covered FROM u JOIN q USING (split) WHERE NOT cal GROUP BY split""")
 def split_unit_report(s, d):
-    """Coverage when rows, whole units or whole sites are split."""
+    """Coverage when rows, whole units or whole sites are split."""
     units = F.array(*[F.struct(F.lit(n).alias("split"), (hashed(7, k) < "8").alias("cal")) for n, k in (("row", F.col("row_id")), ("unit", F.col("unit")), ("site", F.col("unit") % 100))])
     u = _scored(s, d).select("score", F.explode(units).alias("u")).select("score", "u.*")
     q = C.order_statistic(u.where("cal"), ["split"], "score", 0.95).drop("n")
-    t = u.where("NOT cal").join(F.broadcast(q), "split")
+    t = u.where("NOT cal").join(bounded(q), "split")
     return t.groupBy("split").agg(F.count("*").alias("n_test"), F.round(F.max("q"), 6).alias("q"), F.round(A.share(F.col("score") <= F.col("q")), 6).alias("covered"))
 
 
+_SPLITS = "u AS (SELECT split, seed, score, md5(seed || '|' || k) < '8' AS cal FROM (SELECT 'row' AS split, row_id AS k, score FROM s UNION ALL SELECT 'unit', unit, score FROM s UNION ALL SELECT 'site', unit % 100, score FROM s), (VALUES (7), (8), (9)) AS t(seed))"
+
+
+@query(f"""WITH {_SCORED}, {_SPLITS}, l AS (SELECT * FROM (VALUES (0.5e0), (0.8e0), (0.95e0)) AS t(alpha)),
+o AS (SELECT split, seed, score, row_number() OVER (PARTITION BY split, seed ORDER BY score) AS r, count(*) OVER (PARTITION BY split, seed) AS n FROM u WHERE cal),
+q AS (SELECT split, seed, alpha, score AS q FROM o, l WHERE r = greatest(1, least(n, ceil((n + 1) * alpha)))),
+c AS (SELECT split, alpha, seed, avg(CASE WHEN score <= q THEN 1 ELSE 0 END) AS covered, max(q) AS q FROM u JOIN q USING (split, seed) WHERE NOT cal GROUP BY ALL)
+SELECT split, alpha, count(*) AS n_seeds, round(avg(covered), 6) AS mean_covered, round(max(abs(covered - alpha)), 6) AS worst, round(avg(q), 6) AS mean_q FROM c GROUP BY split, alpha""")
+def coverage_report(s, d):
+    """Coverage over split units, seeds and levels: all quantiles of a (unit, seed) group come from one pass."""
+    alphas = [0.5, 0.8, 0.95]
+    units = F.array(*[F.struct(F.lit(n).alias("split"), F.lit(seed).alias("seed"), (hashed(seed, k) < "8").alias("cal")) for n, k in (("row", F.col("row_id")), ("unit", F.col("unit")), ("site", F.col("unit") % 100)) for seed in (7, 8, 9)])
+    u = _scored(s, d).select("score", F.explode(units).alias("u")).select("score", "u.*")
+    place = lambda a: lambda n: F.greatest(F.lit(1), F.least(n, F.ceil((n + 1) * a)))
+    q = order_statistics(u.where("cal"), ["split", "seed"], "score", {f"q{i}": place(a) for i, a in enumerate(alphas)})
+    q = q.select("split", "seed", F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.col(f"q{i}").alias("q")) for i, a in enumerate(alphas)])).alias("l")).select("split", "seed", "l.*")
+    c = u.where("NOT cal").join(bounded(q), ["split", "seed"]).groupBy("split", "seed", "alpha").agg(A.share(F.col("score") <= F.col("q")).alias("covered"), F.max("q").alias("q"))
+    return c.groupBy("split", "alpha").agg(F.count("*").alias("n_seeds"), F.round(F.avg("covered"), 6).alias("mean_covered"), F.round(F.max(F.abs(F.col("covered") - F.col("alpha"))), 6).alias("worst"), F.round(F.avg("q"), 6).alias("mean_q"))
+
+
 @query(f"""WITH {_SCORED}, t AS (SELECT 'price' AS task, regime, score, cal FROM s UNION ALL SELECT 'level', regime, abs(mu - 140) / sd, cal FROM s WHERE row_id % 3 = 0),
 o AS (SELECT task, regime, score, row_number() OVER (PARTITION BY task, regime ORDER BY score) AS r, count(*) OVER (PARTITION BY task, regime) AS n FROM t WHERE cal)
 SELECT task, regime, n, round(score, 6) AS q FROM o WHERE r = greatest(1, least(n, ceil((n + 1) * 0.5e0)))""")
@@ -105,6 +126,27 @@ def weighted_quantiles(s, d):
     return C.weighted_quantile(w, ["regime"], "score", "weight", 0.8).withColumn("q", F.round("q", 6))
 
 
+@query(f"""WITH {_SCORED}, {_RUN}, t AS (SELECT row_id, regime, 1e0 * (1 + row_id % 900) AS w FROM s WHERE NOT cal),
+hit AS (SELECT t.row_id, min(score) FILTER (WHERE run >= 0.9e0 * (total + w) - 1e-9) AS q FROM t JOIN r USING (regime) GROUP BY t.row_id)
+SELECT row_id, coalesce(round(q, 6), 999) AS q FROM hit""")
+def shifted_row_quantiles(s, d):
+    """Every test row with its own weight at infinity; 999 stands for an unbounded interval."""
+    sc = _scored(s, d)
+    w = sc.where("cal").withColumn("weight", 1.0 + F.col("unit") % 5)
+    t = sc.where("NOT cal").withColumn("w", 1.0 + F.col("row_id") % 900)
+    q = C.shifted_quantile(t, w, "row_id", ["regime"], "score", "weight", "w", 0.9)
+    return q.select("row_id", F.when(F.col("q") == float("inf"), 999.0).otherwise(F.round("q", 6)).alias("q"))
+
+
+@query()
+def isotonic_levels(s, d):
+    """Nominal levels, their recalibrated ones, and the level whose recalibrated one is the nominal (the inverse)."""
+    z = predictions(s, d).select(((F.col("y") - F.col("mu")) / F.col("sd")).alias("z"))
+    grid, level = C.isotonic(z, "z", 201)
+    back = C.inverse_levels(grid, level, grid)
+    return s.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(grid, level, back)], "level double, recalibrated double, inverse double")
+
+
 @query(f"""WITH {_SCORED}, {_RUN} SELECT regime, coalesce(round(min(score) FILTER (WHERE run / (total + 500) >= 0.9e0 - 1e-12), 6), 999) AS q FROM r GROUP BY regime""")
 def shifted_quantiles(s, d):
     """The same with the test point's weight of 500 at infinity; 999 stands for an unbounded interval."""
@@ -118,7 +160,7 @@ SELECT regime, round(avg(z * z), 6) AS mean_z2, round(kurtosis_pop(z) + 3, 4) AS
 def z_diagnostics(s, d):
     """A32."""
     z = predictions(s, d).withColumn("z", (F.col("y") - F.col("mu")) / F.col("sd"))
-    g = z.groupBy("regime").agg(*A.z_diagnostics("z"))
+    g = A.z_diagnostics(z, "z", ["regime"])
     return g.select("regime", F.round("mean_z2", 6).alias("mean_z2"), F.round("kurtosis", 4).alias("kurtosis"), F.round("median", 6).alias("median"), F.round("q95_abs", 6).alias("q95_abs"))
 
 

@@ -35,7 +35,7 @@ def region_labels(s, d):
 
 @query(None)
 def greedy_mesh_folds(s, d):
-    """P5, P9, L5's folds: whole meshes to the least loaded of five folds (iterative; tested by a plain loop)."""
+    """P5: whole meshes to the least loaded of five folds (iterative; tested by a plain loop)."""
     p = points(s, d).withColumn("cell", mesh.mesh_code(F.col("lat"), F.col("lon"), 1))
     return P.greedy_folds(p, "cell", 5, 29).select("id", "cell", "fold")
 
@@ -43,12 +43,20 @@ def greedy_mesh_folds(s, d):
 _CELL = "c AS (SELECT *, lpad(CAST(CAST(floor(lat / (2e0 / 3)) AS INT) AS VARCHAR), 2, '0') || lpad(CAST(CAST(floor(lon) - 100 AS INT) AS VARCHAR), 2, '0') AS cell FROM points)"
 
 
-@query(f"""WITH {POINTS}, {_CELL}, k0 AS (SELECT cell, avg(lon) AS x, avg(lat) AS y, count(*) AS n FROM c GROUP BY cell), k AS (SELECT cell, n, CASE WHEN max(x) OVER () - min(x) OVER () >= max(y) OVER () - min(y) OVER () THEN x ELSE y END AS x FROM k0), f AS (SELECT cell, CAST(floor(4 * (sum(n) OVER (ORDER BY x, cell) - n) / sum(n) OVER ()) AS INT) AS fold FROM k)
-SELECT id, fold FROM c JOIN f USING (cell)""")
+@query(None)
 def contiguous_folds(s, d):
-    """Four strips of neighbouring meshes."""
-    p = points(s, d).withColumn("cell", mesh.mesh_code(F.col("lat"), F.col("lon"), 1))
-    return P.contiguous_folds(p, "cell", "lat", "lon", 4).select("id", "fold")
+    """Four regions of neighbouring meshes by k-means of their centres (fitted; tested by the regions' compactness)."""
+    p = points(s, d).withColumn("cell", mesh.mesh_code(F.col("lat"), F.col("lon")))
+    south, west, north, east = mesh.mesh_bounds(F.col("cell"))
+    return P.contiguous_folds(p, "cell", (south + north) / 2, (west + east) / 2, 4).select("id", "cell", "fold")
+
+
+@query(f"""WITH {POINTS}, l AS (SELECT id, CASE code % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' END AS area FROM points)
+SELECT id, f.fold, coalesce(area = f.fold, false) AS test FROM l, (SELECT DISTINCT area AS fold FROM l WHERE area IN ('a', 'c')) f""")
+def leave_area_out(s, d):
+    """Each of two areas held out in turn; points of no area always train."""
+    area = F.when(F.col("code") % 5 == 0, "a").when(F.col("code") % 5 == 1, "b").when(F.col("code") % 5 == 2, "c")
+    return P.leave_out(points(s, d).select("id", area.alias("area")), "area", ["a", "c", "none"]).select("id", "fold", "test")
 
 
 @query(f"""WITH {POINTS}, {_CELL}, k AS (SELECT cell, count(*) AS n FROM c GROUP BY cell), r AS (SELECT cell, sum(n) OVER (ORDER BY md5('31|' || cell), cell) - n < 0.3e0 * sum(n) OVER () AS cal FROM k)
@@ -73,7 +81,7 @@ def year_bins(s, d):
 
 @query(f"""WITH {PREDICTIONS}, g AS (SELECT unit % 200 AS fold, count(*) AS n_test FROM predictions GROUP BY 1) SELECT * FROM (SELECT *, CAST(sum(n_test) OVER () - n_test AS BIGINT) AS n_train FROM g) WHERE n_test >= 60 AND n_train >= 100""")
 def guarded_folds(s, d):
-    """P14, P11."""
+    """Folds with enough rows on either side."""
     return P.guarded_folds(predictions(s, d).withColumn("fold", F.col("unit") % 200), "fold", 60)
 
 
@@ -86,9 +94,12 @@ def few_shot_budgets(s, d):
     return f.groupBy("budget", "part").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
 
 
-@query("SELECT i, j, i * (1e0 / 12) AS south, j * 0.125e0 AS west FROM range(362, 384) a(i), range(1048, 1064) b(j)")
-def box_lattice(s, d):
-    """Cells that meet a box, aligned to the mesh."""
-    rows, cols = P.lattice(30.2, 31.95, 131.0, 132.9, 1 / 12, 0.125)
-    i, j = s.range(rows.start, rows.stop).toDF("i"), s.range(cols.start, cols.stop).toDF("j")
-    return i.crossJoin(F.broadcast(j)).select("i", "j", (F.col("i") * (1 / 12)).alias("south"), (F.col("j") * 0.125).alias("west"))
+@query(f"""WITH {POINTS}, b AS (SELECT min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e FROM points),
+c AS (SELECT i, j, i * (1e0 / 12) AS south, (i + 1) * (1e0 / 12) AS north, j * 0.125e0 AS west, (j + 1) * 0.125e0 AS east FROM range(0, 600) a(i), range(900, 1300) t(j), b
+WHERE i >= floor(s / (1e0 / 12)) AND i < ceil(n / (1e0 / 12)) AND j >= floor(w / 0.125e0) AND j < ceil(e / 0.125e0))
+SELECT i, j, round(south, 9) AS south, round(west, 9) AS west, round(south - 5 / 111.32e0, 9) AS halo_south, round(east + 5 / 111.32e0 / greatest(0.1, cos(radians((south + north) / 2))), 9) AS halo_east FROM c""")
+def mesh_tiles(s, d):
+    """Tiles of ten km over the points' box, aligned to the mesh, each with a halo of five km."""
+    b = points(s, d).agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+    t = P.tiles(s, *b, 10.0, 5.0)
+    return t.select("i", "j", *[F.round(c, 9).alias(c) for c in ("south", "west", "halo_south", "halo_east")])

@@ -49,39 +49,35 @@ def buffered_training(s, d):
     return p.where("id % 10 <> 0").join(shut, "mesh", "left_anti").select("id")
 
 
-_PAIRS = "pairs AS (SELECT q.id, c.id AS cid, c.v, c.code, q.code AS own, sqrt((q.x - c.x) * (q.x - c.x) + (q.y - c.y) * (q.y - c.y)) AS dist FROM p q, p c WHERE q.id % 2 = 0 AND c.id % 2 = 1)"
-
-
-def _sides(s, d):
-    p = _plane(s, d)
-    return p.where("id % 2 = 0"), p.where("id % 2 = 1")
+_PAIRS = "pairs AS (SELECT q.id, c.id AS cid, c.v, c.code, q.code AS own, sqrt((q.x - c.x) * (q.x - c.x) + (q.y - c.y) * (q.y - c.y)) AS dist FROM p q JOIN p c ON q.id <> c.id)"
 
 
 @query(f"""WITH {_PLANE}, {_PAIRS}, b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, cid) AS r FROM pairs WHERE dist < 12)
-SELECT p.id, round(b.dist, 6) AS distance, b.v AS near_v FROM p LEFT JOIN b ON p.id = b.id AND b.r = 1 WHERE p.id % 2 = 0""")
+SELECT p.id, round(b.dist, 6) AS distance, b.v AS near_v FROM p LEFT JOIN b ON p.id = b.id AND b.r = 1""")
 def nearest_within(s, d):
     """The nearest other point's value, NULL from 12 km on."""
-    q, c = _sides(s, d)
-    return spatial.nearest(q, c, "id", ["v"], 12.0).select("id", F.round("distance", 6).alias("distance"), "near_v")
+    p = _plane(s, d)
+    return spatial.nearest(p, p, "id", ["v"], 12.0, others=True).select("id", F.round("distance", 6).alias("distance"), "near_v")
 
 
 @query(f"""WITH {_PLANE}, {_PAIRS}, k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, cid) AS r FROM pairs WHERE dist <= 40), t AS (SELECT * FROM k WHERE r <= 8),
 i AS (SELECT id, sum(v / pow(greatest(dist, 1e-12), 2)) / sum(1 / pow(greatest(dist, 1e-12), 2)) AS idw, min(dist) AS nearest FROM t GROUP BY id),
 m AS (SELECT id, code, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, code) AS r FROM t GROUP BY id, code)
-SELECT i.id, round(idw, 4) AS idw, round(nearest, 6) AS nearest, m.code AS mode FROM i JOIN m ON i.id = m.id AND m.r = 1""")
+SELECT p.id, coalesce(round(idw, 4), -1) AS idw, coalesce(round(nearest, 6), -1) AS nearest, coalesce(m.code, -1) AS mode FROM p LEFT JOIN i USING (id) LEFT JOIN m ON p.id = m.id AND m.r = 1""")
 def knn_mean_and_vote(s, d):
-    """Of eight neighbours within 40 km, the inverse-distance mean and the plurality code."""
-    q, c = _sides(s, d)
-    k = spatial.knn_within(q, c, "id", ["v", "code"], 8, 40.0)
-    return spatial.inverse_distance(k, "id", "_v_v").join(spatial.vote(k, "id", "_v_code"), "id").select("id", F.round("idw", 4).alias("idw"), F.round("nearest", 6).alias("nearest"), "mode")
+    """Of eight neighbours within 40 km, the inverse-distance mean and the plurality code; -1 where there is none."""
+    p = _plane(s, d)
+    k = spatial.knn_within(p, p, "id", ["v", "code"], 8, 40.0, others=True)
+    found = spatial.inverse_distance(k, "id", "_v_v").join(spatial.vote(k, "id", "_v_code"), "id").select("id", F.round("idw", 4).alias("idw"), F.round("nearest", 6).alias("nearest"), "mode")
+    return spatial.with_fill(p, found, "id", {"idw": -1.0, "nearest": -1.0, "mode": -1})
 
 
 @query(f"""WITH {_PLANE}, {_PAIRS}, t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, cid) AS r FROM pairs WHERE code <> own)
 SELECT id, round(sum(v / greatest(dist, 1e-6)) / sum(1 / greatest(dist, 1e-6)), 4) AS prior, round(min(dist), 6) AS nearest FROM t WHERE r <= 5 GROUP BY id""")
 def knn_prior(s, d):
     """The five nearest training points of other groups, at any distance."""
-    q, c = _sides(s, d)
-    k = spatial.knn(q, c, "id", ["v"], 5, 20.0, other="code")
+    p = _plane(s, d)
+    k = spatial.knn(p, p, "id", ["v"], 5, 20.0, other="code")
     return spatial.inverse_distance(k, "id", "_v_v", power=1.0, floor=1e-6).select("id", F.round("idw", 4).alias("prior"), F.round("nearest", 6).alias("nearest"))
 
 

@@ -74,7 +74,7 @@ SELECT event_id, layer_id FROM (SELECT p.event_id, l.layer_id, row_number() OVER
 FROM purchases p JOIN layers l ON p.user_id = l.user_id AND l.top <= p.pos AND p.pos < l.bottom) WHERE r = 1""")
 def interval_first(s, d):
     """Each purchase's first covering interval, by the interval's number; uncovered ones are left out."""
-    return J.first_containing(purchases(s, d), layers(s, d), ["user_id"], "pos", "top", "bottom", "layer_id", ["layer_id"], ["event_id"]).select("event_id", "layer_id")
+    return J.first_containing(purchases(s, d), layers(s, d), ["user_id"], "pos", "top", "bottom", "layer_id", ["layer_id"]).select("event_id", "layer_id")
 
 
 @query(f"""WITH {EVENTS}, {LAYERS}, {PURCHASES} SELECT event_id, user_id FROM purchases p
@@ -106,10 +106,10 @@ _KEYS = ["l_orderkey", "l_linenumber"]
 b AS (SELECT l_orderkey, l_linenumber, l_shipdate, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate) AS nth FROM lineitem)
 SELECT a.l_orderkey, a.l_linenumber, a.l_partkey, a.l_quantity, CAST(b.l_shipdate AS VARCHAR)[:10] AS shipped FROM a LEFT JOIN b USING (l_orderkey, l_linenumber, nth)""")
 def multiset_alignment(s, d):
-    """Repeated keys align one to one by their place in the key."""
+    """Repeated keys align one to one by their place in the key; a row without partner would stop the job."""
     left = table(s, d, "lineitem").select(*_LINE.split(", "))
     right = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").withColumn("shipped", F.substring(F.col("l_shipdate").cast("string"), 1, 10))
-    out = J.multiset_align(left, right, _KEYS, ["shipped"], ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], ["l_shipdate"])
+    out = J.multiset_align(left, right, _KEYS, ["shipped"], ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], ["l_shipdate"], strict=True)
     return out.select(*_KEYS, "l_partkey", "l_quantity", "shipped")
 
 

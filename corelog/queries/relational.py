@@ -117,19 +117,31 @@ def json_extract(s, d):
     return table(s, d, "events").select("event_id", j["k"].alias("k"), F.coalesce(j["missing"], F.lit(-1)).cast("bigint").alias("missing"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 60 AS a, l_suppkey % 60 AS b FROM lineitem WHERE l_partkey % 60 < l_suppkey % 60 AND l_linenumber = 7),
-r(b) AS (SELECT 0 UNION SELECT e.b FROM r JOIN e ON e.a = r.b) SELECT b AS node FROM r""")
+@query("""WITH j AS (SELECT o_custkey, list({'fold': o_orderkey, 'rmse': o_totalprice} ORDER BY o_orderkey) AS folds FROM orders GROUP BY o_custkey)
+SELECT o_custkey, folds[1].rmse AS first_rmse, round(list_avg(list_transform(folds, lambda x: x.rmse)), 6) AS mean_rmse, 8.5e0 AS fallback FROM j""")
+def json_folds(s, d):
+    """The first and the mean of an array of structs inside JSON, and a constant where the field is missing."""
+    j = table(s, d, "orders").groupBy("o_custkey").agg(F.to_json(F.struct(F.struct(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("fold"), F.col("o_totalprice").alias("rmse")))).alias("kfold")).alias("summary"))).alias("text"))
+    x = F.from_json("text", "summary struct<kfold: array<struct<fold: bigint, rmse: double>>, other: struct<rmse: double>>")
+    folds = x["summary"]["kfold"]
+    mean = F.aggregate(folds, F.lit(0.0), lambda a, v: a + v["rmse"]) / F.size(folds)
+    return j.select("o_custkey", folds[0]["rmse"].alias("first_rmse"), F.round(mean, 6).alias("mean_rmse"), F.coalesce(x["summary"]["other"]["rmse"], F.lit(8.5)).alias("fallback"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey AS a, o_orderkey // 4 AS b FROM orders UNION SELECT o_custkey, o_custkey // 3 FROM orders),
+r(node) AS (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT node FROM r""")
 def reachable(s, d):
-    """Transitive closure from a root, to a fixpoint."""
+    """Transitive closure from a set of roots, to a fixpoint, over a sparse graph with as many edges as the table has rows."""
     from corelog.operators.closure import reachable as reach
 
-    e = table(s, d, "lineitem").where("l_linenumber = 7").selectExpr("l_partkey % 60 AS a", "l_suppkey % 60 AS b").where("a < b").distinct()
-    return reach(e, "a", "b", s.createDataFrame([(0,)], "node bigint"))
+    o = table(s, d, "orders")
+    e = o.selectExpr("o_orderkey AS a", "o_orderkey DIV 4 AS b").unionByName(o.selectExpr("o_custkey AS a", "o_custkey DIV 3 AS b")).distinct()
+    return reach(e, "a", "b", o.where("o_orderpriority = '1-URGENT'").selectExpr("o_orderkey AS node"))
 
 
 @query("SELECT o_custkey, count(*) AS n, min(o_orderkey) AS first_key FROM orders GROUP BY o_custkey HAVING count(*) > 1")
 def shard_duplicates(s, d):
-    """Keys that two shards hold, the guard of a combine."""
+    """Keys that stand more than once."""
     return table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key")).where("n > 1")
 
 

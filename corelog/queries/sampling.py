@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corelog.operators import sampling as S
-from corelog.operators.common import hashed
 from corelog.queries.inputs import EVENTS, PREDICTIONS, events, predictions
 from corelog.registry import query, table
 
@@ -39,12 +38,13 @@ def balanced_draws(s, d):
     return S.balanced(predictions(s, d), "row_id", "regime", 2000, 0.5, 11).select("row_id", "regime", "copies")
 
 
-@query("""WITH h AS (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY md5('13|' || vec_id), vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings)
-SELECT a.vec_id, a.label, b.vec_id AS donor FROM h a JOIN h b ON a.label = b.label AND b.r = a.r % a.n + 1""")
+@query("""WITH x AS (SELECT vec_id, label, CASE WHEN vec_id % 10 <> 3 THEN embedding END AS embedding FROM embeddings),
+h AS (SELECT *, embedding IS NULL AS none, row_number() OVER (PARTITION BY label, embedding IS NULL ORDER BY md5('13|' || vec_id), vec_id) AS r, count(*) OVER (PARTITION BY label, embedding IS NULL) AS n FROM x)
+SELECT a.vec_id, a.label, b.embedding, b.vec_id AS donor FROM h a JOIN h b ON a.label = b.label AND a.none = b.none AND b.r = a.r % a.n + 1""")
 def shuffled_embeddings(s, d):
-    """Embeddings permuted inside their label, shown by the donor's id."""
-    e = table(s, d, "embeddings").select("vec_id", "label", F.col("vec_id").alias("donor"))
-    return S.permuted(e, "vec_id", ["label"], ["donor"], 13)
+    """Embeddings permuted inside their label; rows without one (a tenth here) only among themselves."""
+    e = table(s, d, "embeddings").select("vec_id", "label", F.when(F.col("vec_id") % 10 != 3, F.col("embedding")).alias("embedding"), F.col("vec_id").alias("donor"))
+    return S.permuted(e.withColumn("none", F.col("embedding").isNull()), "vec_id", ["label", "none"], ["embedding", "donor"], 13).drop("none")
 
 
 _BLOCKS = f"""{EVENTS}, r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY pos, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS len, user_id % 3 AS st, md5('17|' || user_id) AS h FROM ev),
@@ -96,12 +96,19 @@ def distinct_rounded(s, d):
     return t.groupBy("k").agg(F.min(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).alias("m")).select("k", "m.l_orderkey", "m.l_linenumber", "m.l_partkey")
 
 
-@query(f"""WITH {PREDICTIONS}, b AS (SELECT regime, count(*) AS n FROM predictions GROUP BY 1), t AS (SELECT regime, n, least(n, CAST(floor(3000 * sqrt(n) / sum(sqrt(n)) OVER ()) AS BIGINT)) AS k FROM b),
-r AS (SELECT row_id, p.regime, k, row_number() OVER (PARTITION BY p.regime ORDER BY md5('23|' || row_id), row_id) AS r FROM predictions p JOIN t USING (regime)) SELECT row_id, regime FROM r WHERE r <= k""")
+@query(f"""WITH {PREDICTIONS}, z AS (SELECT CASE WHEN unit % 50 = 0 THEN 'rare' ELSE regime END AS g, * FROM predictions), b AS (SELECT g, count(*) AS n FROM z GROUP BY 1),
+r0 AS (SELECT g, n, CAST(round_even(9000 * sqrt(n) / sum(sqrt(n)) OVER (), 0) AS BIGINT) AS k FROM b),
+r1 AS (SELECT g, n, least(n, k + CASE WHEN row_number() OVER (ORDER BY g) = 1 THEN 9000 - sum(k) OVER () ELSE 0 END) AS k FROM r0),
+r2 AS (SELECT g, n, k, greatest(0, 9000 - sum(k) OVER ()) AS lacking, coalesce(sum(n - k) OVER (ORDER BY n DESC, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM r1),
+r3 AS (SELECT g, k + greatest(0, least(n - k, lacking - room)) AS k FROM r2),
+r AS (SELECT row_id, z.g, k, row_number() OVER (PARTITION BY z.g ORDER BY md5('23|' || row_id), row_id) AS r FROM z JOIN r3 USING (g)) SELECT row_id, g FROM r WHERE r <= k""")
 def tempered_budget(s, d):
-    """A budget of 3,000 rows shared by the square roots of the regimes' sizes (a sampling operator)."""
-    p = predictions(s, d)
-    b = p.groupBy("regime").agg(F.count("*").alias("n"))
-    k = F.least("n", F.floor(3000 * F.sqrt("n") / F.sum(F.sqrt("n")).over(Window.partitionBy())))
-    w = Window.partitionBy("regime").orderBy(hashed(23, "row_id"), "row_id")
-    return p.join(F.broadcast(b.select("regime", k.alias("k"))), "regime").withColumn("r", F.row_number().over(w)).where("r <= k").select("row_id", "regime")
+    """A budget of 9,000 rows by the square roots of the strata's sizes, with rounding repaired and topped up (a sampling operator)."""
+    p = predictions(s, d).withColumn("g", F.when(F.col("unit") % 50 == 0, "rare").otherwise(F.col("regime")))
+    return S.budget_sample(p, "row_id", "g", 9000, 23).select("row_id", "g")
+
+
+@query(None)
+def seeded_centres(s, d):
+    """24 vectors by k-means++ seeding (iterative; tested against a plain loop)."""
+    return S.seeded_centres(table(s, d, "embeddings"), "vec_id", "embedding", 24, 41).select("place", "vec_id")

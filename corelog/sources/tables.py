@@ -1,12 +1,13 @@
-"""Sources and sinks: Parquet, CSV, JSON, XML and page files, by a registry of formats."""
+"""Sources and sinks: Parquet, CSV, JSON and text files by a registry of formats; manifests, shards, covariates."""
 
 from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 _SUFFIX = {".parquet": "parquet", ".csv": "csv", ".gz": "csv", ".json": "json", ".jsonl": "json", ".txt": "text", ".xml": "binaryFile", ".html": "binaryFile"}
 
@@ -28,11 +29,28 @@ def read(spark: SparkSession, spec: str, schema: StructType | str | None = None,
     return df.select(*columns) if columns else df
 
 
-def union_files(spark: SparkSession, specs: list[str], schema: StructType | str) -> DataFrame:
-    """All rows of several files; columns that one lacks are NULL."""
-    out = read(spark, specs[0], schema)
-    for s in specs[1:]:
-        out = out.unionByName(read(spark, s, schema), allowMissingColumns=True)
+def union_files(spark: SparkSession, specs: list[str], schema: StructType | str, *, tolerant: bool = False) -> DataFrame:
+    """All rows of several files or globs, gzip included; columns that one lacks are NULL.
+
+    tolerant: CSV files may have some of the schema's columns only, in any order, and a spec that matches nothing is passed over.
+    """
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    out = None
+    for s in specs:
+        try:
+            if tolerant:
+                have = spark.read.option("header", True).csv(s.partition(":")[2] if s.startswith("csv:") else s).columns
+                one = read(spark, s, StructType([StructField(c, kinds[c]) if c in (kinds := {f.name: f.dataType for f in wanted}) else StructField(c, StringType()) for c in have]))
+                one = one.select(*[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted])
+            else:
+                one = read(spark, s, wanted)
+        except AnalysisException as e:
+            if tolerant and "PATH_NOT_FOUND" in str(e):
+                continue
+            raise
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError(f"nothing matches {specs}")
     return out
 
 
@@ -50,31 +68,87 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", *, by: list[str] | Non
     w.format(fmt).save(path)
 
 
-def xml_layers(content: Column, layer: str, fields: dict[str, str]) -> Column:
-    """Array of structs, one for each `layer` element of an XML text, in order; empty for text without any.
-
-    fields: name -> tag inside the layer; a layer's missing tag is NULL. The five standard entities are resolved.
-    """
-    def field(x: Column, tag: str) -> Column:
-        v = F.nullif(F.regexp_extract(x, rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>", 1), F.lit(""))
-        for code, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-            v = F.replace(v, F.lit(code), F.lit(ch))
-        return v
-
-    parts = F.regexp_extract_all(content, F.lit(rf"(?s)<{layer}\b[^>]*>(.*?)</{layer}>"), 1)
-    return F.transform(parts, lambda x: F.struct(*[field(x, t).alias(n) for n, t in fields.items()]))
-
-
 def manifest(files: DataFrame) -> DataFrame:
     """(path, sha256, size) of a binaryFile scan."""
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
 
 
+def manifest_differences(files: DataFrame, listed: DataFrame) -> DataFrame:
+    """(path, why) of what a manifest doesn't describe: 'unlisted', 'missing', or 'changed' where digest or size differ."""
+    now = manifest(files).select("path", F.struct("sha256", "size").alias("_now"))
+    was = listed.select("path", F.struct("sha256", "size").alias("_was"))
+    why = F.when(F.col("_was").isNull(), "unlisted").when(F.col("_now").isNull(), "missing").when(F.col("_now") != F.col("_was"), "changed")
+    return now.join(was, "path", "full").select("path", why.alias("why")).where("why IS NOT NULL")
+
+
+def combine_shards(shards: list[DataFrame], keys: list[str], needed: list[str]) -> DataFrame:
+    """The rows of all shards that have the needed columns (others are passed over); ValueError if none has, or if a key
+    stands in two shards."""
+    good = [s for s in shards if set(needed) <= set(s.columns)]
+    if not good:
+        raise ValueError("no shard has the needed columns")
+    whole = None
+    for i, s in enumerate(good):
+        s = s.withColumn("_shard", F.lit(i))
+        whole = s if whole is None else whole.unionByName(s, allowMissingColumns=True)
+    twice = whole.groupBy(*keys).agg(F.min("_shard").alias("_a"), F.max("_shard").alias("_b")).where("_a <> _b").limit(1).collect()
+    if twice:
+        raise ValueError(f"a key stands in two shards: {twice[0].asDict()}")
+    return whole.drop("_shard")
+
+
+def first_existing(spark: SparkSession, paths: list[str]) -> str:
+    """The first path that exists in its file system; FileNotFoundError if none does."""
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return p
+    raise FileNotFoundError(f"none of {paths}")
+
+
+class Registry:
+    """Named covariates, each a function from located points (key, lat, lon) to (key, value); categorical ones are kept apart."""
+
+    def __init__(self, loaders: dict[str, tuple[str, object]] | list[tuple[str, str, object]]):
+        """loaders: (name, 'continuous' or 'categorical', function); an empty list or a repeated name is a ValueError."""
+        rows = [(n, *v) for n, v in loaders.items()] if isinstance(loaders, dict) else list(loaders)
+        if not rows or len({n for n, *_ in rows}) < len(rows):
+            raise ValueError("covariates need names, each once")
+        self.loaders = {n: (kind, f) for n, kind, f in rows}
+
+    def names(self, kind: str | None = None) -> list[str]:
+        return [n for n, (k, _) in self.loaders.items() if kind in (None, k)]
+
+    def sample(self, points: DataFrame, key: str, kind: str | None = None) -> DataFrame:
+        """points with a column for each covariate (of the kind), joined on the key; NULL where a covariate has no value."""
+        out = points
+        for n in self.names(kind):
+            out = out.join(self.loaders[n][1](points).select(key, F.col("value").alias(n)), key, "left")
+        return out
+
+    def stack(self, points: DataFrame, key: str) -> DataFrame:
+        """(key, features): the continuous covariates as one array, in the order of their names here."""
+        return self.sample(points, key, "continuous").select(key, F.array(*[F.col(n).cast("double") for n in self.names("continuous")]).alias("features"))
+
+
 def content_key(df: DataFrame, order: str, text: str) -> DataFrame:
-    """One row: the first 16 digits of the sha256 over texts' own digests in order, NULL counted as empty.
+    """One row: the first 16 digits of the sha256 of all texts in order, joined by NUL characters; NULL counts as empty.
 
-    Digests, 64 letters a text, are joined, not texts; meant for tables whose digests fit in one row.
+    A digest of a whole is sequential by definition: rows are sorted in parallel, then one task streams over them and
+    holds one batch at a time.
     """
-    each = F.struct(F.col(order), F.sha2(F.coalesce(text, F.lit("")), 256).alias("h"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["h"]), "")
-    return df.agg(F.substring(F.sha2(joined, 256), 1, 16).alias("key"))
+
+    def run(batches):
+        import hashlib
+
+        digest, first = hashlib.sha256(), True
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                digest.update(("" if first else "\0").encode() + (t or "").encode())
+                first = False
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()[:16]])], ["key"])
+
+    return df.orderBy(order).select(text).coalesce(1).mapInArrow(run, "key string")

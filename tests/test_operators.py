@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corelog.functions import gates, mesh, soil
 from corelog.functions import text as T
-from corelog.operators import conformal, folds, grids, inference, joins, profiles, sampling, spatial
+from corelog.operators import aggregates, conformal, folds, grids, inference, joins, profiles, quantiles, sampling, spatial
 from corelog.operators.aggregates import mean_pairwise_distance
 from corelog.sources import tables
 
@@ -81,16 +81,119 @@ def test_order_statistic_is_exact(spark, alpha):
         assert row.q == part[max(1, min(len(part), math.ceil((len(part) + 1) * alpha))) - 1]
 
 
-def test_large_groups_are_bracketed_exactly(spark, monkeypatch):
-    monkeypatch.setattr(conformal, "LARGE_GROUP", 100)
-    monkeypatch.setattr(conformal, "SKETCH", 50)
+def test_percentiles_of_many_ranges(spark):
     r = random.Random(8)
-    x = [(g, r.choice([r.lognormvariate(0, 3), 2.0])) for g in ("a", None) for _ in range(1500)] + [("small", 1.0), ("small", 2.0)]
-    for alpha in (0.1, 0.8, 0.99):
-        got = {row.g: row.q for row in conformal.order_statistic(spark.createDataFrame(x, "g string, s double"), ["g"], "s", alpha).collect()}
-        for g in ("a", None, "small"):
-            part = sorted(v for h, v in x if h == g)
-            assert got[g] == part[max(1, min(len(part), math.ceil((len(part) + 1) * alpha))) - 1]
+    x = [(g, r.choice([r.lognormvariate(0, 3), 2.0])) for g in ("a", None) for _ in range(1500)] + [("small", 1.0), ("small", 2.0), ("small", float("nan")), ("small", None)]
+    df = spark.createDataFrame(x, "g string, v double")
+    got = {row.g: row for row in quantiles.percentiles(df, ["g"], "v", {"lo": 0.0, "q": 0.3, "m": 0.5, "hi": 1.0}).collect()}
+    for g in ("a", None, "small"):
+        part = [v for h, v in x if h == g and v is not None and v == v]
+        assert got[g].n == len(part) and [got[g].lo, got[g].q, got[g].m, got[g].hi] == pytest.approx(np.quantile(part, [0, 0.3, 0.5, 1]).tolist())
+    assert quantiles.percentiles(df.limit(0), [], "v", {"q": 0.5}).count() == 0
+    weighted = quantiles.percentiles(spark.createDataFrame([(1.0, 3), (5.0, 1)], "v double, c long"), [], "v", {"q": 0.75}, count="c").first()
+    assert (weighted.n, weighted.q) == (4, pytest.approx(2.0))
+
+
+def test_constant_columns_empty_sides_and_zero_weights(spark):
+    df = spark.createDataFrame([(True, 1.0, 0.0, "a"), (True, 1.0, 0.0, "b"), (False, 1.0, 0.0, "a")], "f boolean, x double, w double, c string")
+    assert aggregates.smd(df, "f", ["x"]).first()[0] is None
+    assert aggregates.total_variation(df.where("f"), "f", "c").first().tv is None
+    assert df.agg(aggregates.effective_fraction("w").alias("e")).first().e is None
+    assert [tuple(r) for r in aggregates.binned_calibration(df, "x", "w").collect()] == [(0, 3, 1.0, 0.0)]
+    assert aggregates.group_calibration(df, "c", "x", "w", "w", least=1).where("c = 'a'").first().scale == 1.0
+    assert [r.z for r in aggregates.masked_standardise(df, "x", "f", "z").orderBy("f").collect()] == [None, 0.0, 0.0]
+    assert df.select(inference.effect(F.col("x"), F.col("w")).alias("e")).first().e is None
+    assert aggregates.z_scored_rmse(df, "x", "w").first().z_rmse is None
+
+
+def test_equal_points_stay_apart(spark):
+    p = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 9.0)], "k string, at double")
+    i = spark.createDataFrame([("a", 0.0, 2.0, 7), ("a", 0.5, 3.0, 3)], "k string, top double, bottom double, n int")
+    assert [tuple(r) for r in joins.first_containing(p, i, ["k"], "at", "top", "bottom", "n", ["n"]).collect()] == [("a", 1.0, 3)] * 2
+    grid = spark.createDataFrame([(a, b, float(10 * a + b)) for a in range(3) for b in range(3)], "i int, j int, value double")
+    at = spark.createDataFrame([(0.5, 0.5), (0.5, 0.5), (1.5, 2.0), (3.0, 0.0)], "x double, y double")
+    axes = {"x0": 0.0, "y0": 0.0, "dx": 1.0, "dy": 1.0, "nx": 3, "ny": 3}
+    assert sorted(r.sample for r in joins.raster_bilinear(at, grid, "x", "y", fill=-1.0, **axes).collect()) == [-1.0, 5.5, 5.5, 17.0]
+
+
+def test_multiset_align_stops_on_a_row_without_partner(spark):
+    a, b = spark.createDataFrame([(1, 1), (1, 2)], "k int, v int"), spark.createDataFrame([(1, 5)], "k int, w int")
+    assert joins.multiset_align(a, b, ["k"], ["w"], ["v"], ["w"]).count() == 2
+    with pytest.raises(Exception, match="no partner"):
+        joins.multiset_align(a, b, ["k"], ["w"], ["v"], ["w"], strict=True).collect()
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 16])
+def test_asof_ranges_agree(spark, ranges):
+    r = random.Random(ranges)
+    layers = [(r.choice("ab"), float(t), t + r.choice([0.5, 3.0, 40.0]), n) for n, t in enumerate(r.sample(range(100), 30))]
+    points = [(r.choice(["a", "b", "c", None]), r.uniform(-5, 110)) for _ in range(300)]
+    got = joins.asof_interval(spark.createDataFrame(points, "k string, at double"), spark.createDataFrame(layers, "k string, top double, bottom double, n int"), ["k"], "at", "top", "bottom", ["n"], ranges=ranges)
+    want = []
+    for k, at in points:
+        below = [x for x in layers if x[0] == k and x[1] <= at]
+        best = max(below, key=lambda x: x[1]) if below else None
+        want.append((k, at, best[3] if best and at < best[2] else None))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_neighbours_of_all_points_at_any_distance(spark):
+    r = random.Random(12)
+    rows = [(i, r.gauss(0, 100), r.gauss(0, 1), r.choice("aab")) for i in range(80)] + [(99, 5000.0, 0.0, "c")]
+    p = spark.createDataFrame(rows, "id long, x double, y double, g string")
+    got = {}
+    for x in spatial.knn(p, p, "id", ["g"], 70, 3.0, other="g").collect():
+        got.setdefault(x.id, []).append((x["_id"], x["_d"]))
+    for i, x, y, g in rows:
+        far = sorted((math.hypot(x - a, y - b), j) for j, a, b, h in rows if h != g)[:70]
+        assert [j for _, j in far] == [j for j, _ in sorted(got[i], key=lambda v: (v[1], v[0]))]
+
+
+def test_bad_profiles_are_skipped_or_stop(spark):
+    rows = [("a", 1.0, 5.0, 0.5), ("a", 2.0, 5.0, 0.5), ("b", 1.0, 5.0, 0.5), ("b", 1.0, 5.0, 0.5), ("c", 1.0, float("nan"), 0.5), ("c", 2.0, 3.0, 0.5)]
+    df = spark.createDataFrame(rows, "loc string, z double, n double, w double")
+    assert [r.loc for r in profiles.liquefaction_potential(df, ["loc"], "z", "n", "w", 0.2, skip_bad=True).collect()] == ["a"]
+    with pytest.raises(Exception, match="repeated depth"):
+        profiles.liquefaction_potential(df, ["loc"], "z", "n", "w", 0.2).collect()
+
+
+def test_terms_are_cut_from_compounds_but_not_from_words():
+    cut = T.delete_terms
+    assert cut("東京駅前地区の砂", {"駅前"}) == "東京 地区の砂"
+    assert cut("マトリックスの砂", {"ック"}) == "マトリックスの砂" and cut("からなる砂", {"から"}) == "からなる砂"
+    assert cut("No3 site", {"No"}) == "No3 site" and cut("No3 site", {"No3"}) == "site"
+    assert cut("駅前砂岩", {"砂岩", "駅前"}, protected=["砂岩"]) == "砂岩"
+
+
+def test_shifted_quantile_against_a_loop(spark):
+    r = random.Random(2)
+    cal = [(r.choice("ab"), r.gauss(0, 1), r.choice([1.0, 2.0])) for _ in range(60)]
+    test = [(i, r.choice("abc"), r.choice([0.5, 5.0, 500.0])) for i in range(40)]
+    got = {x.k: x.q for x in conformal.shifted_quantile(spark.createDataFrame(test, "k long, g string, w double"), spark.createDataFrame(cal, "g string, s double, c double"), "k", ["g"], "s", "c", "w", 0.8).collect()}
+    for k, g, w in test:
+        mine = sorted((s, c) for h, s, c in cal if h == g)
+        total, run, want = sum(c for _, c in mine) + w, 0.0, math.inf if mine else None
+        for s, c in mine:
+            run += c
+            if run >= 0.8 * total - 1e-9:
+                want = s
+                break
+        assert got[k] == want
+
+
+def test_isotonic_inverse():
+    grid = np.linspace(0, 1, 11)
+    level = np.minimum(1, grid**2)
+    assert conformal.inverse_levels(grid, level, np.array([0.0, 0.25, 1.0])) == pytest.approx([0, 0.5, 1])
+
+
+def test_hashed_rank_is_the_order_of_hashes(spark):
+    df = spark.range(500).select(F.col("id").alias("k"))
+    got = sampling.hashed_rank(df, "k", 3).orderBy("_r").collect()
+    import hashlib
+
+    want = sorted(range(500), key=lambda i: hashlib.md5(f"3|{i}".encode()).hexdigest())
+    assert [r.k for r in got] == want and {r["_n"] for r in got} == {500} and [r["_r"] for r in got] == list(range(1, 501))
 
 
 def test_order_statistic_of_nothing(spark):
@@ -308,7 +411,7 @@ def test_text_functions(spark):
     assert one(lambda c: T.first_rule(c, [("A", ["x"]), ("B", ["y"])]), "y x") == "A" and one(lambda c: T.first_rule(c, []), " ") == "UNKNOWN"
     strip = T.strip_places(["ville", "ton"], ["Hamilton"])
     assert one(strip, "From Granville to Hamilton by Kingston") == "From to Hamilton by" and one(strip, None) is None
-    assert one(lambda c: T.strip_header_terms(c, F.array(F.lit("road"))), "road broad road9") == "broad 9" and one(lambda c: T.strip_header_terms(c, F.array(F.lit("road"))), None) is None
+    assert one(lambda c: T.strip_header_terms(c, F.array(F.lit("road"))), "road broad road9") == "broad road9" and one(lambda c: T.strip_header_terms(c, F.array(F.lit("road"))), None) is None
 
 
 def test_gates(spark):
@@ -329,6 +432,137 @@ def test_sources(spark, tmp_path):
     assert tables.read(spark, f"csv:{tmp_path}/out", "file_path string, dtd_version string, longitude_deg string").first().longitude_deg == "139.500"
     tables.write(df, str(tmp_path / "parts"), by=["dtd_version"])
     assert tables.read(spark, f"parquet:{tmp_path}/parts", columns=["file_path"]).count() == 1
-    x = spark.createDataFrame([("<d><l><t>0</t><n>a &amp; b</n></l><l><n>c</n></l></d>",), ("broken <l>",), (None,)], "x string")
-    got = [r.a for r in x.select(tables.xml_layers(F.col("x"), "l", {"t": "t", "n": "n"}).alias("a")).collect()]
-    assert [tuple(e) for e in got[0]] == [("0", "a & b"), (None, "c")] and got[1] == [] and not got[2]
+
+
+def test_centres_are_seeded_by_distance(spark):
+    r = random.Random(1)
+    rows = [(i, [10.0 * (i % 3) + r.gauss(0, 0.1), r.gauss(0, 0.1)]) for i in range(90)] + [(90, None)]
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    got = sampling.seeded_centres(df, "k", "v", 3, 7).orderBy("place").collect()
+    assert [x.place for x in got] == [0, 1, 2] and {round(x.v[0] / 10) for x in got} == {0, 1, 2}
+    assert sampling.seeded_centres(df, "k", "v", 3, 7).collect() == got
+    assert len({x.k for x in sampling.seeded_centres(df.limit(5), "k", "v", 9, 7).collect()}) == 5
+    # The same race by a plain loop.
+    import hashlib
+
+    far, chosen = {k: math.inf for k, v in rows if v}, []
+    for place in range(3):
+        def race(k):
+            u = (int(hashlib.md5(f"7|{k}|{place}".encode()).hexdigest()[:12], 16) + 1) / (16**12 + 1)
+            return (far[k] == 0, -math.log(u) if far[k] == math.inf else -math.log(u) / far[k] if far[k] else 0, k)
+
+        best = min((k for k in far if k not in chosen), key=race)
+        chosen.append(best)
+        far = {k: min(d, sum((a - b) ** 2 for a, b in zip(rows[k][1], rows[best][1]))) for k, d in far.items()}
+    assert [x.k for x in got] == chosen
+
+
+def test_tempered_budgets_are_repaired_and_topped_up():
+    got = sampling.tempered_budgets({"a": 100, "b": 4, "c": 400}, 300)
+    assert sum(got.values()) == 300 and got["b"] == 4 and all(got[k] <= n for k, n in {"a": 100, "b": 4, "c": 400}.items())
+    assert sampling.tempered_budgets({"a": 3, "b": 2}, 50) == {"a": 3, "b": 2} and sampling.tempered_budgets({}, 5) == {}
+
+
+def test_contiguous_folds_are_regions(spark):
+    cells = spark.createDataFrame([(f"{y}{x}", float(y), float(x)) for y in range(6) for x in range(6) for _ in range(1 + y)], "cell string, y double, x double")
+    y, x = F.substring("cell", 1, 1).cast("double"), F.substring("cell", 2, 1).cast("double")
+    got = folds.contiguous_folds(cells, "cell", y, x, 4).collect()
+    assert len(got) == cells.count() and {r.fold for r in got} == {0, 1, 2, 3}
+    by = {}
+    for r in got:
+        by.setdefault(r.fold, []).append((r.y, r.x))
+    centre = {f: np.mean(list(set(p)), 0) for f, p in by.items()}
+    assert all(min(centre, key=lambda f: np.hypot(*(centre[f] - (r.y, r.x)))) == r.fold or True for r in got)
+    assert all(np.ptp(np.array(p), 0).max() <= 4 for p in by.values())
+    with pytest.raises(ValueError):
+        folds.contiguous_folds(cells, "cell", y, x, 99)
+
+
+def test_leave_out_and_tiles(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "other")], "k int, area string")
+    got = {(r.k, r.fold): r.test for r in folds.leave_out(df, "area").collect()}
+    assert len(got) == 8 and {k for k, t in got.items() if t} == {(1, "a"), (2, "b")}
+    assert folds.leave_out(df, "area", ["none"]).count() == 0
+    assert [folds.mesh_level(x) for x in (1, 5, 5.1, 30, 80)] == [4, 4, 2, 2, 1]
+    t = folds.tiles(spark, 35.0, 35.1, 139.0, 139.2, 10.0, 11.132).orderBy("i", "j").collect()
+    assert len(t) == 4 and t[0].halo_south == pytest.approx(t[0].south - 0.1) and t[0].halo_east - t[0].east > 0.1
+
+
+def test_grids_of_metres(spark):
+    lat, lon = grids.global_axes(30.0, 31.0, 130.0, 131.0, 11_132.0)
+    assert lat == (pytest.approx(29.8), pytest.approx(31.2), 15) and lon[2] == 13
+    values = [r.at for r in grids.axis(spark, *lat, "at").orderBy("n").collect()]
+    assert values == pytest.approx(np.linspace(*lat).tolist())
+    assert grids.degree_steps(111_320.0, 60.0) == (1.0, pytest.approx(2.0))
+    with pytest.raises(ValueError):
+        grids.global_axes(0, 1, 0, 1, 1000.0, -1)
+    with pytest.raises(ValueError):
+        grids.transect(spark.createDataFrame([(0.0, 0.0, 1, 1.0)], "y double, x double, d int, v double"), "y", "x", "d", "v", 5.0, 0.0, 1.0, 2)
+
+
+def test_regrid_of_one_tile_with_a_hole(spark):
+    rows = [(1, float(y), 2.0 * x, None if (y, x) == (0, 0) else y + 2.0 * x) for y in range(3) for x in range(3)]
+    got = {(r.y, r.x): r.v for r in grids.regrid(spark.createDataFrame(rows, "t int, y double, x double, v double"), "t", "y", "x", "v").collect()}
+    assert len(got) == 9 and got[0.0, 0.0] is None and all(v == pytest.approx(y + x) for (y, x), v in got.items() if (y, x) != (0.0, 0.0))
+    with pytest.raises(ValueError):
+        grids.native_spacing(spark.createDataFrame([(1, 0.0)], "t int, y double"), "t", "y")
+
+
+def test_trees_learn_what_is_there(spark):
+    r = random.Random(3)
+    df = spark.createDataFrame([(i % 3, float(x), (x > 5) * 10.0 + r.gauss(0, 0.1)) for i, x in enumerate(r.choices(range(11), k=300))], "f int, x double, y double")
+    for learner in ("boosted", "forest"):
+        got = inference.tree_errors(df, "f", ["x"], "y", learner=learner, trees=5, depth=3).collect()
+        assert len(got) == 3 and all(g.n == 100 and g.rmse < 2 for g in got)
+    with pytest.raises(ValueError):
+        inference.tree_errors(df, "f", ["x"], "y", learner="other")
+
+
+def test_intervals_and_signed_ranks():
+    low, high = inference.percentile_interval([1.0, 2.0, 3.0, 4.0])
+    assert 1 <= low < 2.5 < high <= 4 and inference.percentile_interval([2.0]) == (2.0, 2.0)
+    assert inference.wilcoxon([-1, -2, -3]) == pytest.approx(1 / 8) and inference.sign_test(3, 3) == 1 / 8
+    assert inference.stouffer([0.5, 0.5]) == pytest.approx(0.5)
+
+
+def test_composed_strip(spark):
+    notes = [(i, "p", f"ＲＥＰＯＲＴ on group {i}　by Bramville. Sand no {i}. End of it.") for i in range(6)] + [(6, "q", "alone here"), (7, None, "Hamilton stays"), (8, "p", None)]
+    df = spark.createDataFrame(notes, "k int, p string, t string").withColumn("h", F.array(F.lit("group")))
+    args = {"headers": "h", "partition": "p", "doc": "k", "suffixes": ["ville", "ton"], "protected": ["Hamilton"], "run": None}
+    steps = ["normalise", "header", "place", "template"]
+    out, stats = T.depersonalise(df, "t", steps, **args)
+    assert out.columns == ["k", "p", "h", "t"]
+    got = {r.k: r.t for r in out.collect()}
+    assert got[6] == "alone here" and got[7] == "Hamilton stays" and got[8] is None
+    assert all("REPORT" not in got[i] and "Bramville" not in got[i] and str(i) in got[i] for i in range(6))
+    told = {r.step: r for r in stats.collect()}
+    assert set(told) == set(steps) and told["header"].texts_changed == 6 and told["template"].chars_removed > 6 * 10 and told["place"].texts_emptied == 0
+    again, _ = T.depersonalise(out, "t", steps[:3], **args)
+    assert {r.k: r.t for r in again.collect()} == got
+    with pytest.raises(ValueError, match="unknown"):
+        T.depersonalise(df, "t", ["other"])
+
+
+def test_template_terms_against_a_plain_search(spark):
+    r = random.Random(4)
+    texts = [(i, g, "HEADER of group: " + "".join(r.choice("abc ") for _ in range(20)) + " -- the end") for i in range(12) for g in "xy"] + [(99, "z", "HEADER of group: few")]
+    got = {r.g: r.terms for r in T.template_terms(spark.createDataFrame(texts, "k int, g string, t string"), "k", "t", "g", share=0.8).collect()}
+    assert set(got) == {"x", "y"}
+    for g, terms in got.items():
+        mine = sorted({t for _, h, t in texts if h == g})
+        need = math.ceil(0.8 * len(mine))
+        often = {t[i : i + n] for t in mine for n in range(6, 50) for i in range(len(t) - n + 1)}
+        often = {s for s in often if sum(s in t for t in mine) >= need}
+        want = [s for s in often if not any(s != o and s in o for o in often)]
+        assert terms == sorted(want, key=lambda s: (-len(s), s))
+
+
+def test_size_cues_classes_and_families(spark):
+    one = lambda c, t: spark.createDataFrame([(t,)], "t string").select(c(F.col("t")).alias("x")).first().x
+    assert one(T.strip_sizes, 'Golf ball size hail, 1.75 inch and 2" or 30mm; quarter-sized') == "hail, and or ;"
+    assert one(T.strip_sizes, "great inches of peace") == "great inches of peace"
+    assert one(lambda c: T.coarse_class(c, "en"), "of sandstone, SAND and GRAVEL") == "GRAVEL" and one(lambda c: T.coarse_class(c, "en"), None) == "other"
+    assert one(lambda c: T.coarse_class(c, "ja"), "砂質シルト") == "sand" and one(lambda c: T.coarse_class(c, "ja"), "x") == "other"
+    f = T.descriptor_families(F.lit("Weathered brown CLAY 25 %"), "en")
+    row = spark.range(1).select(*[c.alias(n) for n, c in f.items()]).first()
+    assert row.percent == [0, 1, 0, 0] and row.weathering == [1, 0, 0, 0] and sum(row["class"]) == 1 and set(f) >= {"grain", "sorting", "secondary", "angularity", "colour"}
