@@ -7,6 +7,7 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -53,7 +54,6 @@ class Vocabulary:
                     pairs[left * size + right] = i
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
-        self.pairs = pairs
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.blob = np.frombuffer(b"".join(tokens), np.uint8)
@@ -70,6 +70,11 @@ class Vocabulary:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """Ids by pair, as plain numbers: made where a very long word needs it."""
+        return dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist(), strict=True))
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, or _NONE."""
         if not len(self.pair_keys):
