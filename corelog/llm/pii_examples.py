@@ -31,7 +31,7 @@ def _upper(r: random.Random, n: int) -> str:
 
 def _plain(r: random.Random) -> list[tuple[str, str]]:
     """What is no personal data but may look like some."""
-    k = r.randrange(15)
+    k = r.randrange(18)
     y = r.randrange(1900, 2030)
     return [
         (t, "O")
@@ -40,6 +40,8 @@ def _plain(r: random.Random) -> list[tuple[str, str]]:
             [f"{y}-{r.randrange(1, 13):02}-{r.randrange(1, 29):02}"], [f"{r.randrange(24)}:{r.randrange(60):02}"], [f"{r.randrange(1, 999)},{_digits(r, 3)}.{_digits(r, 2)}"],
             [f"${r.randrange(1, 9999)}"], [f"{r.randrange(100)}%"], [f"{_word(r)}-{_word(r)}"], [f"{_word(r)}/{_word(r)}"], ["and/or"], [f"({_word(r)})"],
             ["CC", "BY-NC", f"{r.randrange(1, 5)}.0."], [f"{r.randrange(1, 32)}/{r.randrange(1, 13)}/{y}"],
+            ["pages", f"{k * y % 900}-{k * y % 900 + r.randrange(1, 90)}"], [r.choice(("ISO", "EN", "DIN", "RFC")), f"{r.randrange(100, 19999)}{r.choice(('', '-1', '-2', f':{y}'))}"],
+            [f"{r.choice('ABXMZ')}{r.choice('JTSL')}-{r.randrange(10, 999)}", r.choice(("IPv6", "MP3", "H2O", "A4", "2nd", "3rd"))],
         )[k]
     ]
 
