@@ -22,7 +22,7 @@ from corelog.plans.ship import ship
 #: The public pre-tokenisation pattern of 50k byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a Python worker remembers at most; beyond that it starts anew. Bounds memory, not results.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 60_000
 #: And so many bytes of them.
 CACHE_BYTES = 16_000_000
 #: Words of more bytes are cut, before merging, where no token of the vocabulary can reach across.
@@ -134,7 +134,7 @@ def _encode_parts(words: list[bytes], v: Vocabulary) -> list[bytes]:
             for i in rows:
                 out[i] = _merge_one(words[i], width, v)
             continue
-        step = max(1, 300_000 // width)
+        step = max(1, 200_000 // width)
         for k in range(0, len(rows), step):
             part = rows[k : k + step]
             for i, ids in zip(part, _merge([words[i] for i in part], width, v), strict=True):
@@ -144,20 +144,22 @@ def _encode_parts(words: list[bytes], v: Vocabulary) -> list[bytes]:
 
 def _merge(words: list[bytes], width: int, v: Vocabulary) -> list[bytes]:
     n = len(words)
+    # Half the memory where the nodes' numbers allow it.
+    kind = np.int32 if v.size * width < 2**31 - 1 else np.int64
+    none = np.iinfo(kind).max
     lengths = np.array([len(w) for w in words], np.int64)
     raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
     # One more position on either side, so that neighbours of the ends need no special case; -1 is no token.
-    ids = np.full((n, width + 2), -1, np.int64)
-    cols = np.arange(width)
+    ids = np.full((n, width + 2), -1, kind)
+    cols = np.arange(width, dtype=kind)
     ids[:, 1:-1] = np.where(cols < lengths[:, None], v.byte_ids[raw], -1)
-    after = np.tile(np.arange(1, width + 3), (n, 1))
-    before = np.tile(np.arange(-1, width + 1), (n, 1))
-    tree = np.full((n, 2 * width), _NONE)
+    after = np.tile(np.arange(1, width + 3, dtype=kind), (n, 1))
+    before = np.tile(np.arange(-1, width + 1, dtype=kind), (n, 1))
+    tree = np.full((n, 2 * width), none, kind)
     left, right = ids[:, 1:-1], ids[:, 2:]
     real = (left >= 0) & (right >= 0)
-    ranks = np.full((n, width), _NONE)
-    ranks[real] = v.rank(left[real], right[real])
-    tree[:, width:] = np.where(ranks < _NONE, ranks * width + cols, _NONE)
+    ranks = v.rank(left[real].astype(np.int64), right[real].astype(np.int64))
+    tree[:, width:][real] = np.where(ranks < _NONE, ranks * width + np.broadcast_to(cols, real.shape)[real], none)
     level = width
     while level > 1:
         tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
@@ -175,10 +177,10 @@ def _merge(words: list[bytes], width: int, v: Vocabulary) -> list[bytes]:
         a, b = ids[r, at], ids[r, after[r, at]]
         ok = (a >= 0) & (b >= 0)
         rank = np.full(len(r), _NONE)
-        rank[ok] = v.rank(a[ok], b[ok])
-        return np.where(rank < _NONE, rank * width + at - 1, _NONE)
+        rank[ok] = v.rank(a[ok].astype(np.int64), b[ok].astype(np.int64))
+        return np.where(rank < _NONE, rank * width + at - 1, none).astype(kind)
 
-    r = np.flatnonzero(tree[:, 1] < _NONE)
+    r = np.flatnonzero(tree[:, 1] < none)
     while len(r):
         root = tree[r, 1]
         at = root % width + 1
@@ -188,13 +190,13 @@ def _merge(words: list[bytes], width: int, v: Vocabulary) -> list[bytes]:
         nxt = after[r, gone]
         after[r, at] = nxt
         before[r, nxt] = at
-        put(r, gone - 1, np.full(len(r), _NONE))
+        put(r, gone - 1, np.full(len(r), none, kind))
         put(r, at - 1, value(r, at))
         prev = before[r, at]
         has = prev >= 1
         if has.any():
             put(r[has], prev[has] - 1, value(r[has], prev[has]))
-        r = r[tree[r, 1] < _NONE]
+        r = r[tree[r, 1] < none]
     live = ids[:, 1:-1] >= 0
     flat = ids[:, 1:-1][live].astype(np.int32).tobytes()
     ends = (4 * np.cumsum(live.sum(1))).tolist()

@@ -17,8 +17,8 @@ def _lean() -> None:
     """Large arrays go back to the system when they are freed, so idle Python workers of an executor hold little memory."""
     try:
         libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD; a fixed one doesn't grow
-        libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD; a fixed one doesn't grow
+        libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
     except (OSError, AttributeError):
         return  # another C library
     pa.set_memory_pool(pa.system_memory_pool())

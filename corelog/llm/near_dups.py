@@ -30,7 +30,7 @@ DENSE = 32
 #: A token of more than so many documents of a batch goes to its bucket as one number, its documents straight to the batch.
 HOT = 64
 #: One bucket takes the tokens of about so many characters of text.
-BUCKET_CHARACTERS = 10_000_000
+BUCKET_CHARACTERS = 6_000_000
 
 _PUNCT = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _DELETED = np.isin(np.arange(256), np.frombuffer(_PUNCT, np.uint8))
