@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corelog.llm.common import slices, utf8
+from corelog.llm.common import slices, utf8, written
 from corelog.plans.ship import ship
 
 #: Labelled texts that training draws at most, of each language, the least by a hash of text.
 MAX_LABELLED = 400
 #: Labelled texts in all: many languages share them evenly, so the driver's matrix is bounded.
 MAX_ROWS = 16_000
+#: Languages that training takes at most, those with most different texts.
+MAX_LANGUAGES = 500
 #: One of so many of a language's labelled texts is held out, to weigh the bits by how well their classifiers do on it.
 HOLD_OUT = 5
 #: Features are hashed byte n-grams of these lengths.
@@ -104,16 +106,15 @@ def train(df: DataFrame, *, text: str = "text", lang: str = "lang", per_language
     ship(df.sparkSession)
     rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     ranked = rows.select("text", "lang", F.xxhash64("text", F.lit(5)).alias("h"))
-    top = ranked.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()
-    names = sorted(r["lang"] for r in top)
-    if not names:
+    sizes = ranked.groupBy("lang").agg(F.count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    sizes = written(sizes, "languages")
+    many = sizes.count()
+    if not many:
         return _nothing()
-    sizes = {r["lang"]: r["n"] for r in top}
-    per_language = min(per_language, max(HOLD_OUT, MAX_ROWS // len(names)))
+    per_language = min(per_language, max(HOLD_OUT, MAX_ROWS // many))
     # A hash below this share leaves some 3 times as many as are wanted; where that is too few, all take part.
-    cut = F.create_map(*[F.lit(x) for s in names for x in (s, min(1.0, (3 * per_language + 100) / sizes[s]))])
-    share = (F.col("h") / F.lit(2.0**64)) + 0.5
-    near = ranked.where(share <= cut[F.col("lang")]).dropDuplicates(["lang", "h"])
+    cut = F.least(F.lit(1.0), F.lit(3.0 * per_language + 100) / F.col("n"))
+    near = ranked.join(F.broadcast(sizes), "lang").where((F.col("h") / F.lit(2.0**64)) + 0.5 <= cut).select("text", "lang", "h").dropDuplicates(["lang", "h"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,10 +130,10 @@ def train(df: DataFrame, *, text: str = "text", lang: str = "lang", per_language
 
     counted = near.mapInArrow(features, "lang string, h long, ids array<int>, values array<float>").where(F.size("ids") > 0)
     first = counted.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", F.hash("ids")))).where(F.col("nth") <= per_language)
-    got: dict[str, list] = {s: [] for s in names}
+    got: dict[str, list] = {}
     for r in first.select("lang", "ids", "values").orderBy("lang", "nth").collect():
-        got[r["lang"]].append((r["ids"], r["values"]))
-    names = [s for s in names if got[s]]
+        got.setdefault(r["lang"], []).append((r["ids"], r["values"]))
+    names = sorted(got)
     if not names:
         return _nothing()
     x = np.zeros((sum(len(got[s]) for s in names), BUCKETS), np.float32)

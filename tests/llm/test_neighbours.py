@@ -47,6 +47,23 @@ def test_copies_beyond_the_depth_go_to_the_least_ids(spark, monkeypatch):
         assert (r["neighbour_id"], r["distance"]) == (want, 0.0)
 
 
+def test_clustered_vectors_need_few_probes(spark):
+    r = np.random.default_rng(7)
+    x = (r.normal(size=(48, 16)).repeat(50, 0) + 0.05 * r.normal(size=(2400, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0, "a") for i, v in enumerate(x)], ROWS)
+    rows, n, d = neighbours.vectors(df)
+    index, coded = neighbours.build(rows, n, d)
+    assert coded.count() == n == 2400 and index.probes <= len(index.centroids) / 4
+    got = neighbours.nearest_neighbours(df, asking=F.col("id") % 20 == 0).collect()
+    hits = []
+    for q in range(0, 2400, 20):
+        far = ((x.astype(float) - x[q]) ** 2).sum(1)
+        far[q] = np.inf
+        kth = np.sort(far)[neighbours.K - 1]
+        hits += [far[g["neighbour_id"]] <= kth + 1e-6 for g in got if g["vec_id"] == q]
+    assert len(hits) == 120 * neighbours.K and np.mean(hits) >= 0.9
+
+
 def test_recall_of_the_registered_query(spark):
     from corelog.llm.queries import QUERIES
 

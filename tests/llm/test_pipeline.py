@@ -1,10 +1,17 @@
+import base64
 import os
 import random
+from collections import Counter
 
 import pytest
+import test_line_templates
+import test_mixing
+import test_near_dups
+import test_quality
+import tiktoken
 
 import corpus_pipeline
-from corelog.llm import mixing
+from corelog.llm import bpe, line_templates, mixing, near_dups
 from corelog.llm.queries import QUERIES, VOCABULARY
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -72,5 +79,37 @@ def test_each_stage_works_on_what_the_one_before_kept(spark, folder):
     assert sorted(whole) == sorted((r.doc_id, r.n_tokens) for r in coded)
 
 
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="needs the public vocabulary")
+def test_each_stage_equals_brute_force(spark, folder):
+    """Every stage on all rows of the one before, against plain loops; the ranker's weights are its own, the rest is independent."""
+    d, _ = folder
+    rows = lambda df: [tuple(r) for r in df.select("doc_id", "text", "source").collect()]
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    labels = [tuple(r) for r in spark.read.parquet(f"{d}/labels.parquet").collect()]
+    scored, least = test_quality.brute_ranked(spark, docs, labels)
+    ranked = corpus_pipeline.quality(spark, docs, d)
+    kept = {(i, t) for i, t, _ in rows(ranked)}
+    assert {(i, t) for i, t, x in scored if x is None or x > least + 1} <= kept <= {(i, t) for i, t, x in scored if x is None or x >= least - 1}
+
+    lines = corpus_pipeline.lines(spark, ranked, d)
+    assert sorted(repr((i, t)) for i, t, _ in rows(lines)) == test_line_templates.brute([r[:2] for r in rows(ranked)], line_templates.MIN_DOCS)
+
+    one = corpus_pipeline.near_duplicates(spark, lines, d)
+    classes = test_near_dups.classes(rows(lines), near_dups.THRESHOLD)
+    assert sorted(i for i, _, _ in rows(one)) == sorted(i for i, c, _ in classes if i == c)
+
+    mixed = corpus_pipeline.mix(spark, one, d)
+    want = Counter()
+    for (t, _), n in test_mixing.brute([(i, t, s) for i, t, s in rows(one)]).items():
+        want[t] += n
+    assert Counter(t for _, t, _ in rows(mixed)) == want
+
+    with open(VOCABULARY, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    public = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = Counter((r["doc_id"], tuple(r["token_ids"])) for r in corpus_pipeline.tokens(spark, mixed, d).collect())
+    assert got == Counter((i, tuple(public.encode_ordinary(t))) for i, t, _ in rows(mixed))
+
+
 def test_ten_operators_have_a_query():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
