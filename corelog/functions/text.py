@@ -82,15 +82,14 @@ def header_terms(field: Column, least: int = 2, most: int = 16) -> Column:
     return F.array_distinct(F.filter(grams, lambda g: ok(g) & (F.length(g) <= n)))
 
 
+_WORD_SCRIPTS = re.compile("(?P<katakana>[ァ-ヺーヽヾ゛゜])|(?P<hiragana>[ぁ-\u309f])|(?P<latin>[0-9A-Za-z])")
+
+
 def _script(ch: str) -> str:
     """The script whose runs are words: katakana, hiragana, ASCII letters and digits. Kanji and all else have none: they
     may be parted anywhere, as compounds are written without spaces."""
-    o = ord(ch)
-    if 0x30A1 <= o <= 0x30FA or ch in "ーヽヾ゛゜":
-        return "katakana"
-    if 0x3041 <= o <= 0x309F:
-        return "hiragana"
-    return "latin" if ch.isascii() and ch.isalnum() else ""
+    m = _WORD_SCRIPTS.match(ch)
+    return m.lastgroup if m else ""
 
 
 def delete_terms(text: str, terms: set[str], most: int = 16, find=None, protected: list[str] | None = None) -> str:
@@ -166,8 +165,8 @@ def unmask(text: str, protected: list[str]) -> str:
 
 
 #: Words for sizes of hail and the like, and lengths with a unit.
-_THINGS = "pea|marble|dime|penny|nickel|quarter|golf ?ball|ping[ -]?pong|walnut|egg|hen egg|lime|tennis ?ball|baseball|apple|softball|grapefruit|tea ?cup"
-SIZE_CUES = rf"(?i)\b(?:{_THINGS})(?:[ -]?sized?)?\b|\b\d+(?:\.\d+)?[ -]?(?:inch(?:es)?|in|cm|mm)\b|\b\d+(?:\.\d+)?\s?\"|\b(?:half|three[ -]quarters?)\b"
+_THINGS = "apple|baseball|cd|dime|dvd|egg|golf[ -]?ball|grapefruit|half[ -]?dollar|hen[ -]?egg|lime|marble|mothball|nickel|pea|penny|ping[ -]?pong|quarter|softball|tea[ -]?cup|tennis[ -]?ball|walnut"
+SIZE_CUES = rf"(?i)\b(?:{_THINGS})(?:[ -]?sized?)?\b|\bdollar[ -]?sized?\b|\b\d+(?:\.\d+)?[\s-]*(?:mm|cm|in|inch(?:es)?)\b|\b\d+(?:\.\d+)?\s*\"|\b(?:quarters|halfs?|halves|three[ -]?quarters?)\b"
 
 
 def strip_sizes(text: Column) -> Column:
@@ -177,7 +176,7 @@ def strip_sizes(text: Column) -> Column:
 
 #: Characters of names, and what follows a place's name. Suffixes that stand in terms of rock and soil as a rule aren't here.
 NAME_CHARACTERS = "[一-鿿々ァ-ヺー]"
-PLACE_SUFFIXES = [*"都府県市町村郡川山島湖港駅橋", "工区", "地区", "団地", "地内", "地先"]
+PLACE_SUFFIXES = [*"市町村郡府県都山川湖島港橋駅", *"団地 地内 地先 地区 工区".split()]
 #: Followed by these, a suffix is part of another word.
 NOT_AFTER = ["分", "間"]
 
@@ -301,7 +300,7 @@ def depersonalise(df: DataFrame, text: str, steps: list[str], *, headers: str |
     step, and what a step deletes leaves a space, so that applying it all again changes nothing. The statistics are a row
     a step: (step, chars_removed, texts_changed, texts_emptied). An unknown step is a ValueError.
     """
-    known = {"normalise", "header", "place", "template"}
+    known = {"header", "normalise", "place", "template"}
     if bad := set(steps) - known:
         raise ValueError(f"unknown steps: {sorted(bad)}")
     stats, names = [], []
@@ -326,17 +325,24 @@ def depersonalise(df: DataFrame, text: str, steps: list[str], *, headers: str |
 #: Words of the descriptor families, by language and family.
 FAMILIES = {
     "ja": {
-        "grain": ["粗砂", "中砂", "細砂", "粗礫", "中礫", "細礫", "シルト質", "砂質", "礫質", "粘土質"], "sorting": ["淘汰", "均一", "均質", "不均一", "不均質", "分級"],
-        "class": ["砂", "礫", "粘土", "シルト", "火山灰", "軽石", "ローム", "泥", "岩", "有機質", "腐植", "貝殻", "凝灰", "花崗", "玄武", "安山", "石灰"],
-        "weathering": ["風化", "新鮮", "酸化"], "water": ["含水", "飽和", "乾燥", "湿潤"], "angularity": ["亜円", "亜角", "円礫", "角礫"], "colour": ["褐", "灰", "黒", "青", "緑", "赤", "黄", "白"],
+        "grain": "シルト質 中砂 中礫 砂質 礫質 粗砂 粗礫 粘土質 細砂 細礫".split(),
+        "sorting": "不均一 不均質 分級 均一 均質 淘汰".split(),
+        "class": "シルト ローム 凝灰 安山 岩 有機質 泥 火山灰 玄武 石灰 砂 礫 粘土 腐植 花崗 貝殻 軽石".split(),
+        "weathering": "新鮮 酸化 風化".split(),
+        "water": "乾燥 含水 湿潤 飽和".split(),
+        "angularity": "亜円 亜角 円礫 角礫".split(),
+        "colour": "灰 白 緑 褐 赤 青 黄 黒".split(),
     },
     "en": {
-        "grain": ["fine", "medium", "coarse"], "sorting": ["well sorted", "poorly sorted", "well graded", "poorly graded", "uniformly graded", "gap graded"],
-        "class": "clay sand gravel silt sandstone mudstone siltstone claystone limestone dolomite chalk peat marl till topsoil cobbles boulders".split() + ["made ground"],
-        "secondary": ["slightly", "very", "gravelly", "sandy", "silty", "clayey"], "weathering": ["weathered", "fresh", "oxidised", "oxidized"],
-        "angularity": ["angular", "subangular", "sub-angular", "rounded", "subrounded", "sub-rounded"], "colour": "brown grey gray black blue green red yellow orange white".split(),
+        "grain": "coarse fine medium".split(),
+        "sorting": [f"{how} {what}" for what in ("graded", "sorted") for how in ("poorly", "well")] + ["gap graded", "uniformly graded"],
+        "class": "boulders chalk clay claystone cobbles dolomite gravel limestone marl mudstone peat sand sandstone silt siltstone till topsoil".split() + ["made ground"],
+        "secondary": "clayey gravelly sandy silty slightly very".split(),
+        "weathering": "fresh oxidised oxidized weathered".split(),
+        "angularity": "angular rounded sub-angular sub-rounded subangular subrounded".split(),
+        "colour": "black blue brown gray green grey orange red white yellow".split(),
     },
-}
+}
 
 
 def descriptor_families(text: Column, language: str) -> dict[str, Column]:
@@ -349,10 +355,8 @@ def descriptor_families(text: Column, language: str) -> dict[str, Column]:
 
 
 #: Coarse classes in their order of precedence.
-COARSE_JA = [
-    ("peat", "泥炭|腐植|有機質"), ("gravel", "礫|玉石|砂利"), ("sand", "砂"), ("silt", "シルト"), ("clay", "粘土|粘性"), ("loam", "ローム|火山灰"), ("mud", "泥"), ("rock", "岩"),
-]
-COARSE_EN = "CLAY SILT SAND GRAVEL PEAT COBBLES BOULDERS CHALK MUDSTONE SANDSTONE SILTSTONE LIMESTONE TILL".split()
+COARSE_JA = [("rock", "岩|安山|玄武|花崗|凝灰"), ("organic", "ピート|有機|泥炭|腐植"), ("gravel", "玉石|礫|れき"), ("sand", "砂"), ("silt", "シルト"), ("clay", "粘性|粘土|ねんど"), ("loam", "火山灰|ローム"), ("mud", "どろ|泥")]
+COARSE_EN = "BOULDERS CHALK CLAY COBBLES GRAVEL LIMESTONE MUDSTONE PEAT SAND SANDSTONE SILT SILTSTONE TILL".split()
 
 
 def coarse_class(text: Column, language: str) -> Column:

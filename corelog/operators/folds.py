@@ -130,6 +130,21 @@ def guarded_folds(df: DataFrame, fold: str, least_test: int = 30, least_train: i
     return g.withColumn("n_train", F.sum("n_test").over(Window.partitionBy()) - F.col("n_test")).where((F.col("n_test") >= least_test) & (F.col("n_train") >= least_train))
 
 
+def provenance_folds(df: DataFrame, entity: str, families: dict[str, Column], *, top: int = 8, floor: int = 50, least_test: int = 30, least_train: int = 100) -> DataFrame:
+    """(family, fold, n_entities, n_test, n_train): leave-one-label-out folds of each family of labels.
+
+    A family's folds are its `top` labels by distinct entities (ties by label) that have `floor` rows; NULL labels make no
+    fold. Training rows are all others, those without a label included. Folds with too few rows on a side are dropped.
+    All families come from one scan; what is ranked is a row a label.
+    """
+    labels = F.array(*[F.struct(F.lit(name).alias("family"), c.cast("string").alias("fold")) for name, c in families.items()])
+    long = df.select(F.col(entity).alias("_e"), F.explode(labels).alias("l")).select("_e", "l.*")
+    g = long.groupBy("family", "fold").agg(F.count_distinct("_e").alias("n_entities"), F.count("*").alias("n_test"))
+    g = g.withColumn("n_train", F.sum("n_test").over(Window.partitionBy("family")) - F.col("n_test")).where("fold IS NOT NULL")
+    g = g.withColumn("_r", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("n_entities"), "fold"))).where((F.col("_r") <= top) & (F.col("n_test") >= floor))
+    return g.where((F.col("n_test") >= least_test) & (F.col("n_train") >= least_train)).drop("_r")
+
+
 def few_shot(df: DataFrame, group: str, source: Column, budgets: list[int], holdout: float, seed: int) -> DataFrame:
     """(df's columns, budget, part): for each budget the source rows and the first `budget` target groups as 'train', and
     the same held-out target groups as 'test'. Groups go in hashed order; those held out are the last ones."""

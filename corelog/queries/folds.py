@@ -79,6 +79,16 @@ def year_bins(s, d):
     return table(s, d, "part").select("p_partkey", P.year_bin(1965 + F.col("p_partkey") % 63).alias("decade"))
 
 
+@query("""WITH l AS (SELECT o_custkey AS e, unnest(['priority', 'year', 'clerk']) AS family, unnest([o_orderpriority, CASE WHEN year(o_orderdate) >= 1993 THEN CAST(year(o_orderdate) AS VARCHAR) END, CAST(o_custkey % 37 AS VARCHAR)]) AS fold FROM orders),
+g AS (SELECT family, fold, count(DISTINCT e) AS n_entities, count(*) AS n_test FROM l GROUP BY 1, 2), t AS (SELECT *, CAST(sum(n_test) OVER (PARTITION BY family) - n_test AS BIGINT) AS n_train FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY n_entities DESC, fold) AS r FROM t WHERE fold IS NOT NULL) SELECT family, fold, n_entities, n_test, n_train FROM r WHERE r <= 4 AND n_test >= 50 AND n_train >= 100""")
+def provenance_folds(s, d):
+    """Leave-one-label-out folds of three families of labels, the four labels of most customers each."""
+    o = table(s, d, "orders")
+    year = F.when(F.year("o_orderdate") >= 1993, F.year("o_orderdate"))
+    return P.provenance_folds(o, "o_custkey", {"priority": F.col("o_orderpriority"), "year": year, "clerk": F.col("o_custkey") % 37}, top=4)
+
+
 @query(f"""WITH {PREDICTIONS}, g AS (SELECT unit % 200 AS fold, count(*) AS n_test FROM predictions GROUP BY 1) SELECT * FROM (SELECT *, CAST(sum(n_test) OVER () - n_test AS BIGINT) AS n_train FROM g) WHERE n_test >= 60 AND n_train >= 100""")
 def guarded_folds(s, d):
     """Folds with enough rows on either side."""

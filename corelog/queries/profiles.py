@@ -37,10 +37,20 @@ t AS (SELECT loc, depth, 0.5e0 * (f + lag(f) OVER w) * (depth - lag(depth) OVER
 g AS (SELECT loc, coalesce(sum(CASE WHEN depth <= 20 THEN part END), 0) AS lpi FROM t GROUP BY loc HAVING count(*) >= 2)
 SELECT loc, round(lpi, 4) AS lpi, CASE WHEN lpi <= 0 THEN 'very_low' WHEN lpi <= 5 THEN 'low' WHEN lpi <= 15 THEN 'high' ELSE 'very_high' END AS risk FROM g""")
 def liquefaction_index(s, d):
-    """The index of each profile and its class."""
+    """The index of each profile and its class."""
     return P.liquefaction_potential(_wet(s, d), ["loc"], "depth", "n", "water", 0.2, fines=15.0).withColumn("lpi", F.round("lpi", 4))
 
 
+@query(f"""WITH {_STRESS}, f AS (SELECT loc, depth, CASE WHEN wet THEN greatest(0, 1 - crr / greatest(csr, 1e-3)) ELSE 0 END * greatest(0, 10 - 0.5e0 * depth) AS f FROM q),
+t AS (SELECT loc, depth, 0.5e0 * (f + lag(f) OVER w) * (depth - lag(depth) OVER w) AS part FROM f WINDOW w AS (PARTITION BY loc ORDER BY depth)),
+g AS (SELECT loc, coalesce(sum(CASE WHEN depth <= 20 THEN part END), 0) AS lpi FROM t WHERE loc NOT IN (SELECT loc FROM profile WHERE depth = 3 AND loc % 11 = 0) GROUP BY loc HAVING count(*) >= 2)
+SELECT loc, round(lpi, 4) AS lpi, CASE WHEN lpi <= 0 THEN 'very_low' WHEN lpi <= 5 THEN 'low' WHEN lpi <= 15 THEN 'high' ELSE 'very_high' END AS risk FROM g""")
+def liquefaction_map(s, d):
+    """The index of each cell of a map; cells with a missing sample are skipped, they don't stop the others."""
+    bad = _wet(s, d).withColumn("n", F.when((F.col("depth") == 3) & (F.col("loc") % 11 == 0), F.lit(None)).otherwise(F.col("n")))
+    return P.liquefaction_potential(bad, ["loc"], "depth", "n", "water", 0.2, fines=15.0, skip_bad=True).withColumn("lpi", F.round("lpi", 4))
+
+
 @query(f"""WITH {PROFILE}, a AS (SELECT *, 97e0 * pow(greatest(n, 1), 0.314e0) AS v, coalesce(lag(depth) OVER (PARTITION BY loc ORDER BY depth), 0) AS up FROM profile),
 g AS (SELECT loc, 30 / (sum(greatest(0, least(depth, 30) - up) / v) + greatest(0, 30 - max(depth)) / arg_max(v, depth)) AS vs FROM a GROUP BY loc HAVING count(*) >= 2)
 SELECT loc, round(vs, 4) AS vs30, CASE WHEN vs > 1500 THEN 'A' WHEN vs > 760 THEN 'B' WHEN vs > 360 THEN 'C' WHEN vs > 180 THEN 'D' ELSE 'E' END AS site FROM g""")

@@ -131,7 +131,7 @@ _P = "(SELECT o_orderkey AS id FROM orders)"
 
 
 @query(f"""WITH t AS (SELECT id, {_ROCK} AS x FROM {_P}) SELECT id, {_sql_families('ja', 'x')}, CASE WHEN id % 3 = 0 THEN [0, 1, 0, 0] ELSE [0, 0, 0, 0] END AS percent,
-CASE WHEN x LIKE '%礫%' THEN 'gravel' WHEN x LIKE '%砂%' THEN 'sand' WHEN x LIKE '%シルト%' THEN 'silt' WHEN x LIKE '%ローム%' THEN 'loam' WHEN x LIKE '%岩%' THEN 'rock' ELSE 'other' END AS coarse FROM t""")
+CASE WHEN x LIKE '%岩%' THEN 'rock' WHEN x LIKE '%礫%' THEN 'gravel' WHEN x LIKE '%砂%' THEN 'sand' WHEN x LIKE '%シルト%' THEN 'silt' WHEN x LIKE '%ローム%' THEN 'loam' ELSE 'other' END AS coarse FROM t""")
 def descriptors_ja(s, d):
     """The eight descriptor families of Japanese descriptions, and their coarse class by precedence."""
     t = table(s, d, "orders").selectExpr("o_orderkey AS id").select("id", F.expr(_ROCK).alias("x"))

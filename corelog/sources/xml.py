@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corelog.operators.joins import first_containing
 from corelog.plans.ship import ship
 
-ENCODINGS = ("utf-8", "shift_jis", "cp932")
+ENCODINGS = tuple("utf-8 shift_jis cp932".split())
 SEPARATOR = " || "
 _DOCTYPE = re.compile(r"<!DOCTYPE(?:[^>\[]|\[[^\]]*\])*>\s*")
 
