@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +43,40 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here and survives lost executors."""
+_SCRATCH: list[list[str]] = []
+
+
+def written(df: DataFrame, what: str, *, stays: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends here and survives lost executors.
+
+    stays: whether it outlives the scratch() in which it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    level = len(_SCRATCH) - 1 - stays
+    if level >= 0:
+        _SCRATCH[level].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """The tables that are written inside are deleted at the end, but for those that stay: these must be all that is read later."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table's folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Bytes of a row group of written tables: a task that writes holds one in memory.
 ROW_GROUP = 32 << 20
 #: A written table of up to so many rows of a few numbers (some 16 MB) is broadcast.

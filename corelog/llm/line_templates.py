@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corelog.llm.common import fresh, row_key, small, written
+from corelog.llm.common import fresh, row_key, scratch, small, written
 from corelog.plans.ship import ship
 
 #: Leading tokens on a path of the tree, below the token count.
@@ -179,8 +179,10 @@ def drop_lines(df: DataFrame, *, min_docs: int = MIN_DOCS, similarity: float = S
     if dropped and dropped.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"column exists already: {dropped}")
     key, gone = fresh(df, "key", "gone")
-    found = recurring_lines(df, min_docs=min_docs, similarity=similarity, text=text, doc=doc)
-    by_doc = small(written(found.groupBy(F.col("doc_key").alias(key)).agg(F.collect_set("pos").alias(gone)), "lines"), 1 + F.size(gone) / 4)
+    with scratch(df.sparkSession):
+        found = recurring_lines(df, min_docs=min_docs, similarity=similarity, text=text, doc=doc)
+        by_doc = written(found.groupBy(F.col("doc_key").alias(key)).agg(F.collect_set("pos").alias(gone)), "lines", stays=True)
+    by_doc = small(by_doc, 1 + F.size(gone) / 4)
     joined = df.withColumn(key, row_key(doc, text)).join(by_doc, key, "left")
     stay = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains(F.col(gone), i))
     clean = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(stay, "\n"))

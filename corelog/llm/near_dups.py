@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corelog.llm.common import bucket_ids, fresh, mix, ngrams, pack, row_key, slices, small, unpack, utf8, words, written
+from corelog.llm.common import bucket_ids, fresh, mix, ngrams, pack, row_key, scratch, slices, small, unpack, utf8, words, written
 from corelog.plans.ship import ship
 
 #: Words of an n-gram, and the least Jaccard similarity of a pair of sets of them.
@@ -552,6 +552,11 @@ def jaccard_classes(df: DataFrame, *, threshold: float = THRESHOLD, text: str =
     no tokens. Texts under GRAM words are one token. NULL ids come after all others: a class is NULL if all its ids are.
     Rows with equal id and text are one document. Empty table: empty result. Extra columns are not read.
     """
+    with scratch(df.sparkSession):
+        return written(_classes(df, threshold, text, doc), "links", stays=True)
+
+
+def _classes(df: DataFrame, threshold: float, text: str, doc: str) -> DataFrame:
     members, sets, edges = near_pairs(df, threshold=threshold, text=text, doc=doc)
     label = written(components(edges), "classes")
     held = sets.select("sig", "n", "k", "copies", "tokens").join(label.withColumnRenamed("node", "sig"), "sig")
@@ -599,11 +604,12 @@ def drop_near_dups(df: DataFrame, *, threshold: float = THRESHOLD, text: str = "
     are in no group and stay. Repeated rows of a document that stays all stay; NULL ids come last in a group. Extra
     columns pass through, whatever their names.
     """
-    members, _, edges = near_pairs(df, threshold=threshold, text=text, doc=doc)
-    labels = components(edges).withColumnRenamed("node", "sig")
-    grouped = members.where("sig IS NOT NULL").join(labels, "sig", "left").withColumn("g", F.coalesce("label", "sig"))
-    first = grouped.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("doc_key"))).alias("r"), F.min("doc_key").alias("k0"), F.max("doc_key").alias("k1")).where("k0 <> k1")
-    gone = written(grouped.join(first.select("g", F.col("r.doc_key").alias("lead")), "g").where("doc_key <> lead").select("doc_key"), "gone")
+    with scratch(df.sparkSession):
+        members, _, edges = near_pairs(df, threshold=threshold, text=text, doc=doc)
+        labels = components(edges).withColumnRenamed("node", "sig")
+        grouped = members.where("sig IS NOT NULL").join(labels, "sig", "left").withColumn("g", F.coalesce("label", "sig"))
+        first = grouped.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("doc_key"))).alias("r"), F.min("doc_key").alias("k0"), F.max("doc_key").alias("k1")).where("k0 <> k1")
+        gone = written(grouped.join(first.select("g", F.col("r.doc_key").alias("lead")), "g").where("doc_key <> lead").select("doc_key"), "gone", stays=True)
     (key,) = fresh(df, "key")
     gone = gone.withColumnRenamed("doc_key", key)
     return df.withColumn(key, row_key(doc, text)).join(small(gone), key, "left_anti").select(*df.columns)

@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corelog.llm.common import _powers, bucket_ids, fresh, mix, ngrams, pack, row_key, slices, small, squeeze, unpack, unsqueeze, utf8, words, written
+from corelog.llm.common import _powers, bucket_ids, fresh, mix, ngrams, pack, row_key, scratch, slices, small, squeeze, unpack, unsqueeze, utf8, words, written
 from corelog.plans.ship import ship
 
 #: Words of a window: a passage of at least so many words that stands in two documents is found.
@@ -336,6 +336,11 @@ def find_repeats(df: DataFrame, *, text: str = "text", doc: str = "doc_id") -> D
     spark = df.sparkSession
     ship(spark)
     source = df.select(F.col(text).alias("text"), F.col(doc).cast("long").alias("doc_id"), row_key(doc, text).alias("doc_key"))
+    with scratch(spark):
+        return written(_stretches(spark, source), "repeats", stays=True)
+
+
+def _stretches(spark: SparkSession, source: DataFrame) -> DataFrame:
     buckets = bucket_ids(spark, source.agg(F.sum(F.length("text"))).first()[0] or 0, BUCKET_CHARACTERS)
     sent = source.mapInArrow(_send(buckets, HOT, "text", "doc_key", "doc_id"), _SENT)
     met = written(sent.groupBy("bucket").applyInArrow(_count, _FOUND), "met")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from corelog.llm import bpe, line_templates, mixing, near_dups, quality_ranker
-from corelog.llm.common import shared_dir
+from corelog.llm.common import discard, scratch, shared_dir
 from corelog.llm.queries import VOCABULARY
 
 
@@ -52,12 +52,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table; what each returns is a table in the shared folder for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    """All stages over the whole documents table; what each returns is a table in the shared folder for the next.
+
+    What a stage wrote besides is deleted when its result is written, and that when the next one's is.
+    """
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        with scratch(spark):
+            before, path = path, f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+    return STAGES[-1][1](spark, docs, sf_dir)
