@@ -298,12 +298,12 @@ def depersonalise(df: DataFrame, text: str, steps: list[str], *, headers: str |
 
     headers: an array column of terms for 'header'; partition and doc: for 'template'. White space is tidied after each
     step, and what a step deletes leaves a space, so that applying it all again changes nothing. The statistics are a row
-    a step: (step, chars_removed, texts_changed, texts_emptied). An unknown step is a ValueError.
+    a step: (step, chars_removed, texts_changed, texts_emptied). Unknown steps, or none, are a ValueError.
     """
     known = {"header", "normalise", "place", "template"}
-    if bad := set(steps) - known:
+    if (bad := set(steps) - known) or not steps:
         raise ValueError(f"unknown steps: {sorted(bad)}")
-    stats, names = [], []
+    stats, names, columns = [], [], df.columns
     for i, step in enumerate(steps):
         before, after = (text if i == 0 else f"_t{i - 1}"), f"_t{i}"
         names.append(after)
@@ -319,7 +319,7 @@ def depersonalise(df: DataFrame, text: str, steps: list[str], *, headers: str |
         stats.append(F.struct(F.lit(step).alias("step"), *[c.alias(n) for c, n in zip(removal_counts(before, after), ("chars_removed", "texts_changed", "texts_emptied"))]))
     df = kept(df, "stripped")
     counted = df.select(F.explode(F.array(*stats)).alias("s")).groupBy("s.step").agg(*[F.sum(f"s.{n}").alias(n) for n in ("chars_removed", "texts_changed", "texts_emptied")])
-    return df.drop(text, *names[:-1]).withColumnRenamed(names[-1], text) if names else df, counted
+    return df.select(*[F.col(names[-1]).alias(c) if names and c == text else c for c in columns]), counted
 
 
 #: Words of the descriptor families, by language and family.

@@ -490,7 +490,7 @@ def test_leave_out_and_tiles(spark):
 
 def test_grids_of_metres(spark):
     lat, lon = grids.global_axes(30.0, 31.0, 130.0, 131.0, 11_132.0)
-    assert lat == (pytest.approx(29.8), pytest.approx(31.2), 15) and lon[2] == 13
+    assert lat == (pytest.approx(29.8), pytest.approx(31.2), 15) and lon[2] == 14
     values = [r.at for r in grids.axis(spark, *lat, "at").orderBy("n").collect()]
     assert values == pytest.approx(np.linspace(*lat).tolist())
     assert grids.degree_steps(111_320.0, 60.0) == (1.0, pytest.approx(2.0))
@@ -531,7 +531,7 @@ def test_composed_strip(spark):
     args = {"headers": "h", "partition": "p", "doc": "k", "suffixes": ["ville", "ton"], "protected": ["Hamilton"], "run": None}
     steps = ["normalise", "header", "place", "template"]
     out, stats = T.depersonalise(df, "t", steps, **args)
-    assert out.columns == ["k", "p", "h", "t"]
+    assert out.columns == df.columns
     got = {r.k: r.t for r in out.collect()}
     assert got[6] == "alone here" and got[7] == "Hamilton stays" and got[8] is None
     assert all("REPORT" not in got[i] and "Bramville" not in got[i] and str(i) in got[i] for i in range(6))
@@ -565,4 +565,4 @@ def test_size_cues_classes_and_families(spark):
     assert one(lambda c: T.coarse_class(c, "ja"), "砂質シルト") == "sand" and one(lambda c: T.coarse_class(c, "ja"), "x") == "other"
     f = T.descriptor_families(F.lit("Weathered brown CLAY 25 %"), "en")
     row = spark.range(1).select(*[c.alias(n) for n, c in f.items()]).first()
-    assert row.percent == [0, 1, 0, 0] and row.weathering == [1, 0, 0, 0] and sum(row["class"]) == 1 and set(f) >= {"grain", "sorting", "secondary", "angularity", "colour"}
+    assert row.percent == [0, 1, 0, 0] and row.weathering == [0, 0, 0, 1] and sum(row["class"]) == 1 and set(f) >= {"grain", "sorting", "secondary", "angularity", "colour"}

@@ -46,7 +46,7 @@ def test_measurements_take_the_first_family_that_counts(files):
 def test_ladder_gives_the_last_error():
     assert X.decode_any("砂".encode("cp932")) == "砂"
     with pytest.raises(UnicodeDecodeError):
-        X.decode_any(b"\xff\xff")
+        X.decode_any(b"\x81")
 
 
 def test_tolerant_union_of_gzip_files(spark, tmp_path):
