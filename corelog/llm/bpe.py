@@ -16,12 +16,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from corelog.llm.common import slices, utf8
+from corelog.llm.common import release, slices, utf8
 from corelog.plans.ship import ship
 
 #: The public pre-tokenisation pattern of 50k byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that a Python worker remembers at most; beyond that it starts anew. Bounds memory, not results.
+#: Words that a partition's encoder remembers at most; beyond that it starts anew. Bounds memory, not results.
 CACHE_WORDS = 60_000
 #: And so many bytes of them.
 CACHE_BYTES = 16_000_000
@@ -321,16 +321,6 @@ def _runs(t: str) -> bool:
     return any(c in t for c in _ODD) and _BESIDE(t) is not None
 
 
-_KEPT: dict[int, Encoder] = {}
-
-
-def _encoder(broadcast) -> Encoder:
-    """This worker's encoder: one at a time."""
-    if broadcast.value is not getattr(_KEPT.get(0), "v", None):
-        _KEPT[0] = Encoder(broadcast.value)
-    return _KEPT[0]
-
-
 def encode(
     df: DataFrame,
     vocabulary: Vocabulary,
@@ -362,7 +352,8 @@ def encode(
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(shared)
+        # An encoder lives as long as its partition: an idle worker remembers nothing.
+        enc = Encoder(shared.value)
         for batch in batches:
             for a, b in slices(batch.column(batch.schema.get_field_index(text))):
                 part = batch.slice(a, b - a)
@@ -378,6 +369,9 @@ def encode(
                     data, starts = utf8(texts)
                     cols.append(pa.array(_equal(back, ends, data, starts), mask=null))
                 yield pa.RecordBatch.from_arrays(cols, [*keep, *new])
+            release()
+        del enc
+        release()
 
     return source.mapInArrow(run, T.StructType(fields))
 

@@ -14,12 +14,23 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LIBC: list = []
+
+
+def release() -> None:
+    """What the worker has freed goes back to the system: it may be idle for long, beside others that need the memory."""
+    if _LIBC:
+        _LIBC[0].malloc_trim(0)
+
+
 def _lean() -> None:
     """Large arrays go back to the system when they are freed, so idle Python workers of an executor hold little memory."""
     try:
         libc = ctypes.CDLL(None)
         libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD; a fixed one doesn't grow
         libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+        if hasattr(libc, "malloc_trim"):
+            _LIBC.append(libc)
     except (OSError, AttributeError):
         return  # another C library
     pa.set_memory_pool(pa.system_memory_pool())

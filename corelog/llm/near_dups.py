@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corelog.llm.common import bucket_ids, fresh, mix, ngrams, pack, row_key, scratch, slices, small, unpack, utf8, words, written
+from corelog.llm.common import bucket_ids, fresh, mix, ngrams, pack, release, row_key, scratch, slices, small, unpack, utf8, words, written
 from corelog.plans.ship import ship
 
 #: Words of an n-gram, and the least Jaccard similarity of a pair of sets of them.
@@ -142,6 +142,8 @@ def _send(buckets: np.ndarray, bits: int, most: int):
                     add(int(buckets[k]), number, len(t), 0, pack(np.diff(t, prepend=np.uint64(0))), pack(docs[edges[k] : edges[k + 1]]), None, False)
             yield _batch(_SENT, cols)
             number += 1
+            del tokens, docs, all_tokens, all_docs, metas, cols
+            release()
 
     return run
 
@@ -210,7 +212,10 @@ def _frequencies(table: pa.Table) -> pa.Table:
         if r["meta"]:
             for c in cols:
                 cols[c].append(r[c])
-    return pa.Table.from_batches([_batch(_SENT, cols)])
+    out = pa.Table.from_batches([_batch(_SENT, cols)])
+    del sent, tokens, docs, rows, cols
+    release()
+    return out
 
 
 def prefix_length(n: int, need: int, threshold: float) -> int:
