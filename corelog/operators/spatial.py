@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corelog.operators.common import bounded
-from corelog.plans.shared import shared_dir
+from corelog.operators.common import BROADCAST_ROWS, bounded, kept
 
 KM_LAT = 110.574
 KM_LON = 111.320
+#: The first cells of a search hold so many distinct places at most.
+PLACES_A_CELL = 64
 
 
 def planar(df: DataFrame, lat: str, lon: str, lat0: float) -> DataFrame:
@@ -32,74 +32,111 @@ def _around(df: DataFrame, size: float) -> DataFrame:
     return df.withColumn("_c", F.explode(near)).withColumns({"_i": F.col("_c.i"), "_j": F.col("_c.j")}).drop("_c")
 
 
-def within(queries: DataFrame, candidates: DataFrame, key: str, values: list[str], reach: float, *, others: bool = False) -> DataFrame:
-    """(queries' columns, _id, _d, values) of all candidates nearer than `reach` or as far. Both have x, y and `key`.
+def _finite(df: DataFrame) -> DataFrame:
+    """df without rows whose place isn't known."""
+    return df.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
 
-    others: candidates with the query's own key are left out, as in a search of a table in itself.
 
-    An equi-join on cells as wide as the reach; queries, the smaller side as a rule, are sent to nine cells.
+def _lists(queries: DataFrame, candidates: DataFrame, key: str, values: list[str], k: int, start: float, *, other: str | None = None, reach: float | None = None) -> DataFrame:
+    """(x, y, _list): for each distinct place of `queries`, candidates (_d, _id, _v_*) in the order of distance and id, such
+    that the first k that a query there may have stand among them; places without any are left out.
+
+    Points of one place share their list, and of the candidates of one place only those go into a search that may be among
+    the first k: the k least ids, one more if a query leaves itself out (other is the key), and k of each group, 2k in all,
+    if it leaves out its own group (no group but its own is left out, and that has k rows there at most).
+
+    Searches go by rounds of cells, from cells that hold few places each up to `reach`, if there is one: what is found within
+    a cell's width is the nearest, so a place in a dense region is done before the cells get wide. A place that has found
+    all there is is done too. Rounds are written to the shared folder.
     """
-    i, j = _cells("x", "y", reach)
-    c = candidates.select(F.col(key).alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y"), *[F.col(v).alias(f"_v_{v}") for v in values], i.alias("_i"), j.alias("_j"))
-    met = _around(queries, reach).join(c, ["_i", "_j"])
-    d = F.sqrt((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")))
-    met = met.withColumn("_d", d).where(F.col("_d") <= reach)
-    return (met.where(F.col("_id") != F.col(key)) if others else met).drop("_i", "_j", "_x", "_y")
+    spark = queries.sparkSession
+    group = f"_v_{other}" if other and other != key else None
+    keep = 2 * k if group else k + 1 if other else k
+
+    def first(df: DataFrame, *order: str) -> DataFrame:
+        if group:
+            df = df.withColumn("_r", F.row_number().over(Window.partitionBy("x", "y", group).orderBy(*order))).where(F.col("_r") <= k)
+        return df.withColumn("_r", F.row_number().over(Window.partitionBy("x", "y").orderBy(*order))).where(F.col("_r") <= keep).drop("_r")
+
+    c = _finite(candidates).select("x", "y", F.col(key).alias("_id"), *[F.col(v).alias(f"_v_{v}") for v in values])
+    names = c.columns[2:]
+    c = kept(first(c, "_id").groupBy("x", "y").agg(F.collect_list(F.struct(*names)).alias("_at")), "places")
+    pending = kept(_finite(queries).select("x", "y").distinct(), "places")
+    n, rows, x0, x1, y0, y1 = c.agg(F.count("*"), F.sum(F.size("_at")), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    left, tasks = pending.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if group and n:
+        most = c.select(F.explode(F.transform("_at", lambda r: r[group])).alias("g")).groupBy("g").agg(F.least(F.count("*"), F.lit(k)).alias("n")).agg(F.sum("n")).first()[0]
+    else:
+        most = rows or 0
+    most = min(most, keep)
+    size = min(start, reach or start)
+    if n > 1:
+        w, h = x1 - x0, y1 - y0
+        size = min(size, math.sqrt(w * h * keep / rows) if w and h else (w + h) * keep / rows)
+        for _ in range(16):
+            if c.groupBy(*_cells("x", "y", size)).count().agg(F.max("count")).first()[0] <= PLACES_A_CELL:
+                break
+            size /= 4
+    out = None
+    while left and n:
+        i, j = _cells("x", "y", size)
+        near = c.select(F.col("x").alias("_x"), F.col("y").alias("_y"), "_at", i.alias("_i"), j.alias("_j"))
+        d = F.sqrt((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")))
+        met = _around(pending, size).repartition(tasks, "_i", "_j").join(near, ["_i", "_j"]).withColumn("_d", d).where(F.col("_d") <= size)
+        met = first(met.select("x", "y", "_d", F.inline("_at")), "_d", "_id")
+        found = kept(met.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("_d", *names))).alias("_list")), "knn")
+        last = reach is not None and size >= reach
+        done = found if last else found.where(F.size("_list") >= most)
+        out = done if out is None else out.unionByName(done)
+        if last:
+            break
+        pending = kept(pending.join(done.select("x", "y"), ["x", "y"], "left_anti"), "places")
+        left = pending.count()
+        size = size * 2 if reach is None else min(size * 2, reach)
+    if out is None:
+        out = c.select("x", "y", F.transform("_at", lambda r: F.struct(F.lit(0.0).alias("_d"), *[r[m].alias(m) for m in names])).alias("_list")).where("1 = 0")
+    out = kept(out, "knn")
+    return F.broadcast(out) if out.count() * keep <= BROADCAST_ROWS else out
+
+
+def _own(rows: str, key: str, k: int, other: str | None) -> Column:
+    """The first k of an array of candidates, without those that a query leaves out."""
+    mine = {None: lambda r: F.lit(True), key: lambda r: r["_id"] != F.col(key)}.get(other, lambda r: ~r[f"_v_{other}"].eqNullSafe(F.col(other or key)))
+    return F.slice(F.filter(rows, mine), 1, k)
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, key: str, values: list[str], tolerance: float, *, others: bool = False) -> DataFrame:
-    """queries with the nearest candidate's values and `distance`, NULL beyond the tolerance; ties go to the least id."""
-    best = within(queries.select(key, "x", "y"), candidates, key, values, tolerance, others=others).where(F.col("_d") < tolerance)
-    pick = F.min_by(F.struct("_d", *[f"_v_{v}" for v in values]), F.struct("_d", "_id")).alias("_b")
-    return queries.join(best.groupBy(key).agg(pick), key, "left").select(*queries.columns, F.col("_b._d").alias("distance"), *[F.col(f"_b._v_{v}").alias(v if v not in queries.columns else f"near_{v}") for v in values])
+    """queries with the nearest candidate's values and `distance`, NULL beyond the tolerance; ties go to the least id.
+
+    others: candidates with the query's own key are left out, as in a search of a table in itself.
+    """
+    other = key if others else None
+    lists = _lists(queries, candidates, key, values, 1, tolerance, other=other, reach=tolerance)
+    best = F.try_element_at(F.filter(_own("_list", key, 1, other), lambda r: r["_d"] < tolerance), F.lit(1))
+    out = queries.join(lists, ["x", "y"], "left").withColumn("_b", best)
+    return out.select(*queries.columns, F.col("_b._d").alias("distance"), *[F.col(f"_b._v_{v}").alias(v if v not in queries.columns else f"near_{v}") for v in values])
+
+
+def _ranked(queries: DataFrame, lists: DataFrame, key: str, k: int, other: str | None) -> DataFrame:
+    cols = list(dict.fromkeys([key, *([other] if other else [])]))
+    rows = queries.select(*cols, "x", "y").join(lists, ["x", "y"]).select(*cols, F.posexplode(_own("_list", key, k, other)).alias("_p", "_c"))
+    return rows.select(*cols, "_c.*", (F.col("_p") + 1).alias("rank"))
 
 
 def knn_within(queries: DataFrame, candidates: DataFrame, key: str, values: list[str], k: int, reach: float, *, others: bool = False) -> DataFrame:
     """(key, rank, _id, _d, _v_*) of up to k nearest candidates within `reach`; equal distances rank by id."""
-    w = Window.partitionBy(key).orderBy("_d", "_id")
-    return within(queries.select(key, "x", "y"), candidates, key, values, reach, others=others).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("x", "y")
+    other = key if others else None
+    return _ranked(queries, _lists(queries, candidates, key, values, k, reach, other=other, reach=reach), key, k, other)
 
 
 def knn(queries: DataFrame, candidates: DataFrame, key: str, values: list[str], k: int, start: float, *, other: str | None = None) -> DataFrame:
     """(key, rank, _id, _d, _v_*) of the k nearest candidates without a limit of distance; ids are unique.
 
-    Searches cells of `start`, and for queries that found fewer than k, of twice that, and so on: k found within a cell's
-    width are the nearest. A query that has found all candidates it may have is done too, so no round looks for what isn't
-    there. Rounds are written to the shared folder. other: a column of both sides; candidates with the query's value there,
-    or its own id where other is the key, are left out.
+    The first cells are `start` wide at most. other: a column of both sides; candidates with the query's value there, or its
+    own id where other is the key, are left out.
     """
-    spark = queries.sparkSession
-    cols = list(dict.fromkeys([key, "x", "y", *([other] if other else [])]))
     values = list(dict.fromkeys([*values, *([other] if other and other != key else [])]))
-    lo = candidates.agg(F.min("x")).first()
-    pending, out, size = queries.select(*cols), [], start
-    ends = queries.agg(F.min("x")).first()
-    if lo[0] is None or ends[0] is None:
-        return within(pending, candidates, key, values, start).withColumn("rank", F.lit(1)).where("1 = 0").drop("x", "y")
-    total = candidates.count()
-    if not other:
-        pending = pending.withColumn("_most", F.lit(min(k, total)))
-    else:
-        own = candidates.groupBy(F.col(other).alias("_other")).agg(F.count("*").alias("_own"))
-        pending = pending.join(bounded(own, "own"), F.col(other).eqNullSafe(F.col("_other")), "left").withColumn("_most", F.least(F.lit(k), total - F.coalesce("_own", F.lit(0)))).drop("_other", "_own")
-    pending = pending.where("_most > 0")
-    while True:
-        met = within(pending, candidates, key, values, size)
-        if other:
-            met = met.where(F.col("_id") != F.col(key) if other == key else ~F.col(f"_v_{other}").eqNullSafe(F.col(other)))
-        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("_d", "_id"))).where(F.col("rank") <= k)
-        path = f"{shared_dir(spark)}/knn-{uuid.uuid4().hex}"
-        ranked.withColumn("_n", F.count("*").over(Window.partitionBy(key))).write.parquet(path)
-        done = spark.read.parquet(path).where("_n >= _most")
-        out.append(done.drop("_most"))
-        pending = pending.join(done.select(key).distinct(), key, "left_anti")
-        if pending.isEmpty():
-            break
-        size *= 2
-    whole = out[0]
-    for x in out[1:]:
-        whole = whole.unionByName(x)
-    return whole.drop("_n", "x", "y")
+    return _ranked(queries, _lists(queries, candidates, key, values, k, start, other=other), key, k, other)
 
 
 def inverse_distance(neighbours: DataFrame, key: str, value: str, *, power: float = 2.0, floor: float = 1e-12) -> DataFrame:

@@ -566,3 +566,15 @@ def test_size_cues_classes_and_families(spark):
     f = T.descriptor_families(F.lit("Weathered brown CLAY 25 %"), "en")
     row = spark.range(1).select(*[c.alias(n) for n, c in f.items()]).first()
     assert row.percent == [0, 1, 0, 0] and row.weathering == [0, 0, 0, 1] and sum(row["class"]) == 1 and set(f) >= {"grain", "sorting", "secondary", "angularity", "colour"}
+
+
+def test_points_of_one_place_share_their_search(spark):
+    pts = [(i, float(i % 3), 0.0, i % 2) for i in range(3000)]
+    df = spark.createDataFrame(pts, "id long, x double, y double, code int")
+    lists = spatial._lists(df, df, "id", ["code"], 4, 10.0, other="code").collect()
+    assert len(lists) == 3 and all(len(r._list) == 8 for r in lists)
+    for row in spatial.knn(df, df, "id", [], 4, 10.0, other="code").where("id < 6").collect():
+        at = [i for i, x, _, c in pts if x == row.id % 3 and c != row.id % 2]
+        assert row._d == 0 and row._id == at[row["rank"] - 1]
+    got = {r.id: r.distance for r in spatial.nearest(df.where("id < 6"), df, "id", [], 1.0, others=True).collect()}
+    assert got == {i: 0.0 for i in range(6)}
