@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corelog.operators.common import ratio
+from corelog.operators.common import kept, ratio
 from corelog.operators.quantiles import percentiles
 
 
@@ -192,26 +192,41 @@ def box_summary(df: DataFrame, group: str, c: str, least: int = 30) -> DataFrame
 
 
 def mean_pairwise_distance(df: DataFrame, key: str, vector: str, blocks: int = 16) -> DataFrame:
-    """One row: the mean Euclidean distance of all unordered pairs of rows. Rows without a vector don't count.
+    """One row: the mean Euclidean distance of all unordered pairs of rows, NULL without pairs. Rows without a vector don't count.
 
-    Quadratic by definition: rows are hashed into blocks, each pair of blocks is one task that takes matrix products and
-    returns a sum, so that no pairs are shuffled. Choose blocks such that two of them fit in a task's memory.
+    Equal vectors are one with their number, which leaves the sum as it is. Between different ones the work is quadratic by
+    definition, memory isn't: they are hashed into `blocks`, more if a block would hold over 20,000, each pair of blocks is
+    one task that takes matrix products in slices and returns a sum, so that no pairs are shuffled.
     """
-    b = F.pmod(F.xxhash64(key), F.lit(blocks))
-    d = df.where(F.col(vector).isNotNull()).select(b.alias("_b"), F.col(vector).cast("array<double>").alias("_v"))
+    d = df.where(F.col(vector).isNotNull()).groupBy(F.col(vector).cast("array<double>").alias("_v")).agg(F.count("*").cast("double").alias("_n"))
+    d = kept(d, "vectors")
+    different, rows = d.agg(F.count("*"), F.sum("_n")).first()
+    blocks = max(blocks, -(-different // 20_000))
+    d = d.withColumn("_b", F.pmod(F.xxhash64("_v"), F.lit(blocks)))
     ids = F.sequence(F.lit(0), F.lit(blocks - 1))
-    sent = d.withColumn("_o", F.explode(ids)).select(F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), F.col("_b") == F.least("_b", "_o"), "_v").toDF("_i", "_j", "_first", "_v")
+    sent = d.withColumn("_o", F.explode(ids)).select(F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), F.col("_b") == F.least("_b", "_o"), "_v", "_n").toDF("_i", "_j", "_first", "_v", "_n")
 
     def total(f: pd.DataFrame) -> pd.DataFrame:
         same = f["_i"].iloc[0] == f["_j"].iloc[0]
-        a = np.array(f.loc[f["_first"], "_v"].tolist(), float)
-        c = a if same else np.array(f.loc[~f["_first"], "_v"].tolist(), float)
-        s, n = 0.0, 0
-        for i in range(len(a)):
-            rest = a[i + 1 :] if same else c
-            if len(rest):
-                s += float(np.sqrt(((rest - a[i]) ** 2).sum(1)).sum())
-                n += len(rest)
-        return pd.DataFrame({"s": [s], "n": [n]})
-
-    return sent.groupBy("_i", "_j").applyInPandas(total, "s double, n bigint").agg((F.sum("s") / F.sum("n")).alias("mean_distance"))
+        first, second = (f, f) if same else (f[f["_first"]], f[~f["_first"]])
+        if not len(first) or not len(second):
+            return pd.DataFrame({"s": [0.0]})
+        a, c = np.array(first["_v"].tolist(), float), np.array(second["_v"].tolist(), float)
+        m, n = first["_n"].to_numpy(float), second["_n"].to_numpy(float)
+        few = a.shape[1] <= 4
+        if not few:
+            # The products of centred vectors lose fewer digits.
+            centre = a.mean(0)
+            a, c = a - centre, c - centre
+            aa, cc = (a * a).sum(1), (c * c).sum(1)
+        s, step = 0.0, max(1, 2_000_000 // len(c))
+        for i in range(0, len(a), step):
+            x = a[i : i + step]
+            d2 = sum((x[:, [k]] - c[:, k]) ** 2 for k in range(a.shape[1])) if few else aa[i : i + step, None] + cc - 2 * (x @ c.T)
+            if same and not few:
+                d2[np.arange(len(x)), np.arange(i, i + len(x))] = 0.0
+            s += float(m[i : i + step] @ (np.sqrt(np.maximum(d2, 0.0)) @ n))
+        return pd.DataFrame({"s": [s / 2 if same else s]})
+
+    pairs = (rows or 0.0) * ((rows or 0.0) - 1) / 2
+    return sent.groupBy("_i", "_j").applyInPandas(total, "s double").agg((F.sum("s") / F.nullif(F.lit(pairs), F.lit(0.0))).alias("mean_distance"))

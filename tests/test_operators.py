@@ -578,3 +578,10 @@ def test_points_of_one_place_share_their_search(spark):
         assert row._d == 0 and row._id == at[row["rank"] - 1]
     got = {r.id: r.distance for r in spatial.nearest(df.where("id < 6"), df, "id", [], 1.0, others=True).collect()}
     assert got == {i: 0.0 for i in range(6)}
+
+
+def test_equal_vectors_are_one_with_their_number(spark):
+    df = spark.range(60_000).selectExpr("id", "array(CAST(id % 3 AS double), 0D, 0D, 0D, 0D) AS v")
+    want = (2 * 1.0 + 2.0) * 20_000**2 / (60_000 * 59_999 / 2)
+    assert mean_pairwise_distance(df, "id", "v").first()[0] == pytest.approx(want, rel=1e-9)
+    assert mean_pairwise_distance(df.limit(1), "id", "v").first()[0] is None
