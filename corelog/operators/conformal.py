@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corelog.operators.common import bounded, kept
-from corelog.operators.quantiles import order_statistics
+from corelog.operators.quantiles import RANGES, order_statistics
 
 
 def coverage(y: str, mu: str, sd: str, alpha: float) -> Column:
@@ -70,20 +70,37 @@ def weighted_quantile(df: DataFrame, by: list[str], value: str, weight: str, alp
 def shifted_quantile(test: DataFrame, cal: DataFrame, key: str, by: list[str], score: str, weight: str, own: str, alpha: float) -> DataFrame:
     """(key, q): for each test row the weighted quantile of its group's calibration scores with the row's own weight at infinity.
 
-    The place is alpha (total + own) in the running sum of weights; it is found by stacking places and running sums in one
-    ordered window of the group, so no test row meets every score. Infinite where the place lies on the row's own weight.
-    Groups without calibration rows give NULL.
+    The place is alpha (total + own) in the running sum of weights; different places and running sums are stacked, and a
+    window carries the next score back, so no test row meets every score. Both windows are over (group, range), so a group
+    that holds most rows is many tasks' work: each range of scores begins with the sum of those before it, each range of
+    places ends with the first score after it. Infinite where the place lies on the row's own weight. Groups without
+    calibration rows give NULL.
     """
-    run = F.sum("_w").over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0))
-    g = cal.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(F.sum(weight).alias("_w")).withColumn("_run", run)
-    total = bounded(g.groupBy(*by).agg(F.max("_run").alias("_total")), "totals")
+    shares = F.array(*[F.lit((i + 1) / RANGES) for i in range(RANGES - 1)])
+    part = lambda x: F.size(F.filter("_e", lambda e: e < F.col(x))).alias("_part")
+
+    def cut(df: DataFrame, x: str) -> DataFrame:
+        edges = bounded(df.groupBy(*by).agg(F.percentile_approx(x, shares).alias("_e")), "edges")
+        return df.join(edges, by).select(*df.columns, part(x))
+
+    up = Window.partitionBy(*by, "_part").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    g = cut(kept(cal.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(F.sum(weight).alias("_w")), "scores"), "_s")
+    ranges = g.groupBy(*by, "_part").agg(F.sum("_w").alias("_t"))
+    total = bounded(ranges.groupBy(*by).agg(F.sum("_t").alias("_total")), "totals")
+    start = bounded(ranges.select(*by, "_part", F.coalesce(F.sum("_t").over(before), F.lit(0.0)).alias("_start")), "starts")
+    g = g.withColumn("_run", F.sum("_w").over(up)).join(start, [*by, "_part"])
+    scores = g.select(*by, (F.col("_start") + F.col("_run")).alias("_at"), "_s", F.lit(1).alias("_side"))
     asked = test.join(total, by, "left").select(*by, key, (alpha * (F.col("_total") + F.col(own)) - 1e-9).alias("_at"), "_total")
-    scores = g.select(*by, F.lit(None).cast(dict(test.dtypes)[key]).alias(key), F.col("_run").alias("_at"), F.lit(None).cast("double").alias("_total"), "_s", F.lit(1).alias("_side"))
-    stacked = asked.withColumns({"_s": F.lit(None).cast("double"), "_side": F.lit(0)}).unionByName(scores)
-    # The first score at or after the place: running sums stand after equal places.
-    ahead = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(0, Window.unboundedFollowing)
-    q = F.coalesce(F.first("_s", ignorenulls=True).over(ahead), F.when(F.col("_total").isNotNull(), float("inf")))
-    return stacked.withColumn("q", q).where("_side = 0").select(key, "q")
+    places = asked.where("_at IS NOT NULL").select(*by, "_at").distinct().withColumns({"_s": F.lit(None).cast("double"), "_side": F.lit(0)})
+    both = cut(kept(places.unionByName(scores), "places"), "_at")
+    after = Window.partitionBy(*by).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(*by, "_part").agg(F.min("_s").alias("_s")).withColumn("_s", F.last("_s", ignorenulls=True).over(after)).where("_s IS NOT NULL")
+    both = both.unionByName(carried.withColumns({"_at": F.lit(float("inf")), "_side": F.lit(1)}))
+    # The first score at or after the place: from above, scores stand before equal places, the least of equal runs last.
+    down = Window.partitionBy(*by, "_part").orderBy(F.desc("_at"), F.desc("_side"), F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("q", F.last("_s", ignorenulls=True).over(down)).where("_side = 0").select(*by, "_at", "q")
+    return asked.join(bounded(found, "found"), [*by, "_at"], "left").select(key, F.coalesce("q", F.when(F.col("_total").isNotNull(), float("inf"))).alias("q"))
 
 
 def local_quantiles(test: DataFrame, cal: DataFrame, key: str, features: list[str], score: str, alpha: float, width: float, block: int = 4096) -> DataFrame:

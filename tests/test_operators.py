@@ -585,3 +585,12 @@ def test_equal_vectors_are_one_with_their_number(spark):
     want = (2 * 1.0 + 2.0) * 20_000**2 / (60_000 * 59_999 / 2)
     assert mean_pairwise_distance(df, "id", "v").first()[0] == pytest.approx(want, rel=1e-9)
     assert mean_pairwise_distance(df.limit(1), "id", "v").first()[0] is None
+
+
+def test_shifted_quantile_of_one_large_group(spark):
+    cal = spark.range(40_000).selectExpr("'a' AS g", "CAST(id * 7919 % 40000 AS double) AS s", "1D AS c")
+    test = spark.range(40_000).selectExpr("id AS k", "'a' AS g", "id / 10D AS w")
+    got = {r.k: r.q for r in conformal.shifted_quantile(test, cal, "k", ["g"], "s", "c", "w", 0.95).collect()}
+    for k in range(0, 40_000, 97):
+        place = math.ceil(round(0.95 * (40_000 + k / 10), 6))
+        assert got[k] == (place - 1.0 if place <= 40_000 else math.inf)
