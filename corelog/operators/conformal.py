@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from corelog.operators.common import bounded, kept
 from corelog.operators.quantiles import RANGES, order_statistics
 
+#: local_quantiles() cuts either side into so many pieces at most.
+PIECES = 64
+
 
 def coverage(y: str, mu: str, sd: str, alpha: float) -> Column:
     """Share of y inside mu +- z sd of a normal distribution's central interval."""
@@ -106,20 +109,24 @@ def shifted_quantile(test: DataFrame, cal: DataFrame, key: str, by: list[str], s
 def local_quantiles(test: DataFrame, cal: DataFrame, key: str, features: list[str], score: str, alpha: float, width: float, block: int = 4096) -> DataFrame:
     """(key, q): the weighted quantile for each test row, with Gaussian kernel weights over all calibration rows.
 
-    Every test row weighs every calibration row, so work is quadratic by definition; memory is not. Calibration rows are
-    cut by score into blocks, test rows by hash into chunks. A first pass gives each test row's weight in each block; that
-    names the block in which alpha is reached, which a second pass searches. Where all weights vanish the greatest score
-    counts. Rows with NULL scores or features don't count; without calibration rows q is NULL. Keys are unique.
+    Every different test row weighs every different calibration row, so work is quadratic in these by definition; memory and
+    shuffle are not. Test rows with equal features are one, and calibration rows that are equal in score and features are one
+    with their number. Calibration rows are cut by score into blocks, test rows by hash into chunks, of `block` rows each or
+    more, as both are PIECES at most. A first pass gives each test row's weight in each block; that names the block in which
+    alpha is reached, which a second pass searches. Where all weights vanish the greatest score counts. Rows with NULL scores
+    or features don't count; without calibration rows q is NULL.
     """
     from pyspark.ml.feature import Bucketizer
 
     names = [f"_c{i}" for i in range(len(features))]
     c = cal.dropna(subset=[score, *features]).select(F.col(score).cast("double").alias("_s"), *[F.col(f).alias(x) for f, x in zip(features, names)])
-    t = test.dropna(subset=features).select(key, *features)
+    c = kept(c.groupBy("_s", *names).agg(F.count("*").cast("double").alias("_n")), "scores")
+    rows = test.dropna(subset=features).select(key, *features)
+    t = kept(rows.groupBy(*features).agg(F.min(key).alias(key)), "asked")
     n, worst = c.agg(F.count("*"), F.max("_s")).first()
     if not n:
-        return t.select(key, F.lit(None).cast("double").alias("q"))
-    m, p = math.ceil(n / block), math.ceil(max(t.count(), 1) / block)
+        return rows.select(key, F.lit(None).cast("double").alias("q"))
+    m, p = min(PIECES, math.ceil(n / block)), min(PIECES, math.ceil(max(t.count(), 1) / block))
     ends = c.agg(F.percentile_approx("_s", F.array(*[F.lit(i / m) for i in range(1, m)]))).first()[0] if m > 1 else []
     splits = [float("-inf"), *sorted(set(ends)), float("inf")]
     if len(splits) > 2:
@@ -133,11 +140,12 @@ def local_quantiles(test: DataFrame, cal: DataFrame, key: str, features: list[st
 
     def running(left: pd.DataFrame, right: pd.DataFrame):
         right = right.sort_values("_s", kind="stable")
-        y, s = right[names].to_numpy(float), right["_s"].to_numpy(float)
-        for i in range(0, len(left), 256):
-            rows = left.iloc[i : i + 256]
+        y, s, number = right[names].to_numpy(float), right["_s"].to_numpy(float), right["_n"].to_numpy(float)
+        step = max(1, min(256, 1_000_000 // max(len(s), 1)))
+        for i in range(0, len(left), step):
+            rows = left.iloc[i : i + step]
             x = rows[features].to_numpy(float)
-            yield rows, s, np.cumsum(np.exp(-sum((x[:, [j]] - y[:, j]) ** 2 for j in range(len(features))) / h), 1)
+            yield rows, s, np.cumsum(np.exp(-sum((x[:, [j]] - y[:, j]) ** 2 for j in range(len(features))) / h) * number, 1)
 
     def weigh(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         parts = [rows[[key, "_b"]].assign(_w=run[:, -1]) for rows, s, run in running(left, right) if len(s)]
@@ -162,7 +170,8 @@ def local_quantiles(test: DataFrame, cal: DataFrame, key: str, features: list[st
     first = placed.where((F.col("_total") > 0) & enough).groupBy(key, "_total").agg(F.min(F.struct("_b", (F.col("_run") - F.col("_w")).alias("_before"))).alias("_x"))
     wanted = t.join(first.select(key, "_total", "_x.*"), key)
     found = wanted.groupBy(*by).cogroup(c.groupBy("_q", "_k")).applyInPandas(search, f"{key} {kind}, q double")
-    return t.select(key).join(found, key, "left").select(key, F.coalesce("q", F.lit(float(worst))).alias("q"))
+    each = bounded(t.join(found, key, "left").select(*features, F.coalesce("q", F.lit(float(worst))).alias("q")), "found")
+    return rows.join(each, features).select(key, "q")
 
 
 def isotonic(cal: DataFrame, z: str, bins: int = 2001) -> tuple[np.ndarray, np.ndarray]:

@@ -580,13 +580,6 @@ def test_points_of_one_place_share_their_search(spark):
     assert got == {i: 0.0 for i in range(6)}
 
 
-def test_equal_vectors_are_one_with_their_number(spark):
-    df = spark.range(60_000).selectExpr("id", "array(CAST(id % 3 AS double), 0D, 0D, 0D, 0D) AS v")
-    want = (2 * 1.0 + 2.0) * 20_000**2 / (60_000 * 59_999 / 2)
-    assert mean_pairwise_distance(df, "id", "v").first()[0] == pytest.approx(want, rel=1e-9)
-    assert mean_pairwise_distance(df.limit(1), "id", "v").first()[0] is None
-
-
 def test_shifted_quantile_of_one_large_group(spark):
     cal = spark.range(40_000).selectExpr("'a' AS g", "CAST(id * 7919 % 40000 AS double) AS s", "1D AS c")
     test = spark.range(40_000).selectExpr("id AS k", "'a' AS g", "id / 10D AS w")
@@ -594,3 +587,17 @@ def test_shifted_quantile_of_one_large_group(spark):
     for k in range(0, 40_000, 97):
         place = math.ceil(round(0.95 * (40_000 + k / 10), 6))
         assert got[k] == (place - 1.0 if place <= 40_000 else math.inf)
+
+
+def test_equal_vectors_are_one_with_their_number(spark):
+    df = spark.range(60_000).selectExpr("id", "array(CAST(id % 3 AS double), 0D, 0D, 0D, 0D) AS v")
+    want = (2 * 1.0 + 2.0) * 20_000**2 / (60_000 * 59_999 / 2)
+    assert mean_pairwise_distance(df, "id", "v").first()[0] == pytest.approx(want, rel=1e-9)
+    assert mean_pairwise_distance(df.limit(1), "id", "v").first()[0] is None
+
+
+def test_local_quantiles_of_equal_rows(spark):
+    cal = spark.range(60_000).selectExpr("CAST(id % 5 AS double) AS score", "CAST(id % 3 AS double) AS x")
+    test = spark.range(60_000).selectExpr("id", "CAST(id % 2 AS double) AS x")
+    got = conformal.local_quantiles(test, cal, "id", ["x"], "score", 0.5, 0.5, block=2).groupBy("q").count().collect()
+    assert [tuple(r) for r in got] == [(2.0, 60_000)]
