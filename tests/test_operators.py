@@ -2,7 +2,9 @@
 
 import math
 import random
+import re
 import unicodedata
+from collections import Counter
 from statistics import NormalDist
 
 import numpy as np
@@ -601,3 +603,25 @@ def test_local_quantiles_of_equal_rows(spark):
     test = spark.range(60_000).selectExpr("id", "CAST(id % 2 AS double) AS x")
     got = conformal.local_quantiles(test, cal, "id", ["x"], "score", 0.5, 0.5, block=2).groupBy("q").count().collect()
     assert [tuple(r) for r in got] == [(2.0, 60_000)]
+
+
+def test_tfidf_against_a_loop_and_without_pairs_in_a_shuffle(spark):
+    docs = [(i, f"Aa b a{'xyz'[i % 3]} Été {'q' * i} aa\tbb") for i in range(40)] + [(3, "extra aa"), (99, None)]
+    df = spark.createDataFrame(docs, "id long, t string")
+    got = T.tfidf(df, "id", "t", top=30)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    tf = {}
+    for i, t in docs:
+        for w in re.split("[ \t\n\x0b\f\r]+", (t or "").lower()):
+            for k in (2, 3, 4) if w else ():
+                for j in range(len(w) + 3 - k):
+                    tf.setdefault(i, Counter())[f" {w} "[j : j + k]] += 1
+    held = Counter(g for c in tf.values() for g in c)
+    total = sum(tf.values(), Counter())
+    top = sorted((g for g in total if held[g] >= 5), key=lambda g: (-total[g], g.encode()))[:30]
+    want = {}
+    for i, c in tf.items():
+        x = {g: c[g] * (math.log((1 + len(docs)) / (1 + held[g])) + 1) for g in top if c[g]}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        want |= {(i, g): pytest.approx(v / norm) for g, v in x.items()}
+    assert {(r.id, r.term): r.weight for r in got.collect()} == want
