@@ -625,3 +625,25 @@ def test_tfidf_against_a_loop_and_without_pairs_in_a_shuffle(spark):
         norm = math.sqrt(sum(v * v for v in x.values()))
         want |= {(i, g): pytest.approx(v / norm) for g, v in x.items()}
     assert {(r.id, r.term): r.weight for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("group", [None, "g"])
+def test_frequent_substrings_of_many_chunks(spark, monkeypatch, group):
+    monkeypatch.setattr(T, "CHUNK_CHARACTERS", 60)
+    monkeypatch.setattr(T, "CHUNK_TEXTS", 3)
+    r = random.Random(5)
+    rows = [(i, f"g{i % 2}", "".join(r.choice("abc") for _ in range(r.randint(0, 9))) + "xy zz"[i % 2 :]) for i in range(90)]
+    got = T.frequent_substrings(spark.createDataFrame(rows, "k int, g string, t string"), "k", "t", share=0.4, least=2, most=4, partition=[group] if group else None).collect()
+    want = {}
+    for g in {x[1] for x in rows} if group else [None]:
+        texts = {x[2] for x in rows if g in (None, x[1])}
+        n = Counter(s for t in texts for s in {t[i : i + k] for k in (2, 3, 4) for i in range(len(t) - k + 1)})
+        good = {s: c for s, c in n.items() if c >= math.ceil(len(texts) * 0.4)}
+        want |= {(g, s): c for s, c in good.items() if not any(s in o and s != o for o in good)}
+    assert {(x[group] if group else None, x.term): x.n for x in got} == want
+
+
+def test_frequent_substrings_of_a_long_text(spark):
+    texts = [(i, "ab" * 150_000 + str(i)) for i in range(2)]
+    got = T.frequent_substrings(spark.createDataFrame(texts, "k int, t string"), "k", "t", share=1.0, least=3, most=4).collect()
+    assert sorted((x.term, x.n) for x in got) == [("abab", 2), ("baba", 2)]
