@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from pathlib import PurePosixPath
 
 from pyspark.errors import AnalysisException
@@ -9,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from corelog.functions.digest import Digest, can_carry
+from corelog.operators.common import kept
+from corelog.plans.ship import ship
+
 _SUFFIX = {".parquet": "parquet", ".csv": "csv", ".gz": "csv", ".json": "json", ".jsonl": "json", ".txt": "text", ".xml": "binaryFile", ".html": "binaryFile"}
 
 
@@ -132,23 +137,89 @@ class Registry:
         return self.sample(points, key, "continuous").select(key, F.array(*[F.col(n).cast("double") for n in self.names("continuous")]).alias("features"))
 
 
-def content_key(df: DataFrame, order: str, text: str) -> DataFrame:
+#: Bytes of a piece of the joined texts, and of the pieces that one task digests.
+PIECE_BYTES = 256 << 10
+STEP_BYTES = 64 << 20
+
+
+def content_key(df: DataFrame, order: str, text: str, *, piece: int = PIECE_BYTES, step: int = STEP_BYTES) -> DataFrame:
     """One row: the first 16 digits of the sha256 of all texts in order, joined by NUL characters; NULL counts as empty.
 
-    A digest of a whole is sequential by definition: rows are sorted in parallel, then one task streams over them and
-    holds one batch at a time.
+    A digest of a whole is sequential by definition. Texts are sorted and joined to pieces in parallel; then task after task
+    digests some `step` bytes of pieces and hands its state on, so that none reads more, however large the table is. Where
+    Python has no libcrypto, whose state can be handed on, one task digests all pieces.
     """
+    spark = df.sparkSession
+    ship(spark)
+    # A row without an order comes last, as in SQL.
+    joined = df.orderBy(F.col(order).asc_nulls_last()).select(text).mapInArrow(_pieces(piece), "part int, place int, size int, bytes binary")
+    pieces = kept(joined, "pieces", by=["part"])
+    sizes = [tuple(r) for r in pieces.select("part", "place", "size").orderBy("part", "place").collect()]
+    steps, state, key = steps_of(sizes, step), None, hashlib.sha256().hexdigest()
+    for i, (first, last) in enumerate(steps):
+        state, key = _digested(pieces, first, last, state, i == 0, len(steps) == 1)
+        if key is None:
+            state, key = _digested(pieces, steps[0][0], steps[-1][1], None, True, True)
+            break
+    return spark.createDataFrame([(key[:16],)], "key string")
+
+
+def steps_of(sizes: list[tuple[int, int, int]], most: int) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """(first, last) of runs of pieces (part, place, size) in their order, each of `most` bytes or of one piece."""
+    out, held = [], 0
+    for part, place, size in sizes:
+        if out and held + size <= most:
+            out[-1], held = (out[-1][0], (part, place)), held + size
+        else:
+            held = size
+            out.append(((part, place), (part, place)))
+    return out
+
+
+def _pieces(most: int):
+    """For mapInArrow: a partition's texts, each after a NUL, as (part, place, size, bytes) of `most` bytes; the last has what is left."""
 
     def run(batches):
-        import hashlib
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, place, rest = TaskContext.get().partitionId(), 0, bytearray()
+
+        def piece():
+            data = bytes(rest[:most])
+            del rest[:most]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([place], pa.int32()), pa.array([len(data)], pa.int32()), pa.array([data], pa.binary())], ["part", "place", "size", "bytes"])
 
-        digest, first = hashlib.sha256(), True
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                digest.update(("" if first else "\0").encode() + (t or "").encode())
-                first = False
-        import pyarrow as pa
+            for t in batch.column(0):
+                rest += b"\0"
+                if t.is_valid:
+                    rest += t.as_buffer()
+                while len(rest) >= most:
+                    yield piece()
+                    place += 1
+        if rest:
+            yield piece()
+
+    return run
+
 
-        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()[:16]])], ["key"])
+def _digested(pieces: DataFrame, first: tuple[int, int], last: tuple[int, int], state: bytes | None, begins: bool, alone: bool) -> tuple[bytes | None, str | None]:
+    """(state, digest) after the pieces from first to last, in one task; (None, None) if it can't hand its state on but must."""
+
+    def run(batches):
+        import pyarrow as pa
 
-    return df.orderBy(order).select(text).coalesce(1).mapInArrow(run, "key string")
+        carries, at = can_carry(), 0 if not begins else 1  # the first text has no NUL before it
+        if carries or alone:
+            digest = Digest(state) if carries else hashlib.sha256()
+            for batch in batches:
+                for b in batch.column(0):
+                    digest.update(b.as_py()[at:])
+                    at = 0
+        out = [digest.state() if carries else None, digest.hexdigest() if carries or alone else None]
+        yield pa.RecordBatch.from_arrays([pa.array(out[:1], pa.binary()), pa.array(out[1:], pa.string())], ["state", "key"])
+
+    within = f"part BETWEEN {first[0]} AND {last[0]} AND (part > {first[0]} OR place >= {first[1]}) AND (part < {last[0]} OR place <= {last[1]})"
+    row = pieces.where(within).coalesce(1).sortWithinPartitions("part", "place").select("bytes").mapInArrow(run, "state binary, key string").collect()[0]
+    return (None if row.state is None else bytes(row.state)), row.key

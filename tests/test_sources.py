@@ -4,6 +4,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from corelog.functions import digest as D
 from corelog.sources import tables as S
 from corelog.sources import xml as X
 
@@ -65,6 +66,46 @@ def test_content_key_is_that_of_the_joined_texts(spark):
     assert S.content_key(df, "k", "t").first().key == want
 
 
+def test_content_key_is_carried_from_task_to_task(spark, monkeypatch):
+    texts = [("砂" * (i * 37 % 90), None)[i % 7 == 3] for i in range(300)]
+    df = spark.createDataFrame([(i if i < 299 else None, t) for i, t in enumerate(texts)], "k int, t string").repartition(5)
+    joined, steps, whole = "\0".join(t or "" for t in texts).encode(), [], S._digested
+
+    def digested(pieces, first, last, *rest):
+        steps.append((first, last))
+        return whole(pieces, first, last, *rest)
+
+    monkeypatch.setattr(S, "_digested", digested)
+    assert D.can_carry()
+    assert S.content_key(df, "k", "t", piece=100, step=1000).first().key == hashlib.sha256(joined).hexdigest()[:16]
+    assert len(steps) >= len(joined) / 1000
+    assert S.content_key(df.where("k < 0"), "k", "t").first().key == hashlib.sha256(b"").hexdigest()[:16]
+
+
+def test_content_key_where_no_state_can_be_carried(spark, monkeypatch):
+    whole = S._digested
+    monkeypatch.setattr(S, "_digested", lambda pieces, first, last, state, begins, alone: whole(pieces, first, last, state, begins, alone) if alone else (None, None))
+    df = spark.createDataFrame([(i, "x" * i) for i in range(50)], "k int, t string")
+    assert S.content_key(df, "k", "t", piece=10, step=100).first().key == hashlib.sha256("\0".join("x" * i for i in range(50)).encode()).hexdigest()[:16]
+
+
+def test_steps_hold_no_more_than_they_may():
+    sizes = [(p, i, 7) for p in (0, 2, 3) for i in range(5)] + [(4, 0, 50), (4, 1, 1)]
+    steps = S.steps_of(sizes, 21)
+    assert steps[0] == ((0, 0), (0, 2)) and steps[-2:] == [((4, 0), (4, 0)), ((4, 1), (4, 1))]
+    held = [[s for p, i, s in sizes if a <= (p, i) <= b] for a, b in steps]
+    assert sum(held, []) == [s for *_, s in sizes] and all(sum(h) <= 21 or len(h) == 1 for h in held)
+    assert S.steps_of([], 21) == []
+
+
+def test_digest_goes_on_from_a_state():
+    d = D.Digest()
+    for i in range(0, 1000, 37):
+        d = D.Digest(d.state())
+        d.update(bytes(1000)[i : i + 37])
+        assert d.hexdigest() == hashlib.sha256(bytes(min(1000, i + 37))).hexdigest()
+
+
 def test_manifest_differences(spark):
     f = lambda *rows: spark.createDataFrame([(p, c, len(c)) for p, c in rows], "path string, content binary, length long")
     listed = S.manifest(f(("same", b"1"), ("edited", b"2"), ("lost", b"3")))
