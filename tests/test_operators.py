@@ -8,6 +8,7 @@ from collections import Counter
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -416,6 +417,25 @@ def test_text_functions(spark):
     assert one(lambda c: T.strip_header_terms(c, F.array(F.lit("road"))), "road broad road9") == "broad road9" and one(lambda c: T.strip_header_terms(c, F.array(F.lit("road"))), None) is None
 
 
+def test_udfs_of_texts_hold_few_rows_at_a_time():
+    seen = []
+    udf = T._of_rows(lambda a, b: seen.append(a) or (a and a + b))
+    n = 5 * T.UDF_ROWS // 2
+    a, b = [None if i % 9 == 0 else str(i) for i in range(n)], [f"x{i}" for i in range(n)]
+    out = udf.func(iter([(pa.array(a), pa.array(b)), (pa.array(a[:1]), pa.array(b[:1]))]))
+    first = next(out)
+    assert len(seen) == len(first) == T.UDF_ROWS
+    rest = [x for part in out for x in part.to_pylist()]
+    assert first.to_pylist() + rest == [x and x + y for x, y in zip(a, b)] + [None]
+
+
+def test_header_terms_over_several_slices(spark):
+    texts = [(i, None if i % 50 == 7 else f"road {i} stone broad", [["road"], ["stone", "road"], [], None][i % 4]) for i in range(3 * T.UDF_ROWS + 5)]
+    df = spark.createDataFrame(texts, "i int, t string, terms array<string>").coalesce(1)
+    got = {r.i: r.x for r in df.select("i", T.strip_header_terms("t", "terms").alias("x")).collect()}
+    assert got == {i: t if t is None or not ts else T.delete_terms(t, set(ts)) for i, t, ts in texts}
+
+
 def test_gates(spark):
     mu, sd = F.lit(1.0), F.lit(0.5)
     row = spark.range(1).select(gates.sigmoid(F.lit(1e9), 0.0, 1.0).alias("s"), gates.log_moments(mu, sd)[0].alias("m"), gates.log_moments(mu, sd, median=True)[0].alias("q"), gates.banded(F.lit(0.0), [(0.0, 1.0)]).alias("b")).first()

@@ -51,3 +51,14 @@ def test_runs_without_sql(spark, name):
     df = catalog.QUERIES[name](spark, DATA)
     assert len(set(df.columns)) == len(df.columns)
     assert df.count() > 0
+
+
+def test_texts_are_not_shuffled_for_their_headers(spark):
+    """The sources' terms are written, counted and broadcast: a source of most texts is not one task's."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.QUERIES["headerless_text"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
